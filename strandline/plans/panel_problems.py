@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.keys import code_key, finite
+from strandline.operators import impute
 from strandline.operators.asof import version_history, with_known
 from strandline.operators.trailing import Trailing, calendar, latest_per_day, others_in_group, trailing_totals
 from strandline.plans.tables import table
+from strandline.session import materialize
 
 OWN = [Trailing("gdelt_protest_7d_lag", "protest_today", 7), Trailing("gdelt_strike_28d_lag", "strike_today", 28)]
 REGION = [Trailing("gdelt_protest_region_14d", "protest_today", 14)]
@@ -72,7 +74,36 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _with_known(spark, d).select("panel_id", F.explode(wrong).alias("field"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_rolling": p2_rolling, "p2_calendar": p2_calendar, "p3_found": p3_found, "p3_asof": p3_asof}
+#: Codes that stand for "no figure" in such series.
+NO_FIGURE = (-9999.0, -999.0, -99.0, -1.0, 99.9, 999.0, 9999.0)
+FIGURES = [
+    impute.Figure("gini_coef", low=1e-9, high=100.0, codes=NO_FIGURE, percent=True),
+    impute.Figure("inflation_cpi_yoy", low=-95.0, high=9000.0, codes=tuple(x for x in NO_FIGURE if x not in (-1.0, 99.9))),
+    impute.Figure("unemployment_rate", low=0.0, high=99.0, codes=NO_FIGURE),
+]
+HELPERS = ["unemployment_total", "food_cpi_inflation", "political_stability_est", "gdp_growth"]
+LEVELS = [["cluster", "unit", "year"], ["cluster", "unit"], ["cluster", "country"], ["cluster"], []]
+
+
+def p5_filled(spark: SparkSession, d: str) -> DataFrame:
+    """Every panel row with the three fields filled, and a mark and the method per field."""
+    fields = [f.name for f in FIGURES]
+    panel = _panel(spark, d, *(f.clean(F.col(f.name)).alias(f.name) for f in FIGURES), *(finite(F.col(c)).alias(c) for c in HELPERS))
+    panel = materialize(panel.withColumn("year", F.year("date").cast("string")), "panel")
+    model = impute.fit(panel, fields + HELPERS, ["country", "unit", "year"])
+    rows = impute.assign(panel, model)
+    out = impute.fill(rows, LEVELS, fields)
+    return out.select("panel_id", "unit", "date", *(c for f in fields for c in (f, f"{f}_filled", f"{f}_method")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The cells that held no real figure and were filled."""
+    fields = [f.name for f in FIGURES]
+    cells = F.filter(F.array(*(F.when(F.col(f"{f}_filled") & (F.col(f"{f}_method") != "observed"), F.lit(f)) for f in fields)), lambda x: x.isNotNull())
+    return p5_filled(spark, d).select("panel_id", F.explode(cells).alias("field"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_filled": p5_filled, "p2_found": p2_found, "p2_rolling": p2_rolling, "p2_calendar": p2_calendar, "p3_found": p3_found, "p3_asof": p3_asof}
 
 _UNIT = "nullif(regexp_replace(upper({}), '[^A-Z0-9-]', '', 'g'), '')"
 _DAILY = f"""daily as (select unit, date, arg_max(coalesce(protest_today, 0), ingest_time) as p, arg_max(coalesce(strike_today, 0), ingest_time) as s
@@ -91,6 +122,7 @@ k as (select p.panel_id, i.indicator, arg_max(r.value, (r.year, r.released_at, r
 w as (select panel_id, max(known) filter (indicator = 'political_stability_est') as ps, max(known) filter (indicator = 'gdp_growth') as gg from k group by 1)"""
 
 SQL = {
+    "p5_found": "select panel_id, field from (select panel_id, unnest([case when gini_coef is null or isnan(gini_coef) or gini_coef <= 0 or gini_coef > 100 or gini_coef = 99.9 then 'gini_coef' end, case when inflation_cpi_yoy is null or not isfinite(inflation_cpi_yoy) or inflation_cpi_yoy < -95 or inflation_cpi_yoy in (999, 9999) or inflation_cpi_yoy > 9000 then 'inflation_cpi_yoy' end, case when unemployment_rate is null or isnan(unemployment_rate) or unemployment_rate < 0 or unemployment_rate > 99 then 'unemployment_rate' end]) as field from modelling_panel_gdelt) where field is not null",
     "p2_found": f"with {_DAILY} select panel_id, field from (select panel_id, unnest([case when pa is null or abs(pa - a) > 0.001 then 'gdelt_protest_7d_lag' end, case when pb is null or abs(pb - b) > 0.001 then 'gdelt_strike_28d_lag' end, case when pc is null or abs(pc - c) > 0.001 then 'gdelt_protest_region_14d' end]) as field from t) where field is not null",
     "p2_rolling": f"with {_DAILY} select unit, date, panel_id, a as gdelt_protest_7d_lag, b as gdelt_strike_28d_lag, a / 7 as gdelt_protest_7d_lag_mean, b / 28 as gdelt_strike_28d_lag_mean, c as gdelt_protest_region_14d from t",
     "p3_asof": f"with {_KNOWN_SQL} select p.panel_id, {_UNIT.format('p.country_iso3')} as country, p.date, w.ps as political_stability_est, w.gg as gdp_growth from modelling_panel_gdelt p join w using (panel_id)",

@@ -62,7 +62,7 @@ if __name__ == "__main__":
 
     sf, *want = sys.argv[1:] or ["sf0.01"]
     d = f"/root/testdata/{sf}"
-    spark = build_session("oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
+    spark = build_session("oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__showConsoleProgress="false", spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     con = views(d)
     sqls = e.oracle_sql()
