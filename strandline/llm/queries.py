@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.urls import page_key
+from strandline.llm.happenings import same_happenings
 from strandline.llm.linking import link_records
+from strandline.llm.matching import one_to_one
 from strandline.plans.tables import table
+from strandline.session import materialize
 
 
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -22,7 +25,24 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_groups(spark, d).where("n_members > 1").select("record_id", "group_id")
 
 
-QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups}
+def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Record and event of the same happening with the confidence of the match."""
+    return same_happenings(table(spark, d, "extract_records"), table(spark, d, "verified_events"), table(spark, d, "gazetteer"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_pairs(spark, d).select("record_id", "event_id_cnty")
+
+
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The one-to-one assignment of largest total confidence: at most one record per event."""
+    pairs = materialize(p7_pairs(spark, d), "happenings")
+    ids = materialize(pairs.select("event_id_cnty").distinct().withColumn("r", F.monotonically_increasing_id()), "events")
+    best = one_to_one(pairs.join(ids, "event_id_cnty").select(F.col("record_id").alias("l"), "r", F.col("confidence").alias("w")))
+    return best.join(ids, "r").select(F.col("l").alias("record_id"), "event_id_cnty", F.col("w").alias("confidence"))
+
+
+QUERIES = {"p7_found": p7_found, "p7_pairs": p7_pairs, "p7_matches": p7_matches, "p6_found": p6_found, "p6_groups": p6_groups}
 
 
 
