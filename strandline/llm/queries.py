@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.urls import page_key
+from strandline.llm.encoding import encode
 from strandline.llm.happenings import same_happenings
 from strandline.llm.linking import link_records
 from strandline.llm.matching import one_to_one
+from strandline.llm.mixing import mix, rates, shares, source_key
 from strandline.plans.tables import table
 from strandline.session import materialize
 
@@ -42,7 +44,34 @@ def p7_matches(spark: SparkSession, d: str) -> DataFrame:
     return best.join(ids, "r").select(F.col("l").alias("record_id"), "event_id_cnty", F.col("w").alias("confidence"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_pairs": p7_pairs, "p7_matches": p7_matches, "p6_found": p6_found, "p6_groups": p6_groups}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The byte_bpe_50k ids of every document."""
+    return encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """(id, source, size in tokens) of the documents of the target sources."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), source_key(F.col("source")).alias("source"), "text")
+    wanted = table(spark, d, "mix_targets").select(source_key(F.col("source")).alias("source")).distinct()
+    docs = docs.join(wanted, "source", "left_semi").withColumn("id", F.struct("id", "source"))
+    out = encode(docs, "id", "text").select("id.id", "id.source", F.size("ids").cast("long").alias("size"))
+    return materialize(out, "sizes")
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The drawn documents, one row per copy."""
+    sizes = _sizes(spark, d)
+    return mix(sizes, rates(sizes, table(spark, d, "mix_targets"))).select(F.col("id").alias("doc_id"), "source", "copy", F.col("size").alias("n_tokens"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached, beside the targets."""
+    sizes = _sizes(spark, d)
+    r = rates(sizes, table(spark, d, "mix_targets"))
+    return shares(mix(sizes, r), r)
+
+
+QUERIES = {"p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p7_found": p7_found, "p7_pairs": p7_pairs, "p7_matches": p7_matches, "p6_found": p6_found, "p6_groups": p6_groups}
 
 
 
