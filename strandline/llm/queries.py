@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.urls import page_key
+from strandline.llm import languages
 from strandline.llm.encoding import encode
 from strandline.llm.happenings import same_happenings
 from strandline.llm.linking import link_records
 from strandline.llm.matching import one_to_one
 from strandline.llm.mixing import mix, rates, shares, source_key
+from strandline.llm.survivors import canonical, field_votes, fraction, head_count, latest_delivery, survivors, tidy, winners
 from strandline.plans.tables import table
 from strandline.session import materialize
 
@@ -71,7 +73,60 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(mix(sizes, r), r)
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p7_found": p7_found, "p7_pairs": p7_pairs, "p7_matches": p7_matches, "p6_found": p6_found, "p6_groups": p6_groups}
+FIELDS = ["sector", "estimated_participants"]
+
+
+def _members(spark: SparkSession, d: str) -> DataFrame:
+    """Each article of each cluster once, with comparable values."""
+    a = table(spark, d, "source_articles").where("cluster_id is not null").select(
+        "cluster_id", "article_id", "event_date", fraction(F.col("confidence")).alias("confidence"), tidy(F.col("sector")).alias("__sector"), head_count(F.col("estimated_participants")).alias("estimated_participants"),
+        tidy(F.col("issue")).alias("issue"), tidy(F.col("protest_type")).alias("protest_type"), tidy(F.col("subloc")).alias("subloc"), "ingest_time",
+    )
+    a = latest_delivery(a, "cluster_id", "article_id", "ingest_time")
+    names = canonical(table(spark, d, "source_articles").select(tidy(F.col("sector")).alias("s")), "s", table(spark, d, "sector_codes"), "sector", "aliases")
+    return a.join(names.withColumnRenamed("canonical", "sector"), F.col("__sector") == F.col("value"), "left").drop("__sector", "value")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Surviving values, and the fields in conflict, by trust alone."""
+    won = winners(field_votes(_members(spark, d), "cluster_id", FIELDS, F.col("confidence")), "cluster_id")
+    one = F.struct(F.col("field").alias("field"), F.col("value").alias("value"))
+    clash = F.when(F.col("n_values") > 1, F.struct(F.lit("conflicted_fields").alias("field"), F.col("field").alias("value")))
+    return won.select("cluster_id", F.explode(F.filter(F.array(one, clash), lambda x: x.isNotNull())).alias("x")).select("cluster_id", "x.*")
+
+
+def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """One record per cluster, by trust and recency with a half-life of 30 days."""
+    m = _members(spark, d)
+    fields = [*FIELDS, "issue", "protest_type", "subloc"]
+    won = winners(field_votes(m, "cluster_id", fields, F.col("confidence"), "event_date", 30.0), "cluster_id")
+    top = m.groupBy("cluster_id").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n_members"))
+    return top.join(survivors(won, "cluster_id", fields), "cluster_id", "left")
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return languages.classify(docs, "doc_id", "text", languages.fit(docs, "doc_id", "text", "lang"))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence's language and confidence; NULL where the two best are too close."""
+    return _segments(spark, d)
+
+
+def p10_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The languages of every document with language, beside its label."""
+    labels = table(spark, d, "documents").select(F.col("doc_id").alias("__id"), languages.label_key(F.col("lang")).alias("label"))
+    langs = languages.per_language(_segments(spark, d), "doc_id")
+    return langs.join(labels, F.col("doc_id") == F.col("__id")).drop("__id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents whose label is missing, void or wrong, or that hold several languages: a row per language."""
+    return p10_languages(spark, d).where("label is null or n_langs > 1 or label <> lang").select("doc_id", "lang")
+
+
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p10_found": p10_found, "p10_languages": p10_languages, "p10_segments": p10_segments, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p7_found": p7_found, "p7_pairs": p7_pairs, "p7_matches": p7_matches, "p6_found": p6_found, "p6_groups": p6_groups}
 
 
 
@@ -89,7 +144,21 @@ e as (select a, b from m where a <> b union select b, a from m where a <> b), re
 g as (select x.record_id, coalesce(y.o, x.k) as o from r x left join reach y on x.k = y.k where x.k is not null),
 j as (select g.record_id, min(z.record_id) as group_id, count(distinct z.record_id) as n_members from g join r z on z.k = g.o group by 1)"""
 
+_NONE = "'', '-', '?', 'n a', 'na', 'nan', 'null', 'none', 'nil', 'unknown', 'not specified', 'not stated', 'unspecified', 'undefined', 'tbd'"
+_TIDY = rf"(case when trim(regexp_replace(lower({{0}}), '[\s_\-./,;:]+', ' ', 'g')) not in ({_NONE}) then trim(regexp_replace(lower({{0}}), '[\s_\-./,;:]+', ' ', 'g')) end)"
+_NUM = r"regexp_replace(regexp_replace(lower(p), '(\d)[,\s](\d\d\d)', '\1\2', 'g'), '(\d)[,\s](\d\d\d)', '\1\2', 'g')"
+_SURVIVORS = rf"""a as (select cluster_id, article_id, arg_max((confidence, sector, estimated_participants), ingest_time) as r from source_articles where cluster_id is not null group by all),
+b as (select cluster_id, case when r[1] > 1 then r[1] / 100 else coalesce(r[1], 0) end as c, {_TIDY.format('r[2]')} as s, r[3] as p from a),
+n as (select sector, {_TIDY.format('unnest(list_prepend(sector, aliases))')} as name from sector_codes),
+x as (select s, arg_min(sector, (damerau_levenshtein(regexp_replace(s, ' sector$', ''), name), sector)) as sector from (select distinct s from b where s is not null) join n on damerau_levenshtein(regexp_replace(s, ' sector$', ''), name) <= 1 group by 1),
+v as (select cluster_id, 'sector' as field, coalesce(x.sector, b.s) as value, c from b left join x using (s) where b.s is not null
+ union all select cluster_id, 'estimated_participants', cast(cast(round(cast(regexp_extract({_NUM}, '(\d+(\.\d+)?)', 1) as double) * case when regexp_matches({_NUM}, '\d\s*(k|thousand)\b') then 1000 else 1 end) as bigint) as varchar), c from b where regexp_matches(p, '\d')
+ union all select cluster_id, 'estimated_participants', cast(100 * list_position(['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine'], regexp_extract(lower(p), '(\w+) hundred', 1)) as varchar), c from b where regexp_matches(lower(p), '(one|two|three|four|five|six|seven|eight|nine) hundred')),
+w as (select cluster_id, field, value, sum(cast(c as decimal(18, 9))) as votes, count(*) as n from v group by all),
+k as (select cluster_id, field, arg_min(value, (-votes, -n, value)) as value, count(*) as d from w group by all)"""
+
 SQL = {
+    "p1_found": f"with {_SURVIVORS} select cluster_id, field, value from k union all select cluster_id, 'conflicted_fields', field from k where d > 1",
     "p6_found": f"with recursive {_LINKS} select record_id, group_id from j where n_members > 1",
     "p6_groups": f"with recursive {_LINKS} select r.record_id, coalesce(group_id, r.record_id) as group_id, coalesce(n_members, 1) as n_members from r left join j using (record_id)",
 }
