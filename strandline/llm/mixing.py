@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,9 +24,9 @@ def rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     have = sizes.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("size"))
     x = t.join(have, "source", "left").fillna(0, ["docs", "size"])
     usable = (F.col("size") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
-    total = x.agg(F.min(F.when(usable, F.col("max_repeats") * F.col("size") / F.col("target_share"))).alias("total"))
-    rate = F.when(usable, F.least(F.col("max_repeats"), F.col("target_share") * F.col("total") / F.col("size"))).otherwise(0.0)
-    return x.crossJoin(total).select("source", "target_share", F.col("max_repeats").cast("int").alias("max_repeats"), "docs", "size", rate.alias("rate"))  # one row
+    total = x.agg(F.min(F.when(usable, F.col("max_repeats") * F.col("size") / F.col("target_share")))).first()[0]
+    rate = F.when(usable, F.least(F.col("max_repeats"), F.col("target_share") * F.lit(total) / F.col("size"))).otherwise(0.0)
+    return x.select("source", "target_share", F.col("max_repeats").cast("int").alias("max_repeats"), "docs", "size", rate.alias("rate"))
 
 
 def mix(docs: DataFrame, rate: DataFrame, seed: int = 7) -> DataFrame:
@@ -45,6 +45,6 @@ def mix(docs: DataFrame, rate: DataFrame, seed: int = 7) -> DataFrame:
 def shares(mixed: DataFrame, rate: DataFrame) -> DataFrame:
     """Per source: what was available and drawn, and the share reached beside the target."""
     drawn = mixed.groupBy("source").agg(F.count("*").alias("copies"), F.max("copy").alias("most_repeats"), F.sum("size").alias("tokens_drawn"))
-    whole = drawn.agg(F.sum("tokens_drawn").alias("whole"))
-    out = rate.join(drawn, "source", "left").crossJoin(whole)  # one row
+    whole = F.sum("tokens_drawn").over(Window.partitionBy(F.lit(1)))  # over a row per source
+    out = rate.join(drawn, "source", "left").withColumn("whole", whole)
     return out.select("source", "target_share", "max_repeats", "docs", F.col("size").alias("tokens"), "rate", F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.coalesce("tokens_drawn", F.lit(0)).alias("tokens_drawn"), F.coalesce(F.try_divide("tokens_drawn", "whole"), F.lit(0.0)).alias("actual_share"))
