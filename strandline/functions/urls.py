@@ -82,7 +82,7 @@ def search_text(c: Column) -> Column:
     """Host, path and query decoded, in lower case, with ``-``, ``_`` and ``/`` as spaces."""
     u = stripped(c)
     flat = F.lower(unquote(F.concat_ws(" ", url_host(u), url_path(u), F.nullif(url_query(u), F.lit("")))))
-    return F.trim(F.regexp_replace(F.regexp_replace(flat, r"[-_/]+", " "), r"\s+", " "))
+    return F.when(u.isNotNull(), F.trim(F.regexp_replace(F.regexp_replace(flat, r"[-_/]+", " "), r"\s+", " ")))
 
 
 def tokens(c: Column) -> Column:
