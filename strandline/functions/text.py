@@ -9,14 +9,15 @@ _TAG = re.compile(r"<[^<>]{1,200}>|&[a-z]{2,8};|&#\d{1,6};")
 _URL = re.compile(r"\bhttps?://\S+|\bwww\.\S+")
 #: A lead byte of UTF-8 read as a letter, followed by another byte of it.
 _SUSPECT = re.compile("[\u00c2\u00c3\u00d0\u00d1\u00e2][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]|\ufffd")
+_MARKS = re.compile("[\u0300-\u036f]+")
+_DIGITS = {ord(c): "0" for c in "123456789"}
 _SPACE = re.compile(r"[^\S\n]+")
 _BREAK = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+|\s*\n+\s*")
 
 
 def repair(text: str) -> str:
     """UTF-8 that was read as Windows-1252 or Latin-1, once, where that lowers the count of suspicious pairs."""
-    bad = len(_SUSPECT.findall(text))
-    if not bad:
+    if text.isascii() or not (bad := len(_SUSPECT.findall(text))):
         return text
     for code in ("cp1252", "latin-1"):
         try:
@@ -51,8 +52,10 @@ def plain(text: str) -> str:
 
 def folded(text: str) -> str:
     """Lower case, without accents, digits as 0, single spaces."""
-    flat = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
-    return re.sub(r"\s+", " ", re.sub(r"\d", "0", flat)).strip()
+    low = text.lower()
+    if not low.isascii():
+        low = _MARKS.sub("", unicodedata.normalize("NFKD", low))
+    return " ".join(low.translate(_DIGITS).split())
 
 
 def sentences(text: str) -> list[str]:

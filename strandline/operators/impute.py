@@ -126,8 +126,8 @@ def _refine(rows: DataFrame, m: KPrototypes) -> None:
 
 
 def assign(df: DataFrame, m: KPrototypes, to: str = "cluster") -> DataFrame:
-    """Add each row's cluster."""
-    used = m.numeric + m.categorical
+    """Add each row's cluster; a column of that name is replaced."""
+    used, df = m.numeric + m.categorical, df.drop(to)
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:

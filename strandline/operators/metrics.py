@@ -24,14 +24,14 @@ def ranking_scores(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
     s = _by_score(df, keys, y, p)
     down = Window.partitionBy(*keys).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
-    s = s.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "P": F.sum("pos").over(whole), "N": F.sum("neg").over(whole)})
+    s = s.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "n1": F.sum("pos").over(whole), "n0": F.sum("neg").over(whole)})
     steps = s.groupBy(*keys).agg(
-        F.sum(F.col("neg") * (F.col("tp") - F.col("pos")) + F.col("pos") * F.col("neg") / 2).alias("wins"), F.max("P").alias("P"), F.max("N").alias("N"),
-        F.sum(F.try_divide("pos", "P") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("average_precision"),
+        F.sum(F.col("neg") * (F.col("tp") - F.col("pos")) + F.col("pos") * F.col("neg") / 2).alias("wins"), F.max("n1").alias("n1"), F.max("n0").alias("n0"),
+        F.sum(F.try_divide("pos", "n1") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("average_precision"),
         F.sum(F.col("pos") * (F.col(p) - 1) * (F.col(p) - 1) + F.col("neg") * F.col(p) * F.col(p)).alias("se"),
     )
-    n, rate = F.col("P") + F.col("N"), F.try_divide(F.col("P"), F.col("P") + F.col("N"))
-    out = steps.withColumns({"n": n.cast("long"), "n_pos": F.col("P").cast("long"), "roc_auc": F.try_divide("wins", F.col("P") * F.col("N")), "brier": F.try_divide("se", n)})
+    n, rate = F.col("n1") + F.col("n0"), F.try_divide(F.col("n1"), F.col("n1") + F.col("n0"))
+    out = steps.withColumns({"n": n.cast("long"), "n_pos": F.col("n1").cast("long"), "roc_auc": F.try_divide("wins", F.col("n1") * F.col("n0")), "brier": F.try_divide("se", n)})
     return out.withColumn("brier_skill", 1 - F.try_divide("brier", rate * (1 - rate))).select(*keys, "n", "n_pos", "roc_auc", "average_precision", "brier", "brier_skill")
 
 

@@ -82,7 +82,7 @@ FIGURES = [
     impute.Figure("unemployment_rate", low=0.0, high=99.0, codes=NO_FIGURE),
 ]
 HELPERS = ["unemployment_total", "food_cpi_inflation", "political_stability_est", "gdp_growth"]
-LEVELS = [["cluster", "unit", "year"], ["cluster", "unit"], ["cluster", "country"], ["cluster"], []]
+LEVELS = [["cluster", "unit", "year"], ["cluster", "unit"], ["unit"], ["cluster", "country"], ["country"], ["cluster"], []]
 
 
 def p5_filled(spark: SparkSession, d: str) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -30,6 +33,16 @@ def build_session(app: str = "strandline", master: str | None = None, **conf: st
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors' Python workers, once per application."""
+    key = spark.sparkContext.applicationId
+    if key not in _SHIPPED:
+        _SHIPPED.add(key)
+        here = Path(__file__).resolve().parent
+        made = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="strandline-")) / "strandline"), "zip", here.parent, here.name)
+        spark.sparkContext.addPyFile(made)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
