@@ -7,7 +7,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +23,8 @@ LANGUAGES = {
 }
 #: Labelled rows per language the dictionaries are drawn from, bytes of a dictionary, rounds of sorting out.
 ROWS, DICTIONARY, ROUNDS = 400, 96 * 1024, 3
+#: Level of compression, and sentences a worker remembers.
+LEVEL, REMEMBERED = 2, 50_000
 #: A language is rejected unless the next one is larger by this share, and these bytes.
 MARGIN, MARGIN_BYTES = 0.08, 3
 #: Words of letters from which a segment can be a sentence, and up to which a quotation is a slogan.
@@ -59,25 +60,33 @@ class Classifier:
 
     dictionaries: dict[str, bytes]
     _ready: dict = field(default_factory=dict, repr=False)
+    _seen: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return {"dictionaries": self.dictionaries, "_ready": {}}
+        return {"dictionaries": self.dictionaries, "_ready": {}, "_seen": {}}
 
-    def sizes(self, text: str) -> dict[str, int]:
+    def sizes(self, raw: bytes) -> dict[str, int]:
         if not self._ready:
             import zstandard as z
 
-            for k, raw in self.dictionaries.items():
-                d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=3)
-                p = z.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            for k, content in self.dictionaries.items():
+                d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=LEVEL)
+                p = z.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
                 self._ready[k] = p.compress
-        raw = folded(text).encode()
         return {k: len(f(raw)) for k, f in self._ready.items()}
 
     def of(self, text: str) -> tuple[str | None, float]:
         """(language or None, margin): the smallest size wins, unless the next is nearly as small."""
-        s = sorted((n, k) for k, n in self.sizes(text).items())
+        raw = folded(text).encode()
+        if (known := self._seen.get(raw)) is None:
+            if len(self._seen) >= REMEMBERED:
+                self._seen.clear()
+            known = self._seen[raw] = self._judge(raw)
+        return known
+
+    def _judge(self, raw: bytes) -> tuple[str | None, float]:
+        s = sorted((n, k) for k, n in self.sizes(raw).items())
         if len(s) < 2:
             return (s[0][1], 1.0) if s else (None, 0.0)
         margin = (s[1][0] - s[0][0]) / s[1][0]
@@ -118,12 +127,18 @@ def _build(by_language: dict[str, list[str]]) -> Classifier:
 def fit(docs: DataFrame, key: str, text: str, label: str, rows: int = ROWS) -> Classifier:
     """A classifier from a bounded sample: at most ``rows`` labelled texts per language, by hash of the key.
 
+    The languages' labels are counted first; the texts are then read once and only some ``rows`` of each drawn.
+
     Labels are noisy and texts mixed, so the sample's sentences are first sorted by their words; the
     dictionaries hold the sentences of each language, in the order of the sample.
     """
-    labelled = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), label_key(F.col(label)).alias("l")).where("t is not null and length(t) between 200 and 20000")
-    got = [labelled.where(F.col("l") == code).orderBy(F.xxhash64("k"), "k").limit(rows) for code in LANGUAGES]  # a bounded top-n per language
-    sample = reduce(DataFrame.unionByName, got).toPandas().sort_values("k")
+    length = F.coalesce(F.length(text), F.lit(0))
+    labelled = docs.withColumn("__l", label_key(F.col(label))).where(F.col("__l").isNotNull() & length.between(200, 20000))
+    n = {r["__l"]: r["count"] for r in labelled.groupBy("__l").count().collect()}  # a row per language
+    draw = F.pmod(F.xxhash64(key), F.lit(1 << 40)) / float(1 << 40)
+    some = F.coalesce(*(F.when(F.col("__l") == k, F.lit(min(1.0, (rows + 4 * math.sqrt(rows)) / c))) for k, c in sorted(n.items()))) if n else F.lit(0.0)
+    sample = labelled.where(draw < some).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col("__l").alias("l"), draw.alias("draw")).toPandas()
+    sample = sample.sort_values(["draw", "k"]).groupby("l").head(rows).sort_values("k")
     return _build(_sorted_out([(lab, segments(t)) for lab, t in zip(sample.l, sample.t, strict=True)]))
 
 
