@@ -119,9 +119,24 @@ def _sorted_out(sample: list[tuple[str, list[str]]]) -> dict[str, list[str]]:
     return out
 
 
+def _content(segs: list[str]) -> bytes:
+    """A dictionary's content: sentences that say something new last, where they are cheapest to refer to.
+
+    A sentence is new if a third of its pairs of words, or more, has not occurred; all such sentences come in before
+    variants of known ones fill the rest.
+    """
+    new, more, seen = [], [], set()
+    for s in dict.fromkeys(folded(x) for x in segs):
+        w = s.split()
+        pairs = set(zip(w, w[1:], strict=False))
+        (new if len(pairs - seen) * 3 >= len(pairs) else more).append(s)
+        seen |= pairs
+    core = "\n".join(new).encode()[:DICTIONARY]
+    return "\n".join(more).encode()[: max(0, DICTIONARY - len(core) - 1)] + b"\n" + core
+
+
 def _build(by_language: dict[str, list[str]]) -> Classifier:
-    out = {k: "\n".join(dict.fromkeys(folded(s) for s in v)).encode()[:DICTIONARY] for k, v in by_language.items()}
-    return Classifier({k: v for k, v in out.items() if v})
+    return Classifier({k: _content(v) for k, v in by_language.items() if v})
 
 
 def fit(docs: DataFrame, key: str, text: str, label: str, rows: int = ROWS) -> Classifier:
