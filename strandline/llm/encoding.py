@@ -100,7 +100,7 @@ class Encoder:
         n = np.array([len(ws) for ws in cut], np.int64)
         known = self.known
         self._table("words", d=np.repeat(np.arange(len(cut), dtype=np.int32), n), p=(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32), w=np.fromiter((known[w] for ws in cut for w in ws), np.int32, int(n.sum())))
-        got = self.db.execute("select d, flatten(list(ids order by p)) as ids from words join enc using (w) group by d order by d").to_arrow_table()
+        got = self.db.sql("select d, flatten(list(ids order by p)) as ids from words join enc using (w) group by d order by d").to_arrow_table()
         full = np.full(len(cut), -1, np.int64)
         full[got["d"].to_numpy()] = np.arange(got.num_rows)
         ids = pa.concat_arrays([*got["ids"].cast(pa.list_(pa.int32())).chunks, pa.array([[]], pa.list_(pa.int32()))])

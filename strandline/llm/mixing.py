@@ -34,12 +34,14 @@ def mix(docs: DataFrame, rate: DataFrame, seed: int = 7) -> DataFrame:
 
     The coin shows heads with the rate's fraction as probability and depends on id and
     seed only, so the draw is the same on any cluster. The table of rates has a row per
-    source. A NULL id draws like any other; documents without a rate are not drawn.
+    source. A NULL id draws like any other; documents without a rate are not drawn; a column ``copy`` is replaced.
     """
     coin = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 52)) / float(1 << 52)
-    n = (F.floor("rate") + (coin < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
-    drawn = docs.join(rate.where("rate > 0").select("source", "rate"), "source").withColumn("__n", n).where("__n > 0")
-    return drawn.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
+    r = F.col("__rate")
+    drawn = docs.join(rate.where("rate > 0").select(F.col("source").alias("__source"), F.col("rate").alias("__rate")), F.col("source") == F.col("__source"))
+    drawn = drawn.withColumn("__n", (F.floor(r) + (coin < r - F.floor(r)).cast("int")).cast("int")).where("__n > 0")
+    kept = [c for c in docs.columns if c != "copy"]
+    return drawn.select(*kept, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
 
 
 def shares(mixed: DataFrame, rate: DataFrame) -> DataFrame:
