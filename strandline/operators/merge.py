@@ -33,9 +33,9 @@ def merge_articles(df: DataFrame, key: str, order: str) -> DataFrame:
 
 def merge_maps(df: DataFrame, key: str, column: str) -> DataFrame:
     """(key, merged): for each map key of a group all distinct non-NULL values, sorted."""
-    each = df.select(key, F.explode(column).alias("k", "v")).where("v is not null")
-    lists = each.groupBy(key, "k").agg(F.array_sort(F.collect_set("v")).alias("vs"))
-    return lists.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "vs")))).alias("merged"))
+    each = df.select(key, F.explode(column).alias("__k", "__v")).where("__v is not null")
+    lists = each.groupBy(key, "__k").agg(F.array_sort(F.collect_set("__v")).alias("__vs"))
+    return lists.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__k", "__vs")))).alias("merged"))
 
 
 def richest(df: DataFrame, key: str, columns: list[str], order: str) -> DataFrame:
