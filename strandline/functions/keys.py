@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,3 +21,8 @@ def finite(c: Column) -> Column:
 def days(c: Column) -> Column:
     """A date as whole days since 1970-01-01."""
     return F.unix_date(c.cast("date"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandline.functions.keys import let
+
 # Query parameters that track a visit and do not select a page.
 TRACKING = ["gclid", "fbclid", "mc_cid", "mc_eid", "igshid", "spm", "ref", "ref_src"]
 TRACKING_PREFIX = "utm_"
@@ -26,7 +28,7 @@ def unquote(c: Column) -> Column:
 
 def stripped(c: Column) -> Column:
     """Without white space around; blank is NULL."""
-    return F.nullif(F.regexp_replace(c, r"^[\s ]+|[\s ]+$", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(c, r"^[\s\u00a0]+|[\s\u00a0]+$", ""), F.lit(""))
 
 
 def url_scheme(c: Column) -> Column:
@@ -70,12 +72,17 @@ def page_key(c: Column) -> Column:
     parameters, parameter order, a closing slash, white space around and
     percent codes of plain characters. NULL and blank give NULL.
     """
-    u = F.regexp_replace(F.regexp_replace(stripped(c), r"#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(u, r"^([^/?]*)", 1)), r"^www\.|\.?(:80|:443)?$", "")
-    path = F.regexp_replace(decode_unreserved(F.regexp_extract(u, r"^[^/?]*([^?]*)", 1)), r"/+$", "")
-    query = F.regexp_extract(u, r"\?(.*)$", 1)
-    q = F.when(query == "", "").otherwise(F.array_join(F.array_sort(_selecting(decode_unreserved(query))), "&"))
-    return F.nullif(F.concat(host, path, F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")), F.lit(""))
+
+    def selecting(query: Column) -> Column:
+        return F.when(query == "", "").otherwise(F.array_join(F.array_sort(_selecting(decode_unreserved(query))), "&"))
+
+    def key(u: Column) -> Column:
+        host = F.regexp_replace(F.lower(F.regexp_extract(u, r"^([^/?]*)", 1)), r"^www\.|\.?(:80|:443)?$", "")
+        path = F.regexp_replace(decode_unreserved(F.regexp_extract(u, r"^[^/?]*([^?]*)", 1)), r"/+$", "")
+        query = let(let(F.regexp_extract(u, r"\?(.*)$", 1), selecting), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+        return F.nullif(F.concat(host, path, query), F.lit(""))
+
+    return let(F.regexp_replace(F.regexp_replace(stripped(c), r"#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), key)
 
 
 def search_text(c: Column) -> Column:
