@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def location_pieces(c: Column) -> Column:
     """The parts of a free-form or JSON-list place name: lower case, single spaces, in order."""
-    flat = F.regexp_replace(F.lower(c), r'[\[\]"\s_ ]+', " ")
+    flat = F.regexp_replace(F.lower(c), r'[\[\]"\s_\u00a0]+', " ")
     parts = F.split(flat, r"[,();]| - ")
     clean = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"\s+", " "), r"^[ .]+|[ .]+$", ""), r"^near ", ""))
     return F.filter(clean, lambda p: p != "")
@@ -36,3 +36,15 @@ def name_places(rows: DataFrame, key: str, pieces: str, iso3: str | None, gazett
     score = 4 * yes(F.col("__iso3") == F.col("g_iso3")) + 2 * yes(F.array_contains("__all", F.col("g_country"))) + yes(F.exists("__all", lambda p: F.col("g_admin1").isNotNull() & p.startswith(F.col("g_admin1"))))
     best = F.max_by(F.struct("place_id", "g_iso3", "g_country", "g_admin1", "g_lat", "g_lon"), F.struct(score, -F.col("place_id"))).alias("g")
     return hit.groupBy("__key").agg(best).select(F.col("__key").alias(key), "g.*")
+
+
+def sublocation(pieces: Column) -> Column:
+    """The third piece where there are three or more, else the second; NULL for a single one."""
+    return F.when(F.size(pieces) >= 3, F.try_element_at(pieces, F.lit(3))).otherwise(F.try_element_at(pieces, F.lit(2)))
+
+
+def country_codes(rows: DataFrame, key: str, pieces: str, gazetteer: DataFrame) -> DataFrame:
+    """(key, iso3): the country of the last piece, from the right, that names one."""
+    names = gazetteer.select(F.lower(F.trim("country")).alias("name"), F.upper(F.trim("iso3")).alias("iso3")).where("name is not null").groupBy("name").agg(F.min("iso3").alias("iso3"))
+    each = rows.select(F.col(key).alias("__key"), F.posexplode(pieces).alias("__pos", "__piece"))
+    return each.join(names, F.col("__piece") == F.col("name")).groupBy("__key").agg(F.max_by("iso3", "__pos").alias("iso3")).withColumnRenamed("__key", key)

@@ -25,7 +25,7 @@ def ellipsis(c: Column, n: int) -> Column:
 
 def squeezed(c: Column) -> Column:
     """Any run of white space, no-break spaces included, as one space."""
-    return F.trim(F.regexp_replace(c, r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(c, r"[\s\u00a0]+", " "))
 
 
 def html_title(html: Column) -> Column:

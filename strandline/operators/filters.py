@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strandline.functions import urls as U
+from strandline.functions.keys import let
 
 
 def first_hit(text: Column, words: list[str]) -> Column:
@@ -21,15 +22,16 @@ def url_reason(url: Column, extensions: list[str], sections: list[str], keywords
     Keywords match anywhere in the decoded address with hyphens as spaces, so short ones also match inside words;
     ``strict_tokens`` asks for whole words. NULL URLs are not relevant either; what cannot be parsed is kept.
     """
-    path, text = F.lower(U.unquote(U.url_path(U.stripped(url)))), U.search_text(url)
-    ext = F.lit(False) if not extensions else path.rlike(rf"\.({'|'.join(map(re.escape, extensions))})$")
-    sec = F.lit(False) if not sections else path.rlike(rf"/({'|'.join(map(re.escape, sections))})(/|$)")
-    pad = lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"[^a-z0-9]+", " "), F.lit(" "))
-    hit = first_hit(pad(text), [f" {w} " for w in keywords]) if strict_tokens else first_hit(text, keywords)
-    return (
-        F.when(~F.coalesce(U.stripped(url).rlike(r"^(?i)https?://"), F.lit(False)), "not http").when(ext, "extension").when(sec, "section")
-        .when(hit.isNotNull(), F.concat(F.lit("keyword: "), F.trim(hit)))
-    )
+    def reason(u: Column) -> Column:
+        path, text = F.lower(U.unquote(U.url_path(u))), U.search_text(u)
+        ext = F.lit(False) if not extensions else path.rlike(rf"\.({'|'.join(map(re.escape, extensions))})$")
+        sec = F.lit(False) if not sections else path.rlike(rf"/({'|'.join(map(re.escape, sections))})(/|$)")
+        pad = F.concat(F.lit(" "), F.regexp_replace(text, r"[^a-z0-9]+", " "), F.lit(" "))
+        hit = let(pad, lambda t: first_hit(t, [f" {w} " for w in keywords])) if strict_tokens else let(text, lambda t: first_hit(t, keywords))
+        no_http = ~F.coalesce(u.rlike(r"^(?i)https?://"), F.lit(False))
+        return F.when(no_http, "not http").when(ext, "extension").when(sec, "section").otherwise(F.concat(F.lit("keyword: "), F.trim(hit)))
+
+    return let(U.stripped(url), reason)
 
 
 def matches_list(c: Column, patterns: list[str]) -> Column:

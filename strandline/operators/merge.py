@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,3 +65,42 @@ def cluster_quality(membership: DataFrame) -> DataFrame:
     """One row: records, clusters, singleton rate, reduction, largest and mean size."""
     s = membership.groupBy("cluster").agg(F.count("*").alias("n"))
     return s.agg(F.sum("n").alias("records"), F.count("*").alias("clusters"), (F.count_if(F.col("n") == 1) / F.count("*")).alias("singleton_rate"), (1 - F.count("*") / F.sum("n")).alias("reduction"), F.max("n").alias("largest"), F.avg("n").alias("mean_size"))
+
+
+def canonical_events(df: DataFrame, key: str, date: str, day_number: str, participants: str) -> DataFrame:
+    """Per event: first and last report, the end that its latest day number implies, duration and most participants."""
+    end = F.greatest("latest", F.date_add("start", F.coalesce("days", F.lit(1)).cast("int") - 1))
+    x = df.groupBy(key).agg(F.min(date).alias("start"), F.max(date).alias("latest"), F.max(day_number).alias("days"), F.max(participants).alias("participants"), F.count("*").alias("n_articles"))
+    return x.withColumn("estimated_end", end).withColumn("duration", F.datediff("estimated_end", "start") + 1).drop("days")
+
+
+def chosen_type(expert: Column, probability: Column, other: Column, least: float = 0.6) -> Column:
+    """(type, source): the expert's type where its probability is high enough, else the other's, else unknown."""
+    sure = F.coalesce((probability >= least) & expert.isNotNull(), F.lit(False))
+    return F.struct(F.when(sure, expert).otherwise(F.coalesce(other, F.lit("unknown"))).alias("type"), F.when(sure, "expert").otherwise("llm").alias("source"))
+
+
+def stitch(df: DataFrame, key: str, batch: str, date: str, value: str, least: int = 3) -> DataFrame:
+    """(key, date, value): overlapping batches of a series joined into one.
+
+    In order of ``batch`` each is scaled by the ratio of means on the days it shares with what is there, if
+    ``least`` or more, else taken as it is; shared days are averaged, new ones appended. Sequential within a series, so
+    a series is one task's group; series are independent.
+    """
+    kinds = dict(df.dtypes)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole: pd.Series | None = None
+        for _, part in pdf.dropna(subset=[date, value]).groupby(batch, sort=True):
+            s = part.groupby(date)[value].mean().sort_index()
+            if whole is not None:
+                both = whole.index.intersection(s.index)
+                if len(both) >= least and s[both].mean():
+                    s = s * (whole[both].mean() / s[both].mean())
+                whole = pd.concat([whole[whole.index.difference(both)], (whole[both] + s[both]) / 2, s[s.index.difference(both)]]).sort_index()
+            else:
+                whole = s
+        whole = whole if whole is not None else pd.Series(dtype=float)
+        return pd.DataFrame({key: pd.Series([pdf[key].iloc[0]] * len(whole), dtype=object), date: pd.Series(list(whole.index), dtype=object), value: whole.to_numpy(float)})
+
+    return df.select(key, batch, date, F.col(value).cast("double").alias(value)).groupBy(key).applyInPandas(fold, f"`{key}` {kinds[key]}, `{date}` {kinds[date]}, `{value}` double")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.geo import usable_position
 from strandline.operators.rtree import Quadtree, RTree, circle_boxes, haversine_km
+from strandline.session import materialize, release
 
 #: Rows of the sample that the quadtree's cells are drawn from.
 SAMPLE = 20_000
@@ -132,3 +133,22 @@ def in_regions(left: DataFrame, regions: DataFrame, sample: int = SAMPLE, per_le
     rings = regions.select(F.col("id").cast("long").alias("id"), F.col("lats").cast("array<double>").alias("lats"), F.col("lons").cast("array<double>").alias("lons"))
     rings = rings.where("id is not null and size(lats) >= 3 and size(lats) = size(lons)")
     return _join(pts, rings, None, sample, per_leaf, per_task).drop("km")
+
+
+def nearest_point(left: DataFrame, right: DataFrame, radii: tuple[float, ...] = (25.0, 200.0, 1600.0, 20_100.0)) -> DataFrame:
+    """(left_id, right_id, km): the nearest right point of each left one; ties go to the smaller id.
+
+    Rounds of :func:`near_points` with growing radii, each over the points still without a partner, so far
+    circles are drawn for few of them. ``id`` is unique on the left. Positions that are unusable get no row.
+    """
+    rest, out = materialize(left.select("id", "lat", "lon"), "unplaced"), None
+    for km in radii:
+        best = near_points(rest, right, km).groupBy("left_id").agg(F.min(F.struct("km", "right_id")).alias("b")).select("left_id", "b.right_id", "b.km")
+        best = materialize(best, "nearest")
+        out = best if out is None else out.unionByName(best)
+        more = materialize(rest.join(best.select(F.col("left_id").alias("id")), "id", "left_anti"), "unplaced")
+        release(rest)
+        rest = more
+        if rest.isEmpty():
+            break
+    return out

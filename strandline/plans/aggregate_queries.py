@@ -102,6 +102,19 @@ def durations(spark, d):
     return x.select("record_id", "x.days", "x.source")
 
 
+def canonical_events(spark, d):
+    """Span, implied end and duration of each cluster's event."""
+    a = table(spark, d, "source_articles").where("cluster_id is not null").select("cluster_id", F.col("event_date").cast("date").alias("d"), finite(F.col("reported_day_number").cast("double")).alias("n"), finite(F.col("confidence")).alias("c"))
+    x = merge.canonical_events(a, "cluster_id", "d", "n", "c")
+    return x.select("cluster_id", "start", "latest", "estimated_end", "duration", "n_articles")
+
+
+def chosen_types(spark, d):
+    """Whose type of disruption counts, by type."""
+    r = table(spark, d, "extract_records").select(merge.chosen_type(F.col("expert_disruption_type"), finite(F.col("expert_probability")), F.col("llm_disruption_type")).alias("x"))
+    return r.groupBy("x.type", "x.source").agg(F.count("*").alias("n"))
+
+
 def json_fields(spark, d):
     """How often each key of the records' extras occurs, by type."""
     r = table(spark, d, "extract_records").select("disruption_type", F.from_json("extras", "map<string,string>").alias("m"))
@@ -237,7 +250,7 @@ def cube_counts(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    pricing_summary, value_shares, value_percentiles, price_quartiles, dedupe_first, dedupe_last, dedupe_max, stable_mode, top_parts, top_orders, longest_name, merged_articles, merged_maps, richest_articles, durations, json_fields, event_props, explode_collect,
+    pricing_summary, value_shares, value_percentiles, price_quartiles, dedupe_first, dedupe_last, dedupe_max, stable_mode, top_parts, top_orders, longest_name, merged_articles, merged_maps, richest_articles, durations, canonical_events, chosen_types, json_fields, event_props, explode_collect,
     first_listed, missingness_report, coverage_by_country, correlation_matrix, wilson_by_type, confidence_histogram, entity_summary, reliable_units, priority_mean, row_index, priority_pivot, mean_pivot, first_pivot, priority_crosstab, melted_panel, grid_counts, session_chains, tumbling_days, sliding_windows, cube_counts,
 )}
 
@@ -259,6 +272,8 @@ SQL = {
     "merged_articles": f"with r as (select *, concat_ws('|', upper(iso3), ingest_time::date::varchar) as k from extract_records) select k, min(event_date) as event_date, max(event_date) as event_end_date, arg_min(location_name, (-length(location_name), record_id)) as location_name, arg_min(source_title, (-length(source_title), record_id)) as source_title, count(distinct url) as n_urls, count(*) as n_articles, arg_min({_F('duration_hours')}, record_id) filter ({_F('duration_hours')} is not null) as duration_hours, max({_F('confidence')}) as confidence, round(median({_F('lat')}), 7) as lat, round(median({_F('lon')}), 7) as lon from r group by 1",
     "richest_articles": "select cluster_id, article_id from (select cluster_id, article_id, row_number() over (partition by cluster_id order by (issue is not null)::int + (protest_type is not null)::int + (sector is not null)::int + (estimated_participants is not null)::int desc, article_id) as n from source_articles where cluster_id is not null) where n = 1",
     "durations": f"select record_id, greatest(coalesce(ceil({_F('duration_hours')} / 24), 0), coalesce(try_cast(json_extract_string(extras, '$.reported_day_number') as double), 0), 1.0) as days, case when ceil({_F('duration_hours')} / 24) >= greatest(coalesce(try_cast(json_extract_string(extras, '$.reported_day_number') as double), 0), 1.0) then 'explicit' when try_cast(json_extract_string(extras, '$.reported_day_number') as double) >= greatest(coalesce(ceil({_F('duration_hours')} / 24), 0), 1.0) then 'day_number' else 'range' end as source from extract_records",
+    "canonical_events": f"with x as (select cluster_id, min(event_date::date) as start, max(event_date::date) as latest, max({_F('reported_day_number::double')}) as n, count(*) as n_articles from source_articles where cluster_id is not null group by 1) select cluster_id, start, latest, greatest(latest, start + coalesce(n, 1)::int - 1) as estimated_end, date_diff('day', start, greatest(latest, start + coalesce(n, 1)::int - 1)) + 1 as duration, n_articles from x",
+    "chosen_types": f"select case when {_F('expert_probability')} >= 0.6 and expert_disruption_type is not null then expert_disruption_type else coalesce(llm_disruption_type, 'unknown') end as type, case when {_F('expert_probability')} >= 0.6 and expert_disruption_type is not null then 'expert' else 'llm' end as source, count(*) as n from extract_records group by 1, 2",
     "json_fields": "select disruption_type, key, count(*) as n from (select disruption_type, unnest(json_keys(extras)) as key from extract_records where extras is not null) group by all",
     "event_props": "select event_type, count(k) as n, sum(k) as total, min(k) as low, max(k) as high from (select event_type, json_extract_string(props, '$.k')::int as k from events) group by 1",
     "explode_collect": "select l_orderkey, count(*) as n, string_agg(l_partkey::varchar, ';' order by l_linenumber, l_partkey) as parts from lineitem group by 1",

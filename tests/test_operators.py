@@ -110,6 +110,12 @@ def test_merges(spark):
     assert [(r.k, r.merged) for r in merge.merge_maps(m, "k", "m").collect()] == [("c", {"a": ["x", "y"]})]
 
 
+def test_stitch(spark):
+    rows = [("a", 1, date(2020, 1, i), float(i)) for i in range(1, 7)] + [("a", 2, date(2020, 1, i), 10.0 * i) for i in range(4, 10)] + [("b", 1, date(2020, 1, 1), None)]
+    got = [(r.d.day, r.v) for r in merge.stitch(spark.createDataFrame(rows, "k string, b int, d date, v double"), "k", "b", "d", "v").orderBy("d").collect()]
+    assert got == [(i, float(i)) for i in range(1, 10)]
+
+
 def test_window_edges(spark):
     df = spark.createDataFrame([("a", date(2020, 1, 1), 1.0), ("a", date(2020, 1, 4), 2.0), (None, date(2020, 1, 2), 3.0)], "k string, d date, v double")
     g = panel.dense(df, ["k"], "d", {})
