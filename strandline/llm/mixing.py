@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def source_key(c: Column) -> Column:
     """Lower case, trimmed; blank is NULL."""
-    return F.nullif(F.regexp_replace(F.lower(c), r"^[\s ]+|[\s ]+$", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(F.lower(c), r"^[\s\u00a0]+|[\s\u00a0]+$", ""), F.lit(""))
 
 
 def rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:

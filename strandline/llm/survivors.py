@@ -14,7 +14,7 @@ SCALES = {"hundred": 100, "thousand": 1000, "k": 1000, "million": 1_000_000, "m"
 
 def tidy(c: Column) -> Column:
     """Lower case; underscores, hyphens, points and slashes as spaces; single spaces; texts for no value as NULL."""
-    t = F.trim(F.regexp_replace(F.lower(c.cast("string")), r"[\s _\-./,;:]+", " "))
+    t = F.trim(F.regexp_replace(F.lower(c.cast("string")), r"[\s\u00a0_\-./,;:]+", " "))
     return F.when(~t.isin(NO_VALUE), t)
 
 
@@ -28,7 +28,7 @@ def fraction(c: Column) -> Column:
 def head_count(c: Column) -> Column:
     """The number written, as plain digits: 1,078 or 1 078 or 1078.0 or 2.7k or "two hundred"; no number is NULL."""
     t = F.lower(c.cast("string"))
-    joined = F.regexp_replace(t, r"(?<=\d)[,\s  '](?=\d{3})", "")
+    joined = F.regexp_replace(t, r"(?<=\d)[,\s\u00a0\u202f'](?=\d{3})", "")
     scale = "|".join(SCALES)
     digits = F.regexp_extract(joined, rf"(\d+(?:\.\d+)?)\s*(?:{scale})?\b", 1)
     after = F.regexp_extract(joined, rf"\d+(?:\.\d+)?\s*({scale})\b", 1)
