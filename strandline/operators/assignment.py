@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.graph import connected_components
+from strandline.operators.graph import by_component, connected_components
 from strandline.session import materialize
 
 
@@ -48,6 +48,16 @@ def solve(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"l": [l_ids[b] for _, b in pairs], "r": [r_ids[a] for a, _ in pairs], "w": [w[a, b] for a, b in pairs]})
 
 
+def solve_components(few: DataFrame) -> DataFrame:
+    """(l, r, w) of a written table few(root, k, l, r, w) that holds each right row's k best pairs.
+
+    Components of one right row are its best pair; the others are solved, many to a task.
+    """
+    alone = few.where("k = 1").select("l", "r", "w")
+    more = materialize(few.where("k > 1").select("root", "l", "r", "w"), "knots")
+    return alone.unionByName(by_component(more, "root", lambda x: solve(x[["l", "r", "w"]]), "l long, r long, w double"))
+
+
 def assign(pairs: DataFrame, least: float) -> DataFrame:
     """(l, r, w): the one-to-one assignment of largest total weight over pairs(l long, r long, w) with w >= ``least``.
 
@@ -60,4 +70,4 @@ def assign(pairs: DataFrame, least: float) -> DataFrame:
     size = sided.select("root", "r").distinct().groupBy("root").agg(F.count("*").alias("k"))
     best = Window.partitionBy("r").orderBy(F.desc("w"), "l")
     few = sided.join(size, "root").withColumn("__i", F.row_number().over(best)).where(F.col("__i") <= F.col("k"))
-    return few.groupBy("root").applyInPandas(lambda x: solve(x[["l", "r", "w"]]), "l long, r long, w double")
+    return solve_components(materialize(few.select("root", "k", "l", "r", "w"), "assign"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -100,6 +102,19 @@ def _louvain(ids: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, gamma
         adj, loop = folded, new_loop
 
 
+def by_component(df: DataFrame, root: str, solve: Callable[[pd.DataFrame], pd.DataFrame], schema: str, per_task: int = 100_000) -> DataFrame:
+    """``solve`` of each component's rows, many small components to a task's group.
+
+    ``df`` is a written table, so counting it costs nothing; a group holds whole components of some ``per_task`` rows in all.
+    """
+    groups = max(1, -(-df.count() // per_task))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([solve(x) for _, x in pdf.groupby(root, sort=False)])
+
+    return df.withColumn("__group", F.pmod(F.xxhash64(root), F.lit(groups))).groupBy("__group").applyInPandas(run, schema)
+
+
 def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(id, community): weighted Louvain communities of edges(src, dst, weight), named by their smallest vertex.
 
@@ -118,7 +133,7 @@ def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
         first = pd.Series(ids).groupby(com).min()
         return pd.DataFrame({"id": ids, "community": first.loc[com].to_numpy()})
 
-    return rooted.groupBy("root").applyInPandas(solve, "id long, community long")
+    return by_component(materialize(rooted, "rooted"), "root", solve, "id long, community long")
 
 
 def greedy_clusters(records: DataFrame, pairs: DataFrame) -> DataFrame:
