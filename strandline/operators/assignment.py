@@ -38,14 +38,18 @@ def hungarian(weight: np.ndarray) -> list[tuple[int, int]]:
 
 
 def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exact assignment of one component's pairs(l, r, w); unassigned counts 0, so no pair is forced."""
-    pdf = pdf.sort_values(["r", "l"]).reset_index(drop=True)
-    r_at, r_ids = pdf.r.factorize()
-    l_at, l_ids = pdf.l.factorize()
-    w = np.zeros((len(r_ids), len(l_ids) + len(r_ids)))
-    w[r_at, l_at] = pdf.w
-    pairs = [(a, b) for a, b in hungarian(w) if b < len(l_ids) and w[a, b] > 0]
-    return pd.DataFrame({"l": [l_ids[b] for _, b in pairs], "r": [r_ids[a] for a, _ in pairs], "w": [w[a, b] for a, b in pairs]})
+    """Exact assignment of each component's pairs(root, l, r, w); unassigned counts 0, so no pair is forced."""
+    pdf = pdf.sort_values(["root", "r", "l"])
+    root, left, right, weight = (pdf[c].to_numpy() for c in ("root", "l", "r", "w"))
+    starts = np.flatnonzero(np.r_[True, root[1:] != root[:-1]]) if len(root) else np.array([], int)
+    rows = []
+    for a, b in zip(starts, np.r_[starts[1:], len(root)], strict=True):
+        r_ids, r_at = np.unique(right[a:b], return_inverse=True)
+        l_ids, l_at = np.unique(left[a:b], return_inverse=True)
+        w = np.zeros((len(r_ids), len(l_ids) + len(r_ids)))
+        w[r_at, l_at] = weight[a:b]
+        rows += [(l_ids[j], r_ids[i], w[i, j]) for i, j in hungarian(w) if j < len(l_ids) and w[i, j] > 0]
+    return pd.DataFrame(rows, columns=["l", "r", "w"])
 
 
 def solve_components(few: DataFrame) -> DataFrame:
@@ -55,7 +59,7 @@ def solve_components(few: DataFrame) -> DataFrame:
     """
     alone = few.where("k = 1").select("l", "r", "w")
     more = materialize(few.where("k > 1").select("root", "l", "r", "w"), "knots")
-    return alone.unionByName(by_component(more, "root", lambda x: solve(x[["l", "r", "w"]]), "l long, r long, w double"))
+    return alone.unionByName(by_component(more, "root", solve, "l long, r long, w double", whole=True))
 
 
 def assign(pairs: DataFrame, least: float) -> DataFrame:

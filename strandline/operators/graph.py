@@ -102,15 +102,15 @@ def _louvain(ids: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, gamma
         adj, loop = folded, new_loop
 
 
-def by_component(df: DataFrame, root: str, solve: Callable[[pd.DataFrame], pd.DataFrame], schema: str, per_task: int = 100_000) -> DataFrame:
+def by_component(df: DataFrame, root: str, solve: Callable[[pd.DataFrame], pd.DataFrame], schema: str, per_task: int = 100_000, whole: bool = False) -> DataFrame:
     """``solve`` of each component's rows, many small components to a task's group.
 
-    ``df`` is a written table, so counting it costs nothing; a group holds whole components of some ``per_task`` rows in all.
+    With ``whole``, ``solve`` takes a group's components at once. ``df`` is a written table, so counting it costs nothing; a group holds whole components of some ``per_task`` rows in all.
     """
     groups = max(1, -(-df.count() // per_task))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([solve(x) for _, x in pdf.groupby(root, sort=False)])
+        return solve(pdf) if whole else pd.concat([solve(x) for _, x in pdf.groupby(root, sort=False)])
 
     return df.withColumn("__group", F.pmod(F.xxhash64(root), F.lit(groups))).groupBy("__group").applyInPandas(run, schema)
 
