@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from strandline.functions.dates import dynamic_window, month_cycle
@@ -27,7 +27,8 @@ def _grid(spark: SparkSession, d: str) -> DataFrame:
     return P.dense(_days(spark, d), ["user_id"], "d", {"n": 0, "f": 0, "g": 0})
 
 
-W = P.by(["user_id"], "d")
+def _w() -> WindowSpec:
+    return P.by(["user_id"], "d")
 
 
 def dense_panel(spark, d):
@@ -38,21 +39,21 @@ def dense_panel(spark, d):
 def rolling_features(spark, d):
     n = F.col("n")
     return _grid(spark, d).select(
-        "user_id", "d", P.lagged_sum(n, W, 7).alias("lag_7d"), P.lagged_sum(F.col("f"), W, 28).alias("lag_28d"), P.trailing_sum(n, W, 30).alias("last_30d"),
-        _r(P.rolling_mean(n, W, 7, 3)).alias("mean_7d"), _r(P.rolling_std(n, W, 7)).alias("std_7d"), _r(P.rolling_z(n, W)).alias("z_12"),
+        "user_id", "d", P.lagged_sum(n, _w(), 7).alias("lag_7d"), P.lagged_sum(F.col("f"), _w(), 28).alias("lag_28d"), P.trailing_sum(n, _w(), 30).alias("last_30d"),
+        _r(P.rolling_mean(n, _w(), 7, 3)).alias("mean_7d"), _r(P.rolling_std(n, _w(), 7)).alias("std_7d"), _r(P.rolling_z(n, _w())).alias("z_12"),
     )
 
 
 def expanding_features(spark, d):
     n = F.col("n")
-    return _grid(spark, d).select("user_id", "d", _r(P.expanding_z(n, W, 6)).alias("z"), P.above_expanding(n, W).alias("above_p90"))
+    return _grid(spark, d).select("user_id", "d", _r(P.expanding_z(n, _w(), 6)).alias("z"), P.above_expanding(n, _w()).alias("above_p90"))
 
 
 def filled_series(spark, d):
     v = F.col("v")
     g = _grid(spark, d)
     mean = table(spark, d, "events").agg(F.avg("value")).first()[0]
-    return g.select("user_id", "d", _r(P.ffill(v, W)).alias("ffill"), _r(P.ffill(v, W, 7)).alias("ffill_7"), _r(P.impute(v, W, F.lit(mean)), 4).alias("imputed"))
+    return g.select("user_id", "d", _r(P.ffill(v, _w())).alias("ffill"), _r(P.ffill(v, _w(), 7)).alias("ffill_7"), _r(P.impute(v, _w(), F.lit(mean)), 4).alias("imputed"))
 
 
 def change_features(spark, d):
@@ -68,12 +69,12 @@ def change_features(spark, d):
 def forward_labels(spark, d):
     f, n = F.col("f"), F.col("n")
     return _grid(spark, d).select(
-        "user_id", "d", P.forward_label(f, W, 7).alias("any_7"), P.forward_any(f, W, 7).alias("any_7_full"), P.elevated(n, W, 7).alias("elevated"), P.shifted_max_label(f, W, 7).alias("shifted_7"), P.next_label(f, W).alias("next")
+        "user_id", "d", P.forward_label(f, _w(), 7).alias("any_7"), P.forward_any(f, _w(), 7).alias("any_7_full"), P.elevated(n, _w(), 7).alias("elevated"), P.shifted_max_label(f, _w(), 7).alias("shifted_7"), P.next_label(f, _w()).alias("next")
     )
 
 
 def masked_targets(spark, d):
-    g = _grid(spark, d).select("user_id", "d", P.forward_label(F.col("f"), W, 7).alias("label"))
+    g = _grid(spark, d).select("user_id", "d", P.forward_label(F.col("f"), _w(), 7).alias("label"))
     return P.cyclic_targets(g, "d", "label", 7)
 
 
@@ -90,7 +91,7 @@ def longest_gap(spark, d):
 
 def episodes(spark, d):
     """Runs of error days, and on how many of them a score of the days before was high."""
-    g = _grid(spark, d).withColumn("score", P.lagged_sum(F.col("f"), W, 7))
+    g = _grid(spark, d).withColumn("score", P.lagged_sum(F.col("f"), _w(), 7))
     runs = P.islands(g, ["user_id"], "d", F.col("f") == 1)
     j = runs.join(g.select(F.col("user_id").alias("u"), F.col("d").alias("day"), "score"), (F.col("user_id") == F.col("u")) & F.col("day").between(F.col("start"), F.col("end")))
     return j.groupBy("user_id", "start", "end", "length").agg(F.max((F.col("score") >= 1).cast("int")).alias("hit"), F.min(F.when(F.col("score") >= 1, F.datediff("day", "start"))).alias("lead"))
