@@ -99,7 +99,10 @@ def walk_forward(df: DataFrame, date: str, features: list[str], years: list[int]
             test = calibrate(scored(model, known.where(y == year - 1).withColumn("w", F.lit(1.0))), test, calibration)
         test = test.withColumn("fold", F.lit(year))
         out = test if out is None else out.unionByName(test)
-    return out if out is not None else known.withColumns({"w": F.lit(1.0), "p": F.lit(None).cast("double"), "fold": F.lit(None).cast("int")}).limit(0)
+    if out is not None:
+        return out
+    none = F.lit(None).cast("double")  # no year could be trained for
+    return known.withColumns({"w": F.lit(1.0), "p": none} | ({"p_cal": none} if calibration else {}) | {"fold": F.lit(None).cast("int")}).limit(0)
 
 
 def elkan_noto(p: Column, c: float) -> Column:
