@@ -9,8 +9,8 @@ from strandline.functions.dates import read_date
 from strandline.functions.geo import haversine_km, usable_position
 from strandline.functions.keys import code_key, days
 from strandline.functions.places import gazetteer_names, location_pieces, name_places
-from strandline.functions.spots import kind_word, spot_kind, spot_name, spot_piece
-from strandline.llm.matching import neighbours, sort_keys, weighted
+from strandline.functions.spots import KINDS, kind_word, spot_kind, spot_name, spot_piece
+from strandline.llm.matching import block_keys, neighbours, weighted
 from strandline.session import materialize
 
 DAYS = 3
@@ -20,12 +20,12 @@ NAME_LEAST, TOWN_KM = 0.6, 80.0
 WEIGHTS = (0.55, 0.1, 0.2, 0.15)
 
 
-def _spots(rows: DataFrame, piece: Column) -> DataFrame:
-    """id, day, name, kind and sort keys of rows(id, iso3, day, ...) whose ``piece`` names a spot."""
+def _spots(rows: DataFrame, piece: Column, reaching: bool) -> DataFrame:
+    """id, day, name, kind and block keys of rows(id, iso3, day, ...) whose ``piece`` names a spot."""
     s = rows.select("id", "iso3", "day", piece.alias("piece")).where("piece is not null")
     s = s.withColumn("word", kind_word(F.col("piece")))
     s = s.select("id", "iso3", "day", spot_name(F.col("piece"), F.col("word")).alias("name"), spot_kind(F.col("word")).alias("kind")).where("name is not null")
-    return s.select("id", "day", "name", "kind", sort_keys(F.col("iso3"), F.col("name")).alias("keys"))
+    return s.select("id", "day", "name", "kind", block_keys(F.col("iso3"), F.col("kind"), list(KINDS), reaching).alias("keys"))
 
 
 def _records(records: DataFrame, gazetteer: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def _records(records: DataFrame, gazetteer: DataFrame) -> DataFrame:
     coded, bare = r.where("iso3 is not null"), r.where("iso3 is null")  # a country from the place named, where no code is given
     named = name_places(bare, "id", "pieces", None, gazetteer).select("id", F.col("g_iso3").alias("__iso3"))
     r = coded.unionByName(bare.join(named, "id", "left").withColumn("iso3", F.col("__iso3")).drop("__iso3"))
-    return _spots(r, spot_piece(F.col("pieces")))
+    return _spots(r, spot_piece(F.col("pieces")), False)
 
 
 def _events(events: DataFrame, gazetteer: DataFrame) -> DataFrame:
@@ -54,8 +54,8 @@ def _events(events: DataFrame, gazetteer: DataFrame) -> DataFrame:
 def same_happenings(records: DataFrame, events: DataFrame, gazetteer: DataFrame, days: int = DAYS) -> DataFrame:
     """(record_id, event_id_cnty, confidence): records and events at the same spot of the same town within ``days``.
 
-    Sorted neighbourhood over four composite keys of country, letters of the spot's name and date;
-    compared are name (edit distance), kind, town and date. Kinds or towns that contradict each
+    Sorted neighbourhood in the order of country, kind of spot and date; no letters of the name are part of
+    the order, so slips anywhere in both names lose no pair. Compared are name (edit distance), kind, town and date. Kinds or towns that contradict each
     other rule a pair out; a town an event doesn't name is judged by distance, then by
     province. Only narrow rows are sent once per key; the places' text joins the
     few pairs left. Records without any date, or whose place names no spot, match nothing.
@@ -66,7 +66,7 @@ def same_happenings(records: DataFrame, events: DataFrame, gazetteer: DataFrame,
     name = 1 - F.levenshtein("l_name", "r_name") / F.greatest(F.length("l_name"), F.length("r_name"))
     kind = F.when(c("l_kind").isNotNull() & c("r_kind").isNotNull(), (c("l_kind") == c("r_kind")).cast("double"))
     gate = F.coalesce(c("l_kind") == c("r_kind"), F.lit(True)) & (name >= NAME_LEAST)
-    near = neighbours(_records(records, gazetteer), _spots(e, F.coalesce(spot_piece(c("own")), other)), days, gate)
+    near = neighbours(_records(records, gazetteer), _spots(e, F.coalesce(spot_piece(c("own")), other), True), days, gate)
     near = near.join(e.select(c("id").alias("r_id"), "town", "admin1", "lat", "lon"), "r_id")
     near = near.join(records.select(c("record_id").alias("l_id"), "location_name", c("lat").alias("l_lat"), c("lon").alias("l_lon")), "l_id").withColumn("l_pieces", location_pieces(c("location_name")))
     both = usable_position(c("l_lat"), c("l_lon")) & usable_position(c("lat"), c("lon"))

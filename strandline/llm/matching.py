@@ -19,13 +19,25 @@ def sort_keys(block: Column, name: Column, n: int = LETTERS) -> Column:
     """Composite sort keys of a row: its block with the first, last or last but one letters of the name, or its ends.
 
     A slip breaks the keys whose letters it touches or shifts; counting from both ends
-    leaves others whole.
+    leaves others whole. Slips on both sides can break them all: a cheap way to most pairs, where
+    :func:`block_keys` is the way to all.
     """
     length, h = F.length(name), n // 2
     cuts = [F.substring(name, 1, n), F.when(length > n, F.substring(name, -n, n)), F.when(length > 2 * n, F.substring(name, -2 * n, n)), F.when(length > n, F.concat(F.substring(name, 1, h), F.substring(name, -h, h)))]
     return F.array(*(F.when(block.isNotNull() & c.isNotNull(), F.concat_ws("|", block, F.lit(str(i)), c)) for i, c in enumerate(cuts)))
 
 
+def block_keys(block: Column, kind: Column, kinds: list[str], reaching: bool) -> Column:
+    """Keys under which every two rows of one block meet once, unless their kinds are known and differ.
+
+    ``kinds`` are all the values of ``kind``. Rows of the ``reaching`` side are sent to their kind and to the rows without one, or to every
+    kind where they have none themselves; the others are sent once.
+    """
+    known, none = F.coalesce(kind, F.lit("?")), F.lit("?")
+    at = F.when(kind.isNull(), F.array(*(F.lit(k) for k in kinds), none)).otherwise(F.array(known, none)) if reaching else F.array(known)
+    return F.transform(at, lambda k: F.when(block.isNotNull(), F.concat_ws("|", block, k)))
+
+
 def neighbours(left: DataFrame, right: DataFrame, days: int, gate: Column) -> DataFrame:
     """All pairs of left(id, keys, day, ...) and right(id, keys, day, ...) that share a sort key within ``days`` and pass ``gate``.
 

@@ -72,3 +72,41 @@ def test_same_happenings(spark):
     got = {(r.record_id, r.event_id_cnty) for r in same_happenings(records, events, gaz).collect()}
     assert got == {(1, "ZAF1"), (2, "ZAF1"), (4, "ZAF1")}  # the event names no kind of spot, so 4 may be it
     assert same_happenings(records.limit(0), events, gaz).count() == same_happenings(records, events.limit(0), gaz).count() == 0
+
+
+def _similarity(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return 1 - row[-1] / max(len(a), len(b))
+
+
+def test_slips_on_both_sides_lose_nothing(spark):
+    rnd = random.Random(3)
+
+    def slipped(name):
+        for _ in range(rnd.randrange(3)):
+            i = rnd.randrange(len(name))
+            name = rnd.choice([name[:i] + name[i + 1 :], name[:i] + rnd.choice("abcdefghi") + name[i:], name[:i] + name[i + 1 : i + 2] + name[i] + name[i + 2 :]])
+        return name
+
+    kinds = [None, "depot", "bridge"]
+    side = lambda n: [(i, rnd.randrange(20), rnd.choice(["ZAF", "PHL", None]), slipped(rnd.choice(["febodasaki", "wanefakangri", "behawenuvo"])), rnd.choice(kinds)) for i in range(n)]
+    a = [*side(150), (150, 1, "ZAF", "fbodasaki", "depot"), (151, 1, "ZAF", "wanefakangrri", "bridge")]
+    b = [*side(60), (60, 3, "ZAF", "febodaaki", None), (61, 1, "ZAF", "wnaefakangri", None)]
+    df = lambda rows, reaching: spark.createDataFrame(rows, "id long, day int, iso3 string, name string, kind string").withColumn("keys", M.block_keys(F.col("iso3"), F.col("kind"), kinds[1:], reaching))
+    near = M.neighbours(df(a, False), df(b, True), 3, 1 - F.levenshtein("l_name", "r_name") / F.greatest(F.length("l_name"), F.length("r_name")) >= 0.6)
+    got = sorted((r.l_id, r.r_id) for r in near.collect())
+    want = sorted((x[0], y[0]) for x in a for y in b if abs(x[1] - y[1]) <= 3 and x[2] and x[2] == y[2] and (x[4] is None or y[4] is None or x[4] == y[4]) and _similarity(x[3], y[3]) >= 0.6)
+    assert got == want and {(150, 60), (151, 61)} <= set(got)
+
+
+def test_same_happenings_with_slips_on_both_sides(spark):
+    gaz = spark.createDataFrame([(1, "Memani", None, "Ridihi", "ZAF", "South Africa", -31.4, 24.9)], "place_id long, place_name string, alt_names array<string>, admin1 string, iso3 string, country string, latitude double, longitude double")
+    rec = [(1, "Fbo Dasaki Depot, Memani, South Africa"), (2, "Wane Fakangrri Brdg, Memani, South Africa")]
+    records = spark.createDataFrame([(*r, "ZAF", "2020-01-30", None, None, None) for r in rec], "record_id long, location_name string, iso3 string, event_date string, publish_date string, lat double, lon double")
+    ev = [("ZAF1", "Memani (Febo Daaki)"), ("ZAF2", "Memani (Wnae Fakangri)")]
+    events = spark.createDataFrame(ev, "event_id_cnty string, location string").selectExpr("event_id_cnty", "date'2020-01-30' as event_date", "'ZAF' as iso3", "'Ridihi' as admin1", "cast(null as string) as admin2", "location", "cast(null as double) as latitude", "cast(null as double) as longitude", "current_timestamp() as ingest_time")
+    assert {(r.record_id, r.event_id_cnty) for r in same_happenings(records, events, gaz).collect()} == {(1, "ZAF1"), (2, "ZAF2")}
