@@ -18,7 +18,11 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str, least: float = 0.2) -> DataFrame:
-    """Near vectors of one label within 100 ids, as an edge table with weights."""
+    """Near vectors of one label within 100 ids, as an edge table with weights.
+
+    Ids stand for days: nearness is windowed, as the reference pairs events within a window of dates
+    only. Vectors of one label further apart get no edge, however similar; all graph queries below rest on these edges.
+    """
     v = _vectors(spark, d).withColumn("day", F.date_from_unix_date(F.col("id").cast("int")))
     p = joins.window_pairs(v, ["label"], "id", "day", 100)
     return p.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"), F.round(V.cosine(F.col("a_embedding"), F.col("b_embedding")), 9).alias("weight")).where(F.col("weight") >= least)
@@ -38,6 +42,7 @@ def connected_components(spark, d):
 
 
 def dbscan_roles(spark, d):
+    """Core, border and noise vectors, neighbours being those within 100 ids."""
     return graph.dbscan(_edges(spark, d), _vectors(spark, d), 3)
 
 
@@ -59,7 +64,7 @@ def louvain_communities(spark, d):
 
 
 def greedy_dedupe(spark, d):
-    """In order of id, each vector joins the first earlier representative it is near to."""
+    """In order of id, each vector joins the first earlier representative of its label within 100 ids that it is near to."""
     e = _edges(spark, d)
     return graph.greedy_clusters(_vectors(spark, d), e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
