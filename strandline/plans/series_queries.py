@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions.dates import dynamic_window, month_cycle
 from strandline.operators import panel as P
 from strandline.operators.joins import fill_join, lag_of_global
+from strandline.operators.merge import stitch
 from strandline.plans.tables import table
 
 
@@ -136,14 +137,29 @@ def seasonal(spark, d):
 
 
 def stitched_batches(spark, d):
-    """Batches of a series brought to one scale by the ratio of their sums on shared days."""
+    """Series brought to the scale of an anchor, by the ratio of the sums of whole series (anchor rescaling)."""
     e = table(spark, d, "events").groupBy("event_type", F.col("ts").cast("date").alias("d")).agg(F.sum("value").alias("v"))
     anchor = e.where("event_type = 'view'").agg(F.sum("v")).first()[0]
     ratio = F.lit(anchor) / F.sum("v").over(Window.partitionBy("event_type"))
     return e.select("event_type", "d", _r(F.col("v") * ratio, 4).alias("v"))
 
 
-QUERIES = {f.__name__: f for f in (dense_panel, rolling_features, expanding_features, filled_series, change_features, forward_labels, masked_targets, spillover, longest_gap, episodes, months_to_days, open_orders_per_day, frequency_coalesce, global_lag, seasonal, stitched_batches)}
+#: Days of a batch, and from one batch's start to the next one's.
+BATCH, STEP = 12, 7
+
+
+def overlap_stitched(spark, d):
+    """Overlapping batches, each on a scale of its own up to 100, joined by the ratio of means on shared days."""
+    e = table(spark, d, "events").groupBy("event_type", F.col("ts").cast("date").alias("d")).agg(F.sum("value").alias("v"))
+    own = Window.partitionBy("event_type")
+    e = e.withColumns({"n": F.datediff("d", F.min("d").over(own)), "last": F.datediff(F.max("d").over(own), F.min("d").over(own))})
+    e = e.withColumn("batch", F.explode(F.sequence(F.greatest(F.floor((F.col("n") - BATCH) / STEP) + 1, F.lit(0)), F.floor(F.col("n") / STEP))))
+    e = e.where((F.col("batch") == 0) | (F.col("last") >= (F.col("batch") - 1) * STEP + BATCH))  # a batch brings new days
+    e = e.withColumn("v", F.try_divide(F.col("v") * 100, F.max("v").over(Window.partitionBy("event_type", "batch"))))
+    return stitch(e, "event_type", "batch", "d", "v").withColumn("v", _r(F.col("v"), 4))
+
+
+QUERIES = {f.__name__: f for f in (dense_panel, rolling_features, expanding_features, filled_series, change_features, forward_labels, masked_targets, spillover, longest_gap, episodes, months_to_days, open_orders_per_day, frequency_coalesce, global_lag, seasonal, stitched_batches, overlap_stitched)}
 
 _B = """b as (select user_id, cast(ts as date) as d, count(*) as n, max((event_type = 'error')::int) as f, max((event_type = 'purchase')::int) as g, sum(value) as v from events group by all),
 k as (select user_id, cast(unnest(generate_series(lo::timestamp, hi::timestamp, interval 1 day)) as date) as d from (select distinct user_id from b), (select min(d) as lo, max(d) as hi from b)),
