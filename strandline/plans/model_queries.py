@@ -124,7 +124,8 @@ def lr_backtest(spark, d):
 
 
 def gbt_backtest(spark, d):
-    pred = models.walk_forward(_panel(spark, d), "date", FEATURES, [2021], lambda f, n: models.boosted(f, rounds=8), "isotonic")
+    """Walk-forward scores of boosted trees for the last two years."""
+    pred = models.walk_forward(_panel(spark, d), "date", FEATURES, [2020, 2021], lambda f, n: models.boosted(f), "isotonic")
     return models.fold_scores(pred, ["fold"], "p_cal")
 
 
