@@ -110,7 +110,11 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Every sentence's language and confidence; NULL where the two best are too close."""
+    """Language and confidence of every sentence of five words or more; NULL where the two best are too close.
+
+    Words are of two letters or more. Shorter sentences are left out, also where p10_languages and p10_found
+    count a text's languages.
+    """
     return _segments(spark, d)
 
 
