@@ -48,7 +48,7 @@ def url_query(c: Column) -> Column:
     return F.regexp_extract(c, r"^[^?#]*\?([^#]*)", 1)
 
 
-def _selecting(query: Column) -> Column:
+def selecting_parameters(query: Column) -> Column:
     """The parameters that are not tracking, in order, blank values kept."""
     name = lambda kv: F.lower(F.regexp_extract(kv, r"^([^=]*)", 1))
     return F.filter(F.split(query, "&"), lambda kv: (kv != "") & ~name(kv).isin(TRACKING) & ~F.startswith(name(kv), F.lit(TRACKING_PREFIX)))
@@ -61,30 +61,10 @@ def normalize_url(c: Column) -> Column:
     """
     u = stripped(c)
     u = F.when(u.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), u).otherwise(F.concat(F.lit("http://"), u))
-    q = F.array_join(_selecting(url_query(u)), "&")
+    q = F.array_join(selecting_parameters(url_query(u)), "&")
     return F.concat(url_scheme(u), F.lit("://"), F.lower(url_host(u)), url_path(u), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
 
 
-def page_key(c: Column) -> Column:
-    """One spelling per page: what does not select the page is taken away.
-
-    That is scheme, ``www.``, port 80 or 443, the host's case, fragment, tracking
-    parameters, parameter order, a closing slash, white space around and
-    percent codes of plain characters. NULL and blank give NULL.
-    """
-
-    def selecting(query: Column) -> Column:
-        return F.when(query == "", "").otherwise(F.array_join(F.array_sort(_selecting(decode_unreserved(query))), "&"))
-
-    def key(u: Column) -> Column:
-        host = F.regexp_replace(F.lower(F.regexp_extract(u, r"^([^/?]*)", 1)), r"^www\.|\.?(:80|:443)?$", "")
-        path = F.regexp_replace(decode_unreserved(F.regexp_extract(u, r"^[^/?]*([^?]*)", 1)), r"/+$", "")
-        query = let(let(F.regexp_extract(u, r"\?(.*)$", 1), selecting), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
-        return F.nullif(F.concat(host, path, query), F.lit(""))
-
-    return let(F.regexp_replace(F.regexp_replace(stripped(c), r"#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), key)
-
-
 def search_text(c: Column) -> Column:
     """Host, path and query decoded, in lower case, with ``-``, ``_`` and ``/`` as spaces."""
     u = stripped(c)

@@ -10,7 +10,6 @@ from strandline.functions import dates as D
 from strandline.functions import strings as T
 from strandline.functions import urls as U
 from strandline.functions.geo import equirectangular_km, haversine_atan2_km, haversine_km, planar_km
-from strandline.functions.text import folded, plain, repair, sentences
 from strandline.operators import dedupe, filters, graph, joins, merge, models, panel
 from strandline.operators.assignment import assign
 
@@ -49,8 +48,6 @@ def test_phrases_and_texts(spark):
     got = spark.createDataFrame([(k,) for k in nth], "t string").select("t", T.day_number(F.col("t")).alias("d")).collect()
     assert {r.t: r.d for r in got} == nth
     assert T.token_set_ratio("new york mets", "mets new york") == 1.0 and T.token_set_ratio("", "x") == 0.0 and 0 < T.token_set_ratio("abc def", "abd xyz") < 1
-    assert repair("La policÃ­a cerrÃ³") == "La policía cerró" and folded("Ünï 12 x") == "uni 00 x" and plain("<p>a&nbsp;b http://x/y</p>") == "a b"
-    assert sentences("One. Two!\nThree") == ["One.", "Two!", "Three"]
 
 
 def test_distances(spark):
