@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,34 +11,63 @@ from strandline.functions.dates import read_date
 from strandline.functions.geo import haversine_km, usable_position
 from strandline.functions.keys import code_key, days
 from strandline.functions.places import gazetteer_names, location_pieces, name_places
-from strandline.functions.spots import KINDS, kind_word, spot_kind, spot_name, spot_piece
-from strandline.llm.matching import block_keys, neighbours, weighted
+from strandline.llm.matching import weighted
+from strandline.llm.neighbourhood import sorted_neighbours
+from strandline.llm.slips import Names, similarity
+from strandline.llm.spots import kind_word, spot_kind, spot_name, spot_piece
 from strandline.session import materialize
 
 DAYS = 3
-#: Least share of a name's letters that agree, and kilometres within one town.
-NAME_LEAST, TOWN_KM = 0.6, 80.0
+#: Least similarity of two names of one spot: three letters in ten may be slips. Kilometres within one town, letters two spellings of a province may differ by.
+NAME_LEAST, TOWN_KM, PROVINCE_SLIPS = 0.7, 80.0, 2
 #: Weights of the similarities of name, kind, town and date.
 WEIGHTS = (0.55, 0.1, 0.2, 0.15)
+#: Words that follow the name of a province.
+PROVINCE_WORDS = r" (?:state|region|province|district|county|department|governorate)$"
 
 
-def _spots(rows: DataFrame, piece: Column, reaching: bool) -> DataFrame:
-    """id, day, name, kind and block keys of rows(id, iso3, day, ...) whose ``piece`` names a spot."""
-    s = rows.select("id", "iso3", "day", piece.alias("piece")).where("piece is not null")
-    s = s.withColumn("word", kind_word(F.col("piece")))
-    s = s.select("id", "iso3", "day", spot_name(F.col("piece"), F.col("word")).alias("name"), spot_kind(F.col("word")).alias("kind")).where("name is not null")
-    return s.select("id", "day", "name", "kind", block_keys(F.col("iso3"), F.col("kind"), list(KINDS), reaching).alias("keys"))
+def _keys(left: bool) -> Column:
+    """Composite sort keys, so that every two rows of one country meet unless both name towns, none in common.
+
+    Rows that name towns meet under (country, town). Where either names none they meet under (country, kind), and where
+    also either kind is unknown under the country alone. A digit tells which side lacks what, so that two rows meet in one way only.
+    """
+    c, town, kind = F.col, F.size("towns") > 0, F.col("kind").isNotNull()
+    key = lambda n, *more: F.concat_ws("|", c("iso3"), F.lit(str(n)), *more)
+    towns = F.transform("towns", lambda t: key(0, t.cast("string")))
+    if left:
+        rest = F.when(town & kind, F.array(key(2, c("kind")), key(6))).when(town, F.array(key(5))).when(kind, F.array(key(1, c("kind")), key(4))).otherwise(F.array(key(3)))
+    else:
+        townless = F.when(town, F.array().cast("array<string>")).when(kind, F.array(key(2, c("kind")), key(5))).otherwise(F.array(key(5), key(6)))
+        rest = F.concat(F.when(kind, F.array(key(1, c("kind")), key(3))).otherwise(F.array(key(3), key(4))), townless)
+    return F.when(c("iso3").isNotNull(), F.concat(towns, rest))
+
+
+def _spots(rows: DataFrame, left: bool) -> DataFrame:
+    """id, day, name, kind and keys of rows(id, iso3, day, towns, piece) whose piece names a spot."""
+    s = rows.where("piece is not null").withColumn("word", kind_word(F.col("piece")))
+    s = s.select("id", "iso3", "day", "towns", spot_name(F.col("piece"), F.col("word")).alias("name"), spot_kind(F.col("word")).alias("kind")).where("name is not null")
+    return s.select("id", "day", "name", F.when(F.col("kind").isNull(), 0).otherwise(F.xxhash64("kind")).alias("sort"), _keys(left).alias("keys"))
 
 
 def _records(records: DataFrame, gazetteer: DataFrame) -> DataFrame:
     r = records.select(
         F.col("record_id").alias("id"), code_key(F.col("iso3")).alias("iso3"), location_pieces(F.col("location_name")).alias("pieces"),
         days(F.coalesce(read_date(F.col("event_date")), read_date(F.col("publish_date")))).alias("day"),
-    )
-    coded, bare = r.where("iso3 is not null"), r.where("iso3 is null")  # a country from the place named, where no code is given
-    named = name_places(bare, "id", "pieces", None, gazetteer).select("id", F.col("g_iso3").alias("__iso3"))
-    r = coded.unionByName(bare.join(named, "id", "left").withColumn("iso3", F.col("__iso3")).drop("__iso3"))
-    return _spots(r, spot_piece(F.col("pieces")), False)
+    ).where("id is not null and size(pieces) > 0")
+    r = materialize(r, "records")
+    each = r.select("id", F.posexplode("pieces").alias("at", "piece"))
+    names = gazetteer_names(gazetteer)
+    towns = each.join(names.select("name", "place_id"), F.col("piece") == F.col("name")).groupBy("id").agg(F.collect_set("place_id").alias("towns"))
+    bare = name_places(r.where("iso3 is null"), "id", "pieces", None, gazetteer).select("id", F.col("g_iso3").alias("__iso3"))
+    out = r.join(towns, "id", "left").join(bare, "id", "left")
+    # without a word for its kind, a spot is the first piece that is the name of no place, province or country
+    plain = each.join(r.where(spot_piece(F.col("pieces")).isNull()).select("id"), "id", "left_semi")
+    places = names.select("name").union(names.select("g_country")).union(names.select("g_admin1")).where("name is not null").distinct()
+    free = plain.join(places, F.regexp_replace("piece", PROVINCE_WORDS, "") == F.col("name"), "left_anti").groupBy("id").agg(F.min_by("piece", "at").alias("__free"))
+    out = out.join(free, "id", "left")
+    piece = F.coalesce(spot_piece(F.col("pieces")), F.col("__free"))
+    return _spots(out.select("id", F.coalesce("iso3", "__iso3").alias("iso3"), "day", F.coalesce("towns", F.array().cast("array<long>")).alias("towns"), piece.alias("piece")), True)
 
 
 def _events(events: DataFrame, gazetteer: DataFrame) -> DataFrame:
@@ -44,34 +75,58 @@ def _events(events: DataFrame, gazetteer: DataFrame) -> DataFrame:
     cols = ["event_date", "iso3", "admin1", "admin2", "location", "latitude", "longitude"]
     e = events.where("event_id_cnty is not null").groupBy("event_id_cnty").agg(F.max_by(F.struct(*cols), F.struct("ingest_time", *cols)).alias("e")).select(F.col("event_id_cnty").alias("id"), "e.*")
     own = location_pieces(F.col("location"))
-    e = e.select("id", days(F.col("event_date")).alias("day"), code_key(F.col("iso3")).alias("iso3"), F.lower("admin1").alias("admin1"), own.alias("own"), F.concat(own, F.coalesce(location_pieces(F.col("admin2")), F.array().cast("array<string>"))).alias("pieces"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    none = F.array().cast("array<string>")
+    e = e.select(
+        "id", days(F.col("event_date")).alias("day"), code_key(F.col("iso3")).alias("iso3"), F.lower("admin1").alias("admin1"), own.alias("own"),
+        F.concat(F.coalesce(own, none), F.coalesce(location_pieces(F.col("admin2")), none)).alias("pieces"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"),
+    )
     e = materialize(e, "events")
     towns = name_places(e, "id", "pieces", "iso3", gazetteer).select("id", "place_id")
     names = gazetteer_names(gazetteer).groupBy("place_id").agg(F.collect_set("name").alias("town"))
-    return materialize(e.join(towns, "id", "left").join(names, "place_id", "left").drop("pieces", "place_id"), "towns")
+    return materialize(e.join(towns, "id", "left").join(names, "place_id", "left").drop("pieces"), "towns")
+
+
+def _compare(l: pd.DataFrame, r: pd.DataFrame):
+    """Similarity of the names, unless both kinds are known and differ."""
+    a, b, ls, rs = Names(l.name.tolist()), Names(r.name.tolist()), l["sort"].to_numpy(), r["sort"].to_numpy()
+
+    def similar(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i))
+        ok = np.flatnonzero((ls[i] == rs[j]) | (ls[i] == 0) | (rs[j] == 0))
+        out[ok] = similarity(a, b, i[ok], j[ok], NAME_LEAST)
+        return out
+
+    return similar
 
 
 def same_happenings(records: DataFrame, events: DataFrame, gazetteer: DataFrame, days: int = DAYS) -> DataFrame:
     """(record_id, event_id_cnty, confidence): records and events at the same spot of the same town within ``days``.
 
-    Sorted neighbourhood in the order of country, kind of spot and date; no letters of the name are part of
-    the order, so slips anywhere in both names lose no pair. Compared are name (edit distance), kind, town and date. Kinds or towns that contradict each
-    other rule a pair out; a town an event doesn't name is judged by distance, then by
-    province. Only narrow rows are sent once per key; the places' text joins the
-    few pairs left. Records without any date, or whose place names no spot, match nothing.
+    Sorted neighbourhood over the composite keys (country, town, date), (country, kind of spot, date) and (country, date): the
+    coarser ones for rows that name no town, or a spot of no known kind. No letters of the name are in a key, so slips anywhere in both
+    names lose no pair. Compared are name (letters changed, added, dropped or swapped), kind, town and date. Kinds or towns that contradict each
+    other rule a pair out; where a side names no town, distance decides; without
+    positions an equal province speaks for a pair, a missing one not against it. Only narrow rows are sorted; the
+    places' text joins the few pairs left. Records without any date or country, or whose
+    place names no spot, match nothing. A repeated record_id counts as all its rows, and a pair comes out once, with its largest confidence.
     """
     c = F.col
     e = _events(events, gazetteer)
     other = F.try_element_at(F.filter("own", lambda p: ~F.coalesce(F.array_contains("town", p), F.lit(False))), F.lit(1))
-    name = 1 - F.levenshtein("l_name", "r_name") / F.greatest(F.length("l_name"), F.length("r_name"))
-    kind = F.when(c("l_kind").isNotNull() & c("r_kind").isNotNull(), (c("l_kind") == c("r_kind")).cast("double"))
-    gate = F.coalesce(c("l_kind") == c("r_kind"), F.lit(True)) & (name >= NAME_LEAST)
-    near = neighbours(_records(records, gazetteer), _spots(e, F.coalesce(spot_piece(c("own")), other), True), days, gate)
-    near = near.join(e.select(c("id").alias("r_id"), "town", "admin1", "lat", "lon"), "r_id")
+    towns = F.when(c("place_id").isNotNull(), F.array("place_id")).otherwise(F.array().cast("array<long>"))
+    right = _spots(e.select("id", "iso3", "day", towns.alias("towns"), F.coalesce(spot_piece(c("own")), other).alias("piece")), False)
+    near = sorted_neighbours(_records(records, gazetteer), right, days, _compare)
+    near = near.join(e.select(c("id").alias("r_id"), "own", "town", "admin1", "lat", "lon"), "r_id")
     near = near.join(records.select(c("record_id").alias("l_id"), "location_name", c("lat").alias("l_lat"), c("lon").alias("l_lon")), "l_id").withColumn("l_pieces", location_pieces(c("location_name")))
     both = usable_position(c("l_lat"), c("l_lon")) & usable_position(c("lat"), c("lon"))
-    province = F.when(c("admin1").isNotNull(), F.exists("l_pieces", lambda p: F.levenshtein(F.substring(p, 1, 40), F.substring(c("admin1"), 1, 40)) <= 2))
-    town = F.when(c("town").isNotNull(), F.arrays_overlap("l_pieces", "town").cast("double")).when(both, (haversine_km(c("l_lat"), c("l_lon"), c("lat"), c("lon")) <= TOWN_KM).cast("double")).when(province, F.lit(1.0))
-    scored = near.withColumns({"s_name": name, "s_kind": kind, "s_town": town, "s_date": 1 - F.abs(c("l_day") - c("r_day")) / (days + 1)}).where(F.coalesce(c("s_town") > 0, F.lit(True)))
-    sims = [c("s_name"), c("s_kind"), c("s_town"), c("s_date")]
-    return scored.select(c("l_id").alias("record_id"), c("r_id").alias("event_id_cnty"), weighted(list(zip(WEIGHTS, sims, strict=True))).alias("confidence"))
+    slips = lambda p: F.levenshtein(p, c("admin1"), PROVINCE_SLIPS)  # -1 beyond
+    province = F.when(c("admin1").isNotNull(), F.exists("l_pieces", lambda p: slips(p) >= 0))
+    named = F.coalesce(F.arrays_overlap("l_pieces", "town"), F.lit(False))
+    town = F.when(named, F.lit(1.0)).when(both, (haversine_km(c("l_lat"), c("l_lon"), c("lat"), c("lon")) <= TOWN_KM).cast("double")).when(province, F.lit(1.0))
+    kind = lambda pieces: spot_kind(kind_word(spot_piece(pieces)))
+    near = near.withColumns({"l_kind": kind(c("l_pieces")), "r_kind": kind(c("own"))})
+    s_kind = F.when(c("l_kind").isNotNull() & c("r_kind").isNotNull(), (c("l_kind") == c("r_kind")).cast("double"))
+    scored = near.withColumns({"s_kind": s_kind, "s_town": town, "s_date": 1 - F.abs("gap") / (days + 1)}).where(F.coalesce(c("s_town") > 0, F.lit(True)))
+    sims = [c("similarity"), c("s_kind"), c("s_town"), c("s_date")]
+    out = scored.select(c("l_id").alias("record_id"), c("r_id").alias("event_id_cnty"), weighted(list(zip(WEIGHTS, sims, strict=True))).alias("confidence"))
+    return out.groupBy("record_id", "event_id_cnty").agg(F.max("confidence").alias("confidence"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.text import folded, plain, sentences
+from strandline.llm.text import folded, plain, sentences
 from strandline.llm.encoding import spread
 
 # The languages told apart, with their codes and names.

@@ -1,66 +1,13 @@
-"""Matching entities across sources that share no key."""
+"""Weighted similarities, and the one-to-one assignment of matches."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.components import components
-from strandline.operators.assignment import solve_components
-from strandline.session import materialize, release
-
-#: Letters of a name in a sort key.
-LETTERS = 4
-#: Events of a component that one task assigns exactly; larger ones go through the auction.
-EXACT_EVENTS = 300
-
-
-def sort_keys(block: Column, name: Column, n: int = LETTERS) -> Column:
-    """Composite sort keys of a row: its block with the first, last or last but one letters of the name, or its ends.
-
-    A slip breaks the keys whose letters it touches or shifts; counting from both ends
-    leaves others whole. Slips on both sides can break them all: a cheap way to most pairs, where
-    :func:`block_keys` is the way to all.
-    """
-    length, h = F.length(name), n // 2
-    cuts = [F.substring(name, 1, n), F.when(length > n, F.substring(name, -n, n)), F.when(length > 2 * n, F.substring(name, -2 * n, n)), F.when(length > n, F.concat(F.substring(name, 1, h), F.substring(name, -h, h)))]
-    return F.array(*(F.when(block.isNotNull() & c.isNotNull(), F.concat_ws("|", block, F.lit(str(i)), c)) for i, c in enumerate(cuts)))
-
-
-def block_keys(block: Column, kind: Column, kinds: list[str], reaching: bool) -> Column:
-    """Keys under which every two rows of one block meet once, unless their kinds are known and differ.
-
-    ``kinds`` are all the values of ``kind``. Rows of the ``reaching`` side are sent to their kind and to the rows without one, or to every
-    kind where they have none themselves; the others are sent once.
-    """
-    known, none = F.coalesce(kind, F.lit("?")), F.lit("?")
-    at = F.when(kind.isNull(), F.array(*(F.lit(k) for k in kinds), none)).otherwise(F.array(known, none)) if reaching else F.array(known)
-    return F.transform(at, lambda k: F.when(block.isNotNull(), F.concat_ws("|", block, k)))
-
-
-def neighbours(left: DataFrame, right: DataFrame, days: int, gate: Column) -> DataFrame:
-    """All pairs of left(id, keys, day, ...) and right(id, keys, day, ...) that share a sort key within ``days`` and pass ``gate``.
-
-    Sorted neighbourhood: in the order of (key, day) a left row is compared with the right
-    rows of its key at most ``days`` away, before or after. The window is a range of days,
-    never a number of rows, so a crowded stretch loses no pair; the order is cut into
-    stretches of ``2 * days + 1`` days and right rows, as the smaller side, reach over their
-    edges, so a key that holds a third of all rows still spreads over its stretches. Key
-    and stretch travel as one digest. A pair met under several keys is
-    reported once. Columns come out as ``l_...`` and ``r_...``; keep them narrow, as a row is sent once per
-    key. Rows without day or keys meet nothing.
-    """
-    width = 2 * days + 1
-
-    def sent(df: DataFrame, p: str, reach: int) -> DataFrame:
-        d = F.col(f"{p}_day")
-        out = df.where("day is not null").select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns))
-        stretches = F.array_distinct(F.array(F.floor((d - reach) / width), F.floor((d + reach) / width)))
-        both = F.flatten(F.transform(F.filter(f"{p}_keys", lambda k: k.isNotNull()), lambda k: F.transform(stretches, lambda s: F.xxhash64(k, s))))
-        return out.withColumn(f"{p}_at", F.explode(F.array_distinct(both))).drop(f"{p}_keys")
-
-    near = sent(left, "l", 0).join(sent(right, "r", days), (F.col("l_at") == F.col("r_at")) & (F.abs(F.col("l_day") - F.col("r_day")) <= days) & gate)
-    return near.drop("l_at", "r_at").dropDuplicates(["l_id", "r_id"])
+from strandline.operators.assignment import IN_TASK, assign_rooted
+from strandline.session import materialize
 
 
 def weighted(parts: list[tuple[float, Column]]) -> Column:
@@ -70,48 +17,15 @@ def weighted(parts: list[tuple[float, Column]]) -> Column:
     return F.try_divide(sum((F.coalesce(c, F.lit(0.0)) * w for w, c in parts[1:]), F.coalesce(parts[0][1], F.lit(0.0)) * parts[0][0]), total)
 
 
-def _auction(pairs: DataFrame, eps: float) -> DataFrame:
-    """Assignment by rounds of bids for components too large for one task: within eps per pair of the best total.
-
-    Right rows bid for left ones. A round is one join and two aggregations over the pairs.
-    """
-    spark = pairs.sparkSession
-    state = spark.createDataFrame([], "l long, r long, w double, price double")
-    while True:
-        prices = state.select(F.col("l").alias("pl"), "price")
-        free = pairs.join(state.select("r"), "r", "left_anti")
-        offers = free.join(prices, F.col("l") == F.col("pl"), "left").withColumn("gain", F.col("w") - F.coalesce("price", F.lit(0.0))).where(F.col("gain") > 0)
-        by = Window.partitionBy("r").orderBy(F.desc("gain"), "l")
-        bids = offers.withColumn("n", F.row_number().over(by)).where("n <= 2").groupBy("r").agg(
-            F.max_by(F.struct("l", "w"), F.struct("gain", -F.col("l"))).alias("b"), F.max("gain").alias("g1"), F.when(F.count("*") > 1, F.min("gain")).otherwise(0.0).alias("g2"), F.max_by(F.coalesce("price", F.lit(0.0)), F.struct("gain", -F.col("l"))).alias("p")
-        )
-        bids = bids.select(F.col("b.l").alias("l"), "r", F.col("b.w").alias("w"), (F.col("p") + F.col("g1") - F.col("g2") + eps).alias("price"))
-        won = materialize(bids.groupBy("l").agg(F.max_by(F.struct("r", "w", "price"), F.struct("price", -F.col("r"))).alias("x")).select("l", "x.*"), "bids")
-        if won.isEmpty():
-            return state.select("l", "r", "w")
-        new = materialize(state.join(won.select("l"), "l", "left_anti").unionByName(won), "auction")
-        release(state)
-        release(won)
-        state = new
-
-
-def one_to_one(pairs: DataFrame, exact: int = EXACT_EVENTS, eps: float = 1e-4) -> DataFrame:
+def one_to_one(pairs: DataFrame, in_task: int = IN_TASK) -> DataFrame:
     """(l, r, w): the one-to-one assignment of largest total weight over pairs(l long, r long, w > 0).
 
-    Components of the pairs are independent. Of a component with k right rows, only the k
-    best pairs of each right row can matter (fewer than k of its partners can be taken), so one
-    task never holds more than k squared pairs, however many left rows gather at a right row; such components are
-    solved exactly. Those with more than ``exact`` right rows are left to an auction in
-    rounds, whose total is within ``eps`` per pair. Repeated pairs count once with their largest weight; pairs with
-    NULLs or without positive weight are left out; ties go to the smaller ids.
+    Components of the pairs are independent: each is solved exactly, in one task up to ``in_task`` pairs and by rounds over all tasks beyond.
+    Repeated pairs count once with their largest weight; pairs with
+    NULLs or without positive weight are left out; no pairs give no rows.
     """
-    p = materialize(pairs.where("l is not null and r is not null and w > 0").groupBy(F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r")).agg(F.max("w").cast("double").alias("w")), "pairs")
+    p = pairs.where("l is not null and r is not null and w > 0").groupBy(F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r")).agg(F.max("w").cast("double").alias("w"))
+    p = materialize(p, "pairs")
     node = lambda c, side: F.col(c) * 2 + side
-    roots = components(p.select(node("l", 0).alias("src"), node("r", 1).alias("dst")))
-    sided = p.join(roots.where("id % 2 <> 0").select(F.floor((F.col("id") - 1) / 2).cast("long").alias("r"), "root"), "r")
-    size = sided.select("root", "r").distinct().groupBy("root").agg(F.count("*").alias("k"))
-    best = Window.partitionBy("r").orderBy(F.desc("w"), "l")
-    sided = materialize(sided.join(size, "root").withColumn("n", F.row_number().over(best)).where("n <= k").drop("n"), "assign")
-    small = solve_components(materialize(sided.where(F.col("k") <= exact).select("root", "k", "l", "r", "w"), "small"))
-    large = sided.where(F.col("k") > exact).select("l", "r", "w")
-    return small if large.isEmpty() else small.unionByName(_auction(large, eps))
+    roots = components(p.select(node("l", 0).alias("src"), node("r", 1).alias("dst"))).withColumnRenamed("id", "__n")
+    return assign_rooted(materialize(p.join(roots, node("r", 1) == F.col("__n")).select("root", "l", "r", "w"), "rooted"), in_task)

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions.urls import page_key
+from strandline.llm.pages import page_key
 from strandline.llm import languages
 from strandline.llm.encoding import encode
 from strandline.llm.happenings import same_happenings
 from strandline.llm.linking import link_records
 from strandline.llm.matching import one_to_one
+from strandline.llm import spots
 from strandline.llm.mixing import mix, rates, shares, source_key
 from strandline.llm.survivors import canonical, field_votes, fraction, head_count, latest_delivery, survivors, tidy, winners
 from strandline.plans.tables import table
+from strandline.plans.text_queries import _ISO
 from strandline.session import materialize
 
 
@@ -31,7 +33,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Record and event of the same happening with the confidence of the match."""
-    return same_happenings(table(spark, d, "extract_records"), table(spark, d, "verified_events"), table(spark, d, "gazetteer"))
+    found = same_happenings(table(spark, d, "extract_records"), table(spark, d, "verified_events"), table(spark, d, "gazetteer"))
+    return found.withColumn("confidence", F.round("confidence", 9))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -148,6 +151,39 @@ e as (select a, b from m where a <> b union select b, a from m where a <> b), re
 g as (select x.record_id, coalesce(y.o, x.k) as o from r x left join reach y on x.k = y.k where x.k is not null),
 j as (select g.record_id, min(z.record_id) as group_id, count(distinct z.record_id) as n_members from g join r z on z.k = g.o group by 1)"""
 
+_W = "|".join(w for ws in spots.KINDS.values() for w in ws)
+_KIND = "map {{" + ", ".join(f"'{w}': '{k}'" for k, ws in spots.KINDS.items() for w in ws) + "}}"
+_CODE = "nullif(regexp_replace(upper({}), '[^A-Z0-9-]', '', 'g'), '')"
+_PIECES = r"""list_filter(list_transform(regexp_split_to_array(regexp_replace(lower({}), '[\[\]\"\s_\x{{a0}}]+', ' ', 'g'), '[,();]| - '),
+ lambda x: regexp_replace(regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g'), '^near ', '')), lambda x: x <> '')"""
+_BARE = f"nullif(regexp_replace(case when regexp_matches({{0}}, ' ({_W})\\.?$') then regexp_replace({{0}}, ' ({_W})\\.?$', '') else regexp_replace({{0}}, '^({_W})\\.? ', '') end, '[^\\p{{{{L}}}}\\p{{{{N}}}}]', '', 'g'), '')"
+_SORT = f"({_KIND})[coalesce(nullif(regexp_extract({{0}}, ' ({_W})\\.?$', 1), ''), regexp_extract({{0}}, '^({_W})\\.? ', 1))]"
+_SPOT = f"list_filter({{}}, lambda x: regexp_matches(x, '^({_W})\\.? .+|.+ ({_W})\\.?$'))[1]"
+_OK = "coalesce(isfinite({0}lat) and isfinite({0}lon) and {0}lat between -90 and 90 and {0}lon between -180 and 180 and not (abs({0}lat) < 0.01 and abs({0}lon) < 0.01), false)"
+#: Every record beside every event of its country and time, judged as the operator judges a window's pairs; spots without a word for their kind
+#: are taken of events only, as every record of the tables has one.
+_HAPPENINGS = f"""n as (select place_id, upper(trim(iso3)) as g_iso3, lower(trim(country)) as country, lower(trim(admin1)) as g_admin1, unnest(list_distinct(list_transform(list_prepend(place_name, coalesce(alt_names, [])), lambda x: lower(trim(x))))) as name from gazetteer),
+names as (select place_id, list(name) as names from n group by 1),
+r0 as (select record_id, {_CODE.format('iso3')} as iso3, {_PIECES.format('location_name')} as ps, coalesce({_ISO.format('trim(event_date)')}, {_ISO.format('trim(publish_date)')}) as day, lat, lon from extract_records),
+e0 as (select event_id_cnty as id, arg_max((event_date, iso3, admin1, admin2, location, latitude, longitude), ingest_time) as x from verified_events group by 1),
+e1 as (select id, x[1]::date as day, {_CODE.format('x[2]')} as iso3, lower(x[3]) as admin1, {_PIECES.format('x[5]')} as own, list_concat({_PIECES.format('x[5]')}, coalesce({_PIECES.format('x[4]')}, [])) as ps, x[6] as lat, x[7] as lon from e0),
+rows as (select 'r' || record_id as id, null as iso3, ps from r0 where iso3 is null union all select 'e' || id, iso3, ps from e1),
+best as (select id, arg_max((place_id, g_iso3), (4 * coalesce((rows.iso3 = g_iso3)::int, 0) + 2 * coalesce(list_contains(ps, country)::int, 0) + coalesce((len(list_filter(ps, lambda x: starts_with(x, g_admin1))) > 0)::int, 0), -place_id)) as g
+ from (select distinct id, iso3, ps, unnest(ps) as piece from rows) rows join n on piece = name group by 1),
+r1 as (select r0.*, coalesce(r0.iso3, g[2]) as c, {_SPOT.format('ps')} as piece from r0 left join best on best.id = 'r' || record_id),
+r as (select *, {_BARE.format('piece')} as name, {_SORT.format('piece')} as kind from r1 where piece is not null),
+e2 as (select e1.*, names as town from e1 left join best on best.id = 'e' || e1.id left join names on place_id = g[1]),
+e3 as (select *, coalesce({_SPOT.format('own')}, list_filter(own, lambda x: not coalesce(list_contains(town, x), false))[1]) as piece from e2),
+e as (select *, {_BARE.format('piece')} as name, {_SORT.format('piece')} as kind from e3 where piece is not null),
+towned as (select record_id, count(*) filter (name is not null) > 0 as has from (select record_id, unnest(ps) as piece from r0) left join (select distinct name from n) on piece = name group by 1),
+p as (select record_id, e.id as event_id_cnty, abs(date_diff('day', r.day, e.day)) as gap, 1 - damerau_levenshtein(r.name, e.name) / greatest(length(r.name), length(e.name)) as s_name, (r.kind = e.kind)::double as s_kind,
+  case when list_has_any(r.ps, town) then 1.0 when has and town is not null then 0.0 when {_OK.format('r.')} and {_OK.format('e.')} then
+   (2 * 6371 * asin(sqrt(pow(sin(radians(e.lat - r.lat) / 2), 2) + cos(radians(r.lat)) * cos(radians(e.lat)) * pow(sin(radians(e.lon - r.lon) / 2), 2))) <= 80)::double
+   when len(list_filter(r.ps, lambda x: levenshtein(x, admin1) <= 2)) > 0 then 1.0 end as s_town
+ from r join towned using (record_id) join e on r.c = e.iso3 and abs(date_diff('day', r.day, e.day)) <= 3 and coalesce(r.kind = e.kind, true) where r.name is not null and e.name is not null)"""
+_SCORE = "round((0.55 * s_name + 0.1 * coalesce(s_kind, 0) + 0.2 * coalesce(s_town, 0) + 0.15 * (1 - gap / 4)) / (0.7 + (s_kind is not null)::int * 0.1 + (s_town is not null)::int * 0.2), 9)"
+_GATE = "s_name >= 0.7 - 1e-9 and coalesce(s_town > 0, true)"
+
 _NONE = "'', '-', '?', 'n a', 'na', 'nan', 'null', 'none', 'nil', 'unknown', 'not specified', 'not stated', 'unspecified', 'undefined', 'tbd'"
 _TIDY = rf"(case when trim(regexp_replace(lower({{0}}), '[\s_\-./,;:]+', ' ', 'g')) not in ({_NONE}) then trim(regexp_replace(lower({{0}}), '[\s_\-./,;:]+', ' ', 'g')) end)"
 _NUM = r"regexp_replace(regexp_replace(lower(p), '(\d)[,\s](\d\d\d)', '\1\2', 'g'), '(\d)[,\s](\d\d\d)', '\1\2', 'g')"
@@ -162,6 +198,8 @@ w as (select cluster_id, field, value, sum(cast(c as decimal(18, 9))) as votes,
 k as (select cluster_id, field, arg_min(value, (-votes, -n, value)) as value, count(*) as d from w group by all)"""
 
 SQL = {
+    "p7_found": f"with {_HAPPENINGS} select record_id, event_id_cnty from p where {_GATE}",
+    "p7_pairs": f"with {_HAPPENINGS} select record_id, event_id_cnty, {_SCORE} as confidence from p where {_GATE}",
     "p1_found": f"with {_SURVIVORS} select cluster_id, field, value from k union all select cluster_id, 'conflicted_fields', field from k where d > 1",
     "p6_found": f"with recursive {_LINKS} select record_id, group_id from j where n_members > 1",
     "p6_groups": f"with recursive {_LINKS} select r.record_id, coalesce(group_id, r.record_id) as group_id, coalesce(n_members, 1) as n_members from r left join j using (record_id)",

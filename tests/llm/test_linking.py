@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from strandline.functions.urls import page_key
+from strandline.llm.pages import page_key
 from strandline.llm.components import components, union_find
 from strandline.llm.linking import link_records
 
