@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.text import folded, plain, sentences
+from strandline.llm.text import folded, masked, plain, spans
 from strandline.llm.encoding import spread
 
 # The languages told apart, with their codes and names.
@@ -27,10 +27,14 @@ ROWS, DICTIONARY, ROUNDS = 400, 96 * 1024, 3
 LEVEL, REMEMBERED = 2, 50_000
 #: A language is rejected unless the next one is larger by this share, and these bytes.
 MARGIN, MARGIN_BYTES = 0.08, 3
-#: Words of letters from which a segment can be a sentence, and up to which a quotation is a slogan.
-WORDS, SLOGAN = 5, 5
+#: Characters of the texts the dictionaries are drawn from; all texts are classified, of any length.
+TRAINING_CHARS = (200, 20_000)
+#: Words of letters below which a sentence is short: it needs closing punctuation, which names and headings lack, and a larger margin. Words up to
+#: which a quotation within a sentence is a slogan of its own, whatever its language.
+SHORT_WORDS, SHORT_MARGIN, SLOGAN = 5, 0.2, 5
 
 _WORD = re.compile(r"[^\W\d_]{2,}")
+_CLOSED = re.compile(r"[.!?…][\"'”’»)]*$")
 _QUOTED = re.compile(r"[\"“„«]([^\"“”„«»\n]{1,60})[\"”“»]")
 
 
@@ -44,13 +48,21 @@ def label_key(c: Column) -> Column:
     return out
 
 
-def segments(text: str) -> list[str]:
-    """The sentences of a text as far as they have words; slogans in quotation marks are cut out."""
-    out = []
-    for s in sentences(plain(text)):
-        s = _QUOTED.sub(lambda m: " " if len(m.group(1).split()) <= SLOGAN else m.group(), s)
-        if len(_WORD.findall(s)) >= WORDS:
-            out.append(s.strip())
+def segments(text: str) -> list[tuple[int, int, str, bool]]:
+    """(start, end, words to judge, whether it is short) of the sentences of a text, by positions in the text as it is.
+
+    Slogans quoted within a sentence are cut out of what is judged, unless nothing else would be left. Pieces without a word are none, and
+    short ones only with closing punctuation.
+    """
+    out, bare = [], masked(text)
+    for a, b in spans(bare):
+        s = plain(bare[a:b])
+        rest = _QUOTED.sub(lambda m: " " if len(m.group(1).split()) <= SLOGAN else m.group(), s)
+        if not _WORD.search(rest):
+            rest = s
+        n = len(_WORD.findall(rest))
+        if n >= SHORT_WORDS or (n and _CLOSED.search(bare[a : b + 1].rstrip())):
+            out.append((a, b, rest.strip(), n < SHORT_WORDS))
     return out
 
 
@@ -76,9 +88,12 @@ class Classifier:
                 self._ready[k] = p.compress
         return {k: len(f(raw)) for k, f in self._ready.items()}
 
-    def of(self, text: str) -> tuple[str | None, float]:
+    def of(self, text: str, least: float = MARGIN) -> tuple[str | None, float]:
         """(language or None, margin): the smallest size wins, unless the next is nearly as small."""
-        raw = folded(text).encode()
+        lang, margin = self._known(folded(text).encode())
+        return (lang if margin >= least else None), margin
+
+    def _known(self, raw: bytes) -> tuple[str | None, float]:
         if (known := self._seen.get(raw)) is None:
             if len(self._seen) >= REMEMBERED:
                 self._seen.clear()
@@ -139,8 +154,8 @@ def _build(by_language: dict[str, list[str]]) -> Classifier:
     return Classifier({k: _content(v) for k, v in by_language.items() if v})
 
 
-def fit(docs: DataFrame, key: str, text: str, label: str, rows: int = ROWS) -> Classifier:
-    """A classifier from a bounded sample: at most ``rows`` labelled texts per language, by hash of the key.
+def fit(docs: DataFrame, key: str, text: str, label: str, rows: int = ROWS, chars: tuple[int, int] = TRAINING_CHARS) -> Classifier:
+    """A classifier from a bounded sample: at most ``rows`` labelled texts per language, of ``chars`` characters, by hash of the key.
 
     The languages' labels are counted first; the texts are then read once and only some ``rows`` of each drawn.
 
@@ -148,22 +163,35 @@ def fit(docs: DataFrame, key: str, text: str, label: str, rows: int = ROWS) -> C
     dictionaries hold the sentences of each language, in the order of the sample.
     """
     length = F.coalesce(F.length(text), F.lit(0))
-    labelled = docs.withColumn("__l", label_key(F.col(label))).where(F.col("__l").isNotNull() & length.between(200, 20000))
+    labelled = docs.withColumn("__l", label_key(F.col(label))).where(F.col("__l").isNotNull() & length.between(*chars))
     n = {r["__l"]: r["count"] for r in labelled.groupBy("__l").count().collect()}  # a row per language
     draw = F.pmod(F.xxhash64(key), F.lit(1 << 40)) / float(1 << 40)
     some = F.coalesce(*(F.when(F.col("__l") == k, F.lit(min(1.0, (rows + 4 * math.sqrt(rows)) / c))) for k, c in sorted(n.items()))) if n else F.lit(0.0)
     sample = labelled.where(draw < some).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col("__l").alias("l"), draw.alias("draw")).toPandas()
     sample = sample.sort_values(["draw", "k"]).groupby("l").head(rows).sort_values("k")
-    return _build(_sorted_out([(lab, segments(t)) for lab, t in zip(sample.l, sample.t, strict=True)]))
+    return _build(_sorted_out([(lab, [x[2] for x in segments(t) if not x[3]]) for lab, t in zip(sample.l, sample.t, strict=True)]))
+
+
+def _runs(found: list[tuple[int, int, str | None, float]]) -> list[tuple]:
+    """(start, end, lang, confidence, sentences, size): neighbouring sentences of one language as one."""
+    out: list[list] = []
+    for a, b, lang, margin in found:
+        if out and out[-1][2] == lang:
+            x = out[-1]
+            x[1], x[3], x[4], x[5] = b, x[3] + margin, x[4] + 1, x[5] + b - a
+        else:
+            out.append([a, b, lang, margin, 1, b - a])
+    return [(a, b, lang, total / n, n, size) for a, b, lang, total, n, size in out]
 
 
 def classify(docs: DataFrame, key: str, text: str, model: Classifier) -> DataFrame:
-    """(key, segment, start_words, lang, confidence, n_segments): a row per sentence of each text.
+    """(key, segment, start, end, lang, confidence, n_sentences, size): a row per run of sentences of one language.
 
-    Each sentence goes to the language whose dictionary compresses it best; where the next one
-    is nearly as good the language is NULL. A text none of whose sentences is clear is judged as a whole
-    (segment 0). Texts without sentences, NULL and empty ones give no rows. ``confidence``
-    is the margin to the next language. All sentences of the whole text count.
+    Each sentence goes to the language whose dictionary compresses it best; where the next one is nearly as good
+    the language is NULL. Neighbouring sentences of one language, or of none, make one segment: characters ``start`` up to, not
+    including, ``end`` of the text, counted from 0; ``size`` is without the gaps between them. A text none of whose
+    sentences is clear is judged as a whole (segment 0). Texts without words, NULL and empty ones give no rows. ``confidence``
+    is the mean margin to the next language. All sentences of the whole text count.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most DICTIONARY bytes per language
 
@@ -172,19 +200,22 @@ def classify(docs: DataFrame, key: str, text: str, model: Classifier) -> DataFra
         for pdf in parts:
             rows = []
             for k, t in zip(pdf[key], pdf[text], strict=True):
-                segs = segments(t) if t else []
-                found = [(k, i + 1, *m.of(s), len(s)) for i, s in enumerate(segs)]
-                if not any(f[2] for f in found) and t and len(_WORD.findall(plain(t))) >= WORDS:
-                    found.append((k, 0, *m.of(plain(t)), len(t)))
-                rows += found
-            yield pd.DataFrame(rows, columns=[key, "segment", "lang", "confidence", "size"])
+                found = [(a, b, *m.of(s, SHORT_MARGIN if short else MARGIN)) for a, b, s, short in segments(t)] if t else []
+                rows += [(k, i + 1, *x) for i, x in enumerate(_runs(found))]
+                if t and not any(f[2] for f in found) and len(_WORD.findall(whole := plain(t))) >= SHORT_WORDS:
+                    rows.append((k, 0, 0, len(t), *m.of(whole), len(found), len(t)))
+            yield pd.DataFrame(rows, columns=[key, "segment", "start", "end", "lang", "confidence", "n_sentences", "size"])
 
     kind = dict(docs.dtypes)[key]
-    return spread(docs.select(key, text).where(F.col(text).isNotNull()), key).mapInPandas(run, f"`{key}` {kind}, segment int, lang string, confidence double, size int")
+    shape = f"`{key}` {kind}, segment int, start int, end int, lang string, confidence double, n_sentences int, size int"
+    return spread(docs.select(key, text).where(F.col(text).isNotNull()), key).mapInPandas(run, shape)
 
 
 def per_language(segs: DataFrame, key: str) -> DataFrame:
-    """(key, lang, confidence, n_segments, share): a row per language of each text."""
-    by = segs.where("lang is not null").groupBy(key, "lang").agg(F.count("*").alias("n_segments"), F.avg("confidence").alias("confidence"), F.sum("size").alias("size"))
+    """(key, lang, confidence, n_segments, n_sentences, share, n_langs): a row per language of each text."""
+    n = F.sum("n_sentences")
+    by = segs.where("lang is not null").groupBy(key, "lang").agg(
+        F.count("*").alias("n_segments"), n.alias("n_sentences"), (F.sum(F.col("confidence") * F.greatest("n_sentences", F.lit(1))) / F.greatest(n, F.lit(1))).alias("confidence"), F.sum("size").alias("size")
+    )
     text = Window.partitionBy(key)  # a row per language, eight at most
-    return by.select(key, "lang", "confidence", "n_segments", (F.col("size") / F.sum("size").over(text)).alias("share"), F.count("*").over(text).cast("int").alias("n_langs"))
+    return by.select(key, "lang", "confidence", "n_segments", "n_sentences", (F.col("size") / F.sum("size").over(text)).alias("share"), F.count("*").over(text).cast("int").alias("n_langs"))

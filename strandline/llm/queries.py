@@ -104,7 +104,7 @@ def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
     fields = [*FIELDS, "issue", "protest_type", "subloc"]
     won = winners(field_votes(m, "cluster_id", fields, F.col("confidence"), "event_date", 30.0), "cluster_id")
     top = m.groupBy("cluster_id").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n_members"))
-    return top.join(survivors(won, "cluster_id", fields), "cluster_id", "left")
+    return top.join(survivors(won, "cluster_id", fields), "cluster_id", "left").withColumn("conflicted_fields", F.array_join("conflicted_fields", ","))
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
@@ -113,11 +113,7 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Language and confidence of every sentence of five words or more; NULL where the two best are too close.
-
-    Words are of two letters or more. Shorter sentences are left out, also where p10_languages and p10_found
-    count a text's languages.
-    """
+    """Language, confidence and place in the text of every run of sentences of one language; NULL where the two best are too close."""
     return _segments(spark, d)
 
 
@@ -187,17 +183,29 @@ _GATE = "s_name >= 0.7 - 1e-9 and coalesce(s_town > 0, true)"
 _NONE = "'', '-', '?', 'n a', 'na', 'nan', 'null', 'none', 'nil', 'unknown', 'not specified', 'not stated', 'unspecified', 'undefined', 'tbd'"
 _TIDY = rf"(case when trim(regexp_replace(lower({{0}}), '[\s_\-./,;:]+', ' ', 'g')) not in ({_NONE}) then trim(regexp_replace(lower({{0}}), '[\s_\-./,;:]+', ' ', 'g')) end)"
 _NUM = r"regexp_replace(regexp_replace(lower(p), '(\d)[,\s](\d\d\d)', '\1\2', 'g'), '(\d)[,\s](\d\d\d)', '\1\2', 'g')"
-_SURVIVORS = rf"""a as (select cluster_id, article_id, arg_max((confidence, sector, estimated_participants), ingest_time) as r from source_articles where cluster_id is not null group by all),
-b as (select cluster_id, case when r[1] > 1 then r[1] / 100 else coalesce(r[1], 0) end as c, {_TIDY.format('r[2]')} as s, r[3] as p from a),
+_MEMBERS = rf"""a as (select cluster_id, article_id, arg_max((confidence, sector, estimated_participants, event_date, issue, protest_type, subloc), ingest_time) as r from source_articles where cluster_id is not null group by all),
+b as (select cluster_id, case when r[1] > 1 then r[1] / 100 else coalesce(r[1], 0) end as c, {_TIDY.format('r[2]')} as s, r[3] as p, r[4] as day, {_TIDY.format('r[5]')} as issue, {_TIDY.format('r[6]')} as protest_type, {_TIDY.format('r[7]')} as subloc from a),
 n as (select sector, {_TIDY.format('unnest(list_prepend(sector, aliases))')} as name from sector_codes),
 x as (select s, arg_min(sector, (damerau_levenshtein(regexp_replace(s, ' sector$', ''), name), sector)) as sector from (select distinct s from b where s is not null) join n on damerau_levenshtein(regexp_replace(s, ' sector$', ''), name) <= 1 group by 1),
-v as (select cluster_id, 'sector' as field, coalesce(x.sector, b.s) as value, c from b left join x using (s) where b.s is not null
- union all select cluster_id, 'estimated_participants', cast(cast(round(cast(regexp_extract({_NUM}, '(\d+(\.\d+)?)', 1) as double) * case when regexp_matches({_NUM}, '\d\s*(k|thousand)\b') then 1000 else 1 end) as bigint) as varchar), c from b where regexp_matches(p, '\d')
- union all select cluster_id, 'estimated_participants', cast(100 * list_position(['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine'], regexp_extract(lower(p), '(\w+) hundred', 1)) as varchar), c from b where regexp_matches(lower(p), '(one|two|three|four|five|six|seven|eight|nine) hundred')),
+v as (select cluster_id, 'sector' as field, coalesce(x.sector, b.s) as value, c, day from b left join x using (s) where b.s is not null
+ union all select cluster_id, 'estimated_participants', cast(try_cast(round(try_cast(regexp_extract({_NUM}, '(\d+(\.\d+)?)', 1) as double) * case when regexp_matches({_NUM}, '\d\s*(k|thousand)\b') then 1000 else 1 end) as bigint) as varchar), c, day from b where regexp_matches(p, '\d')
+ union all select cluster_id, 'estimated_participants', cast(100 * list_position(['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine'], regexp_extract(lower(p), '(\w+) hundred', 1)) as varchar), c, day from b where regexp_matches(lower(p), '(one|two|three|four|five|six|seven|eight|nine) hundred'))"""
+_SURVIVORS = f"""{_MEMBERS},
 w as (select cluster_id, field, value, sum(cast(c as decimal(18, 9))) as votes, count(*) as n from v group by all),
 k as (select cluster_id, field, arg_min(value, (-votes, -n, value)) as value, count(*) as d from w group by all)"""
 
+_RECENT = f"""{_MEMBERS},
+f as (select * from v union all select cluster_id, unnest(['issue', 'protest_type', 'subloc']), unnest([issue, protest_type, subloc]), c, day from b),
+d as (select cluster_id, field, value, day, cast(sum(cast(c as decimal(18, 9))) as double) as t, count(*) as n from f where value is not null group by all),
+g as (select cluster_id, field, max(day) as last, min(day) as first from d group by all),
+w as (select cluster_id, field, value, sum(t * pow(0.5, age / 30.0) order by age, t) as votes, sum(n) as n from (select d.*, coalesce(date_diff('day', coalesce(day, first), last), 0) as age from d join g using (cluster_id, field)) group by all),
+k as (select cluster_id, field, arg_min(value, (-votes, -n, value)) as value, count(*) as d from w group by all),
+m as (select cluster_id, max(c) as confidence, count(*) as n_members from b group by 1)"""
+
 SQL = {
+    "p1_survivors": f"with {_RECENT} select m.cluster_id, max(confidence) as confidence, max(n_members) as n_members, "
+    + ", ".join(f"max(value) filter (field = '{x}') as {x}" for x in (*FIELDS, "issue", "protest_type", "subloc"))
+    + ", case when count(k.field) > 0 then coalesce(array_to_string(list_sort(list(k.field) filter (d > 1)), ','), '') end as conflicted_fields from m left join k using (cluster_id) group by 1",
     "p7_found": f"with {_HAPPENINGS} select record_id, event_id_cnty from p where {_GATE}",
     "p7_pairs": f"with {_HAPPENINGS} select record_id, event_id_cnty, {_SCORE} as confidence from p where {_GATE}",
     "p1_found": f"with {_SURVIVORS} select cluster_id, field, value from k union all select cluster_id, 'conflicted_fields', field from k where d > 1",

@@ -70,21 +70,26 @@ def latest_delivery(rows: DataFrame, group: str, record: str, version: str) -> D
 
 
 def field_votes(members: DataFrame, group: str, fields: list[str], trust: Column, when: str | None = None, half_life_days: float | None = None) -> DataFrame:
-    """(group, field, value, votes, n, first): for each value of each field how much its members back it.
+    """(group, field, value, votes, n): for each value of each field how much its members back it.
 
-    A member's vote is its trust times a decay that halves every ``half_life_days`` before ``when``'s latest
-    day in the table; within a group only differences in age matter, so the reference day is
-    free. Without half-life all members count by trust alone, summed as decimals, so equal backing ties
-    exactly. NULL values are no votes; values nobody trusts still come out, with 0.
+    A member's vote is its trust times a decay that halves every ``half_life_days`` before the latest day on which any
+    member of its group has a value of the field, so however old a group is, its newest value counts in full.
+    Members without a day count as old as the oldest that has one. Trust is summed as decimals per value and
+    day, and days are added up in their order, so equal backing ties exactly. Without half-life all members count by
+    trust alone. NULL values are no votes; values nobody trusts still come out, with 0.
     """
-    vote = F.coalesce(trust, F.lit(0.0)).cast("decimal(18,9)")
-    if half_life_days:
-        last = members.agg(F.max(when)).first()[0]
-        age = F.datediff(F.lit(last), F.col(when)) if last is not None else F.lit(0)
-        vote = F.coalesce(F.coalesce(trust, F.lit(0.0)) * F.pow(F.lit(0.5), age / half_life_days), F.lit(0.0)).cast("decimal(18,9)")
     cells = F.filter(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields)), lambda x: x["value"].isNotNull())
-    long = members.select(group, vote.alias("__vote"), F.explode(cells).alias("__c"))
-    return long.groupBy(group, "__c.field", "__c.value").agg(F.sum("__vote").alias("votes"), F.count("*").alias("n"))
+    day = F.unix_date(F.col(when).cast("date")) if half_life_days else F.lit(0)
+    long = members.select(group, F.coalesce(trust, F.lit(0.0)).cast("decimal(18,9)").alias("__vote"), day.alias("__day"), F.explode(cells).alias("__c"))
+    if not half_life_days:
+        return long.groupBy(group, "__c.field", "__c.value").agg(F.sum("__vote").alias("votes"), F.count("*").alias("n"))
+    daily = long.groupBy(group, "__c.field", "__c.value", "__day").agg(F.sum("__vote").cast("double").alias("__t"), F.count("*").alias("__n"))
+    span = daily.groupBy(F.col(group).alias("__g"), F.col("field").alias("__f")).agg(F.max("__day").alias("__last"), F.min("__day").alias("__first"))
+    aged = daily.join(span, F.col(group).eqNullSafe(F.col("__g")) & (F.col("field") == F.col("__f")))
+    age = F.coalesce(F.col("__last") - F.coalesce("__day", "__first"), F.lit(0)).alias("age")
+    by_age = F.array_sort(F.collect_list(F.struct(age, F.col("__t").alias("t"))))  # an entry per day at most
+    total = F.aggregate(by_age, F.lit(0.0), lambda s, x: s + x["t"] * F.pow(F.lit(0.5), x["age"] / half_life_days))
+    return aged.groupBy(group, "field", "value").agg(total.alias("votes"), F.sum("__n").alias("n"))
 
 
 def winners(votes: DataFrame, group: str) -> DataFrame:

@@ -45,9 +45,15 @@ def _utf8(s: str) -> str:
         return s
 
 
+def masked(text: str) -> str:
+    """Markup and addresses as blanks, a character for a character, so positions stay."""
+    blank = lambda m: " " * len(m.group())
+    return _URL.sub(blank, _TAG.sub(blank, text))
+
+
 def plain(text: str) -> str:
     """Without markup and addresses, with ordinary spaces."""
-    return _SPACE.sub(" ", _URL.sub(" ", _TAG.sub(" ", repair(text)))).strip()
+    return _SPACE.sub(" ", repair(masked(text))).strip()
 
 
 def folded(text: str) -> str:
@@ -58,6 +64,17 @@ def folded(text: str) -> str:
     return " ".join(low.translate(_DIGITS).split())
 
 
+def spans(text: str) -> list[tuple[int, int]]:
+    """Start and end of the sentences of a text: cut after closing punctuation and at line breaks, without blanks around."""
+    out, at = [], 0
+    for start, end in [m.span() for m in _BREAK.finditer(text)] + [(len(text), len(text))]:
+        piece = text[at:start]
+        if bare := piece.strip():
+            first = at + len(piece) - len(piece.lstrip())
+            out.append((first, first + len(bare)))
+        at = end
+    return out
+
+
 def sentences(text: str) -> list[str]:
-    """Cut after closing punctuation and at line breaks."""
-    return [s for s in (p.strip() for p in _BREAK.split(text)) if s]
+    return [text[a:b] for a, b in spans(text)]

@@ -27,6 +27,12 @@ def test_segments_and_edges(spark):
     for r in L.classify(df, "doc_id", "text", model).where("lang is not null").collect():
         got.setdefault(r.doc_id, set()).add(r.lang)
     assert got == {1: {"en", "fr"}, 2: {"en"}, 7: {"fr"}, 8: {"fr"}, 9: {"en"}}
+    runs = L.classify(spark.createDataFrame([(1, f"<b>{en}</b> {en}\n{fr} La route après que."), (2, "Golden Arrow\n" + en)], "doc_id long, text string"), "doc_id", "text", model).collect()
+    text = f"<b>{en}</b> {en}\n{fr} La route après que."
+    at = {(r.doc_id, r.segment): r for r in runs}
+    assert (at[1, 1].lang, at[1, 1].n_sentences, at[1, 2].lang, at[1, 2].n_sentences) == ("en", 2, "fr", 2) and len(runs) == 3
+    assert text[at[1, 1].start : at[1, 1].end] == f"{en}</b> {en}" and text[at[1, 2].start : at[1, 2].end] == f"{fr} La route après que."
+    assert at[2, 1].start == 13  # a name is no sentence
     assert L.classify(df.limit(0), "doc_id", "text", model).count() == 0
     empty = L.fit(df.limit(0), "doc_id", "text", "lang")
     assert L.classify(df, "doc_id", "text", empty).where("lang is not null").count() == 0

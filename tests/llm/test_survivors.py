@@ -30,3 +30,18 @@ def test_votes(spark):
     again = S.latest_delivery(m.union(m).withColumn("v", F.lit(1)), "g", "r", "v")
     assert again.count() == len(rows)
     assert S.winners(S.field_votes(m.limit(0), "g", ["f"], F.col("c"), "w", 30.0), "g").count() == 0
+
+
+def test_old_groups_still_count_recency(spark):
+    """Ages count from a group's own newest value of the field, so votes of years ago don't vanish."""
+    rows = [
+        ("old", 1, "x", 0.5, "2001-01-01"), ("old", 2, "x", 0.4, "2001-01-01"), ("old", 3, "y", 0.6, "2001-03-02"), ("new", 4, "p", 0.9, "2021-01-01"), ("new", 5, None, 0.9, "2024-01-01"),
+        ("new", 6, "q", 0.8, "2021-01-01"), ("none", 7, "a", 0.2, None), ("none", 8, "b", 0.3, None), ("some", 9, "a", 0.9, None), ("some", 10, "b", 0.4, "2020-02-01"), ("some", 11, "b", 0.1, "2020-01-02"),
+        (None, 12, "z", 0.3, "2020-01-01"), (None, 13, "w", 0.2, "2020-01-01"),
+    ]
+    m = spark.createDataFrame(rows, "g string, r int, f string, c double, w string").withColumn("w", F.to_date("w"))
+    votes = {(x.g, x.value): x.votes for x in S.field_votes(m, "g", ["f"], F.col("c"), "w", 30.0).collect()}
+    assert votes["old", "y"] == 0.6 and abs(votes["old", "x"] - 0.9 / 4) < 1e-12 and votes["new", "p"] == 0.9 and votes["none", "b"] == 0.3
+    assert abs(votes["some", "a"] - 0.45) < 1e-12 and abs(votes["some", "b"] - 0.45) < 1e-12
+    won = {x.g: x.value for x in S.winners(S.field_votes(m, "g", ["f"], F.col("c"), "w", 30.0), "g").collect()}
+    assert won == {"old": "y", "new": "p", "none": "b", "some": "b", None: "z"}
