@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandline.functions.keys import let
+
 #: Pattern that a text must have, and the format it is then read by.
 NOTATIONS = [
     (r"^\d{4}-\d{2}-\d{2}", "yyyy-MM-dd", 10),
@@ -21,12 +23,15 @@ NOTATIONS = [
 
 def read_date(c: Column) -> Column:
     """A date from ISO dates and timestamps, compact, slashed, dotted and English notations."""
-    t = F.regexp_replace(F.trim(c), r"\s+", " ")
-    out = F.lit(None).cast("date")
-    for pattern, fmt, n in reversed(NOTATIONS):
-        cut = F.substring(t, 1, n) if n < 99 else F.initcap(t) if "MMM" in fmt else t
-        out = F.when(t.rlike(pattern), F.to_date(F.try_to_timestamp(cut, F.lit(fmt)))).otherwise(out)
-    return out
+
+    def of(t: Column) -> Column:
+        out = F.lit(None).cast("date")
+        for pattern, fmt, n in reversed(NOTATIONS):
+            cut = F.substring(t, 1, n) if n < 99 else F.initcap(t) if "MMM" in fmt else t
+            out = F.when(t.rlike(pattern), F.to_date(F.try_to_timestamp(cut, F.lit(fmt)))).otherwise(out)
+        return out
+
+    return let(F.regexp_replace(F.trim(c), r"\s+", " "), of)
 
 
 def compact_to_iso(c: Column) -> Column:
