@@ -14,7 +14,7 @@ from strandline.functions.places import gazetteer_names, location_pieces, name_p
 from strandline.llm.matching import weighted
 from strandline.llm.neighbourhood import sorted_neighbours
 from strandline.llm.slips import Names, similarity
-from strandline.llm.spots import kind_word, spot_kind, spot_name, spot_piece
+from strandline.llm.spots import KINDS, spot_kind, spot_name, spot_piece
 from strandline.session import materialize
 
 DAYS = 3
@@ -22,52 +22,55 @@ DAYS = 3
 NAME_LEAST, TOWN_KM, PROVINCE_SLIPS = 0.7, 80.0, 2
 #: Weights of the similarities of name, kind, town and date.
 WEIGHTS = (0.55, 0.1, 0.2, 0.15)
-#: Words that follow the name of a province.
-PROVINCE_WORDS = r" (?:state|region|province|district|county|department|governorate)$"
+# Words that follow the name of a province.
+PROVINCE_WORDS = ["state", "region", "province", "district", "county", "department", "governorate"]
 
 
 def _keys(left: bool) -> Column:
     """Composite sort keys, so that every two rows of one country meet unless both name towns, none in common.
 
     Rows that name towns meet under (country, town). Where either names none they meet under (country, kind), and where
-    also either kind is unknown under the country alone. A digit tells which side lacks what, so that two rows meet in one way only.
+    also a kind is unknown under the country alone, or under every kind. A digit tells which side lacks what, so that two rows meet in one way only.
     """
     c, town, kind = F.col, F.size("towns") > 0, F.col("kind").isNotNull()
     key = lambda n, *more: F.concat_ws("|", c("iso3"), F.lit(str(n)), *more)
     towns = F.transform("towns", lambda t: key(0, t.cast("string")))
     if left:
-        rest = F.when(town & kind, F.array(key(2, c("kind")), key(6))).when(town, F.array(key(5))).when(kind, F.array(key(1, c("kind")), key(4))).otherwise(F.array(key(3)))
+        rest = F.when(town & kind, F.array(key(2, c("kind")))).when(town, F.array(key(5))).when(kind, F.array(key(1, c("kind")), key(4))).otherwise(F.array(key(3)))
     else:
-        townless = F.when(town, F.array().cast("array<string>")).when(kind, F.array(key(2, c("kind")), key(5))).otherwise(F.array(key(5), key(6)))
+        every = F.array(*(key(2, F.lit(k)) for k in KINDS), key(5))
+        townless = F.when(town, F.array().cast("array<string>")).when(kind, F.array(key(2, c("kind")), key(5))).otherwise(every)
         rest = F.concat(F.when(kind, F.array(key(1, c("kind")), key(3))).otherwise(F.array(key(3), key(4))), townless)
     return F.when(c("iso3").isNotNull(), F.concat(towns, rest))
 
 
 def _spots(rows: DataFrame, left: bool) -> DataFrame:
     """id, day, name, kind and keys of rows(id, iso3, day, towns, piece) whose piece names a spot."""
-    s = rows.where("piece is not null").withColumn("word", kind_word(F.col("piece")))
-    s = s.select("id", "iso3", "day", "towns", spot_name(F.col("piece"), F.col("word")).alias("name"), spot_kind(F.col("word")).alias("kind")).where("name is not null")
+    s = rows.where("piece is not null").select("id", "iso3", "day", "towns", spot_name(F.col("piece")).alias("name"), spot_kind(F.col("piece")).alias("kind")).where("name is not null")
     return s.select("id", "day", "name", F.when(F.col("kind").isNull(), 0).otherwise(F.xxhash64("kind")).alias("sort"), _keys(left).alias("keys"))
 
 
 def _records(records: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """Spots of the records. One pass over their pieces finds the towns they name, the country where no code is given,
+    and, where no piece has a word for a kind, the first that is the name of no place, province or country.
+    """
+    c = F.col
     r = records.select(
-        F.col("record_id").alias("id"), code_key(F.col("iso3")).alias("iso3"), location_pieces(F.col("location_name")).alias("pieces"),
-        days(F.coalesce(read_date(F.col("event_date")), read_date(F.col("publish_date")))).alias("day"),
-    ).where("id is not null and size(pieces) > 0")
-    r = materialize(r, "records")
-    each = r.select("id", F.posexplode("pieces").alias("at", "piece"))
+        c("record_id").alias("id"), code_key(c("iso3")).alias("iso3"), location_pieces(c("location_name")).alias("pieces"),
+        days(F.coalesce(read_date(c("event_date")), read_date(c("publish_date")))).alias("day"),
+    ).where("id is not null and day is not null")
+    each = r.select("id", "iso3", "day", spot_piece(c("pieces")).alias("spot"), F.when(c("iso3").isNull(), c("pieces")).alias("all"), F.posexplode("pieces").alias("at", "piece"))
     names = gazetteer_names(gazetteer)
-    towns = each.join(names.select("name", "place_id"), F.col("piece") == F.col("name")).groupBy("id").agg(F.collect_set("place_id").alias("towns"))
-    bare = name_places(r.where("iso3 is null"), "id", "pieces", None, gazetteer).select("id", F.col("g_iso3").alias("__iso3"))
-    out = r.join(towns, "id", "left").join(bare, "id", "left")
-    # without a word for its kind, a spot is the first piece that is the name of no place, province or country
-    plain = each.join(r.where(spot_piece(F.col("pieces")).isNull()).select("id"), "id", "left_semi")
-    places = names.select("name").union(names.select("g_country")).union(names.select("g_admin1")).where("name is not null").distinct()
-    free = plain.join(places, F.regexp_replace("piece", PROVINCE_WORDS, "") == F.col("name"), "left_anti").groupBy("id").agg(F.min_by("piece", "at").alias("__free"))
-    out = out.join(free, "id", "left")
-    piece = F.coalesce(spot_piece(F.col("pieces")), F.col("__free"))
-    return _spots(out.select("id", F.coalesce("iso3", "__iso3").alias("iso3"), "day", F.coalesce("towns", F.array().cast("array<long>")).alias("towns"), piece.alias("piece")), True)
+    none = [F.lit(None).cast(t).alias(n) for n, t in names.dtypes if n not in ("name", "g_country", "g_admin1")]
+    wide = F.explode(F.concat(F.array("g_country", "g_admin1"), *(F.array(F.concat("g_admin1", F.lit(f" {w}"))) for w in PROVINCE_WORDS))).alias("name")
+    other = names.select(wide).where("name is not null").distinct().select("name", *none, F.lit(None).cast("string").alias("g_country"), F.lit(None).cast("string").alias("g_admin1"))
+    hit = each.join(names.unionByName(other), c("piece") == c("name"), "left")
+    yes = lambda x: F.coalesce(x.cast("int"), F.lit(0))
+    score = 2 * yes(F.array_contains("all", c("g_country"))) + yes(F.exists("all", lambda p: c("g_admin1").isNotNull() & p.startswith(c("g_admin1"))))
+    found = hit.groupBy("id", "iso3", "day", "spot").agg(
+        F.collect_set("place_id").alias("towns"), F.max_by("g_iso3", F.when(c("place_id").isNotNull(), F.struct(score, -c("place_id")))).alias("named"), F.min_by("piece", F.when(c("name").isNull(), c("at"))).alias("free")
+    )
+    return _spots(found.select("id", F.coalesce("iso3", "named").alias("iso3"), "day", "towns", F.coalesce("spot", "free").alias("piece")), True)
 
 
 def _events(events: DataFrame, gazetteer: DataFrame) -> DataFrame:
@@ -123,7 +126,7 @@ def same_happenings(records: DataFrame, events: DataFrame, gazetteer: DataFrame,
     province = F.when(c("admin1").isNotNull(), F.exists("l_pieces", lambda p: slips(p) >= 0))
     named = F.coalesce(F.arrays_overlap("l_pieces", "town"), F.lit(False))
     town = F.when(named, F.lit(1.0)).when(both, (haversine_km(c("l_lat"), c("l_lon"), c("lat"), c("lon")) <= TOWN_KM).cast("double")).when(province, F.lit(1.0))
-    kind = lambda pieces: spot_kind(kind_word(spot_piece(pieces)))
+    kind = lambda pieces: spot_kind(spot_piece(pieces))
     near = near.withColumns({"l_kind": kind(c("l_pieces")), "r_kind": kind(c("own"))})
     s_kind = F.when(c("l_kind").isNotNull() & c("r_kind").isNotNull(), (c("l_kind") == c("r_kind")).cast("double"))
     scored = near.withColumns({"s_kind": s_kind, "s_town": town, "s_date": 1 - F.abs("gap") / (days + 1)}).where(F.coalesce(c("s_town") > 0, F.lit(True)))

@@ -13,29 +13,31 @@ KINDS = {
     "prison": ["prison"], "refinery": ["refinery", "refin"], "road": ["road", "rd"], "school": ["school"], "square": ["square", "sq"], "stadium": ["stadium"], "station": ["station", "stn"],
     "street": ["street", "st"], "temple": ["temple"], "terminal": ["terminal", "term"], "university": ["university", "univ"],
 }
-_WORDS = "|".join(w for ws in KINDS.values() for w in ws)
-_WITH_KIND = rf"^(?:(?:{_WORDS})\.? .+|.+ (?:{_WORDS})\.?$)"
+WORDS = {w: kind for kind, words in KINDS.items() for w in words}
 
 
-def spot_piece(pieces: Column) -> Column:
-    """The piece that ends, or begins, with a kind of spot."""
-    return F.try_element_at(F.filter(pieces, lambda p: p.rlike(_WITH_KIND)), F.lit(1))
+def _end(piece: Column, n: int) -> Column:
+    """The first (1) or last (-1) word, without a point at its end."""
+    return F.rtrim(F.substring_index(piece, " ", n), F.lit("."))
 
 
-def kind_word(piece: Column) -> Column:
-    """The word for the kind, as written: the last word, else the first; empty where there is none."""
-    last = F.regexp_extract(piece, rf" ({_WORDS})\.?$", 1)
-    return F.when(last != "", last).otherwise(F.regexp_extract(piece, rf"^({_WORDS})\.? ", 1))
+def spot_piece(pieces: Column) -> Column:
+    """The first piece of two words or more that ends, or begins, with a kind of spot."""
+    kinds = list(WORDS)
+    return F.try_element_at(F.filter(pieces, lambda p: F.contains(p, F.lit(" ")) & (_end(p, -1).isin(kinds) | _end(p, 1).isin(kinds))), F.lit(1))
 
 
-def spot_kind(word: Column) -> Column:
-    """The kind that :func:`kind_word` stands for; NULL where there is none."""
-    pairs = [F.lit(x) for kind, words in KINDS.items() for w in words for x in (w, kind)]
-    return F.try_element_at(F.create_map(*pairs), word)
+def spot_kind(piece: Column) -> Column:
+    """The kind that a piece's last word, else its first, stands for; NULL where there is none, or no other word."""
+    table = F.create_map(*(F.lit(x) for kv in WORDS.items() for x in kv))
+    kind = F.coalesce(F.try_element_at(table, _end(piece, -1)), F.try_element_at(table, _end(piece, 1)))
+    return F.when(F.contains(piece, F.lit(" ")), kind)
 
 
-def spot_name(piece: Column, word: Column) -> Column:
+def spot_name(piece: Column) -> Column:
     """The proper name without its kind, letters and digits only."""
-    n, k = F.length(piece), F.length(word)
-    bare = F.when(word == "", piece).when(F.endswith(F.rtrim(piece, F.lit(".")), F.concat(F.lit(" "), word)), F.substring(piece, F.lit(1), n - k - 1)).otherwise(F.substring(piece, k + 1, n))
+    kinds, last, first = list(WORDS), F.substring_index(piece, " ", -1), F.substring_index(piece, " ", 1)
+    n = F.length(piece)
+    bare = F.when(~F.contains(piece, F.lit(" ")), piece).when(_end(piece, -1).isin(kinds), F.substring(piece, F.lit(1), n - F.length(last)))
+    bare = bare.when(_end(piece, 1).isin(kinds), F.substring(piece, F.length(first) + 1, n)).otherwise(piece)
     return F.nullif(F.regexp_replace(bare, r"[^\p{L}\p{N}]", ""), F.lit(""))
