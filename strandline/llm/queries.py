@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.pages import page_key
 from strandline.llm import languages
-from strandline.llm.encoding import encode
+from strandline.llm.encoding import decode, encode
 from strandline.llm.happenings import same_happenings
 from strandline.llm.linking import link_records
 from strandline.llm.matching import one_to_one
@@ -54,6 +54,12 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The round trip: every document encoded and decoded again, as the digest of the text that comes out."""
+    texts = decode(p8_ids(spark, d), "doc_id", "ids")
+    return texts.select("doc_id", F.md5("text").alias("digest"))
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     """(id, source, size in tokens) of the documents of the target sources."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), source_key(F.col("source")).alias("source"), "text")
@@ -129,7 +135,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_languages(spark, d).where("label is null or n_langs > 1 or label <> lang").select("doc_id", "lang")
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p10_found": p10_found, "p10_languages": p10_languages, "p10_segments": p10_segments, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p7_found": p7_found, "p7_pairs": p7_pairs, "p7_matches": p7_matches, "p6_found": p6_found, "p6_groups": p6_groups}
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p10_found": p10_found, "p10_languages": p10_languages, "p10_segments": p10_segments, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_mix": p9_mix, "p9_shares": p9_shares, "p7_found": p7_found, "p7_pairs": p7_pairs, "p7_matches": p7_matches, "p6_found": p6_found, "p6_groups": p6_groups}
 
 
 
@@ -206,6 +212,7 @@ SQL = {
     "p1_survivors": f"with {_RECENT} select m.cluster_id, max(confidence) as confidence, max(n_members) as n_members, "
     + ", ".join(f"max(value) filter (field = '{x}') as {x}" for x in (*FIELDS, "issue", "protest_type", "subloc"))
     + ", case when count(k.field) > 0 then coalesce(array_to_string(list_sort(list(k.field) filter (d > 1)), ','), '') end as conflicted_fields from m left join k using (cluster_id) group by 1",
+    "p8_decoded": "select doc_id, md5(coalesce(text, '')) as digest from documents",
     "p7_found": f"with {_HAPPENINGS} select record_id, event_id_cnty from p where {_GATE}",
     "p7_pairs": f"with {_HAPPENINGS} select record_id, event_id_cnty, {_SCORE} as confidence from p where {_GATE}",
     "p1_found": f"with {_SURVIVORS} select cluster_id, field, value from k union all select cluster_id, 'conflicted_fields', field from k where d > 1",

@@ -31,6 +31,29 @@ def test_ids(spark, tok):
     assert E.encode(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_decode(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in E.decode(E.encode(df, "doc_id", "text"), "doc_id", "ids").collect()}
+    assert got == {i: t or "" for i, t in enumerate(TEXTS)}
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [15496, 999_999]), (4, [128])], "k int, ids array<long>")
+    assert {r.k: r.text for r in E.decode(odd, "k", "ids").collect()} == {1: None, 2: "", 3: "Hello\ufffd", 4: E.load_vocabulary().pieces[128].decode("utf-8", "replace")}
+    assert E.decode(odd.limit(0), "k", "ids").count() == 0
+
+
+def test_a_vocabulary_of_ranks_alone(tok):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(E.TOKENIZERS, "byte_bpe_multi_50k.tiktoken").read_bytes().splitlines())}
+    other = tiktoken.Encoding("multi", pat_str=E.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    e = E.Encoder(E.load_vocabulary("byte_bpe_multi_50k"))
+    assert e.encode(TEXTS).to_pylist() == [other.encode_ordinary(t) if t else [] for t in TEXTS]
+
+
+def test_very_long_words(tok):
+    """One word of 300,000 letters, and many of just under the bound: neither time nor memory runs away."""
+    e = E.Encoder(E.load_vocabulary())
+    texts = ["".join(chr(97 + (i * i) % 23 % 26) for i in range(300_000)), "é" * 100_000, " ".join("".join(chr(97 + (i * k) % 26) for i in range(250)) for k in range(300))]
+    assert e.encode(texts).to_pylist() == [tok.encode_ordinary(t) for t in texts]
+
+
 def test_words_are_forgotten_in_bounds(tok, monkeypatch):
     monkeypatch.setattr(E, "WORDS", 5)
     e = E.Encoder(E.load_vocabulary())
