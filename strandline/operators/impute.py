@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -54,9 +54,15 @@ class KPrototypes:
     std: np.ndarray = field(default=None)
     centres: np.ndarray = field(default=None)
     modes: np.ndarray = field(default=None)
+    #: Passes over all rows, and by which share the last one lowered the total distance.
+    rounds: int = 0
+    shift: float = 0.0
 
     def nearest(self, pdf: pd.DataFrame) -> np.ndarray:
-        """Distance: mean squared difference over the numbers a row has, plus gamma per differing category.
+        return self.placed(pdf)[0]
+
+    def placed(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Nearest centre and its distance: mean squared difference over the numbers a row has, plus gamma per differing category.
 
         A row without any number is placed by its categories alone; ties go to the first centre.
         """
@@ -68,17 +74,24 @@ class KPrototypes:
         for j, c in enumerate(self.categorical):
             v = pdf[c].to_numpy(object)
             d += self.gamma * (v[:, None] != self.modes[None, :, j])
-        return d.argmin(1)
+        at = d.argmin(1)
+        return at, np.maximum(d[np.arange(len(at)), at], 0.0)
+
 
+def fit(df: DataFrame, numeric: list[str], categorical: list[str], k: int = 24, gamma: float = 0.5, stable: float = 1e-3, most: int = 100) -> KPrototypes:
+    """Lloyd's iterations as aggregations: only k centres ever reach the driver.
 
-def fit(df: DataFrame, numeric: list[str], categorical: list[str], k: int = 24, iterations: int = 5, gamma: float = 0.5) -> KPrototypes:
-    """Lloyd's iterations as aggregations: only k centres ever reach the driver."""
+    The first centres come from a bounded sample, which is brought to rest on the driver; all rows are then gone
+    through until a pass lowers the total distance by less than ``stable``, as a share. ``rounds`` and ``shift`` of the result
+    tell how many passes that took (``most`` at most) and what the last one still changed.
+    """
     rows = df.select(*(F.col(c).cast("double").alias(c) for c in numeric), *(F.col(c).cast("string").alias(c) for c in categorical))
-    s = rows.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(numeric)), *(F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(numeric))).first()
+    s = rows.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(numeric)), *(F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(numeric)), F.count("*").alias("n")).first()
     m = KPrototypes(numeric, categorical, gamma)
     m.mean = np.array([s[f"m{i}"] if s[f"m{i}"] is not None else 0.0 for i in range(len(numeric))])
     m.std = np.array([s[f"s{i}"] or 1.0 for i in range(len(numeric))])
-    seeds = rows.orderBy(F.xxhash64(*rows.columns), *rows.columns).limit(SEED_ROWS).toPandas()
+    draw = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 40)) / float(1 << 40)  # by content, so partitions don't matter
+    seeds = rows.where(draw <= min(1.0, 2.0 * SEED_ROWS / max(s["n"], 1))).orderBy(F.xxhash64(*rows.columns), *rows.columns).limit(SEED_ROWS).toPandas()
     if seeds.empty:
         m.centres, m.modes = np.zeros((1, len(numeric))), np.full((1, len(categorical)), None, object)
         return m
@@ -92,37 +105,59 @@ def fit(df: DataFrame, numeric: list[str], categorical: list[str], k: int = 24,
             break
         chosen.append(int(far.argmax()))
     m.centres, m.modes = x[chosen], cat[chosen]
-    for _ in range(iterations):
-        before = (m.centres.copy(), m.modes.copy())
-        _refine(rows, m)
-        if np.allclose(before[0], m.centres, atol=1e-3) and (before[1] == m.modes).all():
-            break
+    _rest(lambda: _moved(m, _sums(m, seeds)), stable, most)
+    m.rounds, m.shift = _rest(lambda: _refine(rows, m), stable, most)
     return m
 
 
-def _refine(rows: DataFrame, m: KPrototypes) -> None:
+def _rest(step: Callable[[], float], stable: float, most: int) -> tuple[int, float]:
+    """Steps until the total distance that each returns falls by less than a share of it."""
+    last = None
+    for i in range(most):
+        total = step()
+        shift = (last - total) / last if last else 1.0 if last is None and total else 0.0
+        if shift < stable:
+            return i + 1, shift
+        last = total
+    return most, shift
+
+
+def _sums(m: KPrototypes, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Counts and sums per centre and number (j), counts per centre and category's value, and the total distance (j = -1)."""
+    c, d = m.placed(pdf)
+    x = (pdf[m.numeric].to_numpy(float) - m.mean) / m.std
+    out = [pd.DataFrame({"c": [0], "j": [-1], "v": [None], "n": [len(c)], "t": [float(d.sum())]})]
+    for j in range(len(m.numeric)):
+        ok = ~np.isnan(x[:, j])
+        n = np.bincount(c[ok], minlength=len(m.centres))
+        t = np.bincount(c[ok], weights=x[ok, j], minlength=len(m.centres))
+        out.append(pd.DataFrame({"c": np.arange(len(n)), "j": j, "v": None, "n": n, "t": t})[n > 0])
+    for j, name in enumerate(m.categorical):
+        n = pd.DataFrame({"c": c, "v": pdf[name].to_numpy(object)}).dropna().value_counts().reset_index(name="n")
+        out.append(n.assign(j=len(m.numeric) + j, t=0.0)[["c", "j", "v", "n", "t"]])
+    return pd.concat(out)
+
+
+def _moved(m: KPrototypes, sums: pd.DataFrame) -> float:
+    """Put the centres where the sums say; gives the total distance before."""
+    total = float(sums.t[sums.j == -1].sum())
+    best = sums[sums.j >= 0].sort_values(["n", "v"], na_position="first").groupby(["c", "j"]).tail(1)
+    for c, j, v, n, t in best[["c", "j", "v", "n", "t"]].itertuples(index=False):
+        if j < len(m.numeric):
+            m.centres[c, j] = t / n
+        else:
+            m.modes[c, j - len(m.numeric)] = v
+    return total
+
+
+def _refine(rows: DataFrame, m: KPrototypes) -> float:
     def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            c = m.nearest(pdf)
-            x = (pdf[m.numeric].to_numpy(float) - m.mean) / m.std
-            out = []
-            for j in range(len(m.numeric)):
-                ok = ~np.isnan(x[:, j])
-                n = np.bincount(c[ok], minlength=len(m.centres))
-                t = np.bincount(c[ok], weights=x[ok, j], minlength=len(m.centres))
-                out.append(pd.DataFrame({"c": np.arange(len(n)), "j": j, "v": None, "n": n, "t": t})[n > 0])
-            for j, name in enumerate(m.categorical):
-                n = pd.DataFrame({"c": c, "v": pdf[name].to_numpy(object)}).dropna().value_counts().reset_index(name="n")
-                out.append(n.assign(j=len(m.numeric) + j, t=0.0)[["c", "j", "v", "n", "t"]])
-            yield pd.concat(out) if out else pd.DataFrame({"c": [], "j": [], "v": [], "n": [], "t": []})
+            yield _sums(m, pdf)
 
     sums = rows.mapInPandas(partial, "c int, j int, v string, n long, t double").groupBy("c", "j", "v").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     best = sums.groupBy("c", "j").agg(F.max_by(F.struct("v", "n", "t"), F.struct("n", "v")).alias("b"))
-    for r in best.collect():
-        if r.j < len(m.numeric):
-            m.centres[r.c, r.j] = r.b.t / r.b.n
-        else:
-            m.modes[r.c, r.j - len(m.numeric)] = r.b.v
+    return _moved(m, best.select("c", "j", "b.*").toPandas())  # a row per centre and column
 
 
 def assign(df: DataFrame, m: KPrototypes, to: str = "cluster") -> DataFrame:
@@ -142,8 +177,8 @@ def fill(df: DataFrame, levels: list[list[str]], numeric: list[str], categorical
     ``levels`` runs from fine to coarse, each a list of columns; ``[]`` is
     the whole table and needs one value only. Numbers get the level's median
     (``percentile_approx``: bounded memory however large the group), categories its mode.
-    Adds ``<field>_filled`` (boolean) and ``<field>_method`` (level's name, ``observed``,
-    or ``none`` where nothing is known at all). Observed values never change; rows with a
+    Adds ``<field>_method`` (level's name, ``observed``, or ``none`` where nothing is known at all) and ``<field>_filled``, true
+    exactly where a level gave the value. Observed values never change; rows with a
     NULL level column skip that level. All levels come from one pass.
     """
     categorical = categorical or []
@@ -172,5 +207,5 @@ def fill(df: DataFrame, levels: list[list[str]], numeric: list[str], categorical
         for i, lv in enumerate(levels):
             name = name.when(F.col(f"__v{i}_{f}").isNotNull(), F.lit("+".join(lv) or "all"))
         out = out.withColumn(f"{f}_method", name.otherwise("none"))
-        out = out.withColumn(f"{f}_filled", F.col(f).isNull()).withColumn(f, F.coalesce(F.col(f), *(F.col(f"__v{i}_{f}") for i in range(len(levels)))))
+        out = out.withColumn(f"{f}_filled", ~F.col(f"{f}_method").isin("observed", "none")).withColumn(f, F.coalesce(F.col(f), *(F.col(f"__v{i}_{f}") for i in range(len(levels)))))
     return out.drop(*(f"__v{i}_{f}" for i in range(len(levels)) for f in fields))

@@ -64,9 +64,10 @@ def trailing_totals(dates: DataFrame, daily: DataFrame, entity: str, date: str,
     return out.withColumn(date, F.date_from_unix_date("__d")).withColumnRenamed("__e", entity).drop("__d")
 
 
-def others_in_group(dates: DataFrame, daily: DataFrame, groups: DataFrame, entity: str, group: str, date: str, wanted: list[Trailing]) -> DataFrame:
-    """Trailing totals over all *other* entities of the same group.
+def others_in_group(own: DataFrame, daily: DataFrame, groups: DataFrame, entity: str, group: str, date: str, wanted: list[Trailing]) -> DataFrame:
+    """Trailing totals over all *other* entities of the same group, in place of the entity's own.
 
+    ``own`` is what :func:`trailing_totals` gives for the same periods, with or without more of them; its other columns stay.
     The group's daily totals are built once, range-joined like an entity's, and the
     entity's own total is taken off, so no pair of entities is ever formed. An entity
     of no group, or alone in it, gets 0.
@@ -74,12 +75,11 @@ def others_in_group(dates: DataFrame, daily: DataFrame, groups: DataFrame, entit
     g = groups.select(F.col(entity).alias("__ge"), F.col(group).alias("__g")).where("__ge is not null and __g is not null").dropDuplicates(["__ge"])
     values = sorted({t.value for t in wanted})
     of_group = daily.join(g, F.col(entity) == F.col("__ge")).groupBy("__g", date).agg(*(F.sum(F.col(v).cast("double")).alias(v) for v in values))
-    q = dates.select(entity, date).where(F.col(entity).isNotNull() & F.col(date).isNotNull()).distinct()
-    own = trailing_totals(q, daily, entity, date, wanted).withColumnsRenamed({t.name: f"__own_{t.name}" for t in wanted})
     placed = own.join(g, F.col(entity) == F.col("__ge"), "left")
-    whole = trailing_totals(placed.select("__g", date), of_group, "__g", date, wanted).withColumnRenamed("__g", "__g2").withColumnRenamed(date, "__date2")
+    whole = trailing_totals(placed.select("__g", date), of_group, "__g", date, wanted).select(F.col("__g").alias("__g2"), F.col(date).alias("__date2"), *(F.col(t.name).alias(f"__all_{t.name}") for t in wanted))
     out = placed.join(whole, (F.col("__g") == F.col("__g2")) & (F.col(date) == F.col("__date2")), "left")
-    return out.select(entity, date, *(F.when(F.col("__g").isNull(), 0.0).otherwise(F.col(t.name) - F.col(f"__own_{t.name}")).alias(t.name) for t in wanted))
+    rest = {t.name: F.when(F.col("__g").isNull(), 0.0).otherwise(F.col(f"__all_{t.name}") - F.col(t.name)).alias(t.name) for t in wanted}
+    return out.select(*(rest.get(c, F.col(c)) for c in own.columns))
 
 
 def calendar(daily: DataFrame, entity: str, date: str) -> DataFrame:

@@ -49,7 +49,8 @@ def test_others_in_group(spark):
     daily = spark.createDataFrame([("a", D0, 1.0), ("b", D0, 2.0), ("c", D0, 4.0)], "u string, d date, v double")
     groups = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("d", 1)], "u string, g int")
     q = spark.createDataFrame([(u, D0 + timedelta(3)) for u in "abcde"], "u string, d date")
-    got = {r.u: r.w for r in others_in_group(q, daily, groups, "u", "g", "d", [Trailing("w", "v", 14)]).collect()}
+    own = trailing_totals(q, daily, "u", "d", [Trailing("w", "v", 14), Trailing("x", "v", 2)])
+    got = {r.u: r.w for r in others_in_group(own, daily, groups, "u", "g", "d", [Trailing("w", "v", 14)]).collect()}
     assert got == {"a": 2.0, "b": 1.0, "c": 0.0, "d": 3.0, "e": 0.0}
 
 
@@ -71,6 +72,12 @@ def test_known_values_never_come_from_later(spark):
         for j, a in enumerate("pq"):
             ok = [(y, at, r, val) for cc, aa, y, r, val, at in rel if d and cc == c and aa == a and val is not None and at.date() <= d]
             assert got[i][j] == (max(ok)[3] if ok else None)
+    exact = [(i, c, d and datetime(d.year, d.month, d.day, rnd.randrange(24), rnd.choice([0, 30]))) for i, c, d in ev] + [(1000 + i, x[0], x[5] - timedelta(microseconds=k)) for i, (x, k) in enumerate((x, k) for x in rel for k in (0, 1))]
+    got = {r.id: (r.known_p, r.known_q) for r in with_known(spark.createDataFrame(exact, "id int, c string, d timestamp"), v, "c", "d", ["p", "q"], bucket_days=100).collect()}
+    for i, c, t in exact:
+        for j, a in enumerate("pq"):
+            ok = [(y, at, r, val) for cc, aa, y, r, val, at in rel if t and cc == c and aa == a and val is not None and at <= t]
+            assert got[i][j] == (max(ok)[3] if ok else None)  # a release later on the day is not seen
 
 
 def test_fill_beats_global_median_on_held_out_cells(spark):
@@ -83,7 +90,8 @@ def test_fill_beats_global_median_on_held_out_cells(spark):
     df = spark.createDataFrame(rows, "id int, unit string, country string, x double, truth double, helper double")
     m = impute.fit(df, ["x", "helper"], ["unit", "country"], k=8)
     out = impute.fill(impute.assign(df, m), [["cluster", "unit"], ["unit"], ["cluster", "country"], ["cluster"], []], ["x"]).collect()
-    assert len(out) == len(rows) and all(r.x_filled == (r.x_method != "observed") for r in out)
+    assert len(out) == len(rows) and all(r.x_filled == (r.x_method not in ("observed", "none")) for r in out)
+    assert m.rounds < 100 and m.shift < 1e-3  # at rest
     held = [r for r in out if r.x_filled]
     mid = sorted(r.truth for r in out)[len(out) // 2]
     assert held and sum(abs(r.x - r.truth) for r in held) < 0.1 * sum(abs(mid - r.truth) for r in held)
@@ -95,6 +103,7 @@ def test_fill_edges(spark):
     m = impute.fit(df, ["x"], ["unit"])
     out = impute.fill(impute.assign(df, m), [["cluster", "unit"], []], ["x"], ["c"]).orderBy("id").collect()
     assert [r.x_method for r in out] == ["none"] * 3 and [r.c for r in out] == ["r", "r", "r"] and [r.c_filled for r in out] == [True, False, True]
+    assert not any(r.x_filled for r in out)  # nothing is known, so nothing was filled
     empty = spark.createDataFrame([], schema)
     assert impute.fill(impute.assign(empty, impute.fit(empty, ["x"], ["unit"])), [["cluster"], []], ["x"]).count() == 0
 
@@ -104,3 +113,12 @@ def test_real_figures(spark, value, real):
     f = impute.Figure("x", low=1e-9, high=100.0, codes=(-999.0,), percent=True)
     got = spark.createDataFrame([(value,)], "x double").select(f.real(F.col("x")), f.clean(F.col("x"))).first()
     assert got[0] == real and got[1] == ({0.31: 31.0}.get(value, value) if real else None)
+
+
+def test_hidden_figures_come_back(spark):
+    from strandline.plans.panel_problems import p5_categories, p5_holdout
+
+    for r in p5_holdout(spark, "/root/testdata/sf0.01").collect():
+        assert r.n == r.n_filled > 50 and r.error < r.error_of_median / 2
+    c = p5_categories(spark, "/root/testdata/sf0.01").collect()
+    assert all(r.sector is not None and r.sector_filled == (r.sector_method not in ("observed", "none")) for r in c) and any(r.sector_method == "group" for r in c)
