@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,3 +63,80 @@ def period(c: Column) -> tuple[Column, Column, Column]:
 def month_cycle(d: Column) -> tuple[Column, Column]:
     angle = 2 * F.pi() * F.month(d) / 12
     return F.sin(angle), F.cos(angle)
+
+
+#: Words that make a phrase relative to the day it was written.
+RELATIVE = r"(?i)\b(last|next|this|ago|since|yesterday|today|tomorrow|earlier|recent|recently|monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b"
+_ABSOLUTE = [
+    (r"(\d{4}-\d{2}-\d{2})", None), (r"(\d{1,2} [A-Za-z]{3,9} \d{4})", None), (r"([A-Za-z]{3,9} \d{1,2}, \d{4})", None),
+    (r"\b(\d{1,2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*)\b", "{} {}"), (r"\b((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2})\b", "{}, {}"),
+]
+
+
+def event_start(text: Column, published: Column, resolve_relative: bool = False) -> Column:
+    """The date a phrase gives for an event's start; a missing year is that of publication, which must lie between 1990 and next year.
+
+    Phrases relative to the day of writing give NULL, or with ``resolve_relative`` the date that stands in them all the same.
+    """
+    found = []
+    for pattern, with_year in _ABSOLUTE:
+        got = F.regexp_extract(text, pattern, 1)
+        if with_year:
+            a, b = with_year.split("{}")[1], F.year(published).cast("string")
+            got = F.when(got != "", F.concat(got, F.lit(a), b))
+        found.append(read_date(got))
+    d = F.coalesce(*found)
+    d = F.when(F.year(d).between(1990, F.year(F.current_date()) + 1), d)
+    return d if resolve_relative else F.when(~F.coalesce(text.rlike(RELATIVE), F.lit(False)), d)
+
+
+def parse_days(spec: str) -> list[date]:
+    """Days of ``20240105``, a range ``20240105-20240110`` in either order, or a list ``20240105,20240110``; sorted, each once.
+
+    A date that doesn't exist is an error.
+    """
+    day = lambda t: datetime.strptime(t.strip(), "%Y%m%d").date()
+    if "," in spec:
+        return sorted({day(t) for t in spec.split(",") if t.strip()})
+    if "-" in spec:
+        a, b = sorted(day(t) for t in spec.split("-", 1))
+        return [a + timedelta(i) for i in range((b - a).days + 1)]
+    return [day(spec)]
+
+
+def year_windows(first: int, end: date) -> list[tuple[date, date]]:
+    """Whole years from ``first`` on, the last one up to ``end``."""
+    return [(date(y, 1, 1), min(date(y, 12, 31), end)) for y in range(first, end.year + 1)]
+
+
+def month_windows(start: date, end: date, overlap: int = 0) -> list[tuple[date, date, date, date]]:
+    """(read from, read to, first, last) per month: what is read reaches ``overlap`` days over the month's own days."""
+    out, at = [], start.replace(day=1)
+    while at <= end:
+        after = (at.replace(day=28) + timedelta(4)).replace(day=1)
+        lo, hi = max(at, start), min(after - timedelta(1), end)
+        out.append((lo - timedelta(overlap), hi + timedelta(overlap), lo, hi))
+        at = after
+    return out
+
+
+def sliding_windows(start: date, end: date, length: int, step: int) -> list[tuple[date, date]]:
+    """Windows of ``length`` days, one every ``step`` days, until one reaches ``end``."""
+    out, at = [], start
+    while True:
+        out.append((at, min(at + timedelta(length - 1), end)))
+        if out[-1][1] >= end:
+            return out
+        at += timedelta(step)
+
+
+def quarter_hours(day: date) -> list[datetime]:
+    """The 96 slots of a day."""
+    return [datetime(day.year, day.month, day.day) + timedelta(minutes=15 * i) for i in range(96)]
+
+
+def elapsed(seconds: float) -> str:
+    """Hours, minutes and seconds, as far as there are any."""
+    h, rest = divmod(int(seconds), 3600)
+    m, s = divmod(rest, 60)
+    return f"{h}h {m:02d}m {s:02d}s" if h else f"{m}m {s:02d}s" if m else f"{seconds:.1f}s"

@@ -37,3 +37,8 @@ def equirectangular_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -
 def planar_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Distance in the plane of (lat, lon) in radians, times the earth's radius."""
     return EARTH_KM * F.sqrt(F.pow(F.radians(lat2 - lat1), 2) + F.pow(F.radians(lon2 - lon1), 2))
+
+
+def near_origin(lat: Column, lon: Column, degrees: float = 1.0) -> Column:
+    """Whether a position lies so close to (0, 0) that it stands for none."""
+    return F.coalesce((F.abs(lat) < degrees) & (F.abs(lon) < degrees), F.lit(False))

@@ -52,9 +52,9 @@ def html_text(html: Column) -> Column:
 
 
 def looks_like_xml(content_type: Column, head: Column) -> Column:
-    start = F.lower(F.ltrim(F.substring(head, 1, 300)))
-    said = F.coalesce(F.lower(content_type).rlike("xml") & ~F.lower(content_type).rlike("xhtml"), F.lit(False))
-    return said | F.startswith(start, F.lit("<?xml")) | F.startswith(start, F.lit("<rss")) | F.startswith(start, F.lit("<feed"))
+    """By the content type it is served as, or by how it begins."""
+    said = F.coalesce(F.lower(content_type).rlike("xml|rss|atom"), F.lit(False))
+    return said | F.coalesce(F.substring(head, 1, 300).rlike(r"(?i)^\s*<(\?xml|rss|feed|sitemapindex|urlset)"), F.lit(False))
 
 
 def garbage(c: Column, patterns: list[str], least: int = 15) -> Column:
@@ -177,3 +177,27 @@ def fuzzy_similarity(a: Column, b: Column) -> Column:
             yield pd.Series([token_set_ratio(p, q) for p, q in zip(x, y, strict=True)])
 
     return run(a, b)
+
+
+# Short names of countries in free text, and what they stand for, in the order they are replaced.
+COUNTRY_NAMES = [
+    (r"\bU\.S\.A\.?\b", "United States"), (r"\bUSA\b", "United States"), (r"\bU\.S\.\b", "United States"), (r"\bUS\b(?!\s+[A-Z]{2}\b)", "United States"),
+    (r"\bU\.K\.?\b", "United Kingdom"), (r"\bUK\b", "United Kingdom"), (r"\bDR\.?\s*Congo\b", "Democratic Republic of the Congo"), (r"\bDRC\b", "Democratic Republic of the Congo"),
+]
+
+
+def country_names(c: Column) -> Column:
+    """Short names of countries written out."""
+    for pattern, name in COUNTRY_NAMES:
+        c = F.regexp_replace(c, f"(?i){pattern}", name)
+    return c
+
+
+def slug(c: Column) -> Column:
+    """A keyword as a column's name: lower case, runs of anything else as one underscore."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+
+
+def feature_name(c: Column) -> Column:
+    """A model's feature without the prefix of its transformer."""
+    return F.regexp_replace(c, r"^(num|fe|cat|remainder)__", "")

@@ -72,5 +72,44 @@ def _all(conditions: list[Column]) -> Column:
 
 
 def append_new(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``existing`` plus the rows of ``new`` whose keys it lacks."""
-    return existing.unionByName(new.join(existing.select(*keys).distinct(), keys, "left_anti"))
+    """``existing`` plus the rows of ``new`` whose keys it lacks. NULL keys match NULL keys; repeats within ``new`` stay."""
+    have = existing.select(*(F.col(k).alias(f"__h_{k}") for k in keys)).distinct()
+    lacking = new.join(have, _all([F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys]), "left_anti")
+    return existing.unionByName(lacking, allowMissingColumns=True)
+
+
+def prepend_history(current: DataFrame, history: DataFrame, keys: list[str]) -> DataFrame:
+    """A series with older rows put before it: of a key that both have the current row is kept."""
+    return append_new(current, history, keys)
+
+
+def ordinal_ids(df: DataFrame, size: str, tie: str, to: str, buckets: int = 1000) -> DataFrame:
+    """Number rows 1, 2, ... by size, largest first, ties by ``tie``: exact, and no task holds all rows.
+
+    Rows are counted per size; within a size and a range of ``tie``'s order they are numbered apart, on top of the counts before.
+    """
+    bounds = df.approxQuantile(tie, [i / buckets for i in range(1, buckets)], 1 / (2 * buckets)) if dict(df.dtypes)[tie] in ("int", "bigint", "double") else []
+    part = F.size(F.filter(F.lit(sorted(set(bounds))), lambda b: b <= F.col(tie))) if bounds else F.lit(0)
+    x = df.withColumn("__part", part)
+    n = x.groupBy(F.col(size).alias("__size"), F.col("__part").alias("__p")).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(F.lit(0)).orderBy(F.desc("__size"), "__p").rowsBetween(Window.unboundedPreceding, -1)  # a row per size and range
+    n = n.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    within = Window.partitionBy(size, "__part").orderBy(tie)
+    out = x.withColumn("__i", F.row_number().over(within)).join(n, F.col(size).eqNullSafe(F.col("__size")) & (F.col("__part") == F.col("__p")))
+    return out.withColumn(to, F.col("__before") + F.col("__i")).drop("__size", "__p", "__before", "__i", "__part")
+
+
+def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
+    """Exactly ``n`` rows, or all where there are fewer, the same on any cluster: those of the smallest seeded digests of their keys."""
+    return df.withColumn("__d", F.xxhash64(F.lit(seed), *keys)).orderBy("__d", *keys).limit(n).drop("__d")
+
+
+def in_order(c: Column, order: list[str]) -> Column:
+    """Place of a category in a given order; others come last."""
+    at = F.array_position(F.array(*(F.lit(x) for x in order)), c)
+    return F.when(at > 0, at).otherwise(len(order) + 1)
+
+
+def dated_last(c: Column) -> Column:
+    """ISO dates as text to sort by, unknown ones last."""
+    return F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("9999"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import urls as U
@@ -54,3 +54,63 @@ def level(c: Column, bounds: list[float], names: list[str]) -> Column:
     for b, n in zip(bounds[1:], names[1:], strict=False):
         out = out.when(c < b, n)
     return out.otherwise(names[-1])
+
+
+def date_between(c: Column, low: str, high: str) -> Column:
+    """Closed range of ISO dates as text, compared as text: NULL and blank are outside."""
+    return F.coalesce(c.between(low, high), F.lit(False))
+
+
+def within_buffer(c: Column, low: str, high: str, days: int = 21) -> Column:
+    """Whether a date lies in the closed range, or up to ``days`` days outside it."""
+    return F.coalesce(c.between(F.date_sub(F.lit(low).cast("date"), days), F.date_add(F.lit(high).cast("date"), days)), F.lit(False))
+
+
+def confident(c: Column, least: float = 0.6) -> Column:
+    """NULL and NaN count as 0."""
+    return F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)) >= least
+
+
+def without_any(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Rows of the groups in which ``column`` is NULL throughout. NULL keys are a group."""
+    empty = df.groupBy(*(F.col(k).alias(f"__e_{k}") for k in keys)).agg(F.count(column).alias("__n")).where("__n = 0").drop("__n")
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__e_{k}"))
+    return df.join(empty, on, "left_semi")
+
+
+def agreement(a: Column, b: Column) -> Column:
+    """Whether two sources agree; a missing one disagrees."""
+    return F.coalesce(a == b, F.lit(False))
+
+
+def columns_like(df: DataFrame, prefix: str = "", suffix: str = "", pattern: str = "") -> list[str]:
+    """Names of the columns that begin, end and match so."""
+    return [c for c in df.columns if c.startswith(prefix) and c.endswith(suffix) and re.search(pattern, c)]
+
+
+def renamed(df: DataFrame, names: dict[str, str] | None = None, suffix: str = "", keep: list[str] | None = None) -> DataFrame:
+    """Columns trimmed and in lower case, then renamed by ``names``, then with a suffix, those to ``keep`` aside."""
+    low = [c.strip().lower() for c in df.columns]
+    new = [(names or {}).get(c, c) for c in low]
+    return df.toDF(*(c if c in (keep or []) else c + suffix for c in new))
+
+
+def interaction(a: Column, b: Column) -> Column:
+    return a * b
+
+
+def damped(a: Column, b: Column, bound: float = 3.0) -> Column:
+    """a x (1 - b), with b held within +-``bound``."""
+    return a * (1 - F.greatest(F.lit(-bound), F.least(F.lit(bound), b)))
+
+
+def size_bucket(n: Column, bounds: list[int] | None = None) -> Column:
+    """``1``, ``2-3``, ``4-5``, ``6+`` for the default bounds, which are the first number of each bucket but the first."""
+    lows = [1, *(bounds or [2, 4, 6])]
+    name = lambda a, b: str(a) if b == a + 1 else f"{a}-{b - 1}"
+    out = F.when(n < lows[1], name(lows[0], lows[1]))
+    for a, b in zip(lows[1:], lows[2:], strict=False):
+        out = out.when(n < b, name(a, b))
+    return F.when(n >= 1, out.otherwise(f"{lows[-1]}+"))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,10 +49,13 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) an own folder is made.
+    Only where the session names none and runs on one machine (tests) an own folder is made; a cluster without a named folder is an
+    error, as each executor would write to its own disk.
     """
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN_DIRS:
         _OWN_DIRS[key] = "file://" + tempfile.mkdtemp(prefix="strandline-")
@@ -85,6 +91,18 @@ def release(df: DataFrame) -> None:
         _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that :func:`materialize` writes inside are deleted at the end, so results must be written or read before it."""
+    before = {path for _, path in _WRITTEN}
+    try:
+        yield
+    finally:
+        for spark, path in [x for x in _WRITTEN if x[1] not in before]:
+            _delete(spark, path)
+            _WRITTEN.remove((spark, path))
+
+
 @atexit.register
 def _release_all() -> None:
     for spark, path in _WRITTEN:

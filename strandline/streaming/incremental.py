@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from strandline.session import materialize, release
+
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", files_per_batch: int = 96) -> DataFrame:
     """Each file once, in the order of arrival; the checkpoint of the query takes the place of done markers."""
@@ -46,17 +49,28 @@ def first_occurrences(stream: DataFrame, keys: list[str], ts: str, within: str =
     return stream.withWatermark(ts, within).dropDuplicatesWithinWatermark(keys)
 
 
-def append_unseen(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """For drain_batches: rows whose keys the output lacks, each key once; a repeated batch adds nothing."""
+def append_unseen(path: str, keys: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """For drain_batches: rows whose keys the output lacks, each key once; a repeated batch adds nothing. NULL keys match NULL keys.
+
+    The output lies in ``buckets`` folders by digest of the keys; a batch is compared with the keys of the folders it touches only.
+    """
 
     def handle(batch: DataFrame, _: int) -> None:
-        new = batch.dropDuplicates(keys)
+        spark = batch.sparkSession
+        new = materialize(batch.dropDuplicates(keys).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), "new")
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+        lacking = new
         try:
-            new = new.join(batch.sparkSession.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
-        except Exception as e:  # nothing written yet
+            have = spark.read.parquet(path).where(F.col("bucket").isin(touched)).select(*(F.col(k).alias(f"__h_{k}") for k in keys)).distinct()
+            on = F.lit(True)
+            for k in keys:
+                on = on & F.col(k).eqNullSafe(F.col(f"__h_{k}"))
+            lacking = new.join(have, on, "left_anti")
+        except AnalysisException as e:  # nothing written yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        new.write.mode("append").parquet(path)
+        lacking.write.mode("append").partitionBy("bucket").parquet(path)
+        release(new)
 
     return handle
 

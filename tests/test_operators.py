@@ -64,7 +64,13 @@ def test_keep_first_and_modes(spark):
     assert [(r.k, r.mode, r.n, r.conflict) for r in dedupe.stable_mode(m, ["k"], "v", "o").collect()] == [("a", "y", 2, True)]
     up = dedupe.upsert(spark.createDataFrame([(1, "o"), (None, "o")], "k int, v string"), spark.createDataFrame([(None, "n"), (2, "n")], "k int, v string"), ["k"])
     assert {tuple(r) for r in up.collect()} == {(1, "o"), (None, "n"), (2, "n")}
-    assert dedupe.append_new(up, up, ["k"]).count() >= 3
+    assert sorted(map(str, dedupe.append_new(up, up, ["k"]).collect())) == sorted(map(str, up.collect()))  # a NULL key is a key
+    more = spark.createDataFrame([(None, "m"), (3, "m"), (3, "m2")], "k int, v string")
+    assert dedupe.append_new(up, more, ["k"]).count() == up.count() + 2
+    sized = spark.createDataFrame([(i, (i * 7) % 5) for i in range(200)], "id long, size int")
+    ids = {r.id: r.o for r in dedupe.ordinal_ids(sized, "size", "id", "o", 10).collect()}
+    assert [i for i, _ in sorted(ids.items(), key=lambda kv: kv[1])] == [i for i, _ in sorted(((i, (i * 7) % 5) for i in range(200)), key=lambda x: (-x[1], x[0]))] and sorted(ids.values()) == list(range(1, 201))
+    assert dedupe.sample_rows(sized, 17, ["id"]).count() == 17 and dedupe.sample_rows(sized, 17, ["id"]).collect() == dedupe.sample_rows(sized.repartition(7), 17, ["id"]).collect()
 
 
 def test_graphs(spark):
