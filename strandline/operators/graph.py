@@ -2,27 +2,71 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.session import materialize, release
 
 
+#: Edges up to which a graph is finished in one task.
+IN_TASK = 1_000_000
+
+
+def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vertices, smallest vertex of each one's component) of the edges (a, b)."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    parent = np.arange(len(ids))
+    while len(u):
+        pu, pv = parent[u], parent[v]
+        apart = pu != pv
+        u, v = pu[apart], pv[apart]
+        if len(u):
+            np.minimum.at(parent, np.maximum(u, v), np.minimum(u, v))
+            while not np.array_equal(up := parent[parent], parent):
+                parent = up
+    return ids, ids[parent]
+
+
+def _stars(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition as stars around each component's smallest vertex, a block of edges at a time."""
+    held, n = [], 0
+
+    def out() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        ids, root = union_find(t["u"].to_numpy(), t["v"].to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(ids[ids != root]), pa.array(root[ids != root])], names=["u", "v"])
+
+    for batch in parts:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= IN_TASK:
+            yield out()
+            held, n = [], 0
+    if n:
+        yield out()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(id, root) for every vertex of edges(src, dst): alternating large-star and small-star until nothing changes.
+    """(id, root) for every vertex of edges(src long, dst long): root is its component's smallest vertex.
 
-    Runs in the JVM alone; every round is two aggregations over the edges, written to the shared
-    folder so that lineage stays short and lost executors cost nothing. The number of rounds grows with the logarithm of
-    the longest chain. Self-loops give a component of one; NULL sides are left out.
+    Each partition first turns its edges into stars, which leaves fewer edges than vertices; a graph of ``IN_TASK`` edges or less is then
+    finished in one task. Larger ones go on by alternating large-star and small-star aggregations until nothing changes, written
+    to the shared folder, so that lineage stays short and lost executors cost nothing; the number of rounds grows with the logarithm of
+    the longest chain. Either way gives the same. Self-loops give a component of one; edges with a NULL side are left out.
     """
-    base = edges.where("src is not null and dst is not null").select("src", "dst")
+    base = materialize(edges.where("src is not null and dst is not null").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")), "edges")
     ids = base.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    e = materialize(base.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "stars")
-    while True:
+    e = materialize(base.where("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("v")).mapInArrow(_stars, "u long, v long"), "stars")
+    n = e.count()
+    if n <= IN_TASK:
+        e = e.coalesce(1).mapInArrow(_stars, "u long, v long")
+    while n > IN_TASK:
         both = e.union(e.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -57,11 +101,11 @@ def dbscan(pairs: DataFrame, ids: DataFrame, least: int) -> DataFrame:
     return out.select("id", F.coalesce("cluster", "near", "id").alias("cluster"), role.alias("role"))
 
 
-def _louvain(ids: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, gamma: float, two_m: float) -> np.ndarray:
+def _louvain(ids: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, gamma: float, two_m: float, loop: np.ndarray) -> np.ndarray:
     """Communities of one component: local moves and folding, in order of vertices, until no move gains."""
     nodes = np.arange(len(ids))
     adj: list[dict[int, float]] = [{} for _ in ids]
-    loop = np.zeros(len(ids))
+    loop = loop.copy()
     for a, b, x in zip(u, v, w, strict=True):
         adj[a][b] = adj[a].get(b, 0.0) + x
         adj[b][a] = adj[b].get(a, 0.0) + x
@@ -115,25 +159,79 @@ def by_component(df: DataFrame, root: str, solve: Callable[[pd.DataFrame], pd.Da
     return df.withColumn("__group", F.pmod(F.xxhash64(root), F.lit(groups))).groupBy("__group").applyInPandas(run, schema)
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+def _move_together(e: DataFrame, gamma: float, two_m: float, rounds: int) -> DataFrame:
+    """(id, com): communities by local moves over all tasks, a part of the vertices at a time.
+
+    In a round the vertices of one part, by digest, each go to the neighbouring community of the largest gain; as the others hold still, two
+    vertices seldom swap. A round is two joins and three aggregations; hubs are summed before they are shuffled.
+    """
+    both = e.select("src", "dst", "weight").union(e.select("dst", "src", "weight")).toDF("src", "dst", "weight")
+    k = materialize(both.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")), "degrees")
+    com = materialize(k.select("id", "k", F.col("id").alias("com")), "communities")
+    for i in range(rounds):
+        tot = com.groupBy("com").agg(F.sum("k").alias("tot"))
+        to = both.where(F.col("src") != F.col("dst")).join(com.select(F.col("id").alias("dst"), "com"), "dst").groupBy(F.col("src").alias("id"), "com").agg(F.sum("weight").alias("w"))
+        own = com.select("id", F.col("com").alias("own"), "k").where(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(4)) == 0)
+        stay = own.select("id", F.col("own").alias("com"), F.lit(0.0).alias("w"))
+        offers = to.join(own.select("id"), "id", "left_semi").unionByName(stay).groupBy("id", "com").agg(F.sum("w").alias("w"))
+        scored = offers.join(own, "id").join(tot, "com").withColumn("gain", F.col("w") - gamma * F.col("k") * (F.col("tot") - F.when(F.col("com") == F.col("own"), F.col("k")).otherwise(0.0)) / two_m)
+        best = scored.groupBy("id").agg(F.max_by(F.struct("com", "gain"), F.struct(F.round("gain", 12), (F.col("com") == F.col("own")).cast("int"), -F.col("com"))).alias("b"))
+        new = materialize(com.join(best.select("id", F.col("b.com").alias("__to")), "id", "left").select("id", "k", F.coalesce("__to", "com").alias("com")), "communities")
+        release(com)
+        com = new
+    return com.select("id", "com")
+
+
+def louvain(edges: DataFrame, resolution: float = 1.0, in_task: int = IN_TASK, rounds: int = 24) -> DataFrame:
     """(id, community): weighted Louvain communities of edges(src, dst, weight), named by their smallest vertex.
 
-    Communities never cross components, so each component is one task's group; modularity keeps the
+    Communities never cross components, so components of up to ``in_task`` edges are solved many to a task, in the order of their
+    vertices. Larger ones are first moved and folded by rounds over all tasks, until what is left fits a task. Modularity keeps the
     whole graph's weight. Repeated edges add up; self-loops, NULLs and weights of 0 or less are left out.
     """
     e = edges.where("src is not null and dst is not null and src <> dst and weight > 0").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").alias("weight"))
-    e = materialize(e, "weighted")
+    e = materialize(e.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("double").alias("weight")), "weighted")
     two_m = 2.0 * (e.agg(F.sum("weight")).first()[0] or 0.0)
-    rooted = e.join(connected_components(e).withColumnRenamed("id", "src"), "src")
+    rooted = materialize(e.join(connected_components(e).withColumnRenamed("id", "src"), "src"), "rooted")
+    sizes = materialize(rooted.groupBy("root").agg(F.count("*").alias("n")), "sizes")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        cross = pdf[pdf.src != pdf.dst]
         ids, at = np.unique(np.concatenate([pdf.src, pdf.dst]), return_inverse=True)
-        order = np.lexsort((at[len(pdf) :], at[: len(pdf)]))
-        com = _louvain(ids, at[: len(pdf)][order], at[len(pdf) :][order], pdf.weight.to_numpy(float)[order], resolution, two_m)
+        loops = np.zeros(len(ids))
+        own = pdf[pdf.src == pdf.dst]
+        np.add.at(loops, np.searchsorted(ids, own.src.to_numpy()), own.weight.to_numpy(float))
+        order = np.lexsort((cross.dst.to_numpy(), cross.src.to_numpy()))
+        u, v = np.searchsorted(ids, cross.src.to_numpy()), np.searchsorted(ids, cross.dst.to_numpy())
+        com = _louvain(ids, u[order], v[order], cross.weight.to_numpy(float)[order], resolution, two_m, loops)
         first = pd.Series(ids).groupby(com).min()
         return pd.DataFrame({"id": ids, "community": first.loc[com].to_numpy()})
 
-    return by_component(materialize(rooted, "rooted"), "root", solve, "id long, community long")
+    shape = "id long, community long"
+    small = by_component(materialize(rooted.join(sizes.where(F.col("n") <= in_task), "root", "left_semi"), "small"), "root", solve, shape)
+    big = materialize(rooted.join(sizes.where(F.col("n") > in_task), "root", "left_semi").select("src", "dst", "weight"), "large")
+    if big.isEmpty():
+        return small
+    levels, left = [], big.count()
+    while left > in_task:
+        com = materialize(_move_together(big, resolution, two_m, rounds), "level")
+        name = com.groupBy("com").agg(F.min("id").alias("to"))
+        level = materialize(com.join(name, "com").select("id", "to"), "level")
+        levels.append(level)
+        a, b = level.select(F.col("id").alias("src"), F.col("to").alias("a")), level.select(F.col("id").alias("dst"), F.col("to").alias("b"))
+        folded = big.join(a, "src").join(b, "dst").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight"))
+        big = materialize(folded, "folded")
+        before, left = left, big.count()
+        if left >= before:  # nothing moves any more
+            break
+    roots = connected_components(big).withColumnRenamed("id", "src")
+    if left <= in_task:
+        top = by_component(materialize(big.join(roots, "src"), "top"), "root", solve, shape)
+    else:
+        top = big.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("community", F.col("id"))
+    for level in reversed(levels):
+        top = level.join(top.select(F.col("id").alias("to"), "community"), "to").select("id", "community")
+    return small.unionByName(top)
 
 
 def greedy_clusters(records: DataFrame, pairs: DataFrame) -> DataFrame:

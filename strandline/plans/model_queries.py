@@ -9,6 +9,7 @@ from strandline.functions import vectors as V
 from strandline.functions.keys import code_key, finite
 from strandline.operators import assignment, dedupe, graph, joins, merge, metrics, models
 from strandline.plans.tables import table
+from strandline.session import materialize
 
 THRESHOLDS = [round(0.05 * i, 2) for i in range(1, 20)]
 
@@ -23,9 +24,10 @@ def _edges(spark: SparkSession, d: str, least: float = 0.2) -> DataFrame:
     Ids stand for days: nearness is windowed, as the reference pairs events within a window of dates
     only. Vectors of one label further apart get no edge, however similar; all graph queries below rest on these edges.
     """
-    v = _vectors(spark, d).withColumn("day", F.date_from_unix_date(F.col("id").cast("int")))
-    p = joins.window_pairs(v, ["label"], "id", "day", 100)
-    return p.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"), F.round(V.cosine(F.col("a_embedding"), F.col("b_embedding")), 9).alias("weight")).where(F.col("weight") >= least)
+    v = _vectors(spark, d).select("id", "label", V.unit(F.col("embedding")).alias("u"), F.date_from_unix_date(F.col("id").cast("int")).alias("day"))
+    p = joins.window_pairs(v.where("u is not null"), ["label"], "id", "day", 100)
+    edges = p.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"), F.round(V.dot(F.col("a_u"), F.col("b_u")), 9).alias("weight")).where(F.col("weight") >= least)
+    return materialize(edges, "edges")  # read several times by what rests on it
 
 
 def embedding_edges(spark, d):
@@ -136,7 +138,7 @@ def two_stage_scores(spark, d):
 def vif_features(spark, d):
     """The features left by the variance inflation filter."""
     keep = models.vif_filter(_panel(spark, d), FEATURES)
-    return table(spark, d, "region").limit(1).select(F.explode(F.array(*(F.lit(c) for c in keep))).alias("feature"))  # a list of names
+    return spark.createDataFrame([(c,) for c in keep], "feature string")  # a list of names
 
 
 def best_models(spark, d):
