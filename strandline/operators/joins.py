@@ -62,20 +62,64 @@ def window_pairs(df: DataFrame, bucket: list[str], id_: str, date: str, window:
     return a.join(b, on).drop("__s", "__t")
 
 
-def token_pairs(df: DataFrame, id_: str, tokens: str, extra: list[str] | None = None) -> DataFrame:
-    """(a, b, common, jaccard): pairs of rows that share a token (and ``extra`` columns), by an inverted index.
+def token_pairs(df: DataFrame, id_: str, tokens: str, extra: list[str] | None = None, least: float = 0.0) -> DataFrame:
+    """(a, b, common, jaccard): pairs of rows of a Jaccard similarity above 0, and ``least`` or more, equal in the ``extra`` columns.
 
-    A pair's common tokens are counted, not its rows compared, so pairs without a common token never form.
+    With ``least`` only prefixes meet: with its tokens in order of their frequency, rarest first, two rows of that similarity share a
+    token among the first n - ceil(least x n) + 1 of each, so a common token hardly ever pairs rows; sets are then compared whole.
+    Without it the common tokens of all pairs that share any are counted.
     """
     extra = extra or []
-    sets = df.select(F.col(id_).alias("id"), *extra, F.array_distinct(tokens).alias("t")).withColumn("n", F.size("t"))
-    post = sets.select("id", *extra, "n", F.explode("t").alias("tok"))
-    other = post.select(F.col("id").alias("b"), *(F.col(c).alias(f"__{c}") for c in extra), F.col("n").alias("nb"), F.col("tok").alias("tok2"))
-    on = (F.col("tok") == F.col("tok2")) & (F.col("id") < F.col("b"))
+    sets = df.select(F.col(id_).alias("id"), *extra, F.array_distinct(tokens).alias("t")).where(F.size("t") > 0)
+    b_of = lambda p, *more: p.select(F.col("id").alias("b"), *(F.col(c).alias(f"__{c}") for c in extra), *more)
+    on = F.col("id") < F.col("b")
     for c in extra:
         on = on & (F.col(c) == F.col(f"__{c}"))
-    hit = post.join(other, on).groupBy(F.col("id").alias("a"), "b", "n", "nb").agg(F.count("*").alias("common"))
-    return hit.select("a", "b", "common", (F.col("common") / (F.col("n") + F.col("nb") - F.col("common"))).alias("jaccard"))
+    if not least:
+        post = sets.select("id", *extra, F.size("t").alias("n"), F.explode("t").alias("tok"))
+        hit = post.join(b_of(post, F.col("n").alias("nb"), F.col("tok").alias("tok2")), on & (F.col("tok") == F.col("tok2"))).groupBy(F.col("id").alias("a"), "b", "n", "nb").agg(F.count("*").alias("common"))
+        return hit.select("a", "b", "common", (F.col("common") / (F.col("n") + F.col("nb") - F.col("common"))).alias("jaccard"))
+    each = sets.select("id", F.explode("t").alias("tok"))
+    rare = each.groupBy("tok").agg(F.count("*").alias("df"))
+    order = each.join(rare, "tok").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("o"))  # a row's own tokens
+    ranked = sets.join(order, "id").withColumn("p", F.transform(F.slice("o", 1, F.size("t") - F.ceil(F.size("t") * least - 1e-9).cast("int") + 1), lambda x: x["tok"]))
+    post = ranked.select("id", *extra, "t", F.explode("p").alias("tok"))
+    pairs = post.join(b_of(post, F.col("t").alias("tb"), F.col("tok").alias("tok2")), on & (F.col("tok") == F.col("tok2")) & (F.least(F.size("t"), F.size("tb")) >= F.greatest(F.size("t"), F.size("tb")) * least - 1e-9))
+    pairs = pairs.withColumn("common", F.size(F.array_intersect("t", "tb"))).withColumn("jaccard", F.col("common") / (F.size("t") + F.size("tb") - F.col("common")))
+    return pairs.where(F.col("jaccard") >= least - 1e-12).select(F.col("id").alias("a"), "b", F.col("common").cast("long").alias("common"), "jaccard").dropDuplicates(["a", "b"])
+
+
+def blocked_pairs(df: DataFrame, id_: str, date: str, blocks: dict[str, Column], reach: int) -> DataFrame:
+    """(a, b, gap): pairs (a < b) at most ``reach`` days apart that share a value in any of the blocks, columns or arrays of text.
+
+    Each value is a key of its own, met in stretches of days; NULL and blank values block nothing. A pair comes once.
+    """
+    keys = F.concat(*(F.transform(c, lambda v, n=n: F.concat(F.lit(f"{n}:"), v)) for n, c in blocks.items()))
+    rows = df.select(F.col(id_).alias("id"), F.col(date).cast("date").alias("day"), F.explode(F.array_distinct(F.filter(keys, lambda k: k.isNotNull() & ~k.rlike(r"^[^:]*:\s*$")))).alias("key")).where("day is not null")
+    p = window_pairs(rows, ["key"], "id", "day", reach)
+    return p.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.abs(F.datediff("a_day", "b_day")).alias("gap")).distinct()
+
+
+def first_match(df: DataFrame, id_: str, array: str, dim: DataFrame, key: str, value: str) -> DataFrame:
+    """(id, value): of a row's array, in its order, the first element that ``dim`` has a value for; smallest value on repeats."""
+    d = dim.select(F.col(key).alias("__k"), F.col(value).alias("__v")).where("__k is not null and __v is not null").groupBy("__k").agg(F.min("__v").alias("__v"))
+    each = df.select(F.col(id_), F.posexplode(array).alias("__pos", "__e"))
+    return each.join(d, F.col("__e") == F.col("__k")).groupBy(id_).agg(F.min_by("__v", "__pos").alias(value))
+
+
+def merge_layers(base: DataFrame, layers: list[tuple[DataFrame, list[str]]], key: str) -> DataFrame:
+    """``base`` with the listed fields of each layer, joined by a key of sorted array elements; rows of a layer that match nothing are ignored.
+
+    A layer's field replaces one of the same name where the layer has a row; repeated keys of a layer take the largest content.
+    """
+    of = lambda df: F.array_join(F.array_sort(F.array_distinct(F.col(key))), "|")
+    out = base.withColumn("__key", of(base))
+    for i, (layer, fields) in enumerate(layers):
+        one = layer.withColumn(f"__k{i}", of(layer)).groupBy(f"__k{i}").agg(F.max(F.struct(*(F.col(f).alias(f"__{i}_{f}") for f in fields))).alias("__f"))
+        out = out.join(one, F.col("__key") == F.col(f"__k{i}"), "left")
+        new = {f: F.when(F.col("__f").isNotNull(), F.col(f"__f.__{i}_{f}")).otherwise(F.col(f) if f in base.columns else F.lit(None)) for f in fields}
+        out = out.withColumns(new).drop("__f", f"__k{i}")
+    return out.drop("__key")
 
 
 def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], id_l: str, id_r: str, date_l: str, date_r: str, reach: int, limit_km: float) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.geo import haversine_km
 from strandline.operators.dedupe import first_value, longest
 
 
@@ -80,6 +81,66 @@ def chosen_type(expert: Column, probability: Column, other: Column, least: float
     return F.struct(F.when(sure, expert).otherwise(F.coalesce(other, F.lit("unknown"))).alias("type"), F.when(sure, "expert").otherwise("llm").alias("source"))
 
 
+def merge_clusters(df: DataFrame, keys: list[str], fields: list[str], order: str, date: str, size: str, impact: list[str]) -> DataFrame:
+    """Per group of clusters: the richest one's ``fields``, the first date, all articles, the largest of each impact field, how many merged."""
+    anchor = F.max_by(F.struct(*fields), F.struct(richness(fields), F.coalesce(F.col(size), F.lit(0)), order)).alias("__a")
+    out = df.groupBy(*keys).agg(anchor, F.min(date).alias(date), F.sum(size).alias(size), *(F.max(c).alias(c) for c in impact), F.count("*").alias("merged"))
+    return out.select(*keys, *(F.col(f"__a.{f}").alias(f) for f in fields), date, size, *impact, "merged")
+
+
+def movements(clusters: DataFrame, edges: DataFrame, members: DataFrame, least_multi: int = 1) -> DataFrame:
+    """(root, start, end, n_clusters, n_articles, mean_weight, children): linked clusters of which ``least_multi`` or more have several articles.
+
+    clusters(id, cluster_id, start, end, n_articles), edges(src, dst, weight), members(id, root). Clusters without an edge are no movement.
+    """
+    m = members.join(clusters, "id")
+    out = m.groupBy("root").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_clusters"), F.sum("n_articles").alias("n_articles"), F.count_if(F.col("n_articles") > 1).alias("__multi"), F.array_sort(F.collect_list("cluster_id")).alias("children")
+    )
+    w = edges.join(members.select(F.col("id").alias("src"), "root"), "src").groupBy("root").agg(F.round(F.avg("weight"), 4).alias("mean_weight"))
+    return out.where((F.col("n_clusters") > 1) & (F.col("__multi") >= least_multi)).drop("__multi").join(w, "root")
+
+
+def top_values(df: DataFrame, key: str, arrays: list[Column], order: str, k: int = 5) -> DataFrame:
+    """(key, top): each group's ``k`` most frequent elements over several arrays, joined by commas; ties go to the one seen first."""
+    each = df.select(key, order, F.posexplode(F.concat(*(F.coalesce(a, F.array().cast("array<string>")) for a in arrays))).alias("__i", "__v")).where("__v is not null and trim(__v) <> ''")
+    n = each.groupBy(key, "__v").agg(F.count("*").alias("__n"), F.min(F.struct(order, "__i")).alias("__first"))
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("__n"), "__first"))  # a row per distinct value
+    return n.withColumn("__r", first).where(F.col("__r") <= k).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__r", "__v"))), lambda x: x["__v"]), ", ").alias("top"))
+
+
+def quality_by(clusters: DataFrame, by: str, size: str, score: str, start: str, end: str) -> DataFrame:
+    """Per group: clusters, records, singleton rate, reduction, cohesion of the multi-article ones, longest and mean span in days."""
+    many, span = F.col(size) > 1, F.datediff(end, start) + 1
+    return clusters.groupBy(by).agg(
+        F.count("*").alias("clusters"), F.sum(size).alias("records"), (F.count_if(F.col(size) == 1) / F.count("*")).alias("singleton_rate"), (1 - F.count("*") / F.sum(size)).alias("reduction"),
+        F.avg(F.when(many, F.col(score))).alias("cohesion"), F.max(span).alias("longest"), F.avg(span).alias("mean_span"),
+    )
+
+
+def differences(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
+    """Figures of two runs side by side: for each, b less a."""
+    figures = [c for c in a.columns if c != by]
+    x = a.select(F.col(by), *(F.col(c).alias(f"__a_{c}") for c in figures)).join(b, by, "full")
+    return x.select(by, *((F.coalesce(F.col(c), F.lit(0)) - F.coalesce(F.col(f"__a_{c}"), F.lit(0))).alias(c) for c in figures))
+
+
+def arbitrated_position(own: tuple[Column, Column], named: tuple[Column, Column], span_km: Column, same_country: Column, confidence: Column, least: float = 0.7, most_span: float = 500.0, most_off: float = 500.0) -> Column:
+    """(lat, lon, source, verified, rejected_km): which of two positions of a record counts.
+
+    That of the place named, where the place is certain enough, its box is no wider than ``most_span`` and its country is the expected one; else its
+    own, which the place named confirms if no more than ``most_off`` away, and rejects beyond. An own position that nothing can confirm stays, unverified.
+    """
+    known = named[0].isNotNull() & named[1].isNotNull()
+    has_own = own[0].isNotNull() & own[1].isNotNull()
+    by_name = F.coalesce(known & (confidence >= least) & (span_km <= most_span) & same_country, F.lit(False))
+    off = F.when(known & has_own, haversine_km(*own, *named))
+    far = F.coalesce(~by_name & (off > most_off), F.lit(False))
+    pick = lambda i: F.when(by_name, named[i]).when(has_own & ~far, own[i])
+    source = F.when(by_name, "named").when(has_own & ~far, "own")
+    return F.struct(pick(0).alias("lat"), pick(1).alias("lon"), source.alias("source"), (by_name | F.coalesce(off <= most_off, F.lit(False))).alias("verified"), F.when(far, F.round(off, 1)).alias("rejected_km"))
+
+
 def stitch(df: DataFrame, key: str, batch: str, date: str, value: str, least: int = 3) -> DataFrame:
     """(key, date, value): overlapping batches of a series joined into one.
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.cumulative import running
+
 
 def _by_score(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
     """Positives and negatives per distinct score: what ranking metrics need, aggregated first."""
@@ -54,15 +56,17 @@ def calibration(df: DataFrame, y: str, p: str, bins: int, right_closed: bool) ->
     return df.where(F.col(p).isNotNull()).groupBy(F.least(b, F.lit(bins - 1)).cast("int").alias("bin")).agg(F.avg(p).alias("mean_pred"), F.avg(F.col(y).cast("double")).alias("mean_actual"), F.count("*").alias("n"))
 
 
-def gain_curve(df: DataFrame, y: str, p: str, points: int) -> DataFrame:
+def gain_curve(df: DataFrame, y: str, p: str, points: int, buckets: int = 1000) -> DataFrame:
     """(share, gain, lift): of the rows in order of score, what share of positives the first ones hold.
 
-    The curve is taken at ``points`` equal steps of distinct scores' cumulative counts.
+    The curve is taken at ``points`` equal steps of distinct scores' cumulative counts. Scores are summed per distinct value, then within ``buckets``
+    ranges of the scores, so that no task orders them all.
     """
-    s = _by_score(df, [], y, p)
-    down = Window.partitionBy(F.lit(1)).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)  # a row per distinct score
-    whole = Window.partitionBy(F.lit(1))
-    c = s.select((F.sum(F.col("pos") + F.col("neg")).over(down) / F.sum(F.col("pos") + F.col("neg")).over(whole)).alias("at"), (F.sum("pos").over(down) / F.sum("pos").over(whole)).alias("gain"))
+    s = _by_score(df, [], y, p).withColumns({"__all": F.lit(1), "__n": F.col("pos") + F.col("neg")})
+    low, high, n, hits = s.agg(F.min(p), F.max(p), F.sum("__n"), F.sum("pos")).first()
+    width = ((high - low) / buckets if low is not None else 0) or 1.0
+    c = running(s.withColumn("__down", -F.col(p)), ["__all"], ["__down"], -F.floor((F.col(p) - F.lit(low)) / width), {"at": ("sum", F.col("__n")), "got": ("sum", F.col("pos"))})
+    c = c.select((F.col("at") / F.lit(n)).alias("at"), F.try_divide(F.col("got"), F.lit(hits)).alias("gain"))
     c = c.withColumn("step", F.ceil(F.col("at") * points).cast("int")).groupBy("step").agg(F.max("at").alias("share"), F.max("gain").alias("gain"))
     return c.withColumn("lift", F.col("gain") / F.col("share"))
 

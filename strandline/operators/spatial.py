@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.geo import usable_position
-from strandline.operators.rtree import Quadtree, RTree, circle_boxes, haversine_km
-from strandline.session import materialize, release
+from strandline.operators.rtree import EARTH_KM, Quadtree, RTree, circle_boxes, haversine_km
+from strandline.session import materialize
 
 #: Rows of the sample that the quadtree's cells are drawn from.
 SAMPLE = 20_000
@@ -29,13 +29,31 @@ def _splits(df: DataFrame, per_task: int) -> dict[int, int]:
     return {r["cell"]: -(-r["count"] // per_task) for r in df.groupBy("cell").count().collect()}
 
 
-def _inside(lat: float, lon: float, ring_lat: np.ndarray, ring_lon: np.ndarray) -> bool:
-    """Even-odd rule; points on the boundary count as inside where the ring starts low."""
-    la, lo = np.roll(ring_lat, -1), np.roll(ring_lon, -1)
-    cross = (ring_lat > lat) != (la > lat)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = (lo - ring_lon) * (lat - ring_lat) / (la - ring_lat) + ring_lon
-    return bool((cross & (lon < at)).sum() % 2)
+def _inside(lat: np.ndarray, lon: np.ndarray, which: np.ndarray, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
+    """Even-odd rule of points and the rings ``which`` they may lie in, over all edges of the pairs at once.
+
+    Points on the boundary count as inside where the ring starts low.
+    """
+    size = np.array([len(x) for x in lats], np.int64)
+    start = np.cumsum(size) - size
+    y, x = np.concatenate([np.asarray(v, float) for v in lats]), np.concatenate([np.asarray(v, float) for v in lons])
+    after = np.arange(len(y)) + 1
+    after[start + size - 1] = start
+    out = np.zeros(len(which), bool)
+    upto = np.cumsum(size[which])
+    k = 0
+    while k < len(which):
+        end = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + 2_000_000, "right")))
+        n = size[which[k:end]]
+        pair = np.repeat(np.arange(k, end), n)
+        e = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + start[which[pair]]
+        f, la, lo = after[e], lat[pair], lon[pair]
+        cross = (y[e] > la) != (y[f] > la)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = (x[f] - x[e]) * (la - y[e]) / (y[f] - y[e]) + x[e]
+        out[k:end] = np.bincount(pair - k, weights=cross & (lo < at), minlength=end - k).astype(np.int64) % 2 == 1
+        k = end
+    return out
 
 
 def _join(left: DataFrame, right: DataFrame, km: float | None, sample: int, per_leaf: int, per_task: int) -> DataFrame:
@@ -94,7 +112,7 @@ def _join(left: DataFrame, right: DataFrame, km: float | None, sample: int, per_
                     ok = d <= km
                 else:
                     lats, lons = near.lats.to_numpy(), near.lons.to_numpy()
-                    ok = np.array([_inside(lat[x], lon[x], np.asarray(lats[y]), np.asarray(lons[y])) for x, y in zip(i, j, strict=True)], bool)
+                    ok = _inside(lat[i], lon[i], j, lats, lons)
                     d = np.zeros(len(i))
                 found.append(pd.DataFrame({"left_id": p.id.to_numpy()[i[ok]], "right_id": near.id.to_numpy()[j[ok]], "km": d[ok]}))
         return pd.concat(found) if found else pd.DataFrame({"left_id": [], "right_id": [], "km": []})
@@ -135,20 +153,65 @@ def in_regions(left: DataFrame, regions: DataFrame, sample: int = SAMPLE, per_le
     return _join(pts, rings, None, sample, per_leaf, per_task).drop("km")
 
 
-def nearest_point(left: DataFrame, right: DataFrame, radii: tuple[float, ...] = (25.0, 200.0, 1600.0, 20_100.0)) -> DataFrame:
-    """(left_id, right_id, km): the nearest right point of each left one; ties go to the smaller id.
+def nearest_point(left: DataFrame, right: DataFrame, apart: bool = False, sample: int = SAMPLE, per_leaf: int = PER_LEAF, per_task: int = PER_TASK) -> DataFrame:
+    """(left_id, right_id, km): the nearest right point of each left one, however far; ties go to the smaller id.
 
-    Rounds of :func:`near_points` with growing radii, each over the points still without a partner, so far
-    circles are drawn for few of them. ``id`` is unique on the left. Positions that are unusable get no row.
+    Left points lie in the cells of a quadtree drawn from a sample. A sampled right point bounds how far the nearest one of any
+    point of a cell can be, so a right point is copied only to the cells it can be nearest in; no circle
+    ever covers the globe. Cells with more than ``per_task`` left rows are split by hash. With ``apart`` a point is not
+    its own neighbour: partners of the same id don't count. Positions that are unusable get no row; nor does anything where the right side is empty.
     """
-    rest, out = materialize(left.select("id", "lat", "lon"), "unplaced"), None
-    for km in radii:
-        best = near_points(rest, right, km).groupBy("left_id").agg(F.min(F.struct("km", "right_id")).alias("b")).select("left_id", "b.right_id", "b.km")
-        best = materialize(best, "nearest")
-        out = best if out is None else out.unionByName(best)
-        more = materialize(rest.join(best.select(F.col("left_id").alias("id")), "id", "left_anti"), "unplaced")
-        release(rest)
-        rest = more
-        if rest.isEmpty():
-            break
-    return out
+    ok = usable_position(F.col("lat"), F.col("lon"), null_island=False)
+    points = lambda x: x.select(F.col("id").cast("long").alias("id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).where(ok & F.col("id").isNotNull())
+    pts, far = points(left), points(right)
+    seeds, some = _sample(pts.select("lat", "lon"), sample), _sample(far.select("lat", "lon"), sample)
+    shape = "left_id long, right_id long, km double"
+    if seeds.empty or len(some) < (2 if apart else 1):
+        return left.sparkSession.createDataFrame([], shape)
+    tree = Quadtree(seeds.lat.to_numpy(float), seeds.lon.to_numpy(float), per_leaf)
+
+    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pdf.assign(cell=tree.of_points(pdf.lat.to_numpy(float), pdf.lon.to_numpy(float)))
+
+    placed = materialize(pts.mapInPandas(place, "id long, lat double, lon double, cell long"), "placed")
+    # a row per cell, bounded by the sample
+    box = placed.groupBy("cell").agg(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("c"), F.max("lon").alias("e"), F.count("*").alias("n")).toPandas()
+    lat, lon = ((box.a + box.b) / 2).to_numpy(float), ((box.c + box.e) / 2).to_numpy(float)
+    widest = np.where((box.a <= 0) & (box.b >= 0), 1.0, np.cos(np.radians(np.minimum(box.a.abs(), box.b.abs()))))
+    half = EARTH_KM * np.radians((box.b - box.a).to_numpy(float) / 2 + (box.e - box.c).to_numpy(float) / 2 * widest)
+    s_lat, s_lon = some.lat.to_numpy(float), some.lon.to_numpy(float)
+    kth = 1 if apart else 0  # with apart, the nearest sampled point may be the point itself
+    bound = np.array([np.partition(haversine_km(lat[i], lon[i], s_lat, s_lon), kth)[kth] for i in range(len(box))]) + half
+    reach, cells = (bound + half) * (1 + 1e-9) + 1e-6, box.cell.to_numpy(np.int64)
+
+    def copy(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, 4_000_000 // len(cells))
+        for pdf in parts:
+            for k in range(0, len(pdf), step):
+                p = pdf.iloc[k : k + step]
+                i, j = np.nonzero(haversine_km(p.lat.to_numpy(float)[:, None], p.lon.to_numpy(float)[:, None], lat, lon) <= reach)
+                yield p.iloc[i].assign(cell=cells[j])
+
+    many = {int(c): -(-int(n) // per_task) for c, n in zip(cells, box.n, strict=True) if n > per_task}
+    n = F.coalesce(F.create_map(*(F.lit(x) for kv in many.items() for x in kv))[F.col("cell")], F.lit(1)) if many else F.lit(1)
+    a = placed.withColumn("part", F.pmod(F.xxhash64("id"), n).cast("int"))
+    b = far.mapInPandas(copy, "id long, lat double, lon double, cell long").withColumn("part", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))))
+
+    def probe(_, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(p) and len(q):
+            q = q.sort_values("id", kind="stable")
+            q_id, q_lat, q_lon = q.id.to_numpy(), q.lat.to_numpy(float), q.lon.to_numpy(float)
+            step = max(1, 4_000_000 // len(q))
+            for k in range(0, len(p), step):
+                x = p.iloc[k : k + step]
+                d = haversine_km(x.lat.to_numpy(float)[:, None], x.lon.to_numpy(float)[:, None], q_lat, q_lon)
+                if apart:
+                    d[x.id.to_numpy()[:, None] == q_id] = np.inf
+                at = d.argmin(1)
+                km = d[np.arange(len(x)), at]
+                found.append(pd.DataFrame({"left_id": x.id.to_numpy(), "right_id": q_id[at], "km": km})[np.isfinite(km)])
+        return pd.concat(found) if found else pd.DataFrame({"left_id": [], "right_id": [], "km": []})
+
+    return a.groupBy("cell", "part").cogroup(b.groupBy("cell", "part")).applyInPandas(probe, shape)

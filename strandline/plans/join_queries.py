@@ -69,7 +69,7 @@ def window_pairs(spark, d):
 def location_jaccard(spark, d):
     """Pairs of clusters of one country and type whose places share words, and how much."""
     t = _clusters(spark, d).select("cluster_id", "iso3", "disruption_type", location_tokens(F.col("location_name")).alias("t"))
-    p = joins.token_pairs(t, "cluster_id", "t", ["iso3", "disruption_type"]).where("jaccard >= 0.6")
+    p = joins.token_pairs(t, "cluster_id", "t", ["iso3", "disruption_type"], 0.6)
     return p.select("a", "b", "common", F.round("jaccard", 6).alias("jaccard"))
 
 
