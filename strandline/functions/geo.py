@@ -17,10 +17,10 @@ def usable_position(lat: Column, lon: Column, null_island: bool = True) -> Colum
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance."""
+    """Great-circle distance; NULL where a coordinate is."""
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(h < 1, h).when(h >= 1, 1.0)))
 
 
 def haversine_atan2_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

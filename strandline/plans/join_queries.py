@@ -159,7 +159,7 @@ SQL = {
     "exists_near": f"with l as ({_E.format('error')}), r as ({_E.format('signup')}) select event_id, exists (select 1 from r where r.user_id = l.user_id and r.d between l.d - 1 and l.d + 1) as has_signup from l",
     "match_rate_levels": f"with {_C}, {_V}, h as (select disruption_type, year(event_date) as year, case when iso3 is not null and event_date is not null then exists (select 1 from v where v.iso3 = c.iso3 and v.event_date between c.event_date - 2 and c.event_date + 2) end as hit from c) select disruption_type, year, count(*) as n, count(hit) as resolved, count(*) filter (hit) as matched, grouping(disruption_type, year) as level, count(*) filter (hit) / nullif(count(hit), 0) as rate from h group by grouping sets ((), (disruption_type), (year))",
     "missed_events": f"with {_C}, {_V} select event_id_cnty, iso3, event_date from v where iso3 is not null and event_date is not null and not exists (select 1 from c where c.iso3 = v.iso3 and c.event_date between v.event_date - 3 and v.event_date + 3)",
-    "nearest_verified": f"with {_C}, {_V}, x as (select cluster_id, event_id_cnty, v.event_date as vd, case when isnan(c.lat) or isnan(c.lon) then null else {_HAV.format(a='c.lat', b='c.lon', c='v.lat', e='v.lon')} end as km from c join v on c.iso3 = v.iso3 and v.event_date between c.event_date - 2 and c.event_date + 2), y as (select cluster_id, event_id_cnty, km, row_number() over (partition by cluster_id order by km is null, km, vd, event_id_cnty) as n from x) select cluster_id, event_id_cnty, round(km, 4) as km, case when km <= 100 then 'geographic' else 'country_only' end as match from y where n = 1",
+    "nearest_verified": f"with {_C}, {_V}, x as (select cluster_id, event_id_cnty, v.event_date as vd, case when c.lat + c.lon + v.lat + v.lon is null or isnan(c.lat + c.lon + v.lat + v.lon) then null else {_HAV.format(a='c.lat', b='c.lon', c='v.lat', e='v.lon')} end as km from c join v on c.iso3 = v.iso3 and v.event_date between c.event_date - 2 and c.event_date + 2), y as (select cluster_id, event_id_cnty, km, row_number() over (partition by cluster_id order by km is null, km, vd, event_id_cnty) as n from x) select cluster_id, event_id_cnty, round(km, 4) as km, case when km <= 100 then 'geographic' else 'country_only' end as match from y where n = 1",
     "window_pairs": f"with {_C} select a.cluster_id as a_cluster_id, b.cluster_id as b_cluster_id, abs(date_diff('day', b.event_date, a.event_date)) as gap from c a join c b on a.iso3 = b.iso3 and a.disruption_type = b.disruption_type and a.cluster_id < b.cluster_id and abs(date_diff('day', a.event_date, b.event_date)) <= 7",
     "location_jaccard": f"with {_C}, t as (select cluster_id, iso3, disruption_type, list_distinct(list_filter(string_split(regexp_replace(regexp_replace(lower(location_name), '\\([^)]*\\)', ' ', 'g'), '[^a-z]+', ' ', 'g'), ' '), lambda x: length(x) > 2)) as t from c), p as (select a.cluster_id as a, b.cluster_id as b, len(list_intersect(a.t, b.t)) as common, len(a.t) + len(b.t) as n from t a join t b on a.iso3 = b.iso3 and a.disruption_type = b.disruption_type and a.cluster_id < b.cluster_id) select a, b, common, round(common / (n - common), 6) as jaccard from p where common > 0 and common / (n - common) >= 0.6",
     "sites_by_strait": f"with s(i, name, a, o) as (values {_S}), x as (select site_id, name, {_HAV.format(a='latitude', b='longitude', c='a', e='o')} as km, i from sites cross join s), y as (select *, row_number() over (partition by site_id order by km, i) as n from x) select site_id, case when km <= 3000 then name end as nearest, round(km, 4) as nearest_km from y where n = 1",
