@@ -51,6 +51,8 @@ def test_phrases_and_texts(spark):
 
 
 def test_distances(spark):
+    none = spark.createDataFrame([(None, 1.0)], "a double, b double").select(haversine_km(F.col("a"), F.col("b"), F.lit(0.0), F.lit(0.0)).alias("km")).first().km
+    assert none is None
     a = [F.lit(float(x)) for x in (10, 179.5, 10, -179.5)]
     h, t, e, p = _one(spark, h=haversine_km(*a), t=haversine_atan2_km(*a), e=equirectangular_km(*a), p=planar_km(*a))
     assert abs(h - 109.5) < 0.1 and abs(h - t) < 1e-9 and e > 30000 and p > 30000  # only the first two cross the antimeridian
