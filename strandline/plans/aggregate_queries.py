@@ -270,6 +270,7 @@ SQL = {
     "top_orders": "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25",
     "longest_name": "select p_brand, arg_min(p_name, (-length(p_name), p_partkey)) as longest, arg_min(p_type, p_partkey) as first_type from part group by 1",
     "merged_articles": f"with r as (select *, concat_ws('|', upper(iso3), ingest_time::date::varchar) as k from extract_records) select k, min(event_date) as event_date, max(event_date) as event_end_date, arg_min(location_name, (-length(location_name), record_id)) as location_name, arg_min(source_title, (-length(source_title), record_id)) as source_title, count(distinct url) as n_urls, count(*) as n_articles, arg_min({_F('duration_hours')}, record_id) filter ({_F('duration_hours')} is not null) as duration_hours, max({_F('confidence')}) as confidence, round(median({_F('lat')}), 7) as lat, round(median({_F('lon')}), 7) as lon from r group by 1",
+    "merged_maps": "with a as (select cluster_id, unnest([issue, protest_type, subloc]) as v, unnest(['issue', 'protest_type', 'subloc']) as k from source_articles where cluster_id is not null), l as (select cluster_id, k, list_sort(list_distinct(list(v))) as vs from a where v is not null group by all) select cluster_id, '{' || string_agg('\"' || k || '\":' || to_json(vs), ',' order by k) || '}' as merged from l group by 1",
     "richest_articles": "select cluster_id, article_id from (select cluster_id, article_id, row_number() over (partition by cluster_id order by (issue is not null)::int + (protest_type is not null)::int + (sector is not null)::int + (estimated_participants is not null)::int desc, article_id) as n from source_articles where cluster_id is not null) where n = 1",
     "durations": f"select record_id, greatest(coalesce(ceil({_F('duration_hours')} / 24), 0), coalesce(try_cast(json_extract_string(extras, '$.reported_day_number') as double), 0), 1.0) as days, case when ceil({_F('duration_hours')} / 24) >= greatest(coalesce(try_cast(json_extract_string(extras, '$.reported_day_number') as double), 0), 1.0) then 'explicit' when try_cast(json_extract_string(extras, '$.reported_day_number') as double) >= greatest(coalesce(ceil({_F('duration_hours')} / 24), 0), 1.0) then 'day_number' else 'range' end as source from extract_records",
     "canonical_events": f"with x as (select cluster_id, min(event_date::date) as start, max(event_date::date) as latest, max({_F('reported_day_number::double')}) as n, count(*) as n_articles from source_articles where cluster_id is not null group by 1) select cluster_id, start, latest, greatest(latest, start + coalesce(n, 1)::int - 1) as estimated_end, date_diff('day', start, greatest(latest, start + coalesce(n, 1)::int - 1)) + 1 as duration, n_articles from x",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from strandline.functions import strings as S
@@ -48,7 +50,12 @@ def url_tokens(spark, d):
 
 
 def url_dates(spark, d):
-    return _urls(spark, d).select("record_id", U.date_from_url(F.col("url")).alias("url_date"))
+    """Dates in the records' addresses, and in addresses of five notations made of their dates."""
+    day, k = read_date(F.col("publish_date")), F.col("record_id") % 6
+    made = F.when(k == 0, F.date_format(day, "'x/'yyyy'/'M'/'d")).when(k == 1, F.date_format(day, "'a-'yyyy-MM-dd'-b'")).when(k == 2, F.date_format(day, "'n'yyyyMMdd'.html'")).when(k == 3, F.date_format(day, "yyyy-M'/story'"))
+    made = F.concat(F.lit("http://h.example/"), made.when(k == 4, F.date_format(day, "yyyy'/'MM'/story'")).otherwise(F.lit("1850/01/02/20201399/x")))
+    x = table(spark, d, "extract_records")
+    return x.select("record_id", U.date_from_url(F.col("url")).alias("url_date"), U.date_from_url(made).alias("made_date"))
 
 
 def read_dates(spark, d):
@@ -132,13 +139,21 @@ _SEARCH = rf"trim(regexp_replace(regexp_replace(lower(concat_ws(' ', {_HOST}, {_
 _SLUG = rf"lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_UNQ.format(_PATH)}, '\.[A-Za-z0-9]{{1,5}}$', ''), '[-_/.+]+', '  ', 'g'), '(^| )\d+( |$)', ' ', 'g'), '\s+', ' ', 'g')))"
 _ISO = r"case when regexp_matches({0}, '^\d{{4}}-\d\d-\d\d') then substr({0}, 1, 10)::date when regexp_matches({0}, '^\d{{8}}$') then strptime({0}, '%Y%m%d')::date when regexp_matches({0}, '^\d{{4}}/\d\d/\d\d$') then strptime({0}, '%Y/%m/%d')::date when regexp_matches({0}, '^\d+ [A-Za-z]{{3}} \d{{4}}$') then strptime({0}, '%d %b %Y')::date when regexp_matches({0}, '^\d+ [A-Za-z]+ \d{{4}}$') then strptime({0}, '%d %B %Y')::date when regexp_matches({0}, '^[A-Za-z]{{3}} \d+, \d{{4}}$') then strptime({0}, '%b %d, %Y')::date when regexp_matches({0}, '^[A-Za-z]+ \d+, \d{{4}}$') then strptime({0}, '%B %d, %Y')::date end"
 _TOK = r"list_distinct(list_filter(string_split(regexp_replace(regexp_replace(lower(location_name), '\([^)]*\)', ' ', 'g'), '[^a-z]+', ' ', 'g'), ' '), lambda x: length(x) > 2))"
+_YMD = "try_cast({0} || '-' || lpad({1}, 2, '0') || '-' || lpad({2}, 2, '0') as date)"
+_PART = lambda p, i: f"regexp_extract(url, '{p}', {i})"
+_DATED = "coalesce(" + ", ".join(
+    f"case when try_cast({_PART(p, 1)} as int) between 2000 and 2035 then {_YMD.format(_PART(p, 1), _PART(p, 2), _PART(p, 3) if day else chr(39) + '01' + chr(39))} end"
+    for p, day in ((r"/(\d{4})/(\d{1,2})/(\d{1,2})(?:/|$|-)", True), (r"(\d{4})-(\d{2})-(\d{2})", True), (r"(?:^|\D)(\d{4})(\d{2})(\d{2})(?:\D|$)", True), (r"/(\d{4})-(\d{1,2})(?:/|$)", False), (r"/(\d{4})/(\d{1,2})(?:/|$)", False))
+) + ")"
+_REPAIRED = reduce(lambda t, kv: f"replace({t}, '{kv[0]}', '{kv[1]}')", S.MOJIBAKE.items(), "text")
 SQL = {
+    "mojibake": f"select doc_id, md5({_REPAIRED}) as digest from documents where text <> {_REPAIRED}",
     "url_normalize": f"select record_id, {_NORM} as url_normalized from extract_records",
     "url_parts": rf"select record_id, case when url is null or {_T} = '' then null else {_SEARCH} end as search_text, case when url is null or {_T} = '' then null else {_SLUG} end as slug, nullif(lower(regexp_extract({_T}, '^(?i)https?://(?:www\.)?([^/:?#]+)', 1)), '') as domain from extract_records",
     "url_filter": f"with x as (select {_SEARCH} as s, lower({_PATH}) as p from extract_records where trim(url) <> '') select case when regexp_matches(p, '\\.(jpg|png|pdf|mp4)$') then 'extension' when regexp_matches(p, '/(sport|video|weather)(/|$)') then 'section' when contains(s, 'flood') then 'keyword: flood' when contains(s, 'pension reform') then 'keyword: pension reform' when contains(s, 'school fees') then 'keyword: school fees' end as reason, count(*) as n from x group by 1",
     "url_filter_daily": f"with n as (select {_NORM} as url, min(ingest_time)::date as day from extract_records where url is not null and {_T} <> '' group by 1), x as (select day, {_SEARCH} as s, lower({_PATH}) as p from n) select day, count(*) as urls, count(*) filter (not regexp_matches(p, '\\.(jpg|png|pdf|mp4)$') and not regexp_matches(p, '/(sport|video|weather)(/|$)') and not contains(s, 'flood') and not contains(s, 'pension reform') and not contains(s, 'school fees')) as kept from x group by 1",
     "url_tokens": rf"with x as (select record_id, ingest_time::date as day, unnest(list_distinct(list_filter(regexp_split_to_array(lower({_UNQ.format(_PATH)}), '[/\-_.]+'), lambda t: length(t) >= 3 and not regexp_matches(t, '^\d+$')))) as token from extract_records where url is not null and {_T} <> '') select token, count(*) as n, count(distinct day) as days from x group by 1 having count(*) >= 3",
-    "url_dates": r"select record_id, case when regexp_matches(url, '/\d{4}/\d{1,2}/\d{1,2}(/|$|-)') then strptime(regexp_extract(url, '/(\d{4}/\d{1,2}/\d{1,2})(?:/|$|-)', 1), '%Y/%m/%d')::date end as url_date from extract_records",
+    "url_dates": f"select record_id, {_DATED} as url_date, case when record_id % 6 < 3 then {_ISO.format('trim(publish_date)')} when record_id % 6 < 5 then date_trunc('month', {_ISO.format('trim(publish_date)')})::date end as made_date from extract_records",
     "read_dates": rf"with x as (select record_id, {_ISO.format('trim(event_date)')} as e, {_ISO.format('trim(publish_date)')} as p, publish_date from extract_records) select record_id, coalesce(e, p) as date, case when e is not null then 'event' when p is not null then 'publish' end as source, case when regexp_matches(publish_date, '^\s*\d{{8}}\s*$') then strftime(p, '%Y-%m-%d') end as compact from x",
     "garbage_titles": f"with x as (select record_id, source_title, event_description, url, trim(regexp_replace(concat_ws('. ', nullif(trim(source_title), ''), nullif(trim(event_description), '')), '\\s+', ' ', 'g')) as b, {_SLUG} as slug from extract_records) select record_id, coalesce(length(trim(source_title)) < 30, true) or coalesce(regexp_matches(lower(source_title), 'access denied|just a moment|404 not found|msn'), true) as garbage, case when length(b) < 15 or regexp_matches(lower(b), 'access denied|just a moment|404 not found|msn') then slug else b end as text from x",
     "html_heads": r"select record_id, trim(regexp_replace(source_title, '\s+', ' ', 'g')) as title, nullif(trim(regexp_replace(coalesce(event_description, ''), '\s+', ' ', 'g')), '') as description, trim(regexp_replace(source_title || ' ' || source_title, '\s+', ' ', 'g')) as text, false as xml from extract_records",
