@@ -22,8 +22,8 @@ def known_mean(parts: list[tuple[float, Column]]) -> Column:
 
 
 def decay(gap: Column, most: float) -> Column:
-    """1 at no gap, 0 from ``most`` on."""
-    return F.greatest(F.lit(0.0), 1 - F.abs(gap) / most)
+    """1 at no gap, 0 from ``most`` on; NULL for an unknown gap."""
+    return F.when(gap.isNotNull(), F.greatest(F.lit(0.0), 1 - F.abs(gap) / most))
 
 
 def place_credit(own: Column, similarities: list[Column], missing: float = 0.3) -> Column:
@@ -56,7 +56,7 @@ def place_tier(city: tuple[Column, Column], spot: tuple[Column, Column], region:
 def with_day_bonus(score: Column, day_a: Column, day_b: Column, gap: Column, bonus: float = 0.1) -> Column:
     """More, up to 1, where the day numbers two reports give differ by what their dates differ, give or take a day."""
     fits = F.coalesce(F.abs(F.abs(day_a - day_b) - F.abs(gap)) <= 1, F.lit(False))
-    return F.when(fits, F.least(F.lit(1.0), score + bonus)).otherwise(score)
+    return F.when(fits & score.isNotNull(), F.least(F.lit(1.0), score + bonus)).otherwise(score)
 
 
 def trusted_edge(similarity: Column, trust_a: Column, trust_b: Column) -> Column:

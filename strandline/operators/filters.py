@@ -102,8 +102,8 @@ def interaction(a: Column, b: Column) -> Column:
 
 
 def damped(a: Column, b: Column, bound: float = 3.0) -> Column:
-    """a x (1 - b), with b held within +-``bound``."""
-    return a * (1 - F.greatest(F.lit(-bound), F.least(F.lit(bound), b)))
+    """a x (1 - b), with b held within +-``bound``; NULL where either is."""
+    return F.when(b.isNotNull(), a * (1 - F.greatest(F.lit(-bound), F.least(F.lit(bound), b))))
 
 
 def size_bucket(n: Column, bounds: list[int] | None = None) -> Column:

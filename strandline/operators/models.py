@@ -254,8 +254,8 @@ def by_group(df: DataFrame, group: str, names: list[str], run) -> DataFrame:
 
 
 def elkan_noto(p: Column, c: float) -> Column:
-    """A score learnt from positives and unlabelled rows, corrected by the labelling probability, within [0, 1]."""
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), p / max(c, 0.5)))
+    """A score learnt from positives and unlabelled rows, corrected by the labelling probability, within [0, 1]; NULL stays NULL."""
+    return F.when(p.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), p / max(c, 0.5))))
 
 
 def labelling_probability(df: DataFrame, label: str, covered: Column) -> float:

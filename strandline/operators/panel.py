@@ -46,6 +46,12 @@ def month_spine(df: DataFrame, date: str, to: str) -> DataFrame:
     return df.withColumn(to, F.explode(F.sequence(first, F.last_day(date))))
 
 
+def year_spine(df: DataFrame, year: str, to: str) -> DataFrame:
+    """A row per day of the year in column ``year``: yearly figures on daily rows; rows without a year give none."""
+    first = F.make_date(F.col(year).cast("int"), F.lit(1), F.lit(1))
+    return df.where(F.col(year).isNotNull()).withColumn(to, F.explode(F.sequence(first, F.make_date(F.col(year).cast("int"), F.lit(12), F.lit(31)))))
+
+
 def by(keys: Keys, order: str) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order)
 

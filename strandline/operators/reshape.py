@@ -11,12 +11,13 @@ def pivot_first(df: DataFrame, keys: list[str], names: str, value: str, order: s
     return df.groupBy(*keys).agg(*(F.min_by(value, F.when(F.col(names) == n, F.col(order))).alias(n) for n in columns))
 
 
-def pivot_agg(df: DataFrame, keys: list[str], names: str, value: Column, how, columns: list[str], fill=None, total: str | None = None) -> DataFrame:
-    """One column per name with ``how`` (sum, avg, count) of its values; ``total`` adds the row's sum."""
-    out = df.groupBy(*keys).agg(*(how(F.when(F.col(names) == n, value)).alias(n) for n in columns))
+def pivot_agg(df: DataFrame, keys: list[str], names: str, value: Column, how, columns: list, fill=None, total: str | None = None) -> DataFrame:
+    """One column per name, which may be a number, with ``how`` (sum, avg, count) of its values; ``total`` adds the row's sum."""
+    to = [str(n) for n in columns]
+    out = df.groupBy(*keys).agg(*(how(F.when(F.col(names) == n, value)).alias(c) for n, c in zip(columns, to, strict=True)))
     if fill is not None:
-        out = out.fillna(fill, columns)
-    return out.withColumn(total, sum((F.col(c) for c in columns[1:]), F.col(columns[0]))) if total else out
+        out = out.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(fill)) for c in to})
+    return out.withColumn(total, sum((F.col(f"`{c}`") for c in to[1:]), F.col(f"`{to[0]}`"))) if total else out
 
 
 def crosstab_percent(df: DataFrame, row: str, names: str, columns: list[str]) -> DataFrame:

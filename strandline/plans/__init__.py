@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["panel_problems", "place_problems", "series_queries", "join_queries", "aggregate_queries", "text_queries", "model_queries", "record_queries", "movement_queries", "source_queries", "backtest_queries", "pipeline_queries"]
+_MODULES = ["panel_problems", "place_problems", "series_queries", "join_queries", "aggregate_queries", "text_queries", "model_queries", "record_queries", "movement_queries", "source_queries", "backtest_queries", "pipeline_queries", "summary_queries"]
 
 
 def core_queries() -> dict:

@@ -223,14 +223,14 @@ SQL = {
  select disruption_type, count(*) as n, {', '.join(f'count(*) filter ({c}) as {c}' for c in ('text_range', 'buffered', 'confident', 'near_origin', 'agreed'))} from x group by 1""",
     "missing_feature_units": f"select panel_id, unit, month from (select panel_id, {_K.format('adm1_code')} as unit, strftime(date, '%Y-%m') as month, count({_F('gini_coef')}) over (partition by {_K.format('adm1_code')}, strftime(date, '%Y-%m')) as n from modelling_panel_gdelt) where n = 0",
     "article_buckets": "select case when n_articles < 1 then null when n_articles < 2 then '1' when n_articles < 4 then '2-3' when n_articles < 6 then '4-5' when n_articles >= 6 then '6+' end as bucket, case when n_articles < 1 then null when n_articles < 2 then '1' when n_articles < 3 then '2' when n_articles < 6 then '3-5' when n_articles < 11 then '6-10' when n_articles >= 11 then '11+' end as wide, count(*) as n from event_clusters group by all",
-    "panel_interactions": f"select panel_id, {_F('fx_pct_30d')} as fx_pct_30d_f, {_F('oil_brent_pct_30d')} as oil_brent_pct_30d_f, round({_F('fx_pct_30d')} * {_F('gdp_growth')}, 6) as growth_x_fx_f, round({_F('oil_brent_pct_30d')} * (1 - greatest(-3.0, least(3.0, {_F('political_stability_est')}))), 6) as damped_f from modelling_panel_gdelt",
+    "panel_interactions": f"select panel_id, {_F('fx_pct_30d')} as fx_pct_30d_f, {_F('oil_brent_pct_30d')} as oil_brent_pct_30d_f, round({_F('fx_pct_30d')} * {_F('gdp_growth')}, 6) as growth_x_fx_f, case when {_F('political_stability_est')} is not null then round({_F('oil_brent_pct_30d')} * (1 - greatest(-3.0, least(3.0, {_F('political_stability_est')}))), 6) end as damped_f from modelling_panel_gdelt",
     "pair_scores": f"""with a as (select article_id, cluster_id, arg_max((event_date, subloc, estimated_participants, reported_day_number, {_F('confidence')}), ingest_time) as r from source_articles where cluster_id is not null group by all),
- x as (select article_id, cluster_id, date_diff('day', e.event_date, r[1]) as gap, r[4] as day, greatest(0.0, 1 - abs(date_diff('day', e.event_date, r[1])) / 7.0) as "time",
+ x as (select article_id, cluster_id, date_diff('day', e.event_date, r[1]) as gap, r[4] as day, case when r[1] is not null and e.event_date is not null then greatest(0.0, 1 - abs(date_diff('day', e.event_date, r[1])) / 7.0) end as "time",
   case when r[2] is null or trim(r[2]) = '' then 0.3 else coalesce((lower(trim(r[2])) = lower(trim(split_part(location_name, ',', 1))))::double, 0) end as place, {_COMPAT}::double as "type",
   case when try_cast(trim(r[3]) as double) > 0 and n_articles > 0 then least(try_cast(trim(r[3]) as double), n_articles * 100.0) / greatest(try_cast(trim(r[3]) as double), n_articles * 100.0) end as heads, r[5] as c, {_F('confidence_max')} as ec
   from a join event_clusters e using (cluster_id)),
  y as (select *, (0.4 * coalesce("time", 0) + 0.3 * place + 0.2 * "type" + 0.1 * coalesce(heads, 0)) / (("time" is not null)::int * 0.4 + 0.5 + (heads is not null)::int * 0.1) as s from x),
- z as (select *, case when abs(abs(day - 1) - abs(gap)) <= 1 then least(1.0, s + 0.1) else s end as score from y)
+ z as (select *, case when abs(abs(day - 1) - abs(gap)) <= 1 and s is not null then least(1.0, s + 0.1) else s end as score from y)
  select article_id, cluster_id, round("time", 6) as "time", round(place, 6) as place, round("type", 6) as "type", round(heads, 6) as heads, round(score, 6) as score, round(round(score, 6) * sqrt(least(coalesce(round(c, 6), 0), coalesce(round(ec, 6), 0))), 4) as edge from z""",
     "place_tiers": "select place_id, case when place_id % 3 = 0 or lower(trim(place_name)) = lower(trim(alt_names[1])) then 1.0 when contains(lower(place_name), lower(alt_names[1])) or contains(lower(alt_names[1]), lower(place_name)) then 0.8 when place_id % 2 = 0 and admin1 is not null then 0.5 else 0.0 end as tier from gazetteer",
     "port_scores": f"with s as (select *, coalesce((asset_type = 'port')::int, 0) + coalesce((harbor_size = 'L')::int, 0) as yes, (latitude > 0)::int as north from sites) select iso3, sum(yes) as yes, round(sum((yes * 0.4 + coalesce(north, 0) * 0.1) * 20), 6) as score, round({_HAV.format('min(latitude)', 'min(longitude)', 'max(latitude)', 'max(longitude)')}, 4) as span_km from s group by 1",

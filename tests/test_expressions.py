@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import collections as C
 from strandline.functions import dates as D
+from strandline.functions import geo
 from strandline.functions import pages as P
 from strandline.functions import scores as S
 from strandline.functions import strings as T
@@ -22,6 +23,8 @@ def _one(spark, **cols):
 
 def test_scores(spark):
     n, d = F.lit(None).cast("double"), F.lit
+    r = _one(spark, a=S.decay(n, 7), b=S.with_day_bonus(n, d(3), d(1), d(2)), c=filters.damped(d(1.0), n), e=models.elkan_noto(n, 0.6), f=geo.haversine_km(n, d(1.0), d(1.0), d(1.0)))
+    assert tuple(r) == (None,) * 5  # the unknown stays unknown
     r = _one(spark, none=S.known_mean([(0.5, n), (0.5, n)]), some=S.known_mean([(0.5, n), (0.1, d(0.4))]), far=S.decay(d(9), 7), credit=S.place_credit(d(" "), [n]), best=S.place_credit(d("x"), [n, d(0.4)]), same=S.place_credit(d("x"), [n]),
         odd=S.type_agreement(d("flood"), d("Riots")), riot=S.type_agreement(d("protests"), d("Riots")), null=S.type_agreement(F.lit(None).cast("string"), d("Riots")), ratio=S.ratio(d("50"), d(100)), bad=S.ratio(d("many"), d(100)), zero=S.ratio(d("0"), d(100)),
         bonus=S.with_day_bonus(d(0.95), d(3), d(1), d(2)), no=S.with_day_bonus(d(0.5), n, d(1), d(2)), edge=S.trusted_edge(d(0.8), n, d(1.0)), tier=S.place_tier((d(""), d("")), (d("Main Square, X"), d("main square")), (d("r"), d("r"))))
