@@ -35,3 +35,18 @@ def centroid(df: DataFrame, key: str, vector: str) -> DataFrame:
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets; 0 if both are empty."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
+
+
+def hashed_vectors(df: DataFrame, key: str, tokens: str, dims: int = 256) -> DataFrame:
+    """(key, dim, w): texts as sparse vectors of length 1, without a trained model: token counts times ln((1 + n) / (1 + df)), summed per digest of the token.
+
+    ``n`` is the number of texts, ``df`` that of texts with the token. Texts without tokens, or with such as all texts have, give no rows.
+    """
+    each = df.select(F.col(key), F.explode(tokens).alias("__t")).where("__t <> ''").groupBy(key, "__t").agg(F.count("*").alias("__tf"))
+    rare = each.groupBy("__t").agg(F.count("*").alias("__df"))
+    n = df.select(key).distinct().count()
+    w = each.join(rare, "__t").withColumn("__w", F.col("__tf") * F.ln((1.0 + n) / (1 + F.col("__df"))))
+    dim = F.pmod(F.conv(F.substring(F.md5("__t"), 1, 8), 16, 10).cast("long"), F.lit(dims)).cast("int")
+    part = w.groupBy(key, dim.alias("dim")).agg(F.sum("__w").alias("__w")).where("__w <> 0")
+    length = part.groupBy(F.col(key).alias("__k")).agg(F.sqrt(F.sum(F.col("__w") * F.col("__w"))).alias("__l"))
+    return part.join(length, F.col(key) == F.col("__k")).select(key, "dim", (F.col("__w") / F.col("__l")).alias("w"))

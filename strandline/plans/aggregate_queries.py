@@ -258,10 +258,16 @@ _K = "nullif(regexp_replace(upper({}), '[^A-Z0-9-]', '', 'g'), '')"
 _F = lambda c: f"(case when isfinite({c}) then {c} end)"
 _W = "(({s} / n + 3.8416 / (2 * n)) {op} 1.96 * sqrt({s} / n * (1 - {s} / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)"
 SQL = {
-    "pricing_summary": "select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 2) as quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) as net, round(avg(l_discount), 6) as discount, max(l_tax) as most_tax from lineitem where l_shipdate <= timestamp '2001-06-01' group by all",
+    "pricing_summary": (
+        "select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 2) as quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) as net, round(avg(l_discount), 6) as discount, max(l_tax) as "
+        "most_tax from lineitem where l_shipdate <= timestamp '2001-06-01' group by all"
+    ),
     "value_shares": "select event_type, count(*) as n, count(distinct user_id) as users, round(100.0 * count(*) / (select count(*) from events), 6) as pct from events group by 1",
     "value_percentiles": "select event_type, round(median(value), 6) as median, round(quantile_cont(value, 0.1), 6) as p10, round(quantile_cont(value, 0.9), 6) as p90 from events group by 1",
-    "price_quartiles": "select c_mktsegment, len(v) as n, round(list_sum(v), 2) as total, v[1] as low, v[len(v) // 4 + 1] as q1, v[len(v) // 2 + 1] as q2, v[3 * len(v) // 4 + 1] as q3, v[len(v)] as high from (select c_mktsegment, list(c_acctbal order by c_acctbal) as v from customer where c_acctbal > 0 group by 1)",
+    "price_quartiles": (
+        "select c_mktsegment, len(v) as n, round(list_sum(v), 2) as total, v[1] as low, v[len(v) // 4 + 1] as q1, v[len(v) // 2 + 1] as q2, v[3 * len(v) // 4 + 1] as q3, v[len(v)] as high from (select c_mktsegment, "
+        "list(c_acctbal order by c_acctbal) as v from customer where c_acctbal > 0 group by 1)"
+    ),
     "dedupe_first": "select md5(text) as digest, min(doc_id) as doc_id, nullif(arg_min(coalesce(source, '~'), doc_id), '~') as source from documents where text is not null group by 1",
     "dedupe_last": "select user_id, event_type, event_id, ts from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as n from events) where n = 1",
     "dedupe_max": "select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as n from orders) where n = 1",
@@ -269,12 +275,35 @@ SQL = {
     "top_parts": "select p_brand, p_partkey, p_retailprice, rank from (select p_brand, p_partkey, p_retailprice, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) as rank from part) where rank <= 5",
     "top_orders": "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25",
     "longest_name": "select p_brand, arg_min(p_name, (-length(p_name), p_partkey)) as longest, arg_min(p_type, p_partkey) as first_type from part group by 1",
-    "merged_articles": f"with r as (select *, concat_ws('|', upper(iso3), ingest_time::date::varchar) as k from extract_records) select k, min(event_date) as event_date, max(event_date) as event_end_date, arg_min(location_name, (-length(location_name), record_id)) as location_name, arg_min(source_title, (-length(source_title), record_id)) as source_title, count(distinct url) as n_urls, count(*) as n_articles, arg_min({_F('duration_hours')}, record_id) filter ({_F('duration_hours')} is not null) as duration_hours, max({_F('confidence')}) as confidence, round(median({_F('lat')}), 7) as lat, round(median({_F('lon')}), 7) as lon from r group by 1",
-    "merged_maps": "with a as (select cluster_id, unnest([issue, protest_type, subloc]) as v, unnest(['issue', 'protest_type', 'subloc']) as k from source_articles where cluster_id is not null), l as (select cluster_id, k, list_sort(list_distinct(list(v))) as vs from a where v is not null group by all) select cluster_id, '{' || string_agg('\"' || k || '\":' || to_json(vs), ',' order by k) || '}' as merged from l group by 1",
-    "richest_articles": "select cluster_id, article_id from (select cluster_id, article_id, row_number() over (partition by cluster_id order by (issue is not null)::int + (protest_type is not null)::int + (sector is not null)::int + (estimated_participants is not null)::int desc, article_id) as n from source_articles where cluster_id is not null) where n = 1",
-    "durations": f"select record_id, greatest(coalesce(ceil({_F('duration_hours')} / 24), 0), coalesce(try_cast(json_extract_string(extras, '$.reported_day_number') as double), 0), 1.0) as days, case when ceil({_F('duration_hours')} / 24) >= greatest(coalesce(try_cast(json_extract_string(extras, '$.reported_day_number') as double), 0), 1.0) then 'explicit' when try_cast(json_extract_string(extras, '$.reported_day_number') as double) >= greatest(coalesce(ceil({_F('duration_hours')} / 24), 0), 1.0) then 'day_number' else 'range' end as source from extract_records",
-    "canonical_events": f"with x as (select cluster_id, min(event_date::date) as start, max(event_date::date) as latest, max({_F('reported_day_number::double')}) as n, count(*) as n_articles from source_articles where cluster_id is not null group by 1) select cluster_id, start, latest, greatest(latest, start + coalesce(n, 1)::int - 1) as estimated_end, date_diff('day', start, greatest(latest, start + coalesce(n, 1)::int - 1)) + 1 as duration, n_articles from x",
-    "chosen_types": f"select case when {_F('expert_probability')} >= 0.6 and expert_disruption_type is not null then expert_disruption_type else coalesce(llm_disruption_type, 'unknown') end as type, case when {_F('expert_probability')} >= 0.6 and expert_disruption_type is not null then 'expert' else 'llm' end as source, count(*) as n from extract_records group by 1, 2",
+    "merged_articles": (
+        f"with r as (select *, concat_ws('|', upper(iso3), ingest_time::date::varchar) as k from extract_records) select k, min(event_date) as event_date, max(event_date) as event_end_date, arg_min(location_name, "
+        f"(-length(location_name), record_id)) as location_name, arg_min(source_title, (-length(source_title), record_id)) as source_title, count(distinct url) as n_urls, count(*) as n_articles, arg_min({_F('duration_hours')}, "
+        f"record_id) filter ({_F('duration_hours')} is not null) as duration_hours, max({_F('confidence')}) as confidence, round(median({_F('lat')}), 7) as lat, round(median({_F('lon')}), 7) as lon from r group "
+        f"by 1"
+    ),
+    "merged_maps": (
+        "with a as (select cluster_id, unnest([issue, protest_type, subloc]) as v, unnest(['issue', 'protest_type', 'subloc']) as k from source_articles where cluster_id is not null), l as (select cluster_id, "
+        "k, list_sort(list_distinct(list(v))) as vs from a where v is not null group by all) select cluster_id, '{' || string_agg('\"' || k || '\":' || to_json(vs), ',' order by k) || '}' as merged from l group "
+        "by 1"
+    ),
+    "richest_articles": (
+        "select cluster_id, article_id from (select cluster_id, article_id, row_number() over (partition by cluster_id order by (issue is not null)::int + (protest_type is not null)::int + (sector is not null)::int "
+        "+ (estimated_participants is not null)::int desc, article_id) as n from source_articles where cluster_id is not null) where n = 1"
+    ),
+    "durations": (
+        f"select record_id, greatest(coalesce(ceil({_F('duration_hours')} / 24), 0), coalesce(try_cast(json_extract_string(extras, '$.reported_day_number') as double), 0), 1.0) as days, case when ceil({_F('duration_hours')} "
+        f"/ 24) >= greatest(coalesce(try_cast(json_extract_string(extras, '$.reported_day_number') as double), 0), 1.0) then 'explicit' when try_cast(json_extract_string(extras, '$.reported_day_number') as double) "
+        f">= greatest(coalesce(ceil({_F('duration_hours')} / 24), 0), 1.0) then 'day_number' else 'range' end as source from extract_records"
+    ),
+    "canonical_events": (
+        f"with x as (select cluster_id, min(event_date::date) as start, max(event_date::date) as latest, max({_F('reported_day_number::double')}) as n, count(*) as n_articles from source_articles where cluster_id "
+        f"is not null group by 1) select cluster_id, start, latest, greatest(latest, start + coalesce(n, 1)::int - 1) as estimated_end, date_diff('day', start, greatest(latest, start + coalesce(n, 1)::int - 1)) "
+        f"+ 1 as duration, n_articles from x"
+    ),
+    "chosen_types": (
+        f"select case when {_F('expert_probability')} >= 0.6 and expert_disruption_type is not null then expert_disruption_type else coalesce(llm_disruption_type, 'unknown') end as type, case when {_F('expert_probability')} "
+        f">= 0.6 and expert_disruption_type is not null then 'expert' else 'llm' end as source, count(*) as n from extract_records group by 1, 2"
+    ),
     "json_fields": "select disruption_type, key, count(*) as n from (select disruption_type, unnest(json_keys(extras)) as key from extract_records where extras is not null) group by all",
     "event_props": "select event_type, count(k) as n, sum(k) as total, min(k) as low, max(k) as high from (select event_type, json_extract_string(props, '$.k')::int as k from events) group by 1",
     "explode_collect": "select l_orderkey, count(*) as n, string_agg(l_partkey::varchar, ';' order by l_linenumber, l_partkey) as parts from lineitem group by 1",
@@ -284,17 +313,32 @@ SQL = {
     "correlation_matrix": " union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({_F(a)}, {_F(b)}), 6) as r from modelling_panel_gdelt" for i, a in enumerate(["unemployment_total", "food_cpi_inflation", "political_stability_est", "gdp_growth", "fx_pct_30d", "oil_brent_pct_30d"]) for b in ["unemployment_total", "food_cpi_inflation", "political_stability_est", "gdp_growth", "fx_pct_30d", "oil_brent_pct_30d"][i + 1 :]),
     "wilson_by_type": f"select event_type, n, k, round(greatest(0.0, {_W.format(s='k', op='-')}), 6) as low, round(least(1.0, {_W.format(s='k', op='+')}), 6) as high from (select event_type, count(*)::double as n, (count(*) filter (value > 250))::double as k from events group by 1)",
     "confidence_histogram": f"select case when {_F('confidence')} is null then 'none' when confidence < 0.5 then '<0.5' when confidence < 0.7 then '<0.7' when confidence < 0.9 then '<0.9' else '<=1' end as bin, count(*) as n from extract_records group by 1",
-    "entity_summary": "with v as (select user_id, cast(ts as date) as d, round(sum(value), 4) as v from events group by all) select user_id, arg_min(v, d) as first, arg_max(v, d) as last, date_diff('day', min(d), max(d)) as span, arg_max(d, (v, d)) as best_day, count(*) filter (v > 500) as busy_days from v group by 1",
-    "reliable_units": f"with g as (select {_K.format('adm1_code')} as unit, {_F('n_protest_events')} + {_F('n_strike_events')} as n, {_F('n_articles')} as a from gdelt_daily_labels), m as (select unit from g where n > 0 group by 1 having median(a / n) >= 2) select unit from m union select distinct unit from g where not exists (select 1 from m)",
+    "entity_summary": (
+        "with v as (select user_id, cast(ts as date) as d, round(sum(value), 4) as v from events group by all) select user_id, arg_min(v, d) as first, arg_max(v, d) as last, date_diff('day', min(d), max(d)) as "
+        "span, arg_max(d, (v, d)) as best_day, count(*) filter (v > 500) as busy_days from v group by 1"
+    ),
+    "reliable_units": (
+        f"with g as (select {_K.format('adm1_code')} as unit, {_F('n_protest_events')} + {_F('n_strike_events')} as n, {_F('n_articles')} as a from gdelt_daily_labels), m as (select unit from g where n > 0 group "
+        f"by 1 having median(a / n) >= 2) select unit from m union select distinct unit from g where not exists (select 1 from m)"
+    ),
     "priority_mean": "select o_custkey, round(avg(o_totalprice), 4) as mean from (select *, min(o_orderpriority) over (partition by o_custkey) as t from orders) where o_orderpriority = t group by 1",
-    "row_index": f"with p as (select panel_id, {_F('unemployment_total')} as a, {_F('food_cpi_inflation')} as b, {_F('gdp_growth')} as c from modelling_panel_gdelt) select panel_id, round((coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / nullif((a is not null)::int + (b is not null)::int + (c is not null)::int, 0), 6) as mean, case when a is null and b is null and c is null then null when coalesce(a, -1e9) >= greatest(coalesce(b, -1e9), coalesce(c, -1e9)) then 'unemployment_total' when coalesce(b, -1e9) >= coalesce(c, -1e9) then 'food_cpi_inflation' else 'gdp_growth' end as largest, (a is not null)::int + (b is not null)::int + (c is not null)::int as n_known from p",
+    "row_index": (
+        f"with p as (select panel_id, {_F('unemployment_total')} as a, {_F('food_cpi_inflation')} as b, {_F('gdp_growth')} as c from modelling_panel_gdelt) select panel_id, round((coalesce(a, 0) + coalesce(b, 0) "
+        f"+ coalesce(c, 0)) / nullif((a is not null)::int + (b is not null)::int + (c is not null)::int, 0), 6) as mean, case when a is null and b is null and c is null then null when coalesce(a, -1e9) >= greatest(coalesce(b, "
+        f"-1e9), coalesce(c, -1e9)) then 'unemployment_total' when coalesce(b, -1e9) >= coalesce(c, -1e9) then 'food_cpi_inflation' else 'gdp_growth' end as largest, (a is not null)::int + (b is not null)::int "
+        f"+ (c is not null)::int as n_known from p"
+    ),
     "priority_pivot": "select o_orderstatus, " + ", ".join(f"count(*) filter (o_orderpriority = '{p}') as \"{p}\"" for p in PRIORITIES) + ", count(*) as total from orders group by 1",
     "mean_pivot": "select user_id, " + ", ".join(f"round(avg(value) filter (event_type = '{t}'), 6) as {t}" for t in TYPES) + " from events group by 1",
     "first_pivot": "select user_id, " + ", ".join(f"min(event_id) filter (event_type = '{t}') as {t}" for t in TYPES) + " from events group by 1",
     "priority_crosstab": "select o_orderstatus, " + ", ".join(f"round(100.0 * count(*) filter (o_orderpriority = '{p}') / count(*), 6) as \"{p}\"" for p in PRIORITIES) + " from orders group by 1",
     "melted_panel": " union all ".join(f"select panel_id, '{c}' as variable, {_F(c)} as value from modelling_panel_gdelt where {_F(c)} is not null" for c in ["fx_pct_30d", "oil_brent_pct_30d", "gdp_growth"]),
     "grid_counts": f"select floor({_F('latitude')} / 5) * 5.0 as lat_cell, floor({_F('longitude')} / 5) * 5.0 as lon_cell, round(avg(fatalities), 6) as mean, count(fatalities) as n from verified_events where {_F('latitude')} is not null and {_F('longitude')} is not null group by 1, 2",
-    "session_chains": "with e as (select *, coalesce(date_trunc('second', ts) is not null and epoch_us(ts) - epoch_us(lag(ts) over w) >= 43201000000, true)::int as new from events window w as (partition by user_id order by ts, event_id)), s as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as session from e) select user_id, session, count(*) as n, min(ts) as start, max(ts) as \"end\" from s group by 1, 2",
+    "session_chains": (
+        "with e as (select *, coalesce(date_trunc('second', ts) is not null and epoch_us(ts) - epoch_us(lag(ts) over w) >= 43201000000, true)::int as new from events window w as (partition by user_id order by "
+        "ts, event_id)), s as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as session from e) select user_id, session, count(*) as n, min(ts) as start, max(ts) "
+        "as \"end\" from s group by 1, 2"
+    ),
     "tumbling_days": "select cast(ts as date) as day, event_type, count(*) as n, round(sum(value), 4) as value from events group by 1, 2",
     "sliding_windows": "with e as (select event_type, floor(date_diff('day', date '1970-01-01', cast(ts as date)) / 4)::int as k from events), x as (select event_type, unnest([k - 1, k]) as k from e) select event_type, date '1970-01-01' + k * 4 as start, count(*) as n from x group by 1, 2",
     "cube_counts": "select o_orderstatus, o_orderpriority, count(*) as n, grouping(o_orderstatus, o_orderpriority) as level from orders group by cube (o_orderstatus, o_orderpriority)",

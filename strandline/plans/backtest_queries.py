@@ -94,7 +94,15 @@ SQL = {
  select record_id, case when g then gf else wf end as y_flood, case when g then gp else wp end as y_protests, case when g then ga when k = 0 then 1 when k = 1 then 0 else greatest(wf, wp) end as y_any,
  array_to_string(list_filter([case when gf <> wf then 'flood' end, case when gp <> wp then 'protests' end], lambda x: x is not null), ',') as differ from x""",
     "masked_labels": f"""with g as (select {_K.format('adm1_code')} as unit, date::date as date, protest_today as y, lower(trim(coverage_flag)) as c from gdelt_daily_labels), b as (select distinct unit from g where y = 1),
- m as (select unit, case when date <= (select max(date) from g) - 30 and not coalesce(y = 0 and c = 'low', false) and not (y = 0 and unit not in (select unit from b where unit is not null)) then y end as y from g) select unit, count(*) as n, count(y) as known, sum(y) as positive from m group by 1""",
-    "unit_baselines": f"with p as (select panel_id, {_K.format('country_iso3')} as iso3, year(date) as year, protest_7d as y from modelling_panel_gdelt), m as (select iso3, avg(y) as b from p where year < 2020 group by 1) select panel_id, round(coalesce(b, (select avg(y) from p where year < 2020)), 6) as baseline from p left join m using (iso3) where year = 2020",
-    "fold_means": "with m as (select o_orderstatus, date_trunc('month', o_orderdate) as m, o_orderpriority, avg(o_totalprice - 150000) as w from orders group by all), y as (select o_orderstatus, year(m) as f, o_orderpriority as feature, avg(w) as w from m group by all), a as (select o_orderstatus, feature, avg(w) as mean from y group by all), r as (select *, row_number() over (partition by o_orderstatus order by abs(mean) desc, feature) as rank from a) select o_orderstatus, feature, round(mean, 4) as mean, rank from r where rank <= 3",
+ m as (select unit, case when date <= (select max(date) from g) - 30 and not coalesce(y = 0 and c = 'low', false) and not (y = 0 and unit not in (select unit from b where unit is not null)) then y end
+  as y from g) select unit, count(*) as n, count(y) as known, sum(y) as positive from m group by 1""",
+    "unit_baselines": (
+        f"with p as (select panel_id, {_K.format('country_iso3')} as iso3, year(date) as year, protest_7d as y from modelling_panel_gdelt), m as (select iso3, avg(y) as b from p where year < 2020 group by 1) select "
+        f"panel_id, round(coalesce(b, (select avg(y) from p where year < 2020)), 6) as baseline from p left join m using (iso3) where year = 2020"
+    ),
+    "fold_means": (
+        "with m as (select o_orderstatus, date_trunc('month', o_orderdate) as m, o_orderpriority, avg(o_totalprice - 150000) as w from orders group by all), y as (select o_orderstatus, year(m) as f, o_orderpriority "
+        "as feature, avg(w) as w from m group by all), a as (select o_orderstatus, feature, avg(w) as mean from y group by all), r as (select *, row_number() over (partition by o_orderstatus order by abs(mean) "
+        "desc, feature) as rank from a) select o_orderstatus, feature, round(mean, 4) as mean, rank from r where rank <= 3"
+    ),
 }

@@ -154,22 +154,60 @@ _V = f"v as (select event_id_cnty, arg_max(event_date::date, ingest_time) as eve
 _HAV = "2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({e} - {b}) / 2), 2))))"
 _S = ", ".join(f"({i}, '{n}', {a}, {o})" for i, (n, (a, o)) in enumerate(STRAITS.items()))
 SQL = {
-    "interval_match_counts": f"with l as ({_E.format('error')}), r as ({_E.format('purchase')}) select l.event_id, l.user_id, l.d, count(r.event_id) as n_near, round(coalesce(sum(r.value), 0), 4) as value_near from l left join r on l.user_id = r.user_id and r.d between l.d - 2 and l.d + 2 group by all",
+    "interval_match_counts": (
+        f"with l as ({_E.format('error')}), r as ({_E.format('purchase')}) select l.event_id, l.user_id, l.d, count(r.event_id) as n_near, round(coalesce(sum(r.value), 0), 4) as value_near from l left join r on "
+        f"l.user_id = r.user_id and r.d between l.d - 2 and l.d + 2 group by all"
+    ),
     "interval_pairs": f"with l as ({_E.format('error')}), r as ({_E.format('signup')}) select l.event_id, r.event_id as signup_id, date_diff('day', l.d, r.d) as gap from l join r on l.user_id = r.user_id and r.d between l.d and l.d + 3",
     "exists_near": f"with l as ({_E.format('error')}), r as ({_E.format('signup')}) select event_id, exists (select 1 from r where r.user_id = l.user_id and r.d between l.d - 1 and l.d + 1) as has_signup from l",
-    "match_rate_levels": f"with {_C}, {_V}, h as (select disruption_type, year(event_date) as year, case when iso3 is not null and event_date is not null then exists (select 1 from v where v.iso3 = c.iso3 and v.event_date between c.event_date - 2 and c.event_date + 2) end as hit from c) select disruption_type, year, count(*) as n, count(hit) as resolved, count(*) filter (hit) as matched, grouping(disruption_type, year) as level, count(*) filter (hit) / nullif(count(hit), 0) as rate from h group by grouping sets ((), (disruption_type), (year))",
+    "match_rate_levels": (
+        f"with {_C}, {_V}, h as (select disruption_type, year(event_date) as year, case when iso3 is not null and event_date is not null then exists (select 1 from v where v.iso3 = c.iso3 and v.event_date between "
+        f"c.event_date - 2 and c.event_date + 2) end as hit from c) select disruption_type, year, count(*) as n, count(hit) as resolved, count(*) filter (hit) as matched, grouping(disruption_type, year) as level, "
+        f"count(*) filter (hit) / nullif(count(hit), 0) as rate from h group by grouping sets ((), (disruption_type), (year))"
+    ),
     "missed_events": f"with {_C}, {_V} select event_id_cnty, iso3, event_date from v where iso3 is not null and event_date is not null and not exists (select 1 from c where c.iso3 = v.iso3 and c.event_date between v.event_date - 3 and v.event_date + 3)",
-    "nearest_verified": f"with {_C}, {_V}, x as (select cluster_id, event_id_cnty, v.event_date as vd, case when c.lat + c.lon + v.lat + v.lon is null or isnan(c.lat + c.lon + v.lat + v.lon) then null else {_HAV.format(a='c.lat', b='c.lon', c='v.lat', e='v.lon')} end as km from c join v on c.iso3 = v.iso3 and v.event_date between c.event_date - 2 and c.event_date + 2), y as (select cluster_id, event_id_cnty, km, row_number() over (partition by cluster_id order by km is null, km, vd, event_id_cnty) as n from x) select cluster_id, event_id_cnty, round(km, 4) as km, case when km <= 100 then 'geographic' else 'country_only' end as match from y where n = 1",
-    "window_pairs": f"with {_C} select a.cluster_id as a_cluster_id, b.cluster_id as b_cluster_id, abs(date_diff('day', b.event_date, a.event_date)) as gap from c a join c b on a.iso3 = b.iso3 and a.disruption_type = b.disruption_type and a.cluster_id < b.cluster_id and abs(date_diff('day', a.event_date, b.event_date)) <= 7",
-    "location_jaccard": f"with {_C}, t as (select cluster_id, iso3, disruption_type, list_distinct(list_filter(string_split(regexp_replace(regexp_replace(lower(location_name), '\\([^)]*\\)', ' ', 'g'), '[^a-z]+', ' ', 'g'), ' '), lambda x: length(x) > 2)) as t from c), p as (select a.cluster_id as a, b.cluster_id as b, len(list_intersect(a.t, b.t)) as common, len(a.t) + len(b.t) as n from t a join t b on a.iso3 = b.iso3 and a.disruption_type = b.disruption_type and a.cluster_id < b.cluster_id) select a, b, common, round(common / (n - common), 6) as jaccard from p where common > 0 and common / (n - common) >= 0.6",
-    "sites_by_strait": f"with s(i, name, a, o) as (values {_S}), x as (select site_id, name, {_HAV.format(a='latitude', b='longitude', c='a', e='o')} as km, i from sites cross join s), y as (select *, row_number() over (partition by site_id order by km, i) as n from x) select site_id, case when km <= 3000 then name end as nearest, round(km, 4) as nearest_km from y where n = 1",
-    "outer_indicators": f"with i as (select {_K.format('country_iso3')} as iso3, trim(indicator) as indicator, year, arg_min(value, released_at) as value from country_indicators where value is not null and not isnan(value) group by all) select coalesce(a.iso3, b.iso3) as iso3, coalesce(a.year, b.year) as year, a.value as political_stability_est, b.value as gdp_growth from (select * from i where indicator = 'political_stability_est') a full join (select * from i where indicator = 'gdp_growth') b on a.iso3 = b.iso3 and a.year = b.year",
+    "nearest_verified": (
+        f"with {_C}, {_V}, x as (select cluster_id, event_id_cnty, v.event_date as vd, case when c.lat + c.lon + v.lat + v.lon is null or isnan(c.lat + c.lon + v.lat + v.lon) then null else {_HAV.format(a='c.lat', b='c.lon', c='v.lat', e='v.lon')} "
+        f"end as km from c join v on c.iso3 = v.iso3 and v.event_date between c.event_date - 2 and c.event_date + 2), y as (select cluster_id, event_id_cnty, km, row_number() over (partition by cluster_id order "
+        f"by km is null, km, vd, event_id_cnty) as n from x) select cluster_id, event_id_cnty, round(km, 4) as km, case when km <= 100 then 'geographic' else 'country_only' end as match from y where n = 1"
+    ),
+    "window_pairs": (
+        f"with {_C} select a.cluster_id as a_cluster_id, b.cluster_id as b_cluster_id, abs(date_diff('day', b.event_date, a.event_date)) as gap from c a join c b on a.iso3 = b.iso3 and a.disruption_type = b.disruption_type "
+        f"and a.cluster_id < b.cluster_id and abs(date_diff('day', a.event_date, b.event_date)) <= 7"
+    ),
+    "location_jaccard": (
+        f"with {_C}, t as (select cluster_id, iso3, disruption_type, list_distinct(list_filter(string_split(regexp_replace(regexp_replace(lower(location_name), '\\([^)]*\\)', ' ', 'g'), '[^a-z]+', ' ', 'g'), ' "
+        f"'), lambda x: length(x) > 2)) as t from c), p as (select a.cluster_id as a, b.cluster_id as b, len(list_intersect(a.t, b.t)) as common, len(a.t) + len(b.t) as n from t a join t b on a.iso3 = b.iso3 and "
+        f"a.disruption_type = b.disruption_type and a.cluster_id < b.cluster_id) select a, b, common, round(common / (n - common), 6) as jaccard from p where common > 0 and common / (n - common) >= 0.6"
+    ),
+    "sites_by_strait": (
+        f"with s(i, name, a, o) as (values {_S}), x as (select site_id, name, {_HAV.format(a='latitude', b='longitude', c='a', e='o')} as km, i from sites cross join s), y as (select *, row_number() over (partition "
+        f"by site_id order by km, i) as n from x) select site_id, case when km <= 3000 then name end as nearest, round(km, 4) as nearest_km from y where n = 1"
+    ),
+    "outer_indicators": (
+        f"with i as (select {_K.format('country_iso3')} as iso3, trim(indicator) as indicator, year, arg_min(value, released_at) as value from country_indicators where value is not null and not isnan(value) group "
+        f"by all) select coalesce(a.iso3, b.iso3) as iso3, coalesce(a.year, b.year) as year, a.value as political_stability_est, b.value as gdp_growth from (select * from i where indicator = 'political_stability_est') "
+        f"a full join (select * from i where indicator = 'gdp_growth') b on a.iso3 = b.iso3 and a.year = b.year"
+    ),
     "mapped_countries": f"select {_K.format('iso3')} as iso3, count(*) as n, coalesce({_K.format('iso3')} in (select {_K.format('iso3')} from gazetteer), false) as mapped from extract_records group by 1",
-    "layered_orders": "select o_orderkey, items, quantity, coalesce(returned, 0) as returned from orders left join (select l_orderkey, count(*) as items, sum(l_quantity) as quantity from lineitem group by 1) a on a.l_orderkey = o_orderkey left join (select l_orderkey, count(*) as returned from lineitem where l_returnflag = 'R' group by 1) b on b.l_orderkey = o_orderkey",
-    "month_matches": f"with {_C}, {_V}, m as (select iso3, date_trunc('month', event_date) as m, count(*) as n from v group by all) select cluster_id, case when c.iso3 is not null then coalesce(n, 0) end as n_verified from c left join m on m.iso3 = c.iso3 and m.m = date_trunc('month', c.event_date)",
+    "layered_orders": (
+        "select o_orderkey, items, quantity, coalesce(returned, 0) as returned from orders left join (select l_orderkey, count(*) as items, sum(l_quantity) as quantity from lineitem group by 1) a on a.l_orderkey "
+        "= o_orderkey left join (select l_orderkey, count(*) as returned from lineitem where l_returnflag = 'R' group by 1) b on b.l_orderkey = o_orderkey"
+    ),
+    "month_matches": (
+        f"with {_C}, {_V}, m as (select iso3, date_trunc('month', event_date) as m, count(*) as n from v group by all) select cluster_id, case when c.iso3 is not null then coalesce(n, 0) end as n_verified from "
+        f"c left join m on m.iso3 = c.iso3 and m.m = date_trunc('month', c.event_date)"
+    ),
     "entity_baselines": "select o_orderkey, round(o_totalprice / avg(o_totalprice) over (partition by c_nationkey), 6) as ratio from orders join customer on o_custkey = c_custkey",
-    "key_sets": "with a as (select distinct user_id, cast(ts as date) as d from events where event_type = 'purchase'), b as (select distinct user_id, cast(ts as date) as d from events where event_type = 'error') select user_id, count(*) as either, count(x.d) filter (a.d is not null and b.d is not null) as both from (select * from a union select * from b) x left join a using (user_id, d) left join b using (user_id, d) group by 1",
+    "key_sets": (
+        "with a as (select distinct user_id, cast(ts as date) as d from events where event_type = 'purchase'), b as (select distinct user_id, cast(ts as date) as d from events where event_type = 'error') select "
+        "user_id, count(*) as either, count(x.d) filter (a.d is not null and b.d is not null) as both from (select * from a union select * from b) x left join a using (user_id, d) left join b using (user_id, d) "
+        "group by 1"
+    ),
     "upserted": "select case when o_orderpriority = '1-URGENT' then 'X' else o_orderstatus end as o_orderstatus, count(*) as n from orders group by 1",
     "backfill_days": "with s as (select cast(unnest(generate_series(min(date)::timestamp, max(date)::timestamp, interval 1 day)) as date) as day from gdelt_daily_labels) select day from s where day not in (select date::date from gdelt_daily_labels)",
-    "date_gaps": f"select {_K.format('iso3')} as iso3, count(*) as n, min(date_diff('day', event_date::date, ingest_time::date)) as least, max(date_diff('day', event_date::date, ingest_time::date)) as most, round(avg(date_diff('day', event_date::date, ingest_time::date)), 6) as mean from verified_events group by 1",
+    "date_gaps": (
+        f"select {_K.format('iso3')} as iso3, count(*) as n, min(date_diff('day', event_date::date, ingest_time::date)) as least, max(date_diff('day', event_date::date, ingest_time::date)) as most, round(avg(date_diff('day', "
+        f"event_date::date, ingest_time::date)), 6) as mean from verified_events group by 1"
+    ),
 }

@@ -159,20 +159,44 @@ _SC = "s as (select panel_id, nullif(regexp_replace(upper(country_iso3), '[^A-Z0
 _RANK = "g as (select {k}, p, sum(y)::double as pos, sum(1 - y)::double as neg from {t} group by all), h as (select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over (partition by {k}) as pp, sum(neg) over (partition by {k}) as nn from g window w as (partition by {k} order by p desc))"
 SQL = {
     "embedding_edges": f"with {_EDGES} select src, dst, round(weight, 6) as weight from e",
-    "label_centroids": "with x as (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings), m as (select label, i, avg(x) as m from x group by all), n as (select label, sqrt(sum(m * m)) as n from m group by 1) select label, 1.0 as length, round(m / n, 6) as first from m join n using (label) where i = 1",
+    "label_centroids": (
+        "with x as (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings), m as (select label, i, avg(x) as m from x group by all), n as (select label, sqrt(sum(m "
+        "* m)) as n from m group by 1) select label, 1.0 as length, round(m / n, 6) as first from m join n using (label) where i = 1"
+    ),
     "connected_components": f"with recursive {_CC} select id, root from c",
     "dbscan_roles": f"""with recursive {_EDGES}, y as (select src, dst from e union select dst, src from e), g as (select vec_id as id, 1 + count(y.dst) as n from embeddings left join y on y.src = vec_id group by 1), k as (select id from g where n >= 3),
  z as (select y.src, y.dst from y join k a on a.id = src join k b on b.id = dst), r(id, o) as (select id, id from k union select r.id, z.dst from r join z on r.o = z.src), c as (select id, min(o) as cluster from r group by 1),
- b as (select y.src as id, min(cluster) as near from y join c on c.id = y.dst group by 1) select g.id, coalesce(c.cluster, b.near, g.id) as cluster, case when c.cluster is not null then 'core' when b.near is not null then 'border' else 'noise' end as role from g left join c using (id) left join b using (id)""",
+ b as (select y.src as id, min(cluster) as near from y join c on c.id = y.dst group by 1) select g.id, coalesce(c.cluster, b.near, g.id) as cluster, case when c.cluster is not null then 'core' when b.near is not null
+  then 'border' else 'noise' end as role from g left join c using (id) left join b using (id)""",
     "greedy_dedupe": f"""with recursive {_EDGES}, n as (select vec_id as id, row_number() over (order by vec_id) as i, coalesce(list(src) filter (src is not null), []) as near from embeddings left join e on dst = vec_id group by vec_id),
  r(i, reps) as (select 0::bigint, []::bigint[] union all select n.i, case when list_has_any(near, reps) then reps else list_append(reps, id) end from r join n on n.i = r.i + 1), f as (select arg_max(reps, i) as reps from r)
  select id, coalesce(list_min(list_intersect(near, reps)), id) as representative from n, f""",
-    "cluster_quality": f"with recursive {_M}, z as (select count(*) as n from m group by cluster) select sum(n) as records, count(*) as clusters, round(count(*) filter (n = 1) / count(*), 6) as singleton_rate, round(1 - count(*) / sum(n), 6) as reduction, max(n) as largest, round(avg(n), 6) as mean_size from z",
-    "internal_weights": f"with recursive {_M}, z as (select cluster, count(*) as size from m group by 1), w as (select a.cluster, avg(weight) as w from e join m a on a.id = src join m b on b.id = dst where a.cluster = b.cluster group by 1) select cluster, size, round(case when size = 1 then 1 else coalesce(w, 0) end, 6) as mean_weight from z left join w using (cluster)",
-    "threshold_sweep": f"with {_SC}, t as (select unnest([{', '.join(map(str, THRESHOLDS))}])::double as threshold), x as (select threshold, count(*) filter (p >= threshold and y = 1) as tp, count(*) filter (p >= threshold and y = 0) as fp, count(*) filter (p < threshold and y = 1) as fn, count(*) filter (p < threshold and y = 0) as tn from s cross join t group by 1) select *, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1 from x",
-    "ranking_scores": f"with {_SC}, {_RANK.format(k='iso3', t='s')} select iso3, (max(pp) + max(nn))::bigint as n, max(pp)::bigint as n_pos, round(sum(neg * (tp - pos) + pos * neg / 2) / (max(pp) * max(nn)), 6) as roc_auc, round(sum(pos / pp * tp / (tp + fp)), 6) as average_precision, round(sum(pos * (p - 1) * (p - 1) + neg * p * p) / (max(pp) + max(nn)), 6) as brier, round(1 - sum(pos * (p - 1) * (p - 1) + neg * p * p) / (max(pp) + max(nn)) / (max(pp) / (max(pp) + max(nn)) * (1 - max(pp) / (max(pp) + max(nn)))), 6) as brier_skill from h group by 1",
+    "cluster_quality": (
+        f"with recursive {_M}, z as (select count(*) as n from m group by cluster) select sum(n) as records, count(*) as clusters, round(count(*) filter (n = 1) / count(*), 6) as singleton_rate, round(1 - count(*) "
+        f"/ sum(n), 6) as reduction, max(n) as largest, round(avg(n), 6) as mean_size from z"
+    ),
+    "internal_weights": (
+        f"with recursive {_M}, z as (select cluster, count(*) as size from m group by 1), w as (select a.cluster, avg(weight) as w from e join m a on a.id = src join m b on b.id = dst where a.cluster = b.cluster "
+        f"group by 1) select cluster, size, round(case when size = 1 then 1 else coalesce(w, 0) end, 6) as mean_weight from z left join w using (cluster)"
+    ),
+    "threshold_sweep": (
+        f"with {_SC}, t as (select unnest([{', '.join(map(str, THRESHOLDS))}])::double as threshold), x as (select threshold, count(*) filter (p >= threshold and y = 1) as tp, count(*) filter (p >= threshold and "
+        f"y = 0) as fp, count(*) filter (p < threshold and y = 1) as fn, count(*) filter (p < threshold and y = 0) as tn from s cross join t group by 1) select *, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) "
+        f"as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1 from x"
+    ),
+    "ranking_scores": (
+        f"with {_SC}, {_RANK.format(k='iso3', t='s')} select iso3, (max(pp) + max(nn))::bigint as n, max(pp)::bigint as n_pos, round(sum(neg * (tp - pos) + pos * neg / 2) / (max(pp) * max(nn)), 6) as roc_auc, round(sum(pos "
+        f"/ pp * tp / (tp + fp)), 6) as average_precision, round(sum(pos * (p - 1) * (p - 1) + neg * p * p) / (max(pp) + max(nn)), 6) as brier, round(1 - sum(pos * (p - 1) * (p - 1) + neg * p * p) / (max(pp) + "
+        f"max(nn)) / (max(pp) / (max(pp) + max(nn)) * (1 - max(pp) / (max(pp) + max(nn)))), 6) as brier_skill from h group by 1"
+    ),
     "calibration_bins": f"with {_SC} select least(greatest(ceil(p * 5) - 1, 0), 4)::int as bin, round(avg(p), 6) as mean_pred, round(avg(y), 6) as mean_actual, count(*) as n from s group by 1",
     "reliability_bins": f"with {_SC} select least(floor(p * 10), 9)::int as bin, round(avg(p), 6) as mean_pred, round(avg(y), 6) as mean_actual, count(*) as n from s group by 1",
-    "gain_curve": f"with {_SC}, g as (select p, sum(y)::double as pos, count(*)::double as n from s group by 1), h as (select sum(n) over w / sum(n) over () as upto, sum(pos) over w / sum(pos) over () as gain from g window w as (order by p desc)) select ceil(upto * 10)::int as step, round(max(upto), 6) as share, round(max(gain), 6) as gain, round(max(gain) / max(upto), 6) as lift from h group by 1",
-    "best_models": f"with {_SC}, b as (select iso3 || '/score' as k, y, p from s union all select iso3 || '/inverse', y, 1 - p from s), {_RANK.format(k='k', t='b')}, r as (select k, round(sum(pos / pp * tp / (tp + fp)), 6) as ap from h group by 1) select split_part(k, '/', 1) as iso3, arg_min(split_part(k, '/', 2), (-ap, k)) as model, max(ap) as ap from r group by 1",
+    "gain_curve": (
+        f"with {_SC}, g as (select p, sum(y)::double as pos, count(*)::double as n from s group by 1), h as (select sum(n) over w / sum(n) over () as upto, sum(pos) over w / sum(pos) over () as gain from g window "
+        f"w as (order by p desc)) select ceil(upto * 10)::int as step, round(max(upto), 6) as share, round(max(gain), 6) as gain, round(max(gain) / max(upto), 6) as lift from h group by 1"
+    ),
+    "best_models": (
+        f"with {_SC}, b as (select iso3 || '/score' as k, y, p from s union all select iso3 || '/inverse', y, 1 - p from s), {_RANK.format(k='k', t='b')}, r as (select k, round(sum(pos / pp * tp / (tp + fp)), 6) "
+        f"as ap from h group by 1) select split_part(k, '/', 1) as iso3, arg_min(split_part(k, '/', 2), (-ap, k)) as model, max(ap) as ap from r group by 1"
+    ),
 }

@@ -153,27 +153,68 @@ _C = f"c as (select cluster_id, disruption_type, {_K.format('iso3')} as iso3, ev
 _J = "len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))"
 _L = f"""{_C}, e as (select a.cluster_id as src, b.cluster_id as dst, round({_J}, 6) as weight from c a join c b on a.iso3 = b.iso3 and a.disruption_type = b.disruption_type and a.cluster_id < b.cluster_id and abs(date_diff('day', a.start, b.start)) <= 30 where {_J} >= 0.6 - 1e-12),
 u as (select src, dst from e union select dst, src from e), r(id, o) as (select src, src from u union select r.id, u.dst from r join u on r.o = u.src), k as (select id, min(o) as root from r group by 1),
-m as (select root, min(start) as start, max("end") as "end", count(*) as n_clusters, sum(n_articles) as n_articles, count(*) filter (n_articles > 1) as multi, list_sort(list(cluster_id)) as children, min(iso3) as iso3, min(disruption_type) as disruption_type from k join c on id = cluster_id group by 1),
+m as (select root, min(start) as start, max("end") as "end", count(*) as n_clusters, sum(n_articles) as n_articles, count(*) filter (n_articles > 1) as multi, list_sort(list(cluster_id)) as children, min(iso3)
+  as iso3, min(disruption_type) as disruption_type from k join c on id = cluster_id group by 1),
 w as (select root, round(avg(weight), 4) as mean_weight from e join k on src = id group by 1), v as (select * from m join w using (root) where multi >= 1)"""
 _HAV = "2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2))))"
 _Q = "count(*) as clusters, sum(n_articles) as records, count(*) filter (n_articles = 1) / count(*) as singleton_rate, 1 - count(*) / sum(n_articles) as reduction, avg(score) filter (n_articles > 1) as cohesion, max(date_diff('day', start, \"end\") + 1) as longest, avg(date_diff('day', start, \"end\") + 1) as mean_span"
 _E = "e as (select event_id_cnty, max(latitude) as lat, max(longitude) as lon from verified_events group by 1), f as (select * from e where isfinite(lat) and isfinite(lon) and not (abs(lat) < 0.01 and abs(lon) < 0.01))"
 SQL = {
-    "block_pairs": f"with {_A}, k as (select article_id, day, 'p' || lower(trim(subloc)) as key from a where trim(subloc) <> '' union select article_id, day, 't' || lower(trim(sector)) || '/' || lower(trim(issue)) from a where sector is not null and issue is not null) select distinct x.article_id as a, y.article_id as b, abs(date_diff('day', x.day, y.day)) as gap from k x join k y on x.key = y.key and x.article_id < y.article_id and abs(date_diff('day', x.day, y.day)) <= 14",
-    "post_hoc_edges": f"with {_C} select a.cluster_id as a, b.cluster_id as b, round({_J}, 6) as jaccard from c a join c b on a.iso3 = b.iso3 and a.disruption_type = b.disruption_type and a.cluster_id < b.cluster_id where {_J} >= 0.3 - 1e-12 and abs(date_diff('day', a.start, b.start)) <= 7 * case when a.n_articles > 2 and b.n_articles > 2 then 1 when a.n_articles > 2 or b.n_articles > 2 then 2 else 3 end and (a.lat + a.lon + b.lat + b.lon is null or {_HAV.format('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 50)",
-    "linked_movements": f"with recursive {_L}, o as (select *, row_number() over (order by n_clusters desc, array_to_string(children, ';')) as ordinal from v) select iso3, disruption_type, start, \"end\", n_clusters, n_articles, mean_weight, array_to_string(children, ';') as children, ordinal, iso3 || '_' || disruption_type || '_movement_' || strftime(start, '%Y%m%d') || '_' || lpad(ordinal::varchar, 4, '0') as movement_id from o",
+    "block_pairs": (
+        f"with {_A}, k as (select article_id, day, 'p' || lower(trim(subloc)) as key from a where trim(subloc) <> '' union select article_id, day, 't' || lower(trim(sector)) || '/' || lower(trim(issue)) from a "
+        f"where sector is not null and issue is not null) select distinct x.article_id as a, y.article_id as b, abs(date_diff('day', x.day, y.day)) as gap from k x join k y on x.key = y.key and x.article_id < y.article_id "
+        f"and abs(date_diff('day', x.day, y.day)) <= 14"
+    ),
+    "post_hoc_edges": (
+        f"with {_C} select a.cluster_id as a, b.cluster_id as b, round({_J}, 6) as jaccard from c a join c b on a.iso3 = b.iso3 and a.disruption_type = b.disruption_type and a.cluster_id < b.cluster_id where {_J} "
+        f">= 0.3 - 1e-12 and abs(date_diff('day', a.start, b.start)) <= 7 * case when a.n_articles > 2 and b.n_articles > 2 then 1 when a.n_articles > 2 or b.n_articles > 2 then 2 else 3 end and (a.lat + a.lon "
+        f"+ b.lat + b.lon is null or {_HAV.format('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 50)"
+    ),
+    "linked_movements": (
+        f"with recursive {_L}, o as (select *, row_number() over (order by n_clusters desc, array_to_string(children, ';')) as ordinal from v) select iso3, disruption_type, start, \"end\", n_clusters, n_articles, "
+        f"mean_weight, array_to_string(children, ';') as children, ordinal, iso3 || '_' || disruption_type || '_movement_' || strftime(start, '%Y%m%d') || '_' || lpad(ordinal::varchar, 4, '0') as movement_id from "
+        f"o"
+    ),
     "movement_flags": f"with recursive {_L} select cluster_id, (cluster_id in (select unnest(children) from v))::int as has_movement from c",
-    "top_actors": f"with {_A}, x as (select cluster_id, article_id, unnest([lower(trim(issue)), lower(trim(sector)), lower(trim(protest_type))]) as v, unnest([0, 1, 2]) as i from a where cluster_id is not null), n as (select cluster_id, v, count(*) as n, min((article_id, i)) as f from x where trim(v) <> '' group by all), t as (select *, row_number() over (partition by cluster_id order by n desc, f) as r from n) select cluster_id, string_agg(v, ', ' order by r) as top from t where r <= 5 group by 1",
-    "first_places": f"with {_POSITIONS}, x as (select record_id, unnest(ps) as piece, generate_subscripts(ps, 1) as i from r), g as (select lower(trim(place_name)) as name, min(place_id) as place_id from gazetteer group by 1) select record_id, arg_min(place_id, i) as place_id from x join g on piece = name group by 1",
-    "layered_places": "with g as (select place_id, admin1, round(latitude, 5) as latitude, array_to_string(list_sort(list_distinct(alt_names)), '|') as k from gazetteer where alt_names is not null), n as (select k, max(latitude * 2) as north from g where latitude > 0 group by 1), e as (select k, max((place_id, upper(admin1))) as e from g where place_id % 2 = 0 group by 1) select g.place_id, north, e[1] as even, case when e is not null then e[2] else admin1 end as admin1 from g left join n using (k) left join e using (k)",
-    "asset_distances": f"with {_E}, x as (select event_id_cnty, asset_type, site_id, {_HAV.format('f.lat', 'f.lon', 's.latitude', 's.longitude')} as km from f cross join sites s), n as (select event_id_cnty, asset_type, arg_min(site_id, (km, site_id)) as site, round(min(km), 4) as km from x group by all) select event_id_cnty, max(site) filter (asset_type = 'port') as port, max(km) filter (asset_type = 'port') as port_km, max(site) filter (asset_type = 'mine') as mine, max(km) filter (asset_type = 'mine') as mine_km, coalesce(min(km) <= 50, false) as near_asset from n group by 1",
-    "site_neighbours": f"with x as (select a.site_id, b.site_id as neighbour, {_HAV.format('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} as km from sites a join sites b on a.site_id <> b.site_id) select site_id, arg_min(neighbour, (km, neighbour)) as neighbour, round(min(km), 4) as km from x group by 1",
-    "merged_clusters": f"with {_C} select iso3, disruption_type, strftime(start, '%Y-%m') as month, arg_max(coalesce(location_name, '~'), ((location_name is not null)::int + (score is not null)::int + (lat is not null)::int + (lon is not null)::int, coalesce(n_articles, 0), cluster_id)) as location_name, min(start) as start, sum(n_articles) as n_articles, max(confidence) as confidence, count(*) as merged from c group by 1, 2, 3",
+    "top_actors": (
+        f"with {_A}, x as (select cluster_id, article_id, unnest([lower(trim(issue)), lower(trim(sector)), lower(trim(protest_type))]) as v, unnest([0, 1, 2]) as i from a where cluster_id is not null), n as (select "
+        f"cluster_id, v, count(*) as n, min((article_id, i)) as f from x where trim(v) <> '' group by all), t as (select *, row_number() over (partition by cluster_id order by n desc, f) as r from n) select cluster_id, "
+        f"string_agg(v, ', ' order by r) as top from t where r <= 5 group by 1"
+    ),
+    "first_places": (
+        f"with {_POSITIONS}, x as (select record_id, unnest(ps) as piece, generate_subscripts(ps, 1) as i from r), g as (select lower(trim(place_name)) as name, min(place_id) as place_id from gazetteer group by "
+        f"1) select record_id, arg_min(place_id, i) as place_id from x join g on piece = name group by 1"
+    ),
+    "layered_places": (
+        "with g as (select place_id, admin1, round(latitude, 5) as latitude, array_to_string(list_sort(list_distinct(alt_names)), '|') as k from gazetteer where alt_names is not null), n as (select k, max(latitude "
+        "* 2) as north from g where latitude > 0 group by 1), e as (select k, max((place_id, upper(admin1))) as e from g where place_id % 2 = 0 group by 1) select g.place_id, north, e[1] as even, case when e is "
+        "not null then e[2] else admin1 end as admin1 from g left join n using (k) left join e using (k)"
+    ),
+    "asset_distances": (
+        f"with {_E}, x as (select event_id_cnty, asset_type, site_id, {_HAV.format('f.lat', 'f.lon', 's.latitude', 's.longitude')} as km from f cross join sites s), n as (select event_id_cnty, asset_type, arg_min(site_id, "
+        f"(km, site_id)) as site, round(min(km), 4) as km from x group by all) select event_id_cnty, max(site) filter (asset_type = 'port') as port, max(km) filter (asset_type = 'port') as port_km, max(site) filter "
+        f"(asset_type = 'mine') as mine, max(km) filter (asset_type = 'mine') as mine_km, coalesce(min(km) <= 50, false) as near_asset from n group by 1"
+    ),
+    "site_neighbours": (
+        f"with x as (select a.site_id, b.site_id as neighbour, {_HAV.format('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} as km from sites a join sites b on a.site_id <> b.site_id) select site_id, "
+        f"arg_min(neighbour, (km, neighbour)) as neighbour, round(min(km), 4) as km from x group by 1"
+    ),
+    "merged_clusters": (
+        f"with {_C} select iso3, disruption_type, strftime(start, '%Y-%m') as month, arg_max(coalesce(location_name, '~'), ((location_name is not null)::int + (score is not null)::int + (lat is not null)::int + "
+        f"(lon is not null)::int, coalesce(n_articles, 0), cluster_id)) as location_name, min(start) as start, sum(n_articles) as n_articles, max(confidence) as confidence, count(*) as merged from c group by 1, "
+        f"2, 3"
+    ),
     "cluster_figures": f"with {_C}, q as (select disruption_type, {_Q} from c group by 1) select disruption_type, {', '.join(f'round({x}, 6) as {x}' for x in FIGURES)} from q",
-    "run_differences": f"with {_C}, p as (select disruption_type, {_Q} from c group by 1), q as (select disruption_type, {_Q} from c where n_articles > 1 group by 1) select disruption_type, {', '.join(f'round(coalesce(q.{x}, 0) - coalesce(p.{x}, 0), 6) as {x}' for x in FIGURES)} from p full join q using (disruption_type)",
-    "arbitrated_positions": f"""with {_POSITIONS}, h2 as (select e.record_id, arg_max((n.latitude, n.longitude, n.iso3), (4 * coalesce((e.iso3 = n.iso3)::int, 0) + 2 * coalesce(list_contains(ps, n.country)::int, 0) + coalesce((len(list_filter(ps, lambda x: starts_with(x, n.admin1))) > 0)::int, 0), -n.place_id)) as g
+    "run_differences": (
+        f"with {_C}, p as (select disruption_type, {_Q} from c group by 1), q as (select disruption_type, {_Q} from c where n_articles > 1 group by 1) select disruption_type, {', '.join(f'round(coalesce(q.{x}, 0) - coalesce(p.{x}, 0), 6) as {x}' for x in FIGURES)} "
+        f"from p full join q using (disruption_type)"
+    ),
+    "arbitrated_positions": f"""with {_POSITIONS}, h2 as (select e.record_id, arg_max((n.latitude, n.longitude, n.iso3), (4 * coalesce((e.iso3 = n.iso3)::int, 0) + 2 * coalesce(list_contains(ps, n.country)::int, 0) +
+  coalesce((len(list_filter(ps, lambda x: starts_with(x, n.admin1))) > 0)::int, 0), -n.place_id)) as g
   from (select record_id, iso3, ps, unnest(list_distinct(ps)) as piece from r) e join n on e.piece = n.name group by 1),
- x as (select record_id, case when ok then r.lat end as lat, case when ok then r.lon end as lon, g[1] as nlat, g[2] as nlon, coalesce(g[1] is not null and {_F('confidence')} >= 0.7 and {_K.format('r.iso3')} = g[3], false) as named from r left join h2 using (record_id) join (select record_id, confidence from extract_records) using (record_id)),
+ x as (select record_id, case when ok then r.lat end as lat, case when ok then r.lon end as lon, g[1] as nlat, g[2] as nlon, coalesce(g[1] is not null and {_F('confidence')} >= 0.7 and {_K.format('r.iso3')} = g[3], false)
+  as named from r left join h2 using (record_id) join (select record_id, confidence from extract_records) using (record_id)),
  y as (select *, case when lat is not null and nlat is not null then {_HAV.format('lat', 'lon', 'nlat', 'nlon')} end as off from x), z as (select *, coalesce(not named and off > 500, false) as far from y)
- select record_id, round(case when named then nlat when not far then lat end, 6) as lat, round(case when named then nlon when not far then lon end, 6) as lon, case when named then 'named' when lat is not null and not far then 'own' end as source, named or coalesce(off <= 500, false) as verified, case when far then round(off, 1) end as rejected_km from z""",
+ select record_id, round(case when named then nlat when not far then lat end, 6) as lat, round(case when named then nlon when not far then lon end, 6) as lon, case when named then 'named' when lat is not null
+  and not far then 'own' end as source, named or coalesce(off <= 500, false) as verified, case when far then round(off, 1) end as rejected_km from z""",
 }

@@ -82,7 +82,8 @@ FIGURES = [
     impute.Figure("unemployment_rate", low=0.0, high=99.0, codes=NO_FIGURE),
 ]
 HELPERS = ["unemployment_total", "food_cpi_inflation", "political_stability_est", "gdp_growth"]
-LEVELS = [["cluster", "unit", "year"], ["cluster", "unit"], ["unit"], ["cluster", "country"], ["country"], ["cluster"], []]
+#: From the row's own unit and year within its cluster to their parents; of several orders the one that brings hidden figures back best (p5_holdout).
+LEVELS = [["cluster", "unit", "year"], ["unit", "year"], ["unit"], ["cluster", "country", "year"], ["country"], ["cluster"], []]
 
 
 FILLED = [f.name for f in FIGURES]
@@ -162,9 +163,19 @@ v as (select unit, date, coalesce(sum(p) over (w rows between 7 preceding and 1
 
 SQL = {
     "p2_calendar": f"with {_CALENDAR} select unit, date, a as gdelt_protest_7d_lag, b as gdelt_strike_28d_lag, c as protest_30d, a / 7 as gdelt_protest_7d_lag_mean, b / 28 as gdelt_strike_28d_lag_mean, c / 30 as protest_30d_mean from v",
-    "p5_found": "select panel_id, field from (select panel_id, unnest([case when gini_coef is null or isnan(gini_coef) or gini_coef <= 0 or gini_coef > 100 or gini_coef = 99.9 then 'gini_coef' end, case when inflation_cpi_yoy is null or not isfinite(inflation_cpi_yoy) or inflation_cpi_yoy < -95 or inflation_cpi_yoy in (999, 9999) or inflation_cpi_yoy > 9000 then 'inflation_cpi_yoy' end, case when unemployment_rate is null or isnan(unemployment_rate) or unemployment_rate < 0 or unemployment_rate > 99 then 'unemployment_rate' end]) as field from modelling_panel_gdelt) where field is not null",
-    "p2_found": f"with {_DAILY} select panel_id, field from (select panel_id, unnest([case when pa is null or abs(pa - a) > 0.001 then 'gdelt_protest_7d_lag' end, case when pb is null or abs(pb - b) > 0.001 then 'gdelt_strike_28d_lag' end, case when pc is null or abs(pc - c) > 0.001 then 'gdelt_protest_region_14d' end]) as field from t) where field is not null",
+    "p5_found": (
+        "select panel_id, field from (select panel_id, unnest([case when gini_coef is null or isnan(gini_coef) or gini_coef <= 0 or gini_coef > 100 or gini_coef = 99.9 then 'gini_coef' end, case when inflation_cpi_yoy "
+        "is null or not isfinite(inflation_cpi_yoy) or inflation_cpi_yoy < -95 or inflation_cpi_yoy in (999, 9999) or inflation_cpi_yoy > 9000 then 'inflation_cpi_yoy' end, case when unemployment_rate is null "
+        "or isnan(unemployment_rate) or unemployment_rate < 0 or unemployment_rate > 99 then 'unemployment_rate' end]) as field from modelling_panel_gdelt) where field is not null"
+    ),
+    "p2_found": (
+        f"with {_DAILY} select panel_id, field from (select panel_id, unnest([case when pa is null or abs(pa - a) > 0.001 then 'gdelt_protest_7d_lag' end, case when pb is null or abs(pb - b) > 0.001 then 'gdelt_strike_28d_lag' "
+        f"end, case when pc is null or abs(pc - c) > 0.001 then 'gdelt_protest_region_14d' end]) as field from t) where field is not null"
+    ),
     "p2_rolling": f"with {_DAILY} select unit, date, panel_id, a as gdelt_protest_7d_lag, b as gdelt_strike_28d_lag, a / 7 as gdelt_protest_7d_lag_mean, b / 28 as gdelt_strike_28d_lag_mean, c as gdelt_protest_region_14d from t",
     "p3_asof": f"with {_KNOWN_SQL} select p.panel_id, {_UNIT.format('p.country_iso3')} as country, p.date, w.ps as political_stability_est, w.gg as gdp_growth from modelling_panel_gdelt p join w using (panel_id)",
-    "p3_found": f"with {_KNOWN_SQL}, f as (select p.panel_id, unnest([case when w.ps is distinct from p.political_stability_est then 'political_stability_est' end, case when w.gg is distinct from p.gdp_growth then 'gdp_growth' end]) as field from modelling_panel_gdelt p join w using (panel_id)) select * from f where field is not null",
+    "p3_found": (
+        f"with {_KNOWN_SQL}, f as (select p.panel_id, unnest([case when w.ps is distinct from p.political_stability_est then 'political_stability_est' end, case when w.gg is distinct from p.gdp_growth then 'gdp_growth' "
+        f"end]) as field from modelling_panel_gdelt p join w using (panel_id)) select * from f where field is not null"
+    ),
 }

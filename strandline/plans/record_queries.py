@@ -222,8 +222,15 @@ SQL = {
  coalesce({_F('confidence')}, 0) >= 0.6 as confident, coalesce(abs({_F('lat')}) < 1 and abs({_F('lon')}) < 1, false) as near_origin, coalesce(llm_disruption_type = expert_disruption_type, false) as agreed from extract_records)
  select disruption_type, count(*) as n, {', '.join(f'count(*) filter ({c}) as {c}' for c in ('text_range', 'buffered', 'confident', 'near_origin', 'agreed'))} from x group by 1""",
     "missing_feature_units": f"select panel_id, unit, month from (select panel_id, {_K.format('adm1_code')} as unit, strftime(date, '%Y-%m') as month, count({_F('gini_coef')}) over (partition by {_K.format('adm1_code')}, strftime(date, '%Y-%m')) as n from modelling_panel_gdelt) where n = 0",
-    "article_buckets": "select case when n_articles < 1 then null when n_articles < 2 then '1' when n_articles < 4 then '2-3' when n_articles < 6 then '4-5' when n_articles >= 6 then '6+' end as bucket, case when n_articles < 1 then null when n_articles < 2 then '1' when n_articles < 3 then '2' when n_articles < 6 then '3-5' when n_articles < 11 then '6-10' when n_articles >= 11 then '11+' end as wide, count(*) as n from event_clusters group by all",
-    "panel_interactions": f"select panel_id, {_F('fx_pct_30d')} as fx_pct_30d_f, {_F('oil_brent_pct_30d')} as oil_brent_pct_30d_f, round({_F('fx_pct_30d')} * {_F('gdp_growth')}, 6) as growth_x_fx_f, case when {_F('political_stability_est')} is not null then round({_F('oil_brent_pct_30d')} * (1 - greatest(-3.0, least(3.0, {_F('political_stability_est')}))), 6) end as damped_f from modelling_panel_gdelt",
+    "article_buckets": (
+        "select case when n_articles < 1 then null when n_articles < 2 then '1' when n_articles < 4 then '2-3' when n_articles < 6 then '4-5' when n_articles >= 6 then '6+' end as bucket, case when n_articles "
+        "< 1 then null when n_articles < 2 then '1' when n_articles < 3 then '2' when n_articles < 6 then '3-5' when n_articles < 11 then '6-10' when n_articles >= 11 then '11+' end as wide, count(*) as n from "
+        "event_clusters group by all"
+    ),
+    "panel_interactions": (
+        f"select panel_id, {_F('fx_pct_30d')} as fx_pct_30d_f, {_F('oil_brent_pct_30d')} as oil_brent_pct_30d_f, round({_F('fx_pct_30d')} * {_F('gdp_growth')}, 6) as growth_x_fx_f, case when {_F('political_stability_est')} "
+        f"is not null then round({_F('oil_brent_pct_30d')} * (1 - greatest(-3.0, least(3.0, {_F('political_stability_est')}))), 6) end as damped_f from modelling_panel_gdelt"
+    ),
     "pair_scores": f"""with a as (select article_id, cluster_id, arg_max((event_date, subloc, estimated_participants, reported_day_number, {_F('confidence')}), ingest_time) as r from source_articles where cluster_id is not null group by all),
  x as (select article_id, cluster_id, date_diff('day', e.event_date, r[1]) as gap, r[4] as day, case when r[1] is not null and e.event_date is not null then greatest(0.0, 1 - abs(date_diff('day', e.event_date, r[1])) / 7.0) end as "time",
   case when r[2] is null or trim(r[2]) = '' then 0.3 else coalesce((lower(trim(r[2])) = lower(trim(split_part(location_name, ',', 1))))::double, 0) end as place, {_COMPAT}::double as "type",
@@ -232,27 +239,53 @@ SQL = {
  y as (select *, (0.4 * coalesce("time", 0) + 0.3 * place + 0.2 * "type" + 0.1 * coalesce(heads, 0)) / (("time" is not null)::int * 0.4 + 0.5 + (heads is not null)::int * 0.1) as s from x),
  z as (select *, case when abs(abs(day - 1) - abs(gap)) <= 1 and s is not null then least(1.0, s + 0.1) else s end as score from y)
  select article_id, cluster_id, round("time", 6) as "time", round(place, 6) as place, round("type", 6) as "type", round(heads, 6) as heads, round(score, 6) as score, round(round(score, 6) * sqrt(least(coalesce(round(c, 6), 0), coalesce(round(ec, 6), 0))), 4) as edge from z""",
-    "place_tiers": "select place_id, case when place_id % 3 = 0 or lower(trim(place_name)) = lower(trim(alt_names[1])) then 1.0 when contains(lower(place_name), lower(alt_names[1])) or contains(lower(alt_names[1]), lower(place_name)) then 0.8 when place_id % 2 = 0 and admin1 is not null then 0.5 else 0.0 end as tier from gazetteer",
-    "port_scores": f"with s as (select *, coalesce((asset_type = 'port')::int, 0) + coalesce((harbor_size = 'L')::int, 0) as yes, (latitude > 0)::int as north from sites) select iso3, sum(yes) as yes, round(sum((yes * 0.4 + coalesce(north, 0) * 0.1) * 20), 6) as score, round({_HAV.format('min(latitude)', 'min(longitude)', 'max(latitude)', 'max(longitude)')}, 4) as span_km from s group by 1",
+    "place_tiers": (
+        "select place_id, case when place_id % 3 = 0 or lower(trim(place_name)) = lower(trim(alt_names[1])) then 1.0 when contains(lower(place_name), lower(alt_names[1])) or contains(lower(alt_names[1]), lower(place_name)) "
+        "then 0.8 when place_id % 2 = 0 and admin1 is not null then 0.5 else 0.0 end as tier from gazetteer"
+    ),
+    "port_scores": (
+        f"with s as (select *, coalesce((asset_type = 'port')::int, 0) + coalesce((harbor_size = 'L')::int, 0) as yes, (latitude > 0)::int as north from sites) select iso3, sum(yes) as yes, round(sum((yes * 0.4 "
+        f"+ coalesce(north, 0) * 0.1) * 20), 6) as score, round({_HAV.format('min(latitude)', 'min(longitude)', 'max(latitude)', 'max(longitude)')}, 4) as span_km from s group by 1"
+    ),
     "distance_forms": f"""with v as (select event_id_cnty, max({_F('latitude')}) as lat, max({_F('longitude')}) as lon from verified_events group by 1) select event_id_cnty, case when lat is not null and lon is not null then round({_HAV.format('lat', 'lon', '10.0', '20.0')}, 4) end as atan2_km,
  round(6371 * sqrt(pow(radians(20 - lon) * cos(radians((lat + 10) / 2)), 2) + pow(radians(10 - lat), 2)), 4) as flat_km, round(6371 * sqrt(pow(radians(10 - lat), 2) + pow(radians(20 - lon), 2)), 4) as planar_km from v""",
-    "parsed_extras": "select record_id, coalesce(try_cast(json_extract_string(extras, '$.reported_day_number') as double), -1) as reported_day_number, lower(trim(coalesce(json_extract_string(extras, '$.sector'), 'None'))) as sector, coalesce(lower(trim(json_extract_string(extras, '$.issue'))), '-') as issue from extract_records",
-    "place_lists": "with r as (select record_id, case when location_name is null or trim(location_name) = '' then [] when starts_with(trim(location_name), '[') then from_json(trim(location_name), '[\"VARCHAR\"]') else [trim(location_name)] end as names from extract_records) select record_id, len(names) as n, greatest(len(names), 1) as rows, list_max(names) as last, len(names) > 0 as filled from r",
+    "parsed_extras": (
+        "select record_id, coalesce(try_cast(json_extract_string(extras, '$.reported_day_number') as double), -1) as reported_day_number, lower(trim(coalesce(json_extract_string(extras, '$.sector'), 'None'))) "
+        "as sector, coalesce(lower(trim(json_extract_string(extras, '$.issue'))), '-') as issue from extract_records"
+    ),
+    "place_lists": (
+        "with r as (select record_id, case when location_name is null or trim(location_name) = '' then [] when starts_with(trim(location_name), '[') then from_json(trim(location_name), '[\"VARCHAR\"]') else [trim(location_name)] "
+        "end as names from extract_records) select record_id, len(names) as n, greatest(len(names), 1) as rows, list_max(names) as last, len(names) > 0 as filled from r"
+    ),
     "cluster_actors": f"select place_id, array_to_string(list_sort({_LISTED.format('list_concat(coalesce(alt_names, []), [place_name, admin1])')}), ';') as names, coalesce(list_has_any(alt_names, [place_name]), false) as own, lower(trim(place_name)) as once from gazetteer",
     "page_dates": f"""with x as (select record_id, {_DAY('event_date')} as e, {_DAY('publish_date')} as p, record_id % 4 as k, coalesce(publish_date, '') as w, coalesce(event_description, '') as t from extract_records)
  select record_id, coalesce(p, e) as published, coalesce(length(nullif(trim(regexp_replace(t, '\\s+', ' ', 'g')), '')), case k when 2 then 4 end) as chars,
- length('<html><head></head>') + length(w) + case k when 0 then length('<meta content="" property="article:published_time">') when 1 then length('<META name="pubdate" content="">') when 2 then length('<time class="x" datetime="">then</time>') else length('<script type="application/ld+json">{{"dateModified": ""}}</script>') end as head from x""",
+ length('<html><head></head>') + length(w) + case k when 0 then length('<meta content="" property="article:published_time">') when 1 then length('<META name="pubdate" content="">') when 2 then length('<time class="x" datetime="">then</time>')
+  else length('<script type="application/ld+json">{{"dateModified": ""}}</script>') end as head from x""",
     "xml_sniffs": "select record_id, record_id % 5 in (1, 2) or record_id % 6 <> 4 as xml from extract_records",
-    "country_spellings": "with x as (select record_id, ['United States', 'the United Kingdom', 'Democratic Republic of the Congo', 'Democratic Republic of the Congo', 'United States', 'U.S.'][record_id % 6 + 1] as s, ['usa', 'the_uk', 'dr_congo', 'drc', 'us', 'u_s'][record_id % 6 + 1] as g, coalesce(location_name, '-') as l from extract_records) select record_id, l || ', ' || s as place, 'fuel_price_' || g as slug, 'x_' || record_id as feature from x",
+    "country_spellings": (
+        "with x as (select record_id, ['United States', 'the United Kingdom', 'Democratic Republic of the Congo', 'Democratic Republic of the Congo', 'United States', 'U.S.'][record_id % 6 + 1] as s, ['usa', 'the_uk', "
+        "'dr_congo', 'drc', 'us', 'u_s'][record_id % 6 + 1] as g, coalesce(location_name, '-') as l from extract_records) select record_id, l || ', ' || s as place, 'fuel_price_' || g as slug, 'x_' || record_id "
+        "as feature from x"
+    ),
     "event_starts": f"with x as (select record_id, record_id % 4 as k, {_DAY('publish_date')} as p from extract_records) select record_id, case when k in (0, 2) then p end as start, case when k <> 3 then p end as any_start from x",
-    "period_ranks": "select year(o_orderdate) as year, case o_orderkey % 3 when 0 then month(o_orderdate) when 1 then quarter(o_orderdate) * 3 - 2 end as month, case o_orderkey % 3 when 0 then 3 when 1 then 2 else 1 end as rank, count(*) as n, sum(case when o_orderkey % 2 = 0 and o_custkey % 2 = 0 then 1 when o_orderkey % 2 = 0 or o_custkey % 2 = 0 then 2 else 3 end) as days from orders group by 1, 2, 3",
+    "period_ranks": (
+        "select year(o_orderdate) as year, case o_orderkey % 3 when 0 then month(o_orderdate) when 1 then quarter(o_orderdate) * 3 - 2 end as month, case o_orderkey % 3 when 0 then 3 when 1 then 2 else 1 end as "
+        "rank, count(*) as n, sum(case when o_orderkey % 2 = 0 and o_custkey % 2 = 0 then 1 when o_orderkey % 2 = 0 or o_custkey % 2 = 0 then 2 else 3 end) as days from orders group by 1, 2, 3"
+    ),
     "calendar_windows": """with o as (select o_orderdate::date as d from orders), b as (select min(d) as lo, max(d) as hi from o), m as (select unnest(generate_series(date_trunc('month', lo), hi::timestamp, interval 1 month))::date as m, lo, hi from b),
  w as (select 'month' as kind, greatest(m, lo) as start, greatest(m, lo) - 7 as a, least(last_day(m), hi) + 7 as b from m
   union all select 'half', lo + (i * 182)::int, lo + (i * 182)::int, least(lo + (i * 182 + 363)::int, hi) from (select lo, hi, unnest(generate_series(0, 400)) as i from b) where i = 0 or lo + ((i - 1) * 182 + 363)::int < hi
   union all select 'year', make_date(y, 1, 1), make_date(y, 1, 1), least(make_date(y, 12, 31), hi) from (select hi, unnest(generate_series(year(lo), year(hi)))::int as y from b))
  select kind, start, count(*) as n from w join o on d between a and b group by 1, 2""",
-    "url_sets": rf"with x as (select nullif(lower(regexp_extract({_T}, '^(?i)https?://(?:www\.)?([^/:?#]+)', 1)), '') as host, {_NORM} as u, len(list_distinct(list_filter(regexp_split_to_array(lower({_PATH}), '[^a-z0-9]+'), lambda t: t <> ''))) as k from extract_records) select host, count(distinct u) as n_urls, min(u) as first, sum(k) as tokens from x where host is not null group by 1",
+    "url_sets": (
+        rf"with x as (select nullif(lower(regexp_extract({_T}, '^(?i)https?://(?:www\.)?([^/:?#]+)', 1)), '') as host, {_NORM} as u, len(list_distinct(list_filter(regexp_split_to_array(lower({_PATH}), '[^a-z0-9]+'), "
+        rf"lambda t: t <> ''))) as k from extract_records) select host, count(distinct u) as n_urls, min(u) as first, sum(k) as tokens from x where host is not null group by 1"
+    ),
     "ordered_places": "select site_id, coalesce(list_position(['L', 'M', 'S', 'V'], coalesce(harbor_size, '?')), 5) as at, case when site_id % 2 = 0 then '2020-01-01' else '9999' end as key from sites",
     "numbered_clusters": "select cluster_id, coalesce(n_articles, 0) as n_articles, row_number() over (order by coalesce(n_articles, 0) desc, cluster_id) as ordinal from event_clusters",
-    "value_ranks": "with v as (select event_type, cast(ts as date) as d, round(sum(value), 2) as v from events group by all) select event_type, d, round(cume_dist() over (partition by event_type order by v), 6) as cdf, rank() over (partition by event_type order by v) as rank, max(v) over (partition by event_type order by d rows unbounded preceding) as top from v",
+    "value_ranks": (
+        "with v as (select event_type, cast(ts as date) as d, round(sum(value), 2) as v from events group by all) select event_type, d, round(cume_dist() over (partition by event_type order by v), 6) as cdf, rank() "
+        "over (partition by event_type order by v) as rank, max(v) over (partition by event_type order by d rows unbounded preceding) as top from v"
+    ),
 }

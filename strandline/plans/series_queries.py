@@ -171,22 +171,41 @@ SQL = {
  sum(n) over ({_O} rows between 29 preceding and current row) as last_30d, case when count(n) over a >= 3 then round(avg(n) over a, 6) end as mean_7d, case when count(n) over a >= 3 then round(stddev_samp(n) over a, 6) end as std_7d,
  case when count(n) over z >= 6 and stddev_samp(n) over z > 1e-12 then round((n - avg(n) over z) / stddev_samp(n) over z, 6) end as z_12
  from p window a as ({_O} rows between 6 preceding and current row), z as ({_O} rows between 11 preceding and current row)""",
-    "expanding_features": f"with {_B} select user_id, d, case when count(n) over x >= 6 and stddev_samp(n) over x > 1e-12 then round((n - avg(n) over x) / stddev_samp(n) over x, 6) end as z, coalesce(count(n) over x >= 12 and n > quantile_cont(n, 0.9) over x, false)::int as above_p90 from p window x as ({_O} rows between unbounded preceding and current row)",
-    "filled_series": f"with {_B} select user_id, d, round(last_value(v ignore nulls) over ({_O} rows between unbounded preceding and current row), 6) as ffill, round(last_value(v ignore nulls) over ({_O} rows between 7 preceding and current row), 6) as ffill_7, round(coalesce(last_value(v ignore nulls) over ({_O} rows between unbounded preceding and current row), first_value(v ignore nulls) over ({_O} rows between current row and unbounded following), (select avg(value) from events)), 4) as imputed from p",
+    "expanding_features": (
+        f"with {_B} select user_id, d, case when count(n) over x >= 6 and stddev_samp(n) over x > 1e-12 then round((n - avg(n) over x) / stddev_samp(n) over x, 6) end as z, coalesce(count(n) over x >= 12 and n "
+        f"> quantile_cont(n, 0.9) over x, false)::int as above_p90 from p window x as ({_O} rows between unbounded preceding and current row)"
+    ),
+    "filled_series": (
+        f"with {_B} select user_id, d, round(last_value(v ignore nulls) over ({_O} rows between unbounded preceding and current row), 6) as ffill, round(last_value(v ignore nulls) over ({_O} rows between 7 preceding "
+        f"and current row), 6) as ffill_7, round(coalesce(last_value(v ignore nulls) over ({_O} rows between unbounded preceding and current row), first_value(v ignore nulls) over ({_O} rows between current row "
+        f"and unbounded following), (select avg(value) from events)), 4) as imputed from p"
+    ),
     "change_features": """with s as (select l_returnflag, cast(l_shipdate as date) as d, avg(l_extendedprice / l_quantity) as p from lineitem group by all), t as (select *, ln(p / lag(p) over w) as lr from s window w as (partition by l_returnflag order by d))
  select l_returnflag, d, round(p, 6) as price, round(lag(p) over w, 6) as lag_1, round(p - lag(p, 30) over w, 6) as diff_30, round((p / lag(p, 12) over w - 1) * 100, 6) as pct_12, round(lr, 8) as log_return,
- case when count(lr) over v >= 15 then round(stddev_samp(lr) over v * sqrt(252.0) * 100, 4) end as volatility, round(greatest(-3.0, least(3.0, ln(1 + p))), 6) as clipped from t window w as (partition by l_returnflag order by d), v as (partition by l_returnflag order by d rows between 29 preceding and current row)""",
+ case when count(lr) over v >= 15 then round(stddev_samp(lr) over v * sqrt(252.0) * 100, 4) end as volatility, round(greatest(-3.0, least(3.0, ln(1 + p))), 6) as clipped from t window w as (partition by l_returnflag
+  order by d), v as (partition by l_returnflag order by d rows between 29 preceding and current row)""",
     "forward_labels": f"""with {_B}, q as (select *, row_number() over ({_O}) as i from p) select user_id, d, case when count(*) over h < 7 then 0 else coalesce(max(f) over h, 0) end as any_7, case when count(*) over h = 7 then (sum(f) over h >= 1)::int end as any_7_full,
- coalesce(sum(n) over h > 1.5 * 7 * avg(n) over ({_O} rows between 90 preceding and 1 preceding) and sum(n) over h >= 3, false)::int as elevated, list_max(list_transform(list_filter(list({{'i': i, 'f': f}}) over h, lambda x: x.i > 7), lambda x: x.f)) as shifted_7, coalesce(lead(f) over ({_O}), 0) as next
+ coalesce(sum(n) over h > 1.5 * 7 * avg(n) over ({_O} rows between 90 preceding and 1 preceding) and sum(n) over h >= 3, false)::int as elevated, list_max(list_transform(list_filter(list({{'i': i, 'f': f}}) over h, lambda x: x.i > 7), lambda x: x.f))
+  as shifted_7, coalesce(lead(f) over ({_O}), 0) as next
  from q window h as ({_O} rows between 1 following and 7 following)""",
-    "masked_targets": f"with {_B}, q as (select user_id, d, case when count(*) over h < 7 then 0 else coalesce(max(f) over h, 0) end as label from p window h as ({_O} rows between 1 following and 7 following)) select user_id, d, case when d <= (select max(d) from p) - 7 then label end as label from q",
+    "masked_targets": (
+        f"with {_B}, q as (select user_id, d, case when count(*) over h < 7 then 0 else coalesce(max(f) over h, 0) end as label from p window h as ({_O} rows between 1 following and 7 following)) select user_id, "
+        f"d, case when d <= (select max(d) from p) - 7 then label end as label from q"
+    ),
     "spillover": f"with {_B} select user_id, d, greatest(sum(n) over (partition by user_id % 5, d) - n, 0) as others from p",
     "longest_gap": f"with {_B}, x as (select user_id, d, date_diff('day', date '2000-01-01', d) - row_number() over ({_O}) as g from p where v is null), r as (select user_id, count(*) as n from x group by user_id, g) select user_id, max(n) as longest_gap, count(*) as gaps from r group by 1",
     "episodes": f"""with {_B}, s as (select *, sum(f) over ({_O} rows between 7 preceding and 1 preceding) as score from p), x as (select *, date_diff('day', date '2000-01-01', d) - row_number() over ({_O}) as i from s where f = 1), y as (select *, min(d) over (partition by user_id, i) as st from x)
  select user_id, st as start, max(d) as "end", count(*) as length, max(coalesce(score >= 1, false)::int) filter (score is not null) as hit, min(date_diff('day', st, d)) filter (score >= 1) as lead from y group by user_id, i, st""",
     "months_to_days": "with m as (select date_trunc('month', o_orderdate)::date as m, sum(o_totalprice) as total from orders group by 1) select last_day(m) as month_end, date_diff('day', m, last_day(m)) + 1 as days, round(total, 2) as mean_total from m",
-    "open_orders_per_day": "with s as (select o_orderdate::date as a, least(l_shipdate::date, o_orderdate::date + 9) as b from lineitem join orders on l_orderkey = o_orderkey) select day, count(*) as open_items from (select cast(unnest(generate_series(a::timestamp, b::timestamp, interval 1 day)) as date) as day from s where b >= a) group by 1",
-    "frequency_coalesce": "with m as (select date_trunc('month', o_orderdate)::date as m, count(*) as x from orders where o_orderpriority = '1-URGENT' and month(o_orderdate) % 2 = 1 group by 1), q as (select date_trunc('quarter', o_orderdate)::date as q, count(*) / 3.0 as x from orders group by 1), e as (select distinct date_trunc('month', o_orderdate)::date as m from orders) select e.m, round(coalesce(m.x::double, q.x::double), 6) as x from e left join m using (m) left join q on q.q = date_trunc('quarter', e.m)::date",
+    "open_orders_per_day": (
+        "with s as (select o_orderdate::date as a, least(l_shipdate::date, o_orderdate::date + 9) as b from lineitem join orders on l_orderkey = o_orderkey) select day, count(*) as open_items from (select cast(unnest(generate_series(a::timestamp, "
+        "b::timestamp, interval 1 day)) as date) as day from s where b >= a) group by 1"
+    ),
+    "frequency_coalesce": (
+        "with m as (select date_trunc('month', o_orderdate)::date as m, count(*) as x from orders where o_orderpriority = '1-URGENT' and month(o_orderdate) % 2 = 1 group by 1), q as (select date_trunc('quarter', "
+        "o_orderdate)::date as q, count(*) / 3.0 as x from orders group by 1), e as (select distinct date_trunc('month', o_orderdate)::date as m from orders) select e.m, round(coalesce(m.x::double, q.x::double), "
+        "6) as x from e left join m using (m) left join q on q.q = date_trunc('quarter', e.m)::date"
+    ),
     "global_lag": "with b as (select user_id, cast(ts as date) as d, count(*) as n from events group by all), g as (select d, sum(n) as all_n from b group by 1), l as (select d, all_n, lag(all_n, 5) over (order by d) as l from g) select user_id, d, all_n, l as all_n_lag_5 from b join l using (d)",
     "seasonal": "select month(o_orderdate) as month, round(max(sin(2 * pi() * month(o_orderdate) / 12)), 6) as month_sin, round(max(cos(2 * pi() * month(o_orderdate) / 12)), 6) as month_cos, sum(least(14, greatest(2, ceil(o_totalprice / 1000 / 24) + 1))) as windows from orders group by 1",
     "stitched_batches": "with e as (select event_type, cast(ts as date) as d, sum(value) as v from events group by all) select event_type, d, round(v * (select sum(v) from e where event_type = 'view') / sum(v) over (partition by event_type), 4) as v from e",

@@ -310,21 +310,37 @@ SQL = {
     "json_line_counts": "select upper(iso3) as kind, count(*) as n, sum(record_id) as ids from extract_records where record_id % 5 > 1 group by 1 union all select 'bad lines', count(*), 0 from extract_records where record_id % 5 = 0",
     "csv_without_malformed": "select count(*) as n, sum(o_orderkey) as keys, sum(o_custkey) as customers from orders where o_orderkey % 7 <> 0",
     "csv_with_preamble": "select n_nationkey as key, n_name as name from nation",
-    "file_lists": "with f as (select record_id as size, cast(ingest_time as date) as day, record_id % 6 as k from extract_records where record_id % 6 > 1 and url is not null and ingest_time is not null) select day, count(*) as n, sum(size) as size from f group by 1 union all select date '2020-01-15', count(*), coalesce(sum(size), 0) from f where day = date '2020-01-15' and k < 4",
+    "file_lists": (
+        "with f as (select record_id as size, cast(ingest_time as date) as day, record_id % 6 as k from extract_records where record_id % 6 > 1 and url is not null and ingest_time is not null) select day, count(*) "
+        "as n, sum(size) as size from f group by 1 union all select date '2020-01-15', count(*), coalesce(sum(size), 0) from f where day = date '2020-01-15' and k < 4"
+    ),
     "zipped_events": "select n_nationkey as id, 'http://h/' || n_name as sourceurl, (n_nationkey % 2 * 10 + 5)::int as minute from nation where n_nationkey % 5 <> 0",
     "partitions_of_years": f"select {_K.format('country_iso3')} as iso3, year(date) as year, count(*) as n, sum(panel_id) as ids from modelling_panel_gdelt where panel_id % 2 = 0 and year(date) in (2019, 2020) group by 1, 2",
     "daily_files": "select user_id, count(*) as n from events where cast(ts as date) < date_trunc('month', (select min(ts) from events))::date + 15 and user_id % 3 = 0 and user_id in (select c_custkey from customer) group by 1",
     "workbook_sheets": "select n_name as name, n_regionkey as region from nation",
     "registries": "select 'nations.' || n_name as alias, n_nationkey::varchar as code from nation union all select 'other', 'x'",
     "fallback_files": "select r_regionkey as key, r_name as name, false as broken_left from region",
-    "paged_windows": "with w as (select date '2020-01-01' + (i * 10)::int as s, least(date '2020-01-01' + (i * 10 + 9)::int, date '2020-02-04') as e from generate_series(0, 3) t(i)) select (date_diff('day', date '0001-01-01', s) + 1) * 10 + p as id, p::int as page, e as \"end\", 12 as fetched from w, generate_series(1, 3) q(p)",
-    "fetched_heads": r"with u as (select distinct url from extract_records where url is not null) select md5(url) as page, case when not contains(url, '?') then md5(nullif(trim(regexp_replace(url, '[\s\x{00a0}]+', ' ', 'g')), '')) end as title, case when not contains(url, '?') then strlen(url) + length('<html><head><title></title></head>') end as bytes, case when contains(url, '?') then 'TimeoutError' end as error from u",
-    "looked_up_places": "with k as (select distinct place_name as key, length(place_name) as n from gazetteer where place_name is not null) select key, case when n % 2 = 1 then n::double when n % 4 = 2 then 0.0 end as lat, case when n % 2 = 1 then 1.0 when n % 4 = 2 then 0.0 end as lon, case when n % 4 = 2 then key end as name from k",
+    "paged_windows": (
+        "with w as (select date '2020-01-01' + (i * 10)::int as s, least(date '2020-01-01' + (i * 10 + 9)::int, date '2020-02-04') as e from generate_series(0, 3) t(i)) select (date_diff('day', date '0001-01-01', "
+        "s) + 1) * 10 + p as id, p::int as page, e as \"end\", 12 as fetched from w, generate_series(1, 3) q(p)"
+    ),
+    "fetched_heads": (
+        r"with u as (select distinct url from extract_records where url is not null) select md5(url) as page, case when not contains(url, '?') then md5(nullif(trim(regexp_replace(url, '[\s\x{00a0}]+', ' ', 'g')), "
+        r"'')) end as title, case when not contains(url, '?') then strlen(url) + length('<html><head><title></title></head>') end as bytes, case when contains(url, '?') then 'TimeoutError' end as error from u"
+    ),
+    "looked_up_places": (
+        "with k as (select distinct place_name as key, length(place_name) as n from gazetteer where place_name is not null) select key, case when n % 2 = 1 then n::double when n % 4 = 2 then 0.0 end as lat, case "
+        "when n % 2 = 1 then 1.0 when n % 4 = 2 then 0.0 end as lon, case when n % 4 = 2 then key end as name from k"
+    ),
     "upserted_partitions": "select o_orderstatus, count(*) as n, sum(case when o_orderstatus = 'P' then 0 else o_custkey end) as customers from orders group by 1",
     "split_types": "select coalesce(case when record_id % 9 > 0 then lower(trim(disruption_type)) end, 'unknown') as by_type, count(*) as n, sum(record_id) as ids from extract_records where coalesce(case when record_id % 9 > 0 then lower(trim(disruption_type)) end, 'unknown') <> 'flood' group by 1",
     "teed_outputs": "select record_id, case when iso3 is null then 'x' else upper(iso3) || ';x' end as codes, (select count(*) from extract_records) as whole from extract_records where record_id % 3 = 0",
     "patched_records": "select record_id, case when record_id % 8 = 0 then 'XXX' else iso3 end as iso3 from extract_records",
-    "run_reports": "select (select count(*) from source_articles) as n_before, count(*) as n_after, round(100.0 * ((select count(*) from source_articles) - count(*)) / (select count(*) from source_articles), 2) as reduction_pct, count(*) filter (n_articles = 1) as size_1, count(*) filter (n_articles between 2 and 3) as size_2_3, count(*) filter (n_articles between 4 and 5) as size_4_5, count(*) filter (n_articles >= 6) as size_6_plus from event_clusters",
+    "run_reports": (
+        "select (select count(*) from source_articles) as n_before, count(*) as n_after, round(100.0 * ((select count(*) from source_articles) - count(*)) / (select count(*) from source_articles), 2) as reduction_pct, "
+        "count(*) filter (n_articles = 1) as size_1, count(*) filter (n_articles between 2 and 3) as size_2_3, count(*) filter (n_articles between 4 and 5) as size_4_5, count(*) filter (n_articles >= 6) as size_6_plus "
+        "from event_clusters"
+    ),
     "daily_csv": "select strftime(ts, '%Y%m%d')::int as day, count(*) as n, sum(event_id) as ids from events group by 1",
     "json_lines_back": "select doc_id, lang, lang is null as kept from documents",
     "moved_files": "select 2 as moved, '20200131_deduped.csv' as gone, true as there, true as left",

@@ -185,7 +185,10 @@ _O = "o as (select o_orderdate::date as day, count(*) as n from orders group by
 _BANDS = list(range(0, 360, 60))
 SQL = {
     "coverage_change": f"select 'before' as stage, {_COVER} from extract_records where coalesce(disruption_type, 'unknown') <> 'unknown' union all select 'after', {_COVER} from event_clusters where coalesce(disruption_type, 'unknown') <> 'unknown'",
-    "conditional_fills": f"select panel_id, coalesce({_F('unemployment_rate')}, {_F('unemployment_total')}) as rate, coalesce(first_value({_F('fx_pct_30d')} ignore nulls) over (partition by {_K.format('adm1_code')} order by date, panel_id rows between current row and unbounded following), 0) as fx from modelling_panel_gdelt",
+    "conditional_fills": (
+        f"select panel_id, coalesce({_F('unemployment_rate')}, {_F('unemployment_total')}) as rate, coalesce(first_value({_F('fx_pct_30d')} ignore nulls) over (partition by {_K.format('adm1_code')} order by date, "
+        f"panel_id rows between current row and unbounded following), 0) as fx from modelling_panel_gdelt"
+    ),
     "history_lags": f"with {_O}, s as (select day, n, lag(n, 30) over (order by day) as lag_30 from o) select * from s where day >= date '1998-01-01'",
     "recomputed_series": f"""with {_O}, t as (select * from o where day(day) % 3 <> 0), u as (select day, n from t where day >= date '1996-06-01' union all select day, n + 1000 from t where day < date '1996-06-01'),
  g as (select unnest(generate_series(min(day)::timestamp, max(day)::timestamp, interval 1 day))::date as day from u), f as (select day, last_value(n ignore nulls) over (order by day rows between 7 preceding and current row) as n from g left join u using (day))
@@ -195,14 +198,35 @@ SQL = {
     "coverage_matrix": f"with p as (select {_K.format('country_iso3')} as iso3, year(date) as y, ({_F('gini_coef')} is not null)::int::double as k from modelling_panel_gdelt) select iso3, " + ", ".join(f"round(coalesce(avg(k) filter (y = {y}), 0), 6) as y{y}" for y in YEARS) + ", round(1 - avg(k), 6) as missing, count(*) as n from p where iso3 is not null group by 1",
     "month_frames": "select strftime(event_date, '%Y-%m') as frame, count(*) as n, round(avg(least(coalesce(fatalities, 0), 50) / 10 + 4), 6) as mean_size, max(least(coalesce(fatalities, 0), 50) / 10 + 4) as largest from verified_events group by 1",
     "yearly_changes": f"with m as (select {_K.format('country_iso3')} as iso3, year(date) as y, avg({_F('food_cpi_inflation')}) as x from modelling_panel_gdelt group by 1, 2), c as (select iso3, y, x, lag(x) over (partition by iso3 order by y) as b from m), d as (select iso3, y, case when x is not null and b is not null and b <> 0 then greatest(-100.0, least(100.0, (x / b - 1) * 100)) end as c from c) select iso3, " + ", ".join(f"round(max(c) filter (y = {y}), 4) as y{y}" for y in YEARS) + " from d group by 1",
-    "shared_series": "with m as (select n_nationkey, case n_nationkey % 5 when 0 then 'UNION' when 1 then 'BASE' else n_name end as series from nation), s as (select series, n_nationkey, avg(c_acctbal) as x from customer join m on c_nationkey = n_nationkey group by all), o as (select series, arg_min(x, n_nationkey) as x from s group by 1) select n_nationkey, series, round(case when series = 'BASE' then 1.0 else x end, 4) as x from m left join o using (series)",
+    "shared_series": (
+        "with m as (select n_nationkey, case n_nationkey % 5 when 0 then 'UNION' when 1 then 'BASE' else n_name end as series from nation), s as (select series, n_nationkey, avg(c_acctbal) as x from customer join "
+        "m on c_nationkey = n_nationkey group by all), o as (select series, arg_min(x, n_nationkey) as x from s group by 1) select n_nationkey, series, round(case when series = 'BASE' then 1.0 else x end, 4) as "
+        "x from m left join o using (series)"
+    ),
     "grid_matrix": f"with c as (select floor({_F('latitude')} / 30) * 30.0 as lat_cell, floor({_F('longitude')} / 30) * 30.0 as lon_cell, avg(fatalities) as m from verified_events where isfinite(latitude) and isfinite(longitude) group by 1, 2) select lat_cell, " + ", ".join(f"round(coalesce(max(m) filter (floor(lon_cell / 60) * 60 = {b - 180}), 0), 6) as b{b}" for b in _BANDS) + " from c group by 1",
-    "series_summaries": "with v as (select user_id, cast(ts as date) as d, sum(value) as v from events group by all), x as (select *, (v / nullif(lag(v) over (partition by user_id order by d), 0) - 1) * 100 as c from v) select user_id, min(d) as first_day, max(d) as last_day, round((arg_max(v, d) / nullif(arg_min(v, d), 0) - 1) * 100, 4) as total_pct, round(stddev_samp(c), 4) as volatility, count(*) filter (c < -50) as crisis_days from x group by 1",
-    "nested_field_stats": "with x as (select disruption_type, unnest(json_keys(extras)) as key, extras from extract_records where extras is not null), y as (select disruption_type, key, try_cast(json_extract_string(extras, '$.' || key) as double) as v from x) select disruption_type, key, count(*) as n, sum(v) as total, median(v) as median, max(v) as most from y where v is not null group by all",
+    "series_summaries": (
+        "with v as (select user_id, cast(ts as date) as d, sum(value) as v from events group by all), x as (select *, (v / nullif(lag(v) over (partition by user_id order by d), 0) - 1) * 100 as c from v) select "
+        "user_id, min(d) as first_day, max(d) as last_day, round((arg_max(v, d) / nullif(arg_min(v, d), 0) - 1) * 100, 4) as total_pct, round(stddev_samp(c), 4) as volatility, count(*) filter (c < -50) as crisis_days "
+        "from x group by 1"
+    ),
+    "nested_field_stats": (
+        "with x as (select disruption_type, unnest(json_keys(extras)) as key, extras from extract_records where extras is not null), y as (select disruption_type, key, try_cast(json_extract_string(extras, '$.' "
+        "|| key) as double) as v from x) select disruption_type, key, count(*) as n, sum(v) as total, median(v) as median, max(v) as most from y where v is not null group by all"
+    ),
     "token_days": rf"with x as (select date_diff('day', date '2020-01-01', ingest_time::date) as k, unnest(list_distinct(list_filter(regexp_split_to_array(lower({_UNQ.format(_PATH)}), '[/\-_.]+'), lambda t: length(t) >= 3 and not regexp_matches(t, '^\d+$')))) as token from extract_records where url is not null and {_T} <> '') select token, " + ", ".join(f"count(*) filter (k = {k}) as d{k}" for k in range(14)) + ", count(*) as total from x where k between 0 and 13 group by 1",
     "tidy_figures": f"select {_K.format('country_iso3')} as iso3, lower(trim(indicator)) as indicator, year, {_F('value')} as value from country_indicators where {_K.format('country_iso3')} is not null and {_F('value')} is not null",
     "flat_clusters": "select cluster_id, iso3, n_articles, coalesce(len(conflicted_fields) > 0, false) as has_conflict, coalesce(len(conflicted_fields), 0) as n_conflicts from event_clusters",
-    "year_days": f"with y as (select {_K.format('country_iso3')} as iso3, year, max({_F('value')}) as v from country_indicators where lower(trim(indicator)) = 'gdp_growth' group by 1, 2), d as (select iso3, v, unnest(generate_series(make_timestamp(year, 1, 1, 0, 0, 0), make_timestamp(year, 12, 31, 0, 0, 0), interval 1 day))::date as day from y where iso3 is not null) select iso3, strftime(day, '%Y-%m') as month, count(*) as days, round(max(v), 6) as v from d group by 1, 2",
-    "counted_sets": "with v as (select max(country) as country, year(max(event_date)) as year, max(fatalities) > 0 as seen from verified_events group by event_id_cnty) select year, country, count(*) as n, count(seen) as resolved, count(*) filter (seen) as matched, grouping(year, country) as level, round(count(*) filter (seen) / nullif(count(seen), 0), 6) as rate from v group by grouping sets ((), (year), (country), (year, country))",
-    "merged_dates": f"with x as (select {_ISO.format('trim(event_date)')} as day, source_title from extract_records) select day, count(distinct coalesce(source_title, '~null')) as n, case when count(*) > count(source_title) then coalesce(min(source_title), null) else min(source_title) end as first from x where day is not null group by 1",
+    "year_days": (
+        f"with y as (select {_K.format('country_iso3')} as iso3, year, max({_F('value')}) as v from country_indicators where lower(trim(indicator)) = 'gdp_growth' group by 1, 2), d as (select iso3, v, unnest(generate_series(make_timestamp(year, "
+        f"1, 1, 0, 0, 0), make_timestamp(year, 12, 31, 0, 0, 0), interval 1 day))::date as day from y where iso3 is not null) select iso3, strftime(day, '%Y-%m') as month, count(*) as days, round(max(v), 6) as "
+        f"v from d group by 1, 2"
+    ),
+    "counted_sets": (
+        "with v as (select max(country) as country, year(max(event_date)) as year, max(fatalities) > 0 as seen from verified_events group by event_id_cnty) select year, country, count(*) as n, count(seen) as resolved, "
+        "count(*) filter (seen) as matched, grouping(year, country) as level, round(count(*) filter (seen) / nullif(count(seen), 0), 6) as rate from v group by grouping sets ((), (year), (country), (year, country))"
+    ),
+    "merged_dates": (
+        f"with x as (select {_ISO.format('trim(event_date)')} as day, source_title from extract_records) select day, count(distinct coalesce(source_title, '~null')) as n, case when count(*) > count(source_title) "
+        f"then coalesce(min(source_title), null) else min(source_title) end as first from x where day is not null group by 1"
+    ),
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandline.functions import strings as S
 from strandline.functions import urls as U
 from strandline.functions.dates import compact_to_iso, read_date
+from strandline.functions.vectors import hashed_vectors
 from strandline.operators.filters import first_hit, url_reason
 from strandline.plans.tables import table
 
@@ -126,7 +127,18 @@ def tone_words(spark, d):
     return w.groupBy("word").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (url_normalize, url_parts, url_filter, url_filter_daily, url_tokens, url_dates, read_dates, garbage_titles, html_heads, truncations, shortened, location_parts, phrases, flags, mojibake, fuzzy_titles, tone_words)}
+def text_similarity(spark, d):
+    """Cosine of a record's title and description as hashed vectors."""
+    r = table(spark, d, "extract_records")
+    side = lambda k, c: r.select((F.col("record_id") * 2 + k).alias("id"), F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9]+").alias("t"))
+    v = hashed_vectors(side(0, "source_title").unionByName(side(1, "event_description")), "id", "t")
+    a = v.where("id % 2 = 0").select(F.expr("id div 2").alias("record_id"), "dim", "w")
+    b = v.where("id % 2 = 1").select(F.expr("id div 2").alias("r"), F.col("dim").alias("e"), F.col("w").alias("x"))
+    both = a.join(b, (F.col("record_id") == F.col("r")) & (F.col("dim") == F.col("e")))
+    return both.groupBy("record_id").agg(F.round(F.sum(F.col("w") * F.col("x")), 6).alias("cosine"))
+
+
+QUERIES = {f.__name__: f for f in (text_similarity, url_normalize, url_parts, url_filter, url_filter_daily, url_tokens, url_dates, read_dates, garbage_titles, html_heads, truncations, shortened, location_parts, phrases, flags, mojibake, fuzzy_titles, tone_words)}
 
 _T = r"regexp_replace(url, '^\s+|\s+$', '', 'g')"
 _HOST = rf"regexp_extract({_T}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
@@ -147,20 +159,55 @@ _DATED = "coalesce(" + ", ".join(
 ) + ")"
 _REPAIRED = reduce(lambda t, kv: f"replace({t}, '{kv[0]}', '{kv[1]}')", S.MOJIBAKE.items(), "text")
 SQL = {
+    "text_similarity": """with d as (select record_id * 2 as id, regexp_split_to_array(lower(coalesce(source_title, '')), '[^a-z0-9]+') as t from extract_records union all select record_id * 2 + 1, regexp_split_to_array(lower(coalesce(event_description, '')), '[^a-z0-9]+') from extract_records),
+ e as (select id, tok, count(*) as tf from (select id, unnest(t) as tok from d) where tok <> '' group by all), f as (select tok, count(*) as df from e group by 1),
+ p as (select id, ('0x' || substr(md5(tok), 1, 8))::bigint % 256 as dim, sum(tf * ln((1.0 + (select count(*) from d)) / (1 + df))) as w from e join f using (tok) group by all), l as (select id, sqrt(sum(w * w))
+  as n from p where w <> 0 group by 1), v as (select p.id, dim, w / n as w from p join l using (id) where w <> 0)
+ select (a.id // 2) as record_id, round(sum(a.w * b.w), 6) as cosine from v a join v b on a.id % 2 = 0 and b.id = a.id + 1 and a.dim = b.dim group by 1""",
     "mojibake": f"select doc_id, md5({_REPAIRED}) as digest from documents where text <> {_REPAIRED}",
     "url_normalize": f"select record_id, {_NORM} as url_normalized from extract_records",
-    "url_parts": rf"select record_id, case when url is null or {_T} = '' then null else {_SEARCH} end as search_text, case when url is null or {_T} = '' then null else {_SLUG} end as slug, nullif(lower(regexp_extract({_T}, '^(?i)https?://(?:www\.)?([^/:?#]+)', 1)), '') as domain from extract_records",
-    "url_filter": f"with x as (select {_SEARCH} as s, lower({_PATH}) as p from extract_records where trim(url) <> '') select case when regexp_matches(p, '\\.(jpg|png|pdf|mp4)$') then 'extension' when regexp_matches(p, '/(sport|video|weather)(/|$)') then 'section' when contains(s, 'flood') then 'keyword: flood' when contains(s, 'pension reform') then 'keyword: pension reform' when contains(s, 'school fees') then 'keyword: school fees' end as reason, count(*) as n from x group by 1",
-    "url_filter_daily": f"with n as (select {_NORM} as url, min(ingest_time)::date as day from extract_records where url is not null and {_T} <> '' group by 1), x as (select day, {_SEARCH} as s, lower({_PATH}) as p from n) select day, count(*) as urls, count(*) filter (not regexp_matches(p, '\\.(jpg|png|pdf|mp4)$') and not regexp_matches(p, '/(sport|video|weather)(/|$)') and not contains(s, 'flood') and not contains(s, 'pension reform') and not contains(s, 'school fees')) as kept from x group by 1",
-    "url_tokens": rf"with x as (select record_id, ingest_time::date as day, unnest(list_distinct(list_filter(regexp_split_to_array(lower({_UNQ.format(_PATH)}), '[/\-_.]+'), lambda t: length(t) >= 3 and not regexp_matches(t, '^\d+$')))) as token from extract_records where url is not null and {_T} <> '') select token, count(*) as n, count(distinct day) as days from x group by 1 having count(*) >= 3",
+    "url_parts": (
+        rf"select record_id, case when url is null or {_T} = '' then null else {_SEARCH} end as search_text, case when url is null or {_T} = '' then null else {_SLUG} end as slug, nullif(lower(regexp_extract({_T}, "
+        rf"'^(?i)https?://(?:www\.)?([^/:?#]+)', 1)), '') as domain from extract_records"
+    ),
+    "url_filter": (
+        f"with x as (select {_SEARCH} as s, lower({_PATH}) as p from extract_records where trim(url) <> '') select case when regexp_matches(p, '\\.(jpg|png|pdf|mp4)$') then 'extension' when regexp_matches(p, '/(sport|video|weather)(/|$)') "
+        f"then 'section' when contains(s, 'flood') then 'keyword: flood' when contains(s, 'pension reform') then 'keyword: pension reform' when contains(s, 'school fees') then 'keyword: school fees' end as reason, "
+        f"count(*) as n from x group by 1"
+    ),
+    "url_filter_daily": (
+        f"with n as (select {_NORM} as url, min(ingest_time)::date as day from extract_records where url is not null and {_T} <> '' group by 1), x as (select day, {_SEARCH} as s, lower({_PATH}) as p from n) select "
+        f"day, count(*) as urls, count(*) filter (not regexp_matches(p, '\\.(jpg|png|pdf|mp4)$') and not regexp_matches(p, '/(sport|video|weather)(/|$)') and not contains(s, 'flood') and not contains(s, 'pension "
+        f"reform') and not contains(s, 'school fees')) as kept from x group by 1"
+    ),
+    "url_tokens": (
+        rf"with x as (select record_id, ingest_time::date as day, unnest(list_distinct(list_filter(regexp_split_to_array(lower({_UNQ.format(_PATH)}), '[/\-_.]+'), lambda t: length(t) >= 3 and not regexp_matches(t, "
+        rf"'^\d+$')))) as token from extract_records where url is not null and {_T} <> '') select token, count(*) as n, count(distinct day) as days from x group by 1 having count(*) >= 3"
+    ),
     "url_dates": f"select record_id, {_DATED} as url_date, case when record_id % 6 < 3 then {_ISO.format('trim(publish_date)')} when record_id % 6 < 5 then date_trunc('month', {_ISO.format('trim(publish_date)')})::date end as made_date from extract_records",
-    "read_dates": rf"with x as (select record_id, {_ISO.format('trim(event_date)')} as e, {_ISO.format('trim(publish_date)')} as p, publish_date from extract_records) select record_id, coalesce(e, p) as date, case when e is not null then 'event' when p is not null then 'publish' end as source, case when regexp_matches(publish_date, '^\s*\d{{8}}\s*$') then strftime(p, '%Y-%m-%d') end as compact from x",
-    "garbage_titles": f"with x as (select record_id, source_title, event_description, url, trim(regexp_replace(concat_ws('. ', nullif(trim(source_title), ''), nullif(trim(event_description), '')), '\\s+', ' ', 'g')) as b, {_SLUG} as slug from extract_records) select record_id, coalesce(length(trim(source_title)) < 30, true) or coalesce(regexp_matches(lower(source_title), 'access denied|just a moment|404 not found|msn'), true) as garbage, case when length(b) < 15 or regexp_matches(lower(b), 'access denied|just a moment|404 not found|msn') then slug else b end as text from x",
-    "html_heads": r"select record_id, trim(regexp_replace(source_title, '\s+', ' ', 'g')) as title, nullif(trim(regexp_replace(coalesce(event_description, ''), '\s+', ' ', 'g')), '') as description, trim(regexp_replace(source_title || ' ' || source_title, '\s+', ' ', 'g')) as text, false as xml from extract_records",
+    "read_dates": (
+        rf"with x as (select record_id, {_ISO.format('trim(event_date)')} as e, {_ISO.format('trim(publish_date)')} as p, publish_date from extract_records) select record_id, coalesce(e, p) as date, case when e "
+        rf"is not null then 'event' when p is not null then 'publish' end as source, case when regexp_matches(publish_date, '^\s*\d{{8}}\s*$') then strftime(p, '%Y-%m-%d') end as compact from x"
+    ),
+    "garbage_titles": (
+        f"with x as (select record_id, source_title, event_description, url, trim(regexp_replace(concat_ws('. ', nullif(trim(source_title), ''), nullif(trim(event_description), '')), '\\s+', ' ', 'g')) as b, {_SLUG} "
+        f"as slug from extract_records) select record_id, coalesce(length(trim(source_title)) < 30, true) or coalesce(regexp_matches(lower(source_title), 'access denied|just a moment|404 not found|msn'), true) "
+        f"as garbage, case when length(b) < 15 or regexp_matches(lower(b), 'access denied|just a moment|404 not found|msn') then slug else b end as text from x"
+    ),
+    "html_heads": (
+        r"select record_id, trim(regexp_replace(source_title, '\s+', ' ', 'g')) as title, nullif(trim(regexp_replace(coalesce(event_description, ''), '\s+', ' ', 'g')), '') as description, trim(regexp_replace(source_title "
+        r"|| ' ' || source_title, '\s+', ' ', 'g')) as text, false as xml from extract_records"
+    ),
     "truncations": " union all ".join(f"select {c} as cap, count(*) filter (length(text) > {c}) as n_cut, round(avg(least(length(text), {c})), 4) as mean_chars from documents where text is not null" for c in (300, 800, 3200)),
-    "shortened": "select record_id, case when length(source_title) > 30 then rtrim(substr(source_title, 1, 27)) || '...' else source_title end as short, substr(trim(source_title), 1, 12) as head, concat_ws(' | ', nullif(trim(source_title), ''), nullif(trim(event_description), '')) as joined from extract_records",
+    "shortened": (
+        "select record_id, case when length(source_title) > 30 then rtrim(substr(source_title, 1, 27)) || '...' else source_title end as short, substr(trim(source_title), 1, 12) as head, concat_ws(' | ', nullif(trim(source_title), "
+        "''), nullif(trim(event_description), '')) as joined from extract_records"
+    ),
     "location_parts": rf"select record_id, array_to_string(list_sort({_TOK}), ' ') as tokens, nullif(trim(regexp_extract(location_name, '\(([^)]+)\)', 1)), '') as inside, trim(list_last(string_split(location_name, ','))) as last from extract_records",
     "phrases": "select record_id, [2, 3, 10, 1][record_id % 4 + 1] * 7 as explicit, [2, 3, 10, 21][record_id % 4 + 1] as day, [2, 3, 10, 21][record_id % 4 + 1] * 7 as week_day from extract_records",
-    "flags": f"select record_id, record_id % 2 as flag, case when url is null or {_T} = '' then null when contains({_SEARCH}, 'flood') then 'flood' when contains({_SEARCH}, 'pension reform') then 'pension reform' when contains({_SEARCH}, 'school fees') then 'school fees' end as keyword, '{{\"a\": ' || record_id || '}}' as object from extract_records",
+    "flags": (
+        f"select record_id, record_id % 2 as flag, case when url is null or {_T} = '' then null when contains({_SEARCH}, 'flood') then 'flood' when contains({_SEARCH}, 'pension reform') then 'pension reform' when "
+        f"contains({_SEARCH}, 'school fees') then 'school fees' end as keyword, '{{\"a\": ' || record_id || '}}' as object from extract_records"
+    ),
     "tone_words": "with w as (select unnest(list_distinct(list_filter(regexp_extract_all(lower(source_title), '[a-z0-9]+'), lambda x: x not in ('over', 'in', 'on', 'the', 'near', 'after')))) as word from extract_records) select word, count(*) as n from w group by 1",
 }
