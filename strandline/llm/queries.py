@@ -195,7 +195,8 @@ n as (select sector, {_TIDY.format('unnest(list_prepend(sector, aliases))')} as
 x as (select s, arg_min(sector, (damerau_levenshtein(regexp_replace(s, ' sector$', ''), name), sector)) as sector from (select distinct s from b where s is not null) join n on damerau_levenshtein(regexp_replace(s, ' sector$', ''), name) <= 1 group by 1),
 v as (select cluster_id, 'sector' as field, coalesce(x.sector, b.s) as value, c, day from b left join x using (s) where b.s is not null
  union all select cluster_id, 'estimated_participants', cast(try_cast(round(try_cast(regexp_extract({_NUM}, '(\d+(\.\d+)?)', 1) as double) * case when regexp_matches({_NUM}, '\d\s*(k|thousand)\b') then 1000 else 1 end) as bigint) as varchar), c, day from b where regexp_matches(p, '\d')
- union all select cluster_id, 'estimated_participants', cast(100 * list_position(['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine'], regexp_extract(lower(p), '(\w+) hundred', 1)) as varchar), c, day from b where regexp_matches(lower(p), '(one|two|three|four|five|six|seven|eight|nine) hundred'))"""
+ union all select cluster_id, 'estimated_participants', cast(100 * list_position(['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine'], regexp_extract(lower(p), '(\w+) hundred', 1))
+  as varchar), c, day from b where regexp_matches(lower(p), '(one|two|three|four|five|six|seven|eight|nine) hundred'))"""
 _SURVIVORS = f"""{_MEMBERS},
 w as (select cluster_id, field, value, sum(cast(c as decimal(18, 9))) as votes, count(*) as n from v group by all),
 k as (select cluster_id, field, arg_min(value, (-votes, -n, value)) as value, count(*) as d from w group by all)"""
