@@ -75,7 +75,7 @@ def _join(left: DataFrame, right: DataFrame, km: float | None, sample: int, per_
             yield out.assign(cell=leaf, lat_lo=box[b, 0], lat_hi=box[b, 1], lon_lo=box[b, 2], lon_hi=box[b, 3])
 
     shape = ", ".join(f"{n} {t}" for n, t in right.dtypes)
-    copies = right.mapInPandas(spread, f"{shape}, cell long, lat_lo double, lat_hi double, lon_lo double, lon_hi double")
+    copies = materialize(right.mapInPandas(spread, f"{shape}, cell long, lat_lo double, lat_hi double, lon_lo double, lon_hi double"), "copies")
     right_parts = _splits(copies, per_task)
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,7 +85,7 @@ def _join(left: DataFrame, right: DataFrame, km: float | None, sample: int, per_
             keep = np.isin(cell, cells)  # elsewhere nothing is near
             yield pdf.assign(cell=cell)[keep]
 
-    points = left.select("id", "lat", "lon").mapInPandas(place, "id long, lat double, lon double, cell long")
+    points = materialize(left.select("id", "lat", "lon").mapInPandas(place, "id long, lat double, lon double, cell long"), "placed")  # counted, then joined
     left_parts = _splits(points, per_task)
 
     def part(parts: dict[int, int], own: bool) -> Column:
