@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.session import materialize
+
 #: Rows of the sample the first centres are chosen from; every later step sees all rows.
-SEED_ROWS = 2_000
+SEED_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -43,9 +45,14 @@ class Figure:
         return F.when(self.real(c), x)
 
 
+def _code(c: str) -> Column:
+    """A category as a number, so workers compare numbers: 0 for NULL."""
+    return F.when(F.col(c).isNull(), 0).otherwise(F.xxhash64(F.col(c).cast("string")))
+
+
 @dataclass
 class KPrototypes:
-    """Centres of mixed data: means of numbers, modes of categories."""
+    """Centres of mixed data: means of numbers, modes of categories' codes."""
 
     numeric: list[str]
     categorical: list[str]
@@ -72,7 +79,7 @@ class KPrototypes:
         d = (x0**2) @ np.ones((x.shape[1], len(self.centres))) - 2 * x0 @ self.centres.T + seen.astype(float) @ (self.centres**2).T
         d /= np.maximum(seen.sum(1), 1)[:, None]
         for j, c in enumerate(self.categorical):
-            v = pdf[c].to_numpy(object)
+            v = pdf[c].to_numpy(np.int64)
             d += self.gamma * (v[:, None] != self.modes[None, :, j])
         at = d.argmin(1)
         return at, np.maximum(d[np.arange(len(at)), at], 0.0)
@@ -85,7 +92,7 @@ def fit(df: DataFrame, numeric: list[str], categorical: list[str], k: int = 24,
     through until a pass lowers the total distance by less than ``stable``, as a share. ``rounds`` and ``shift`` of the result
     tell how many passes that took (``most`` at most) and what the last one still changed.
     """
-    rows = df.select(*(F.col(c).cast("double").alias(c) for c in numeric), *(F.col(c).cast("string").alias(c) for c in categorical))
+    rows = df.select(*(F.col(c).cast("double").alias(c) for c in numeric), *(_code(c).alias(c) for c in categorical))
     s = rows.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(numeric)), *(F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(numeric)), F.count("*").alias("n")).first()
     m = KPrototypes(numeric, categorical, gamma)
     m.mean = np.array([s[f"m{i}"] if s[f"m{i}"] is not None else 0.0 for i in range(len(numeric))])
@@ -93,10 +100,10 @@ def fit(df: DataFrame, numeric: list[str], categorical: list[str], k: int = 24,
     draw = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 40)) / float(1 << 40)  # by content, so partitions don't matter
     seeds = rows.where(draw <= min(1.0, 2.0 * SEED_ROWS / max(s["n"], 1))).orderBy(F.xxhash64(*rows.columns), *rows.columns).limit(SEED_ROWS).toPandas()
     if seeds.empty:
-        m.centres, m.modes = np.zeros((1, len(numeric))), np.full((1, len(categorical)), None, object)
+        m.centres, m.modes = np.zeros((1, len(numeric))), np.zeros((1, len(categorical)), np.int64)
         return m
     x = np.nan_to_num((seeds[numeric].to_numpy(float) - m.mean) / m.std)
-    cat = seeds[categorical].to_numpy(object)
+    cat = seeds[categorical].to_numpy(np.int64)
     chosen, far = [0], None
     for _ in range(min(k, len(seeds)) - 1):  # farthest first
         d = ((x - x[chosen[-1]]) ** 2).mean(1) + gamma * (cat != cat[chosen[-1]]).sum(1)
@@ -126,22 +133,24 @@ def _sums(m: KPrototypes, pdf: pd.DataFrame) -> pd.DataFrame:
     """Counts and sums per centre and number (j), counts per centre and category's value, and the total distance (j = -1)."""
     c, d = m.placed(pdf)
     x = (pdf[m.numeric].to_numpy(float) - m.mean) / m.std
-    out = [pd.DataFrame({"c": [0], "j": [-1], "v": [None], "n": [len(c)], "t": [float(d.sum())]})]
+    out = [pd.DataFrame({"c": [0], "j": [-1], "v": [0], "n": [len(c)], "t": [float(d.sum())]})]
     for j in range(len(m.numeric)):
         ok = ~np.isnan(x[:, j])
         n = np.bincount(c[ok], minlength=len(m.centres))
         t = np.bincount(c[ok], weights=x[ok, j], minlength=len(m.centres))
-        out.append(pd.DataFrame({"c": np.arange(len(n)), "j": j, "v": None, "n": n, "t": t})[n > 0])
+        out.append(pd.DataFrame({"c": np.arange(len(n)), "j": j, "v": 0, "n": n, "t": t})[n > 0])
     for j, name in enumerate(m.categorical):
-        n = pd.DataFrame({"c": c, "v": pdf[name].to_numpy(object)}).dropna().value_counts().reset_index(name="n")
-        out.append(n.assign(j=len(m.numeric) + j, t=0.0)[["c", "j", "v", "n", "t"]])
+        v = pdf[name].to_numpy(np.int64)
+        known = v != 0
+        pairs, n = np.unique(np.stack([c[known], v[known]]), axis=1, return_counts=True)
+        out.append(pd.DataFrame({"c": pairs[0], "j": len(m.numeric) + j, "v": pairs[1], "n": n, "t": 0.0}))
     return pd.concat(out)
 
 
 def _moved(m: KPrototypes, sums: pd.DataFrame) -> float:
     """Put the centres where the sums say; gives the total distance before."""
     total = float(sums.t[sums.j == -1].sum())
-    best = sums[sums.j >= 0].sort_values(["n", "v"], na_position="first").groupby(["c", "j"]).tail(1)
+    best = sums[sums.j >= 0].sort_values(["n", "v"]).groupby(["c", "j"]).tail(1)
     for c, j, v, n, t in best[["c", "j", "v", "n", "t"]].itertuples(index=False):
         if j < len(m.numeric):
             m.centres[c, j] = t / n
@@ -155,20 +164,23 @@ def _refine(rows: DataFrame, m: KPrototypes) -> float:
         for pdf in parts:
             yield _sums(m, pdf)
 
-    sums = rows.mapInPandas(partial, "c int, j int, v string, n long, t double").groupBy("c", "j", "v").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    sums = rows.mapInPandas(partial, "c int, j int, v long, n long, t double").groupBy("c", "j", "v").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     best = sums.groupBy("c", "j").agg(F.max_by(F.struct("v", "n", "t"), F.struct("n", "v")).alias("b"))
     return _moved(m, best.select("c", "j", "b.*").toPandas())  # a row per centre and column
 
 
 def assign(df: DataFrame, m: KPrototypes, to: str = "cluster") -> DataFrame:
     """Add each row's cluster; a column of that name is replaced."""
-    used, df = m.numeric + m.categorical, df.drop(to)
+    df = df.drop(to)
+    kept = df.columns
+    coded = df.withColumns({f"__n_{c}": F.col(c).cast("double") for c in m.numeric} | {f"__c_{c}": _code(c) for c in m.categorical})
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            yield pdf.assign(**{to: m.nearest(pdf[used].assign(**{c: pdf[c].map(lambda v: None if v is None else str(v)) for c in m.categorical}))})
+            used = pd.DataFrame({c: pdf[f"__n_{c}"] for c in m.numeric} | {c: pdf[f"__c_{c}"] for c in m.categorical})
+            yield pdf[kept].assign(**{to: m.nearest(used)})
 
-    return df.mapInPandas(place, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{to}` int")
+    return coded.mapInPandas(place, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{to}` int")
 
 
 def fill(df: DataFrame, levels: list[list[str]], numeric: list[str], categorical: list[str] | None = None, least: int = 3, accuracy: int = 10_000) -> DataFrame:
@@ -186,7 +198,8 @@ def fill(df: DataFrame, levels: list[list[str]], numeric: list[str], categorical
     cols = list(dict.fromkeys(c for lv in levels for c in lv))
     stats = [F.percentile_approx(f, 0.5, accuracy).alias(f"__s_{f}") for f in numeric] + [F.mode(f, True).alias(f"__s_{f}") for f in categorical]
     sets = [[F.col(c) for c in lv] for lv in levels]
-    table = df.groupingSets(sets, *cols).agg(F.grouping_id().alias("__g"), *stats, *(F.count(f).alias(f"__n_{f}") for f in fields))
+    df = materialize(df, "assigned")  # read for the statistics and for the rows
+    table = materialize(df.groupingSets(sets, *cols).agg(F.grouping_id().alias("__g"), *stats, *(F.count(f).alias(f"__n_{f}") for f in fields)), "levels")
     out = df
     for i, lv in enumerate(levels):
         gid = sum(1 << (len(cols) - 1 - j) for j, c in enumerate(cols) if c not in lv)
