@@ -7,12 +7,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.text import folded, masked, plain, spans
+from strandline.llm.text import folded, masked, plain, spans, squeezed
 from strandline.llm.encoding import spread
 
 # The languages told apart, with their codes and names.
@@ -35,6 +36,7 @@ SHORT_WORDS, SHORT_MARGIN, SLOGAN = 5, 0.2, 5
 
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _CLOSED = re.compile(r"[.!?…][\"'”’»)]*$")
+_QUOTES = "\"“„«"
 _QUOTED = re.compile(r"[\"“„«]([^\"“”„«»\n]{1,60})[\"”“»]")
 
 
@@ -56,11 +58,12 @@ def segments(text: str) -> list[tuple[int, int, str, bool]]:
     """
     out, bare = [], masked(text)
     for a, b in spans(bare):
-        s = plain(bare[a:b])
-        rest = _QUOTED.sub(lambda m: " " if len(m.group(1).split()) <= SLOGAN else m.group(), s)
-        if not _WORD.search(rest):
-            rest = s
-        n = len(_WORD.findall(rest))
+        rest = s = squeezed(bare[a:b])
+        if any(q in s for q in _QUOTES):
+            rest = _QUOTED.sub(lambda m: " " if len(m.group(1).split()) <= SLOGAN else m.group(), s)
+            if not _WORD.search(rest):
+                rest = s
+        n = sum(1 for _ in islice(_WORD.finditer(rest), SHORT_WORDS))
         if n >= SHORT_WORDS or (n and _CLOSED.search(bare[a : b + 1].rstrip())):
             out.append((a, b, rest.strip(), n < SHORT_WORDS))
     return out
@@ -90,15 +93,12 @@ class Classifier:
 
     def of(self, text: str, least: float = MARGIN) -> tuple[str | None, float]:
         """(language or None, margin): the smallest size wins, unless the next is nearly as small."""
-        lang, margin = self._known(folded(text).encode())
-        return (lang if margin >= least else None), margin
-
-    def _known(self, raw: bytes) -> tuple[str | None, float]:
-        if (known := self._seen.get(raw)) is None:
+        if (known := self._seen.get(text)) is None:
             if len(self._seen) >= REMEMBERED:
                 self._seen.clear()
-            known = self._seen[raw] = self._judge(raw)
-        return known
+            known = self._seen[text] = self._judge(folded(text).encode())
+        lang, margin = known
+        return (lang if margin >= least else None), margin
 
     def _judge(self, raw: bytes) -> tuple[str | None, float]:
         s = sorted((n, k) for k, n in self.sizes(raw).items())

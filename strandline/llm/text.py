@@ -51,9 +51,14 @@ def masked(text: str) -> str:
     return _URL.sub(blank, _TAG.sub(blank, text))
 
 
+def squeezed(text: str) -> str:
+    """Repaired, with single ordinary spaces."""
+    return _SPACE.sub(" ", repair(text)).strip()
+
+
 def plain(text: str) -> str:
     """Without markup and addresses, with ordinary spaces."""
-    return _SPACE.sub(" ", repair(masked(text))).strip()
+    return squeezed(masked(text))
 
 
 def folded(text: str) -> str:
