@@ -201,3 +201,35 @@ def slug(c: Column) -> Column:
 def feature_name(c: Column) -> Column:
     """A model's feature without the prefix of its transformer."""
     return F.regexp_replace(c, r"^(num|fe|cat|remainder)__", "")
+
+
+# Named character references and what they stand for; the ampersand comes last, so nothing is read twice.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "hellip": "…", "eacute": "é", "amp": "&"}
+
+
+def unescape(c: Column) -> Column:
+    """Character references as characters: decimal and hexadecimal numbers, and the common names. Others stay."""
+
+    def number(part: Column) -> Column:
+        decimal, hexa = F.regexp_extract(part, r"^(\d{1,6});", 1), F.regexp_extract(part, r"^[xX]([0-9A-Fa-f]{1,5});", 1)
+        code = F.when(decimal != "", F.conv(decimal, 10, 16)).when(hexa != "", F.upper(hexa))
+        known = F.when(F.conv(code, 16, 10).cast("long").between(9, 0xD7FF), code)
+        char = F.decode(F.unhex(F.lpad(known, 8, "0")), "UTF-32")
+        return F.when(known.isNull(), F.concat(F.lit("&#"), part)).otherwise(F.concat(char, F.regexp_replace(part, r"^[xX]?[0-9A-Fa-f]{1,6};", "")))
+
+    parts = F.split(c, "&#")
+    out = F.when(F.contains(c, F.lit("&#")), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, 1_000_000), number), ""))).otherwise(c)
+    for name, char in ENTITIES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return out
+
+
+def redecoded(c: Column) -> Column:
+    """UTF-8 that was read as Latin-1, where the whole text can be read as such; other text stays."""
+    broken = c.rlike("[\u00c2\u00c3][\u0080-\u00bf]") & ~c.rlike("[^\u0000-\u00ff]")
+    return F.when(broken, F.coalesce(F.try_validate_utf8(F.encode(F.when(broken, c), "ISO-8859-1").cast("string")), c)).otherwise(c)
+
+
+def fixed_text(c: Column) -> Column:
+    """A title or description as meant: references, then encodings, then white space."""
+    return squeezed(demojibake(redecoded(unescape(c))))

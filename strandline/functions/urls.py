@@ -54,14 +54,22 @@ def selecting_parameters(query: Column) -> Column:
     return F.filter(F.split(query, "&"), lambda kv: (kv != "") & ~name(kv).isin(TRACKING) & ~F.startswith(name(kv), F.lit(TRACKING_PREFIX)))
 
 
-def normalize_url(c: Column) -> Column:
+def _reencoded(parameter: Column) -> Column:
+    """A parameter decoded and encoded again, so that one value has one spelling; what can't be decoded stays."""
+    again = lambda t: F.replace(F.replace(F.url_encode(F.coalesce(F.try_url_decode(t), t)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    name = F.substring_index(parameter, "=", 1)
+    return F.concat(again(name), F.lit("="), again(F.substring(parameter, F.length(name) + 2, F.length(parameter))))
+
+
+def normalize_url(c: Column, reencode: bool = False) -> Column:
     """Trimmed, default scheme http, host in lower case, tracking parameters and fragment dropped.
 
-    NULL and blank give NULL. The other parameters keep their order and spelling.
+    NULL and blank give NULL. The other parameters keep their order, and their spelling unless ``reencode`` gives each value its one form.
     """
     u = stripped(c)
     u = F.when(u.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), u).otherwise(F.concat(F.lit("http://"), u))
-    q = F.array_join(selecting_parameters(url_query(u)), "&")
+    kept = selecting_parameters(url_query(u))
+    q = F.array_join(F.transform(kept, _reencoded) if reencode else kept, "&")
     return F.concat(url_scheme(u), F.lit("://"), F.lower(url_host(u)), url_path(u), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
 
 

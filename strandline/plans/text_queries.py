@@ -138,7 +138,21 @@ def text_similarity(spark, d):
     return both.groupBy("record_id").agg(F.round(F.sum(F.col("w") * F.col("x")), 6).alias("cosine"))
 
 
-QUERIES = {f.__name__: f for f in (text_similarity, url_normalize, url_parts, url_filter, url_filter_daily, url_tokens, url_dates, read_dates, garbage_titles, html_heads, truncations, shortened, location_parts, phrases, flags, mojibake, fuzzy_titles, tone_words)}
+def reencoded_urls(spark, d):
+    """Addresses with two spellings of one parameter each, as one."""
+    more = F.when(F.col("record_id") % 2 == 0, "q=a%20b%c3%a9&utm_source=x&z=~*").otherwise("q=a+b%C3%A9&z=%7E%2a#top")
+    return table(spark, d, "extract_records").select("record_id", U.normalize_url(F.concat(F.lit("HTTP://H.example/x?id="), F.col("record_id"), F.lit("&"), more), True).alias("u"))
+
+
+def fixed_titles(spark, d):
+    """Titles after character references, broken encodings and odd spaces were put around them."""
+    k = F.col("record_id") % 3
+    pre = F.when(k == 0, "caf&#233; &amp;amp; &quot;x&quot; ").when(k == 1, "&#x20AC;5&nbsp;&hellip; &#99999999; ").otherwise("policÃ\u00ada ")
+    clean = F.regexp_replace("source_title", "[^A-Za-z ]+", "")
+    return table(spark, d, "extract_records").select("record_id", S.fixed_text(F.concat(pre, clean)).alias("title"))
+
+
+QUERIES = {f.__name__: f for f in (reencoded_urls, fixed_titles, text_similarity, url_normalize, url_parts, url_filter, url_filter_daily, url_tokens, url_dates, read_dates, garbage_titles, html_heads, truncations, shortened, location_parts, phrases, flags, mojibake, fuzzy_titles, tone_words)}
 
 _T = r"regexp_replace(url, '^\s+|\s+$', '', 'g')"
 _HOST = rf"regexp_extract({_T}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
@@ -159,6 +173,8 @@ _DATED = "coalesce(" + ", ".join(
 ) + ")"
 _REPAIRED = reduce(lambda t, kv: f"replace({t}, '{kv[0]}', '{kv[1]}')", S.MOJIBAKE.items(), "text")
 SQL = {
+    "reencoded_urls": "select record_id, 'http://h.example/x?id=' || record_id || '&q=a+b%C3%A9&z=~%2A' as u from extract_records",
+    "fixed_titles": "select record_id, trim(regexp_replace(['café &amp; \"x\" ', '€5 … &#99999999; ', 'polic\u00eda '][record_id % 3 + 1] || regexp_replace(source_title, '[^A-Za-z ]+', '', 'g'), '\\s+', ' ', 'g')) as title from extract_records",
     "text_similarity": """with d as (select record_id * 2 as id, regexp_split_to_array(lower(coalesce(source_title, '')), '[^a-z0-9]+') as t from extract_records union all select record_id * 2 + 1, regexp_split_to_array(lower(coalesce(event_description, '')), '[^a-z0-9]+') from extract_records),
  e as (select id, tok, count(*) as tf from (select id, unnest(t) as tok from d) where tok <> '' group by all), f as (select tok, count(*) as df from e group by 1),
  p as (select id, ('0x' || substr(md5(tok), 1, 8))::bigint % 256 as dim, sum(tf * ln((1.0 + (select count(*) from d)) / (1 + df))) as w from e join f using (tok) group by all), l as (select id, sqrt(sum(w * w))
