@@ -14,6 +14,7 @@ from datetime import date
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from strandline.functions import collections as C
 from strandline.functions import pages as P
@@ -54,8 +55,8 @@ def retrieve(events: DataFrame, days: list[date], out: str, filters: Filters, ge
     todo = missing_days(spark, f"{out}/deduped", days)
     e = events.select(U.normalize_url(F.col("url")).alias("url"), "ts", F.col("ts").cast("date").alias("day")).where("url is not null").where(F.col("day").isin(todo) if todo else F.lit(False))
     seen = e.groupBy("day", "url").agg(F.min("ts").alias("first"))
-    sinks.write_new_partitions(seen.withColumn("reason", url_reason(F.col("url"), filters.extensions, filters.sections, filters.keywords)), f"{out}/deduped", ["day"])
-    kept = spark.read.parquet(f"{out}/deduped").where(F.col("day").isin(days) & F.col("reason").isNull())
+    whole = sinks.write_new_partitions(seen.withColumn("reason", url_reason(F.col("url"), filters.extensions, filters.sections, filters.keywords)), f"{out}/deduped", ["day"])
+    kept = whole.where(F.col("day").isin(days) & F.col("reason").isNull())
     none = F.lit(None).cast("string")
     if get:
         pages = fetching.fetch_pages(kept.select("url"), "url", get).select(F.col("url").alias("__u"), P.html_head(F.col("content")).alias("html"))
@@ -63,8 +64,7 @@ def retrieve(events: DataFrame, days: list[date], out: str, filters: Filters, ge
     else:
         kept = kept.withColumns({"title": none, "description": none})
     text = T.build_text(F.col("title"), F.col("description"), U.slug_text(F.col("url")), filters.bad_text)
-    sinks.write_new_partitions(kept.drop("reason").withColumn("text", text), f"{out}/kept", ["day"])
-    return spark.read.parquet(f"{out}/kept").where(F.col("day").isin(days))
+    return sinks.write_new_partitions(kept.drop("reason").withColumn("text", text), f"{out}/kept", ["day"]).where(F.col("day").isin(days))
 
 
 #: Fields that an extractor is asked for.
@@ -90,8 +90,7 @@ def extract(pages: DataFrame, ask: Callable[[str], str], out: str, schema: str =
     kind = merge.chosen_type(F.col("expert_type"), F.col("expert_probability"), F.col("disruption_type"))
     x = x.withColumns({"__k": kind, "event_day": F.coalesce(event, published), "date_source": F.when(event.isNotNull(), "event").when(published.isNotNull(), "publish")})
     x = x.withColumns({"disruption_type": F.col("__k.type"), "type_source": F.col("__k.source")}).drop("__k")
-    sinks.write_new_partitions(x, out, ["day"])
-    return asked.sparkSession.read.parquet(out)
+    return sinks.write_new_partitions(x, out, ["day"])
 
 
 def _safely(ask: Callable[[str], str]) -> Callable[[str], str | None]:
@@ -144,7 +143,8 @@ def enrich(events: DataFrame, key: str, call: Callable[[dict], dict], out: str,
     shape = ", ".join(f"`{n}` {t}" for n, t in events.dtypes) + ", layers string, error string"
     if not readers.exists(spark, f"{out}/version=0"):
         events.mapInPandas(run, shape).write.parquet(f"{out}/version=0")
-    first = spark.read.parquet(f"{out}/version=0")
+    whole = StructType([*events.schema.fields, StructField("layers", StringType()), StructField("error", StringType())])
+    first = spark.read.schema(whole).parquet(f"{out}/version=0")
     if not retry:
         return first
     if not readers.exists(spark, f"{out}/version=1"):
@@ -153,7 +153,7 @@ def enrich(events: DataFrame, key: str, call: Callable[[dict], dict], out: str,
             failed = failed.withColumn("event_date", F.coalesce("event_date", F.col("day").cast(dict(failed.dtypes)["event_date"])))
         again = failed.mapInPandas(run, shape)
         dedupe.upsert(first.where("error is null"), again, [key]).write.parquet(f"{out}/version=1")
-    return spark.read.parquet(f"{out}/version=1")
+    return spark.read.schema(whole).parquet(f"{out}/version=1")
 
 
 def daily_labels(clusters: DataFrame, entity: str, articles: DataFrame, low: str, high: str, horizon: int = 7) -> DataFrame:

@@ -75,10 +75,11 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def write_new_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Only partitions that are not there yet are written; what is there stays as it is."""
+def write_new_partitions(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Only partitions that are not there yet are written; what is there stays as it is. Gives the whole table."""
+    spark, shape = df.sparkSession, df.schema
     try:
-        have = df.sparkSession.read.parquet(path).select(*(F.col(k).cast("string").alias(f"__h_{k}") for k in keys)).distinct()
+        have = spark.read.schema(shape).parquet(path).select(*(F.col(k).cast("string").alias(f"__h_{k}") for k in keys)).distinct()
         on = F.lit(True)
         for k in keys:
             on = on & (F.col(k).cast("string") == F.col(f"__h_{k}"))
@@ -87,6 +88,7 @@ def write_new_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
     df.write.partitionBy(*keys).mode("append").parquet(path)
+    return spark.read.schema(shape).parquet(path)
 
 
 def _files(spark: SparkSession, root: str):
