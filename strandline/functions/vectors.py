@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.keys import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -21,8 +23,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Scaled to length 1; NULL below 1e-9."""
-    n = norm(a)
-    return F.when(n >= 1e-9, F.transform(a, lambda x: x.cast("double") / n))
+    return let(norm(a), lambda n: F.when(n >= 1e-9, F.transform(a, lambda x: x.cast("double") / n)))
 
 
 def centroid(df: DataFrame, key: str, vector: str) -> DataFrame:

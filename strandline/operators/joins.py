@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,40 @@ def window_pairs(df: DataFrame, bucket: list[str], id_: str, date: str, window:
     return a.join(b, on).drop("__s", "__t")
 
 
+def window_cosines(df: DataFrame, bucket: str, id_: str, date: str, vector: str, window: int, least: float, per_task: int = 20_000) -> DataFrame:
+    """(src, dst, weight): pairs (src < dst) of a bucket at most ``window`` days apart whose vectors of length 1 have a product of ``least`` or more.
+
+    Rows meet in stretches as in :func:`window_pairs`, but a stretch is one product of matrices, a block of rows at a time, so no pair's
+    vectors are ever put side by side. Stretches of more than ``per_task`` rows are split by hash on both sides, from exact counts. Rows
+    without vector, day or bucket pair with nothing.
+    """
+    width = window + 1
+    rows = df.select(F.col(bucket).alias("bucket"), F.col(id_).cast("long").alias("id"), days(F.col(date)).alias("day"), F.col(vector).cast("array<double>").alias("u")).where("bucket is not null and day is not null and u is not null")
+    right = rows.withColumn("at", F.floor(F.col("day") / width))
+    left = rows.withColumn("at", F.explode(F.array_distinct(F.array(F.floor((F.col("day") - window) / width), F.floor(F.col("day") / width), F.floor((F.col("day") + window) / width)))))
+    hot = {(r.bucket, r["at"]): -(-r["count"] // per_task) for r in right.groupBy("bucket", "at").count().where(F.col("count") > per_task).collect()}
+    n = F.lit(1)
+    for (b, at), k in hot.items():
+        n = F.when((F.col("bucket") == b) & (F.col("at") == at), k).otherwise(n)
+    own, all_ = F.pmod(F.xxhash64("id"), n).cast("int"), F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    a, b = left.withColumn("pl", own).withColumn("pr", all_), right.withColumn("pr", own).withColumn("pl", all_)
+
+    def product(_, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(x) and len(y):
+            ys, y_id, y_day = np.stack(y.u.to_numpy()), y.id.to_numpy(), y.day.to_numpy()
+            step = max(1, 4_000_000 // len(y))
+            for k in range(0, len(x), step):
+                p = x.iloc[k : k + step]
+                w = np.round(np.stack(p.u.to_numpy()) @ ys.T, 9)
+                i, j = np.nonzero((w >= least) & (p.id.to_numpy()[:, None] < y_id) & (np.abs(p.day.to_numpy()[:, None] - y_day) <= window))
+                found.append(pd.DataFrame({"src": p.id.to_numpy()[i], "dst": y_id[j], "weight": w[i, j]}))
+        return pd.concat(found) if found else pd.DataFrame({"src": [], "dst": [], "weight": []})
+
+    by = ("bucket", "at", "pl", "pr")
+    return a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(product, "src long, dst long, weight double")
+
+
 def token_pairs(df: DataFrame, id_: str, tokens: str, extra: list[str] | None = None, least: float = 0.0) -> DataFrame:
     """(a, b, common, jaccard): pairs of rows of a Jaccard similarity above 0, and ``least`` or more, equal in the ``extra`` columns.
 

@@ -25,9 +25,7 @@ def _edges(spark: SparkSession, d: str, least: float = 0.2) -> DataFrame:
     only. Vectors of one label further apart get no edge, however similar; all graph queries below rest on these edges.
     """
     v = _vectors(spark, d).select("id", "label", V.unit(F.col("embedding")).alias("u"), F.date_from_unix_date(F.col("id").cast("int")).alias("day"))
-    p = joins.window_pairs(v.where("u is not null"), ["label"], "id", "day", 100)
-    edges = p.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"), F.round(V.dot(F.col("a_u"), F.col("b_u")), 9).alias("weight")).where(F.col("weight") >= least)
-    return materialize(edges, "edges")  # read several times by what rests on it
+    return materialize(joins.window_cosines(v, "label", "id", "day", "u", 100, least), "edges")  # read several times by what rests on it
 
 
 def embedding_edges(spark, d):

@@ -1,8 +1,12 @@
 """Graphs too large for one task: the ways over all tasks give what the others give."""
 
 import random
+from datetime import date, timedelta
 
-from strandline.operators import graph
+from pyspark.sql import functions as F
+
+from strandline.functions import vectors as V
+from strandline.operators import graph, joins
 
 
 def test_components_by_rounds(spark, monkeypatch):
@@ -37,3 +41,21 @@ def test_communities_by_rounds(spark):
 
     assert modularity(many) > 0.95 * modularity(one) > 0.6
     assert all(com == min(v for v in many if many[v] == com) for com in many.values())
+
+
+def test_window_cosines_by_brute_force(spark):
+    """Stretches split over tasks, days that many rows share, missing vectors and buckets."""
+    rnd = random.Random(6)
+    vec = lambda: [rnd.gauss(0, 1) for _ in range(4)]
+    rows = [(i, rnd.choice(["x", "x", "y", None]), date(2020, 1, 1) + timedelta(rnd.choice([3, 3, rnd.randrange(60)])), vec() if i % 17 else None) for i in range(120)] + [(500, "x", None, vec())]
+    df = spark.createDataFrame(rows, "id long, b string, d date, v array<double>").withColumn("u", V.unit(F.col("v")))
+    u = {r.id: r.u for r in df.collect()}
+    want = {}
+    for i, b, d, v in rows:
+        for j, b2, d2, v2 in rows:
+            if i < j and b and b == b2 and v and v2 and d and d2 and abs((d - d2).days) <= 5 and (w := sum(x * y for x, y in zip(u[i], u[j], strict=True))) >= 0.3:
+                want[i, j] = w
+    for per_task in (7, 1000):
+        got = {(r.src, r.dst): r.weight for r in joins.window_cosines(df, "b", "id", "d", "u", 5, 0.3, per_task).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want) and len(want) > 100
+    assert joins.window_cosines(df.limit(0), "b", "id", "d", "u", 5, 0.3).count() == 0
