@@ -8,7 +8,6 @@ import zipfile
 from collections.abc import Iterator
 from datetime import date
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +16,7 @@ from strandline.functions.strings import html_title
 from strandline.plans.tables import table
 from strandline.session import shared_dir
 from strandline.sources import fetching, readers, sinks
-from strandline.sources.paged import PagedSource
+from strandline.sources.paged import PagedSource, file_system
 from strandline.streaming import incremental
 
 
@@ -26,7 +25,7 @@ def _place(spark: SparkSession, what: str) -> str:
 
 
 def _put(path: str, content: bytes) -> str:
-    files, at = fs.FileSystem.from_uri(path)
+    files, at = file_system(path)
     files.create_dir(at.rsplit("/", 1)[0], recursive=True)
     with files.open_output_stream(at) as f:
         f.write(content)

@@ -50,11 +50,17 @@ def with_retries(call: Callable[[], list], tries: int = 4, pause: float = 0.5, r
     return call()
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a URI, or of a plain local path."""
+    bare = path.removeprefix("file://").removeprefix("file:") if path.startswith("file:") else path
+    return (fs.LocalFileSystem(), bare) if "://" not in bare else fs.FileSystem.from_uri(path)
+
+
 class Cache:
     """Pages by digest in a folder of any file system; one that can't be read is thrown away and asked for again."""
 
     def __init__(self, folder: str):
-        self.files, self.at = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        self.files, self.at = file_system(folder)
 
     def get(self, key: str) -> list | None:
         path = f"{self.at}/{key}.json"
