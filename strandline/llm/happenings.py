@@ -45,9 +45,9 @@ def _keys(left: bool) -> Column:
 
 
 def _spots(rows: DataFrame, left: bool) -> DataFrame:
-    """id, day, name, kind and keys of rows(id, iso3, day, towns, piece) whose piece names a spot."""
-    s = rows.where("piece is not null").select("id", "iso3", "day", "towns", spot_name(F.col("piece")).alias("name"), spot_kind(F.col("piece")).alias("kind")).where("name is not null")
-    return s.select("id", "day", "name", F.when(F.col("kind").isNull(), 0).otherwise(F.xxhash64("kind")).alias("sort"), _keys(left).alias("keys"))
+    """id, day, name, kind, keys and near of rows(id, iso3, day, towns, piece, near) whose piece names a spot."""
+    s = rows.where("piece is not null").select("id", "iso3", "day", "towns", "near", spot_name(F.col("piece")).alias("name"), spot_kind(F.col("piece")).alias("kind")).where("name is not null")
+    return s.select("id", "day", "name", "near", F.when(F.col("kind").isNull(), 0).otherwise(F.xxhash64("kind")).alias("sort"), _keys(left).alias("keys"))
 
 
 def _records(records: DataFrame, gazetteer: DataFrame) -> DataFrame:
@@ -57,9 +57,9 @@ def _records(records: DataFrame, gazetteer: DataFrame) -> DataFrame:
     c = F.col
     r = records.select(
         c("record_id").alias("id"), code_key(c("iso3")).alias("iso3"), location_pieces(c("location_name")).alias("pieces"),
-        days(F.coalesce(read_date(c("event_date")), read_date(c("publish_date")))).alias("day"),
+        days(F.coalesce(read_date(c("event_date")), read_date(c("publish_date")))).alias("day"), F.coalesce(F.contains(F.lower("location_name"), F.lit("near ")), F.lit(False)).alias("near"),
     ).where("id is not null and day is not null")
-    each = r.select("id", "iso3", "day", spot_piece(c("pieces")).alias("spot"), F.when(c("iso3").isNull(), c("pieces")).alias("all"), F.posexplode("pieces").alias("at", "piece"))
+    each = r.select("id", "iso3", "day", "near", spot_piece(c("pieces")).alias("spot"), F.when(c("iso3").isNull(), c("pieces")).alias("all"), F.posexplode("pieces").alias("at", "piece"))
     names = gazetteer_names(gazetteer)
     none = [F.lit(None).cast(t).alias(n) for n, t in names.dtypes if n not in ("name", "g_country", "g_admin1")]
     wide = F.explode(F.concat(F.array("g_country", "g_admin1"), *(F.array(F.concat("g_admin1", F.lit(f" {w}"))) for w in PROVINCE_WORDS))).alias("name")
@@ -67,10 +67,10 @@ def _records(records: DataFrame, gazetteer: DataFrame) -> DataFrame:
     hit = each.join(names.unionByName(other), c("piece") == c("name"), "left")
     yes = lambda x: F.coalesce(x.cast("int"), F.lit(0))
     score = 2 * yes(F.array_contains("all", c("g_country"))) + yes(F.exists("all", lambda p: c("g_admin1").isNotNull() & p.startswith(c("g_admin1"))))
-    found = hit.groupBy("id", "iso3", "day", "spot").agg(
+    found = hit.groupBy("id", "iso3", "day", "near", "spot").agg(
         F.collect_set("place_id").alias("towns"), F.max_by("g_iso3", F.when(c("place_id").isNotNull(), F.struct(score, -c("place_id")))).alias("named"), F.min_by("piece", F.when(c("name").isNull(), c("at"))).alias("free")
     )
-    return _spots(found.select("id", F.coalesce("iso3", "named").alias("iso3"), "day", "towns", F.coalesce("spot", "free").alias("piece")), True)
+    return _spots(found.select("id", F.coalesce("iso3", "named").alias("iso3"), "day", "towns", "near", F.coalesce("spot", "free").alias("piece")), True)
 
 
 def _events(events: DataFrame, gazetteer: DataFrame) -> DataFrame:
@@ -90,13 +90,20 @@ def _events(events: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
 
 def _compare(l: pd.DataFrame, r: pd.DataFrame):
-    """Similarity of the names, unless both kinds are known and differ."""
+    """Similarity of the names, unless both kinds are known and differ.
+
+    A word "near" before a place is no part of its name as a rule, but may be a slip of a name's first word: rows with one are compared both ways.
+    """
     a, b, ls, rs = Names(l.name.tolist()), Names(r.name.tolist()), l["sort"].to_numpy(), r["sort"].to_numpy()
+    near = l["near"].to_numpy(bool)
+    whole = Names([f"near{n}" if k else "" for n, k in zip(l.name, near, strict=True)])
 
     def similar(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         out = np.zeros(len(i))
         ok = np.flatnonzero((ls[i] == rs[j]) | (ls[i] == 0) | (rs[j] == 0))
         out[ok] = similarity(a, b, i[ok], j[ok], NAME_LEAST)
+        two = ok[near[i[ok]]]
+        out[two] = np.maximum(out[two], similarity(whole, b, i[two], j[two], NAME_LEAST))
         return out
 
     return similar
@@ -117,7 +124,7 @@ def same_happenings(records: DataFrame, events: DataFrame, gazetteer: DataFrame,
     e = _events(events, gazetteer)
     other = F.try_element_at(F.filter("own", lambda p: ~F.coalesce(F.array_contains("town", p), F.lit(False))), F.lit(1))
     towns = F.when(c("place_id").isNotNull(), F.array("place_id")).otherwise(F.array().cast("array<long>"))
-    right = _spots(e.select("id", "iso3", "day", towns.alias("towns"), F.coalesce(spot_piece(c("own")), other).alias("piece")), False)
+    right = _spots(e.select("id", "iso3", "day", F.lit(False).alias("near"), towns.alias("towns"), F.coalesce(spot_piece(c("own")), other).alias("piece")), False)
     near = sorted_neighbours(_records(records, gazetteer), right, days, _compare)
     near = near.join(e.select(c("id").alias("r_id"), "own", "town", "admin1", "lat", "lon"), "r_id")
     near = near.join(records.select(c("record_id").alias("l_id"), "location_name", c("lat").alias("l_lat"), c("lon").alias("l_lon")), "l_id").withColumn("l_pieces", location_pieces(c("location_name")))

@@ -166,7 +166,7 @@ _OK = "coalesce(isfinite({0}lat) and isfinite({0}lon) and {0}lat between -90 and
 #: are taken of events only, as every record of the tables has one.
 _HAPPENINGS = f"""n as (select place_id, upper(trim(iso3)) as g_iso3, lower(trim(country)) as country, lower(trim(admin1)) as g_admin1, unnest(list_distinct(list_transform(list_prepend(place_name, coalesce(alt_names, [])), lambda x: lower(trim(x))))) as name from gazetteer),
 names as (select place_id, list(name) as names from n group by 1),
-r0 as (select record_id, {_CODE.format('iso3')} as iso3, {_PIECES.format('location_name')} as ps, coalesce({_ISO.format('trim(event_date)')}, {_ISO.format('trim(publish_date)')}) as day, lat, lon from extract_records),
+r0 as (select record_id, {_CODE.format('iso3')} as iso3, {_PIECES.format('location_name')} as ps, coalesce({_ISO.format('trim(event_date)')}, {_ISO.format('trim(publish_date)')}) as day, coalesce(contains(lower(location_name), 'near '), false) as near, lat, lon from extract_records),
 e0 as (select event_id_cnty as id, arg_max((event_date, iso3, admin1, admin2, location, latitude, longitude), ingest_time) as x from verified_events group by 1),
 e1 as (select id, x[1]::date as day, {_CODE.format('x[2]')} as iso3, lower(x[3]) as admin1, {_PIECES.format('x[5]')} as own, list_concat({_PIECES.format('x[5]')}, coalesce({_PIECES.format('x[4]')}, [])) as ps, x[6] as lat, x[7] as lon from e0),
 rows as (select 'r' || record_id as id, null as iso3, ps from r0 where iso3 is null union all select 'e' || id, iso3, ps from e1),
@@ -178,7 +178,7 @@ e2 as (select e1.*, names as town from e1 left join best on best.id = 'e' || e1.
 e3 as (select *, coalesce({_SPOT.format('own')}, list_filter(own, lambda x: not coalesce(list_contains(town, x), false))[1]) as piece from e2),
 e as (select *, {_BARE.format('piece')} as name, {_SORT.format('piece')} as kind from e3 where piece is not null),
 towned as (select record_id, count(*) filter (name is not null) > 0 as has from (select record_id, unnest(ps) as piece from r0) left join (select distinct name from n) on piece = name group by 1),
-p as (select record_id, e.id as event_id_cnty, abs(date_diff('day', r.day, e.day)) as gap, 1 - damerau_levenshtein(r.name, e.name) / greatest(length(r.name), length(e.name)) as s_name, (r.kind = e.kind)::double as s_kind,
+p as (select record_id, e.id as event_id_cnty, abs(date_diff('day', r.day, e.day)) as gap, greatest(1 - damerau_levenshtein(r.name, e.name) / greatest(length(r.name), length(e.name)), case when near then 1 - damerau_levenshtein('near' || r.name, e.name) / greatest(length(r.name) + 4, length(e.name)) else 0 end) as s_name, (r.kind = e.kind)::double as s_kind,
   case when list_has_any(r.ps, town) then 1.0 when has and town is not null then 0.0 when {_OK.format('r.')} and {_OK.format('e.')} then
    (2 * 6371 * asin(sqrt(pow(sin(radians(e.lat - r.lat) / 2), 2) + cos(radians(r.lat)) * cos(radians(e.lat)) * pow(sin(radians(e.lon - r.lon) / 2), 2))) <= 80)::double
    when len(list_filter(r.ps, lambda x: levenshtein(x, admin1) <= 2)) > 0 then 1.0 end as s_town

@@ -126,8 +126,8 @@ def test_spots_without_a_kind(spark):
 
 def test_same_happenings_with_slips_on_both_sides(spark):
     gaz = spark.createDataFrame([(1, "Memani", None, "Ridihi", "ZAF", "South Africa", -31.4, 24.9)], "place_id long, place_name string, alt_names array<string>, admin1 string, iso3 string, country string, latitude double, longitude double")
-    rec = [(1, "Fbo Dasaki Depot, Memani, South Africa"), (2, "Wane Fakangrri Brdg, Memani, South Africa")]
+    rec = [(1, "Fbo Dasaki Depot, Memani, South Africa"), (2, "Wane Fakangrri Brdg, Memani, South Africa"), (3, "Near Benwili Term.,Memani,,South Africa"), (4, "near Beha Wenuvo Hospital, Memani")]
     records = spark.createDataFrame([(*r, "ZAF", "2020-01-30", None, None, None) for r in rec], "record_id long, location_name string, iso3 string, event_date string, publish_date string, lat double, lon double")
-    ev = [("ZAF1", "Memani (Febo Daaki)"), ("ZAF2", "Memani (Wnae Fakangri)")]
+    ev = [("ZAF1", "Memani (Febo Daaki)"), ("ZAF2", "Memani (Wnae Fakangri)"), ("ZAF3", "Memani - Ngar Benwili Terminal"), ("ZAF4", "Beha Wenuvo Hosp., Memani")]
     events = spark.createDataFrame(ev, "event_id_cnty string, location string").selectExpr("event_id_cnty", "date'2020-01-30' as event_date", "'ZAF' as iso3", "'Ridihi' as admin1", "cast(null as string) as admin2", "location", "cast(null as double) as latitude", "cast(null as double) as longitude", "current_timestamp() as ingest_time")
-    assert {(r.record_id, r.event_id_cnty) for r in same_happenings(records, events, gaz).collect()} == {(1, "ZAF1"), (2, "ZAF2")}
+    assert {(r.record_id, r.event_id_cnty) for r in same_happenings(records, events, gaz).collect()} == {(1, "ZAF1"), (2, "ZAF2"), (3, "ZAF3"), (4, "ZAF4")}
