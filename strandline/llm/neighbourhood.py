@@ -125,7 +125,8 @@ def sorted_neighbours(left: DataFrame, right: DataFrame, days: int, compare: Com
                 ok = s > 0
                 i, j = i[ok], j[ok]
                 found.append(pd.DataFrame({"l_id": li[i], "r_id": ri[j], "gap": (ld[i] - rd[j]).astype(np.int32), "similarity": s[ok]}))
-        return pd.concat(found) if found else pd.DataFrame({"l_id": [], "r_id": [], "gap": [], "similarity": []})
+        # Empty columns of objects pass as any type of id; empty floats can't be sent as text.
+        return pd.concat(found) if found else pd.DataFrame({"l_id": [], "r_id": [], "gap": [], "similarity": []}, dtype=object)
 
     kinds = [dict(x.dtypes)["id"] for x in (left, right)]
     by = ("__stretch", "__pl", "__pr")

@@ -34,6 +34,16 @@ def test_sorted_windows_lose_nothing(spark, per_stretch):
     assert sorted_neighbours(df(a).limit(0), df(b), 3, _equal_names).count() == 0
 
 
+@pytest.mark.parametrize("per_stretch", [2, 50_000])
+def test_stretches_without_pairs(spark, per_stretch):
+    """Stretches with rows of both sides, none in another's window, and parts of one side only; ids are text."""
+    df = lambda rows: spark.createDataFrame([(i, d, ["k"], NAMES[0]) for i, d in rows], "id string, day int, keys array<string>, name string")
+    a, far = df([(f"a{d}", d) for d in range(0, 40, 10)]), [(f"b{d}", d + 5) for d in range(0, 40, 10)]
+    assert sorted_neighbours(a, df(far), 3, _equal_names, per_stretch).count() == 0
+    b = df([*far, ("b", 11), *[("c", 70)] * 9])
+    assert [tuple(r) for r in sorted_neighbours(a, b, 3, _equal_names, per_stretch).collect()] == [("a10", "b", -1, 1.0)]
+
+
 def test_similarity_of_many_pairs():
     rnd = random.Random(2)
     word = lambda n: "".join(rnd.choice("abcdé") for _ in range(n))
